@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from signalmill.llm._text import ensure_checkpoint_dir
+from signalmill.llm.decontaminate import drop_leaks
 from signalmill.llm.jaccard_join import keep_first
 from signalmill.llm.quality_rules import keep_good
 
@@ -19,9 +20,15 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return keep_first(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
 ]
 
 #: The compression, search and tokenizer stages are beyond SQL; tests hold the pipeline against a brute-force version.
