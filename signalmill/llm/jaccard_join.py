@@ -3,8 +3,9 @@
 Two documents link when the Jaccard similarity of their shingle sets reaches a bound. Steps:
 
 1. Documents with equal sets form a class; the smallest id stands for it.
-2. A global order puts rare shingles first. Rarity comes from a table of 2^18 hashed counters that
-   every task fills over all its documents; the table has a fixed size, so it may be broadcast. A set of n
+2. A global order puts rare shingles first: by the count of the rarest word, which no shingle exceeds.
+   Counts come from a table of 2^19 hashed counters that every task fills with all words of its documents; the
+   table has a fixed size, so it may be broadcast. Any order gives whole results. A set of n
    shingles can reach the bound only with a set that shares one of its first n - ceil(t n) + 1 shingles in that order.
 3. The inverted list of each such shingle names its smallest id as hub. All documents of a list
    meet in the group of its hub, so each linking pair meets in one group at least, while a
@@ -35,21 +36,34 @@ from pyspark.sql import types as T
 
 from ._text import buffers, checkpointed, mix, partitions, row_chunks, shingle_hashes, word_hashes
 
-#: Counters of shingle rarity; the broadcast table holds 8 bytes for each.
-SKETCH_BITS = 18
+#: Counters of words, as a power of 2; the broadcast table holds 8 bytes for each.
+SKETCH_BITS = 19
 #: Rows of an inverted list that go to one task; longer lists are salted.
 LIST_ROWS = 65_536
 #: Shingles of a group that one task holds; larger groups go in blocks.
 BLOCK_SHINGLES = 400_000
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of a column."""
+def _words(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text of a column."""
     data, offsets = buffers(column)
     for i, j in row_chunks(offsets):
         words, rows = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         for a, b in zip(rows[:-1], rows[1:], strict=True):
-            yield np.unique(shingle_hashes(words[a:b], k))
+            yield words[a:b]
+
+
+def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of a column."""
+    for words in _words(column):
+        yield np.unique(shingle_hashes(words, k))
+
+
+def _rarity_of_shingles(counts: np.ndarray, k: int) -> np.ndarray:
+    """The least of the counts of each shingle's words."""
+    if len(counts) < k:
+        return counts.min(keepdims=True)
+    return np.lib.stride_tricks.sliding_window_view(counts, k).min(1)
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -188,11 +202,12 @@ def _described(rows: DataFrame, k: int) -> DataFrame:
         table, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
         for batch in batches:
             kind, n, node, seen, held = batch.schema.field(0).type, [], [], [], 0
-            for s in shingle_sets(batch.column(1), k):
+            for words in _words(batch.column(1)):
+                s = np.unique(shingle_hashes(words, k))
                 n.append(len(s))
                 node.append(_digest(s) if len(s) else None)
-                seen.append(_slot(s))
-                held += len(s)
+                seen.append(_slot(words))
+                held += len(words)
                 if held > 1_000_000:
                     table += np.bincount(np.concatenate(seen), minlength=len(table))
                     seen, held = [], 0
@@ -215,20 +230,24 @@ def _postings(rows: DataFrame, k: int, percent: int, rarity) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = rarity.value, set()
         for batch in batches:
-            keys, nodes, sizes, lengths = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            keys, counts, nodes, sizes, lengths = [], [], [], [], []
+            for words in _words(batch.column(1)):
+                s, first = np.unique(shingle_hashes(words, k), return_index=True)
                 if not len(s) or (node := _digest(s)) in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                keys.append(s[np.argsort(table[_slot(s)], kind="stable")[: prefix_length(len(s), percent)]])
+                rare = _rarity_of_shingles(table[_slot(words)], k)[first]
+                order = np.argsort(rare, kind="stable")[: prefix_length(len(s), percent)]
+                keys.append(s[order])
+                counts.append(rare[order])
                 nodes.append(node)
                 sizes.append(len(s))
                 lengths.append(len(keys[-1]))
             if keys:
                 x = np.concatenate(keys)
                 node, n = np.repeat(nodes, lengths), np.repeat(sizes, lengths)
-                salts = 1 + table[_slot(x)] // limit
+                salts = 1 + np.concatenate(counts) // limit
                 salt = mix(node.astype(np.uint64)).astype(np.int64) % salts
                 arrays = [x.astype(np.int64), salt.astype(np.int32), salts.astype(np.int32), node, n]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["x", "salt", "salts", "node", "n"])
