@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from signalmill.llm._text import ensure_checkpoint_dir
+from signalmill.llm.byte_bpe import with_tokens
 from signalmill.llm.decontaminate import drop_leaks
 from signalmill.llm.jaccard_join import keep_first
+from signalmill.llm.pii import redact, train
 from signalmill.llm.quality_rules import keep_good
 
 
@@ -25,10 +28,23 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by the name of its kind."""
+    return redact(docs, train(docs))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as token ids, which decode to their texts."""
+    encoded = with_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.selectExpr("doc_id", "lang", "source", "n_chars", "CAST(size(token_ids) AS BIGINT) AS n_tokens", "token_ids")
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("n-gram Jaccard join", jaccard_join),
     ("benchmark decontamination", benchmark_decontamination),
+    ("PII", pii),
+    ("byte-level BPE", byte_bpe),
 ]
 
 #: The compression, search and tokenizer stages are beyond SQL; tests hold the pipeline against a brute-force version.

@@ -16,6 +16,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base matches and what the boosted trees add."""
+    from .pii import pii_spans, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return pii_spans(docs, train(docs))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and the decoded bytes of all documents."""
     import public_tokenizers
@@ -41,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
