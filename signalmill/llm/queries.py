@@ -16,6 +16,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal counts, in Hilbert order of language, source and length."""
+    from .hilbert_shards import shard_rows
+
+    return shard_rows(_table(spark, sf_dir, "documents"), 24)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: base matches and what the boosted trees add."""
     from .pii import pii_spans, train
@@ -49,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_jaccard_join": op9_jaccard_join,
