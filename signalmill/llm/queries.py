@@ -40,6 +40,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages, by rules and else by the ratio of two character models."""
+    from .url_model import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     from .jaccard_join import jaccard_components
@@ -59,6 +66,7 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_url_model": op7_url_model,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
