@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .preferences import ORACLE as PREFERENCES_SQL
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +49,14 @@ def op7_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt, completions and masks for the pair that each conversation gives."""
+    from .preferences import conversations_as_arrays, format_preferences, last_reply_pairs
+
+    pairs = last_reply_pairs(conversations_as_arrays(_table(spark, sf_dir, "conversations")))
+    return format_preferences(pairs).withColumnRenamed("pair_id", "conv_id")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     from .jaccard_join import jaccard_components
@@ -67,8 +77,9 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_url_model": op7_url_model,
+    "op8_preferences": op8_preferences,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_preferences": PREFERENCES_SQL}
