@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a Katz backoff model of six sevenths of them."""
+    from .katz import katz_scores, train_share
+
+    return katz_scores(_table(spark, sf_dir, "documents"), train_share())
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item with edits to a tenth of it at most, and where."""
     from .decontaminate import find_leaks
@@ -72,6 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_decontamination": op2_decontamination,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii": op5_pii,
