@@ -25,6 +25,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages, by templates of their hosts."""
+    from .html_template import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of equal counts, in Hilbert order of language, source and length."""
     from .hilbert_shards import shard_rows
@@ -81,6 +88,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_katz": op1_katz,
     "op2_decontamination": op2_decontamination,
+    "op3_html_template": op3_html_template,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_pii": op5_pii,
     "op6_byte_bpe": op6_byte_bpe,
