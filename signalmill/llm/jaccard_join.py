@@ -5,11 +5,13 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a b
 1. Documents with equal sets form a class; the smallest id stands for it.
 2. A global order puts rare shingles first: by the count of the rarest word, which no shingle exceeds.
    Counts come from a table of 2^19 hashed counters that every task fills with all words of its documents; the
-   table has a fixed size, so it may be broadcast. Any order gives whole results. A set of n
-   shingles can reach the bound only with a set that shares one of its first n - ceil(t n) + 1 shingles in that order.
+   table has a fixed size, so it may be broadcast. Any order gives whole results. Sets that reach the bound share
+   l shingles at least among their first n - ceil(t n) + l in that order; l is a share of n (``SHARED_PERCENT``).
 3. The inverted list of each such shingle names its smallest id as hub. All documents of a list
    meet in the group of its hub, so each linking pair meets in one group at least, while a
    document goes only to its few distinct hubs rather than to each of its shingles. Long lists are salted.
+   Sets with fewer than l shingles in lists of two or more are out. Each set leaves the hubs it shares fewest lists with, for
+   less than l / 2 lists in all: a linking pair then still has a list in common.
 4. In a group, DivideSkip answers which sets reach the overlap T: the short inverted lists are
    merged and counted, the L longest are probed by binary search. Groups over a size go in blocks: first
    the hub against each block, then what didn't link with the hub against all blocks. Tasks
@@ -30,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +40,8 @@ from ._text import buffers, checkpointed, mix, partitions, row_chunks, shingle_h
 
 #: Counters of words, as a power of 2; the broadcast table holds 8 bytes for each.
 SKETCH_BITS = 19
+#: Shingles that must be shared among the first ones, as a percentage of the set.
+SHARED_PERCENT = 4
 #: Rows of an inverted list that go to one task; longer lists are salted.
 LIST_ROWS = 65_536
 #: Shingles of a group that one task holds; larger groups go in blocks.
@@ -72,7 +76,7 @@ def least_overlap(n: int, m: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + max(1, SHARED_PERCENT * n // 100)
 
 
 # ---- DivideSkip in one group
@@ -255,17 +259,19 @@ def _postings(rows: DataFrame, k: int, percent: int, rarity) -> DataFrame:
     return rows.mapInArrow(post, "x long, salt int, salts int, node long, n long")
 
 
-def _groups(postings: DataFrame) -> DataFrame:
-    """(hub, node, n): the sets that meet; lists of one set are gone."""
-    from pyspark.sql import Window
-
+def _groups(postings: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, n): the sets that meet."""
     one = Window.partitionBy("x", "salt")
     local = postings.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)})
     local = checkpointed(local.filter((F.col("salts") > 1) | (F.col("low") < F.col("high"))))
     light = local.filter("salts = 1").select(F.col("low").alias("hub"), "node", "n")
     heavy = local.filter("salts > 1")
     tops = heavy.groupBy("x").agg(F.min("low").alias("hub"), F.max("high").alias("top")).filter("hub < top")
-    return light.union(heavy.join(tops, "x").select("hub", "node", "n")).distinct()
+    met = light.union(heavy.join(tops, "x").select("hub", "node", "n")).groupBy("hub", "node", "n").agg(F.count("*").alias("lists"))
+    mine = Window.partitionBy("node")
+    shared = F.expr(f"greatest(1, {SHARED_PERCENT} * (({percent} * n + 99) DIV 100) DIV 100)")
+    met = met.withColumns({"shared": shared, "in_all": F.sum("lists").over(mine), "up_to": F.sum("lists").over(mine.orderBy("lists", "hub"))})
+    return met.filter("in_all >= shared AND up_to > (shared - 1) DIV 2").select("hub", "node", "n")
 
 
 def _sets_of(rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
@@ -323,9 +329,9 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
 
 def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between sets, a spanning forest of each group."""
-    sizes = groups.groupBy("hub").agg(F.sum("n").alias("shingles_in_all"))
-    groups = groups.join(sizes, "hub").select("hub", "node", "n", F.ceil(F.col("shingles_in_all") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = groups.join(sets, "node").select("hub", "blocks", "node", "shingles")
+    sizes = groups.groupBy("hub").agg(F.sum("n").alias("shingles_in_all"), F.min("node").alias("pivot"), F.count("*").alias("sets")).filter("sets > 1")
+    groups = groups.join(sizes, "hub").select("hub", "pivot", "node", F.ceil(F.col("shingles_in_all") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = groups.join(sets, "node").select("hub", "pivot", "blocks", "node", "shingles")
     tasks = partitions(groups)
     own = F.pmod(F.hash("node"), F.col("blocks"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -335,10 +341,10 @@ def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hub, _, blocks), rows in _by_group(batches, 3):
-            rows.sort(key=lambda r: r[0] != hub)
-            nodes, forest = [r[0] for r in rows], _Forest(len(rows))
+            rows.sort(key=lambda r: r[0] != r[1])
+            nodes, forest = [r[1] for r in rows], _Forest(len(rows))
             whole = blocks == 1
-            link_group([r[1] for r in rows], range(len(rows)) if whole else [0], percent, forest, 0)
+            link_group([r[2] for r in rows], range(len(rows)) if whole else [0], percent, forest, 0)
             a, b = [nodes[i] for i, _ in forest.links], [nodes[j] for _, j in forest.links]
             if not whole:
                 left = [n for i, n in enumerate(nodes) if forest.root(i) != forest.root(0)]
@@ -346,15 +352,15 @@ def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             done = [True] * len(forest.links) + [False] * (len(a) - len(forest.links))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(done, pa.bool_())], names=["a", "b", "linked"])
 
-    # the hub goes to every block of its group
-    placed = members.withColumn("block", F.explode(F.when(F.col("node") == F.col("hub"), every).otherwise(F.array(own))))
-    tried = checkpointed(dealt(placed, ["hub", "block", "blocks"], ["node"]).mapInArrow(first, "a long, b long, linked boolean"))
+    # the pivot, in most groups the hub itself, goes to every block
+    placed = members.withColumn("block", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array(own))))
+    tried = checkpointed(dealt(placed, ["hub", "block", "blocks"], ["pivot", "node"]).mapInArrow(first, "a long, b long, linked boolean"))
     links = tried.filter("linked").select("a", "b")
     open_ = tried.filter("NOT linked").select(F.col("a").alias("hub"), F.col("b").alias("node"))
     if open_.isEmpty():
         return links
 
-    # what did not link with the hub of a large group, against all its blocks
+    # what did not link with the pivot of a large group, against all its blocks
     asked = members.join(open_, ["hub", "node"], "left_semi")
     query_blocks = asked.groupBy("hub").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("query_blocks"))
     queries = asked.join(query_blocks, "hub").withColumns({"turn": F.pmod(F.xxhash64("node"), F.col("query_blocks")).cast("int"), "asks": F.lit(1)}).withColumn("block", F.explode(every))
@@ -408,7 +414,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     described = checkpointed(_described(rows, shingle_words))
     known = described.filter("piece IS NULL").select("id", "n", "node")
     rarity = rows.sparkSession.sparkContext.broadcast(_summed(described.filter("piece IS NOT NULL").select("piece", "counts")))
-    groups = checkpointed(_groups(_postings(rows, shingle_words, percent, rarity)))
+    groups = checkpointed(_groups(_postings(rows, shingle_words, percent, rarity), percent))
     labels = connected_components(_links(groups, _sets_of(rows, groups, shingle_words), percent))
     classes = known.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
     classes = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
