@@ -38,10 +38,12 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class LeakOptions:
-    """edit_rate: edits per unit of a passage that still count as a leak. slice_chars: benchmark text that is broadcast at once."""
+    """edit_rate: edits per unit of a passage that still count as a leak. frequent: q-grams that stand oftener than this in the
+    benchmark are not looked up, as far as half of a passage's bound allows. slice_chars: benchmark text that is broadcast at once."""
 
     edit_rate: float = 0.1
-    least_shared: int = 4
+    least_shared: int = 8
+    frequent: int = 16
     segment_chars: int = 400
     slice_chars: int = 16_000_000
     batch_chars: int = 1 << 20
@@ -119,10 +121,10 @@ class Passages:
         _, inverse, often = np.unique(every, return_inverse=True, return_counts=True)
         often, at, kept = often[inverse], 0, []
         for i, k in enumerate(keys):  # leave out the most frequent, as far as the bound allows
-            spare = max(0, int(self.bounds[i]) - options.least_shared)
+            spare = max(0, int(self.bounds[i]) // 2)
             counts = often[at : at + len(k)]
             order = np.argsort(-counts, kind="stable")[:spare]
-            out = order[counts[order] > 1]
+            out = order[counts[order] > options.frequent]
             self.bounds[i] -= len(out)
             mask = np.ones(len(k), bool)
             mask[out] = False
