@@ -63,9 +63,9 @@ def required_tau(accuracy: Column, rate: Column, hit: Column, miss: Column, fire
     """The least time constant that keeps the fire line so many sigmas from the false attractor."""
     low, high = attractors(accuracy, hit, miss)
     sigma = sample_sigma(accuracy, hit, miss)
-    k = F.pow(fire_at * (high - low) / (sigmas * sigma), 2)
+    k = F.pow(F.try_divide(fire_at * (high - low), sigmas * sigma), 2)
     alpha = 2 * k / (1 + k)
-    return F.when(sigma <= 1e-9, 1e-3).when(alpha >= 1, 1e-3).otherwise(-1 / (rate * F.log(1 - alpha)))
+    return F.when(sigma <= 1e-9, 1e-3).when(alpha >= 1, 1e-3).otherwise(F.try_divide(F.lit(-1.0), rate * F.log(1 - alpha)))
 
 
 def disagreement_bounds(accuracy: Column, hit: Column, miss: Column) -> tuple[Column, Column]:
