@@ -425,7 +425,13 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of each component, with all columns; one row of those repeated with one id and text."""
-    found = jaccard_components(docs, id_column, text_column, **options)
+    """The document with the smallest id of each component, with all columns. Of rows that repeat an id one stays, any of
+    them; rows without an id all stay."""
+    found = checkpointed(jaccard_components(docs, id_column, text_column, **options))
     gone = found.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    kept = docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
+    repeated = found.filter(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_again")).count().filter("count > 1").select("_again")
+    if repeated.isEmpty():
+        return kept
+    twice = kept.join(repeated, kept[id_column] == repeated["_again"], "left_semi").dropDuplicates([id_column])
+    return kept.join(repeated, kept[id_column] == repeated["_again"], "left_anti").unionByName(twice)

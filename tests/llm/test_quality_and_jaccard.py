@@ -157,6 +157,7 @@ def test_jaccard_odd_tables(spark):
     got = sorted(map(tuple, J.jaccard_components(docs, shingle_words=4, percent=85).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (0, 0, 0)], key=str)
     assert J.jaccard_components(docs.limit(0)).count() == 0
+    assert sorted(map(tuple, J.keep_first(docs, shingle_words=4, percent=85).collect()), key=str) == sorted([(1, "a b c d e"), (None, "a b c d e"), (0, None)], key=str)
 
 
 def test_divide_skip_against_all_overlaps():
