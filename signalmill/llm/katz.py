@@ -14,10 +14,10 @@ words (A-Z lower-cased) and one end for each text; unknown tokens share one clas
   between 0 and 1 (few data, many copies) it is (r - 0.5) / r.
 
 How it runs: documents are written once, in blocks of bounded size, to a table bucketed by block, so later steps don't
-shuffle texts. Each block adds up its own n-grams first and asks, by ranges of the key, for their counts over all blocks; the answers
-(only n-grams of the model) come back to the blocks that asked, and are kept in tables partitioned by order. Of the
-blocks that hold an n-gram one adds it to the sums of its history; sums go the same way. The last step walks down the orders
-for each token. What is gathered grows with the corpus; nothing but the counts of counts comes to the driver.
+shuffle texts. Each block adds up its own n-grams first and asks, by ranges of the key, for their counts over all blocks. The answers are
+counts in the order of the keys asked for (0: not in the model), which the block can compute again; they are kept in tables partitioned by
+order, and the model's keys and counts beside them where ``keep_keys`` is set. Of the blocks that hold an n-gram one adds it to the sums
+of its history; sums go the same way. The last step walks down the orders for each token. What is gathered grows with the corpus; nothing but the counts of counts comes to the driver.
 n-grams are known by 64-bit hashes.
 
 Cases: null or empty texts have one token, their end; a null id counts as the empty string for the split; repeated rows
@@ -31,6 +31,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import buffers, checkpointed, ensure_checkpoint_dir, mix, partitions, row_chunks, word_hashes
+from ._text import buffers, checkpointed, ensure_checkpoint_dir, mix, partitions, release, remove_folder, row_chunks, word_hashes
 
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 #: Bytes of text in a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
-_CHUNK = "block long, bucket int, keys array<long>, counts array<long>"
-_SUMS = "bucket int, keys array<long>, high array<double>, low array<double>"
+_ASK = "block long, bucket int, keys array<long>, counts array<int>"
+_ANSWER = "block long, bucket int, keys array<long>, counts array<long>"
+_SUMS = "block long, bucket int, keys array<long>, high array<double>, low array<double>"
 
 
 @dataclass
@@ -109,29 +111,19 @@ class Block:
         return self.place >= n - 1
 
 
-class Answers:
-    """Keys of the model that a block asked for, with numbers for each."""
-
-    def __init__(self, table: pa.Table, n: int, columns: tuple[str, ...]):
-        rows = table.filter(pa.compute.equal(table["n"], n)) if table.num_rows else table
-        order = np.argsort(rows["bucket"].to_numpy()) if rows.num_rows else []
-        keys = rows["keys"].combine_chunks() if rows.num_rows else None
-        self.keys = _joined(keys, order).astype(np.uint64)
-        self.columns = {c: _joined(rows[c].combine_chunks() if rows.num_rows else None, order) for c in columns}
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-
-def _joined(lists, order) -> np.ndarray:
-    if lists is None or not len(order):
-        return np.zeros(0, np.int64)
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    return np.concatenate([lists[int(i)].values.to_numpy(zero_copy_only=False) for i in order])
+def _aligned(table: pa.Table | None, n: int, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """The answers' arrays of one kind, in the order of what was asked."""
+    if table is None or not table.num_rows:
+        return [np.zeros(0) for _ in columns]
+    rows = table.filter(pa.compute.equal(table["n"], n)).combine_chunks()
+    order = np.argsort(rows["bucket"].to_numpy(), kind="stable")
+    out = []
+    for c in columns:
+        lists = rows[c].combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        parts = [lists[int(i)].values.to_numpy(zero_copy_only=False) for i in order]
+        out.append(np.concatenate(parts) if parts else np.zeros(0))
+    return out
 
 
 def _ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
@@ -145,30 +137,79 @@ def _ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
     names, types = zip(*(f.split(" ", 1) for f in schema.split(", ")), strict=True)
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.Table.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _asked(block: Block, n: int, answers: Answers | None) -> tuple[np.ndarray, int]:
-    """Where n-grams are asked for, and how many training n-grams need not be: those with a part that is not in the model."""
-    where = block.has(n)
-    if n == 1:
-        return where, 0
-    known = answers.find(block.keys[n - 2]) >= 0
-    counted = answers.columns["counts"] >> 1
-    often = known & (counted[np.maximum(answers.find(block.keys[n - 2]), 0)] >= 2) if len(answers.keys) else known
-    good = where & often
-    good[1:] &= often[:-1]
-    return good, int((where & ~good & block.train).sum())
+class View:
+    """What a block knows of the model: counts up to order ``known``, sums for histories of up to ``weighed`` tokens."""
+
+    def __init__(self, block: Block, answers: pa.Table | None, levels: list[Level], known: int, weighed: int):
+        self.block, self.levels = block, levels
+        self.asked: list[tuple[np.ndarray, np.ndarray]] = []  # by order: where asked, and which of the keys
+        self.keys: list[np.ndarray] = []
+        self.count: list[np.ndarray] = []  # by order: count and reporter's mark at each place
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        for n in range(1, known + 1):
+            where, keys, inverse = self.ask(n)
+            (counts,) = _aligned(answers, n, ("counts",))
+            at = np.zeros(len(block.place), np.int64)
+            at[where] = counts[inverse]
+            self.keys.append(keys)
+            self.count.append(at)
+        for n in range(1, weighed + 1):
+            history, inverse, where = self.histories(n)
+            high, low = _aligned(answers, -n, ("high", "low"))
+            full = np.zeros((2, len(block.place)))
+            if len(high):
+                full[:, where] = high[inverse], low[inverse]
+            self.sums.append((full[0], full[1]))
+
+    def ask(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose n-grams are asked for, their different keys, and each place's key: those whose parts are in the model twice or more."""
+        where = self.block.has(n)
+        if n > 1:
+            often = (self.count[n - 2] >> 1) >= 2
+            where = where & often
+            where[1:] &= often[:-1]
+        where = np.flatnonzero(where)
+        return (where, *np.unique(self.block.keys[n - 1][where], return_inverse=True))
+
+    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different n-grams that can have followers in the model, each place's one, and the places."""
+        where = np.flatnonzero((self.count[n - 1] >> 1) >= 2)
+        return (*np.unique(self.block.keys[n - 1][where], return_inverse=True), where)
+
+    def counts(self, n: int, places: np.ndarray) -> np.ndarray:
+        """Training counts of the n-grams that end at places; 0 where not in the model."""
+        return self.count[n - 1][places] >> 1
+
+    def high(self, n: int, places: np.ndarray) -> np.ndarray:
+        """d(c) c / c(h) of n-grams in the model."""
+        return self.levels[n - 1].discounted(self.counts(n, places)) / np.maximum(self.counts(n - 1, places - 1), 1)
+
+    def model(self, n: int, places: np.ndarray) -> np.ndarray:
+        """The probability of the token at each place after up to n - 1 tokens."""
+        if n == 1:
+            whole, unknown = self.levels[0].unigrams()
+            counts = self.counts(1, places)
+            return np.where(counts > 0, self.levels[0].discounted(counts) / whole, unknown)
+        out = self.model(n - 1, places)
+        with_history = np.flatnonzero((places > 0) & self.block.has(n)[places])
+        at = places[with_history]
+        high, low = (x[at - 1] for x in self.sums[n - 2])
+        scale, backoff = weights(high, low, self.counts(n - 1, at - 1))
+        out[with_history] = np.where(self.counts(n, at) > 0, scale * self.high(n, at), backoff * out[with_history])
+        return out
 
 
 class KatzModel:
     """The steps over the tables of one corpus. ``order``: tokens of the longest n-gram."""
 
-    def __init__(self, docs: DataFrame, train: Column, id_column: str, text_column: str, order: int, least: int):
-        self.spark, self.order, self.least = docs.sparkSession, order, least
+    def __init__(self, docs: DataFrame, train: Column, id_column: str, text_column: str, order: int, least: int, keep_keys: bool = False):
+        self.spark, self.order, self.least, self.keep_keys = docs.sparkSession, order, least, keep_keys
         self.buckets = partitions(docs)
         self.name = f"katz_{uuid.uuid4().hex}"
         self.folder = f"{ensure_checkpoint_dir(self.spark)}/{self.name}"
@@ -196,66 +237,62 @@ class KatzModel:
         writer.bucketBy(self.buckets, "block").sortBy("block").saveAsTable(self.name)
 
     def drop(self) -> None:
-        """Removes the block table."""
+        """Removes the tables of blocks, counts and sums."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_folder(self.spark, self.folder)
 
     def _with_answers(self, function, schema, levels: list[int], sums: list[int] = ()) -> DataFrame:
         """The function over each block's documents and the answers to it."""
         docs = self.spark.table(self.name).groupBy("block")
-        empty = F.array().cast("array<double>")
-        parts = [self.spark.read.parquet(f"{self.folder}/order={n}").filter("block >= 0").select("block", "bucket", "keys", "counts", empty.alias("high"), empty.alias("low"), F.lit(n).alias("n")) for n in levels]
-        parts += [self.spark.read.parquet(f"{self.folder}/sums={n}").select("block", "bucket", "keys", F.array().cast("array<long>").alias("counts"), "high", "low", F.lit(-n).alias("n")) for n in sums]
+        none = F.array().cast("array<double>")
+        parts = [self.spark.read.parquet(f"{self.folder}/order={n}").filter("block >= 0").select("block", "bucket", "counts", none.alias("high"), none.alias("low"), F.lit(n).alias("n")) for n in levels]
+        parts += [self.spark.read.parquet(f"{self.folder}/sums={n}").select("block", "bucket", F.array().cast("array<long>").alias("counts"), "high", "low", F.lit(-n).alias("n")) for n in sums]
         if not parts:
             return docs.applyInArrow(lambda table: function(table, None), schema)
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
-        return docs.cogroup(every.groupBy("block")).applyInArrow(function, schema)
+        return docs.cogroup(reduce(DataFrame.union, parts).groupBy("block")).applyInArrow(function, schema)
 
     def count(self, n: int) -> None:
         """Counts the n-grams of one order over all blocks and stores the answers."""
-        order, buckets, least = n, self.buckets, self.least if n > 1 else 1
+        order, buckets, least, levels, keep = n, self.buckets, self.least if n > 1 else 1, list(self.levels), self.keep_keys
 
         def ask(table: pa.Table, answers: pa.Table | None) -> pa.Table:
             block = Block(table, order)
-            where, single = _asked(block, order, None if order == 1 else Answers(answers, order - 1, ("counts",)))
-            keys, inverse = np.unique(block.keys[order - 1][where], return_inverse=True)
-            counts = np.bincount(inverse, block.train[where], len(keys)).astype(np.int64)
+            view = View(block, answers, levels, order - 1, order - 2)
+            where, keys, inverse = view.ask(order)
+            counts = np.bincount(inverse, block.train[where], len(keys)).astype(np.int32)
+            single = int((block.train & block.has(order)).sum() - block.train[where].sum()) if order > 1 else 0
             me = table["block"][0].as_py()
             rows = [(me, b, keys[i:j].astype(np.int64), counts[i:j]) for b, i, j in _ranges(keys, buckets)]
-            return _rows(_CHUNK, [*rows, (-1, 0, [1], [single])])
+            return _rows(_ASK, [*rows, (-1, 0, [single], [])])
 
         def answer(table: pa.Table) -> pa.Table:
-            blocks = table["block"].to_pylist()
-            lists = [(b, t, k.values.to_numpy().astype(np.uint64), c.values.to_numpy()) for b, t, k, c in zip(blocks, table["bucket"].to_pylist(), table["keys"], table["counts"], strict=True)]
-            single = sum(int(c[0]) for b, _, _, c in lists if b < 0)
-            lists = [x for x in lists if x[0] >= 0]
-            out = []
-            histogram = np.zeros(MOST_DISCOUNTED + 4, np.int64)
-            histogram[1] = single
-            histogram[-2] = histogram[-1] = single
-            if lists:
-                keys, first, inverse = np.unique(np.concatenate([x[2] for x in lists]), return_index=True, return_inverse=True)
-                totals = np.bincount(inverse, np.concatenate([x[3] for x in lists]), len(keys)).astype(np.int64)
+            asked = [(b, t, k.values.to_numpy().astype(np.uint64), c.values.to_numpy()) for b, t, k, c in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), table["keys"], table["counts"], strict=True)]
+            single = sum(int(k[0]) for b, _, k, _ in asked if b < 0)
+            asked = [x for x in asked if x[0] >= 0]
+            histogram, out, kept = np.zeros(MOST_DISCOUNTED + 4, np.int64), [], np.zeros(0, np.uint64)
+            histogram[1] = histogram[-2] = histogram[-1] = single
+            if asked:
+                keys, first, inverse = np.unique(np.concatenate([x[2] for x in asked]), return_index=True, return_inverse=True)
+                totals = np.bincount(inverse, np.concatenate([x[3] for x in asked]), len(keys)).astype(np.int64)
                 low = np.bincount(totals[totals <= MOST_DISCOUNTED + 1], minlength=MOST_DISCOUNTED + 2)
                 histogram[1 : MOST_DISCOUNTED + 2] += low[1:]
                 histogram[-2] += int((totals > 0).sum())
                 histogram[-1] += int(totals.sum())
-                kept, at = totals >= least, 0
-                is_first = np.zeros(len(inverse), bool)
-                is_first[first] = True
-                for block, bucket, k, _ in lists:
-                    here = inverse[at : at + len(k)]
-                    good = kept[here]
-                    if good.any():
-                        out.append((block, bucket, k[good].astype(np.int64), totals[here[good]] * 2 + is_first[at : at + len(k)][good]))
+                marked = np.where(totals >= least, totals, 0)[inverse] * 2
+                marked[first] += marked[first] > 0
+                at = 0
+                for block, bucket, k, _ in asked:
+                    out.append((block, bucket, [], marked[at : at + len(k)]))
                     at += len(k)
+                if keep:
+                    kept = keys[totals >= least].astype(np.int64)
+                    out.append((-2, table["bucket"][0].as_py(), kept, totals[totals >= least]))
             out.append((-1, table["bucket"][0].as_py(), [], histogram))
-            return _rows(_CHUNK, out)
+            return _rows(_ANSWER, out)
 
-        asked = self._with_answers(ask, _CHUNK, [n - 1] if n > 1 else [])
-        asked.groupBy("bucket").applyInArrow(answer, _CHUNK).write.parquet(f"{self.folder}/order={n}")
-        rows = self.spark.read.parquet(f"{self.folder}/order={n}").filter("block < 0").select(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(MOST_DISCOUNTED + 4))).first()
+        asked = self._with_answers(ask, _ASK, list(range(1, n)), list(range(1, n - 1)))
+        asked.groupBy("bucket").applyInArrow(answer, _ANSWER).write.parquet(f"{self.folder}/order={n}")
+        rows = self.spark.read.parquet(f"{self.folder}/order={n}").filter("block = -1").select(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(MOST_DISCOUNTED + 4))).first()
         numbers = [int(x or 0) for x in rows]
         self.levels.append(Level(numbers[-1], numbers[-2], [0, *numbers[1 : MOST_DISCOUNTED + 2]]))
 
@@ -265,39 +302,27 @@ class KatzModel:
 
         def add(table: pa.Table, answers: pa.Table) -> pa.Table:
             block = Block(table, order)
-            view = _View(block, answers, levels, order)
-            at = view.found[order - 1]
-            places = np.flatnonzero(at >= 0)
-            mine = at[places]
-            first = np.unique(mine, return_index=True)[1]
-            places, mine = places[first], mine[first]
-            reported = (view.answers[order - 1].columns["counts"][mine] & 1) == 1
-            places = places[reported]
-            high = view.high(order, places)
-            low = view.model(order - 1, places)
-            history, inverse = np.unique(block.keys[order - 2][places - 1], return_inverse=True)
-            a, b = (np.bincount(inverse, x, len(history)) for x in (high, low))
-            return _rows(_SUMS, [(k, history[i:j].astype(np.int64), a[i:j], b[i:j]) for k, i, j in _ranges(history, buckets)])
-
-        def total(sums: pa.Table, askers: pa.Table) -> pa.Table:
-            schema = "block long, " + _SUMS
-            if not sums.num_rows or not askers.num_rows:
-                return _rows(schema, [])
-            keys, inverse = np.unique(np.concatenate([k.values.to_numpy().astype(np.uint64) for k in sums["keys"]]), return_inverse=True)
-            high, low = (np.bincount(inverse, np.concatenate([x.values.to_numpy() for x in sums[c]]), len(keys)) for c in ("high", "low"))
-            out = []
-            for block, bucket, k in zip(askers["block"].to_pylist(), askers["bucket"].to_pylist(), askers["keys"], strict=True):
-                k = k.values.to_numpy().astype(np.uint64)
-                at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                good = keys[at] == k
-                if good.any():
-                    out.append((block, bucket, k[good].astype(np.int64), high[at[good]], low[at[good]]))
-            return _rows(schema, out)
+            view = View(block, answers, levels, order, order - 2)
+            history, inverse, where = view.histories(order - 1)
+            index = np.zeros(len(block.place), np.int64)
+            index[where] = inverse
+            # the first place of each n-gram that this block reports
+            mine = np.flatnonzero(view.count[order - 1] & 1)
+            mine = mine[np.unique(block.keys[order - 1][mine], return_index=True)[1]]
+            a, b = (np.bincount(index[mine - 1], x, len(history)) for x in (view.high(order, mine), view.model(order - 1, mine)))
+            me = table["block"][0].as_py()
+            return _rows(_SUMS, [(me, k, history[i:j].astype(np.int64), a[i:j], b[i:j]) for k, i, j in _ranges(history, buckets)])
+
+        def total(table: pa.Table) -> pa.Table:
+            lists = [k.values.to_numpy().astype(np.uint64) for k in table["keys"]]
+            keys, inverse = np.unique(np.concatenate(lists), return_inverse=True)
+            sums = [np.bincount(inverse, np.concatenate([x.values.to_numpy() for x in table[c]]), len(keys))[inverse] for c in ("high", "low")]
+            edges = np.cumsum([0, *map(len, lists)])
+            rows = zip(table["block"].to_pylist(), table["bucket"].to_pylist(), edges[:-1], edges[1:], strict=True)
+            return _rows(_SUMS, [(block, bucket, [], sums[0][i:j], sums[1][i:j]) for block, bucket, i, j in rows])
 
         sums = self._with_answers(add, _SUMS, list(range(1, n + 1)), list(range(1, n - 1)))
-        askers = self.spark.read.parquet(f"{self.folder}/order={n - 1}").filter("block >= 0").select("block", "bucket", "keys")
-        joined = sums.groupBy("bucket").cogroup(askers.groupBy("bucket")).applyInArrow(total, "block long, " + _SUMS)
-        joined.write.parquet(f"{self.folder}/sums={n - 1}")
+        sums.groupBy("bucket").applyInArrow(total, _SUMS).write.parquet(f"{self.folder}/sums={n - 1}")
 
     def scores(self, id_column: str) -> DataFrame:
         """One row for each document: id, train, tokens, known tokens, unigram base score, score."""
@@ -307,7 +332,7 @@ class KatzModel:
 
         def score(table: pa.Table, answers: pa.Table) -> pa.Table:
             block = Block(table, order)
-            view = _View(block, answers, levels, order)
+            view = View(block, answers, levels, order, order - 1)
             every = np.arange(len(block.place))
             logs = np.log10(view.model(order, every))
             counts = view.counts(1, every)
@@ -322,51 +347,6 @@ class KatzModel:
         return self._with_answers(score, schema, list(range(1, order + 1)), list(range(1, order)))
 
 
-class _View:
-    """What a block knows of the model."""
-
-    def __init__(self, block: Block, answers: pa.Table, levels: list[Level], order: int):
-        self.block, self.levels = block, levels
-        self.answers = [Answers(answers, n, ("counts",)) for n in range(1, order + 1)]
-        self.sums = [Answers(answers, -n, ("high", "low")) for n in range(1, order)]
-        self.found = [np.where(block.has(n), a.find(block.keys[n - 1]), -1) for n, a in enumerate(self.answers, 1)]
-        self.summed = [s.find(block.keys[n - 1]) for n, s in enumerate(self.sums, 1)]
-
-    def counts(self, n: int, places: np.ndarray) -> np.ndarray:
-        """Training counts of the n-grams that end at places; 0 where not in the model."""
-        at = self.found[n - 1][places]
-        if not len(self.answers[n - 1].keys):
-            return np.zeros(len(places), np.int64)
-        return np.where(at >= 0, self.answers[n - 1].columns["counts"][np.maximum(at, 0)] >> 1, 0)
-
-    def high(self, n: int, places: np.ndarray) -> np.ndarray:
-        """d(c) c / c(h) of n-grams in the model."""
-        return self.levels[n - 1].discounted(self.counts(n, places)) / np.maximum(self.counts(n - 1, places - 1), 1)
-
-    def history(self, n: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The scale and the backoff weight of the histories of n - 1 tokens before places."""
-        at = self.summed[n - 2][places - 1]
-        if not len(self.sums[n - 2].keys):
-            return np.ones(len(places)), np.ones(len(places))
-        known = at >= 0
-        high, low = (np.where(known, self.sums[n - 2].columns[c][np.maximum(at, 0)], 0.0) for c in ("high", "low"))
-        return weights(high, low, self.counts(n - 1, places - 1))
-
-    def model(self, n: int, places: np.ndarray) -> np.ndarray:
-        """The probability of the token at each place after up to n - 1 tokens."""
-        if n == 1:
-            whole, unknown = self.levels[0].unigrams()
-            counts = self.counts(1, places)
-            return np.where(counts > 0, self.levels[0].discounted(counts) / whole, unknown)
-        out = self.model(n - 1, places)
-        with_history = np.flatnonzero((places > 0) & self.block.has(n)[places])
-        at = places[with_history]
-        scale, backoff = self.history(n, at)
-        inside = self.found[n - 1][at] >= 0
-        out[with_history] = np.where(inside, scale * self.high(n, at), backoff * out[with_history])
-        return out
-
-
 def weights(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scale and backoff weight of histories from the two sums over what follows them."""
     scale = np.where(high < 1 - 1e-9, 1.0, counts / (counts + 1.0))
@@ -379,12 +359,16 @@ def train_share(id_column: str = "doc_id") -> Column:
 
 
 def katz_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", order: int = 2, least: int = 2) -> DataFrame:
-    """Scores all documents by a model of those for which ``train`` is true."""
+    """Scores all documents by a model of those for which ``train`` is true. The tables go when the scores are written;
+    to keep them, use KatzModel."""
     model = KatzModel(docs, train, id_column, text_column, order, least)
     model.count(1)
+    release(model.spark)
     for n in range(2, order + 1):
         model.count(n)
+        release(model.spark)
         model.weigh(n)
+        release(model.spark)
     out = checkpointed(model.scores(id_column))
     model.drop()
     return out
