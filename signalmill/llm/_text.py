@@ -122,6 +122,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches to 8 MB for this session: texts are long, and a task holds a batch on both sides several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps, which it does when the driver's garbage is collected."""
+    import gc
+
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(frame: DataFrame) -> int:
     """How many partitions this session shuffles into."""
     return max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
