@@ -27,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Characters whose pre-tokens are merged at once.
-CHUNK_CHARS = 24_000_000
+from ._text import buffers, row_chunks
+
+#: Bytes of text whose pre-tokens are merged at once; a longer text is taken alone.
+CHUNK_BYTES = 4 << 20
+#: Tokens that go out in one batch.
+OUT_TOKENS = 1_000_000
 #: Pre-tokens that a worker remembers; beyond, it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 250_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -49,7 +53,7 @@ class Merges:
         self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), (), ())))
         keys = left * self.size + right
@@ -79,7 +83,7 @@ class Merges:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = self._slot(keys)
         found = self.slot_keys[at]
         out = np.where(found == keys, self.slot_values[at], -1)
@@ -144,21 +148,21 @@ class RankQueue:
         return rank, held[0] if len(held) == 1 else np.sort(np.concatenate(held), kind="stable")
 
 
-def encode_words(words: list[bytes], merges: Merges) -> list[list[int]]:
-    """The token ids of each pre-token."""
+def encode_words(words: list[bytes], merges: Merges) -> list[bytes]:
+    """The token ids of each pre-token, as 32-bit integers in a row."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     total = int(lengths.sum())
     if not total:
-        return [[] for _ in words]
+        return [b"" for _ in words]
     symbol = merges.byte[np.frombuffer(b"".join(words), np.uint8)]
     ends = np.cumsum(lengths)
-    after = np.arange(1, total + 1)
-    before = np.arange(-1, total - 1)
+    after = np.arange(1, total + 1, dtype=np.int32)
+    before = np.arange(-1, total - 1, dtype=np.int32)
     filled = lengths > 0
     after[ends[filled] - 1] = -1
     before[(ends - lengths)[filled]] = -1
-    owner = np.repeat(np.arange(len(words)), lengths)
-    rank = np.full(total, -1, np.int64)  # of the pair that begins at each place
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    rank = np.full(total, -1, np.int32)  # of the pair that begins at each place
     inner = np.flatnonzero(after >= 0)
     rank[inner] = merges.pair_ranks(symbol[inner], symbol[after[inner]])
     queue = RankQueue(merges.size)
@@ -202,8 +206,8 @@ def encode_words(words: list[bytes], merges: Merges) -> list[list[int]]:
             rank[starts] = new
             good = new >= 0
             queue.push(new[good], starts[good])
-    ids, counts = symbol[alive].tolist(), np.bincount(owner[alive], minlength=len(words))
-    edges = np.concatenate(([0], np.cumsum(counts))).tolist()
+    ids, counts = symbol[alive].tobytes(), np.bincount(owner[alive], minlength=len(words))
+    edges = np.concatenate(([0], np.cumsum(counts) * 4)).tolist()
     return [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -215,18 +219,12 @@ class Encoder:
 
         self.split = regex.compile(pattern).findall
         self.merges = Merges(ranks)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        i = 0
-        while i < len(texts):
-            j, held = i, 0
-            while j < len(texts) and (j == i or held + len(texts[j] or "") <= CHUNK_CHARS):
-                held += len(texts[j] or "")
-                j += 1
-            yield from self._chunk(texts[i:j])
-            i = j
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column."""
+        for i, j in row_chunks(buffers(column)[1], CHUNK_BYTES):
+            yield from self._chunk(column.slice(i, j - i).to_pylist())
 
     def _chunk(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
@@ -243,8 +241,8 @@ class Encoder:
         for w, ids in zip(new, encode_words([w.encode("utf-8", "replace") for w in new], self.merges), strict=True):
             known[w] = ids
         found = [known[w] for w in place]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(found) else np.zeros(0, np.int64)
         for row in rows:
             n = lengths[row]
@@ -266,7 +264,7 @@ def token_digests(docs: DataFrame, vocabulary_path: str, pattern: str, id_column
         encoder = _worker_encoder(vocabulary)
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
-            for ids in encoder.encode(batch.column(1).to_pylist()):
+            for ids in encoder.encode(batch.column(1)):
                 counts.append(len(ids))
                 ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
@@ -285,10 +283,16 @@ def with_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, text_column
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker_encoder(vocabulary)
         for batch in batches:
-            ids = list(encoder.encode(batch.column(place).cast(pa.string()).to_pylist()))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=schema.names)
+            ids: list[np.ndarray] = []
+            done = held = 0
+            for k, one in enumerate(encoder.encode(batch.column(place).cast(pa.string())), 1):
+                ids.append(one)
+                held += len(one)
+                if held > OUT_TOKENS or k == batch.num_rows:
+                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(done, len(ids)).columns, lists], names=schema.names)
+                    ids, done, held = [], k, 0
 
     return docs.mapInArrow(encode, schema)
 
