@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm._text import ensure_checkpoint_dir
+from signalmill.llm._text import ensure_checkpoint_dir, small_batches
 from signalmill.llm.byte_bpe import with_tokens
 from signalmill.llm.decontaminate import drop_leaks
 from signalmill.llm.jaccard_join import keep_first
@@ -15,26 +15,31 @@ from signalmill.llm.quality_rules import keep_good
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     return keep_good(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    small_batches(spark)
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with personal data replaced by the name of its kind."""
+    small_batches(spark)
     return redact(docs, train(docs))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, which decode to their texts."""
+    small_batches(spark)
     encoded = with_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return encoded.selectExpr("doc_id", "lang", "source", "n_chars", "CAST(size(token_ids) AS BIGINT) AS n_tokens", "token_ids")
 
