@@ -3,8 +3,9 @@
 Tokens of a page are its elements, each known by its path of tags and classes, and its short texts with the path they stand in.
 Over all pages of a host each token has an occurrence vector: how often it stands in each page. Tokens that share the vector form an
 equivalence class; a class that enough pages hold is valid and belongs to the host's template, and classes nest as their paths do.
-What the template leaves open are slots. The main slot is the deepest container of the template that holds most of the host's open text;
-its texts are extracted, without nested menus, forms and the like, and without short texts that the template holds in nearly all pages.
+What the template leaves open are slots. The main slot is the lowest common container of the host's open text, so that none is left
+outside; its texts are extracted, without nested menus, forms and the like, and without short texts that the template holds in nearly all
+pages. Links count as open text in headings only; a page that has open text elsewhere takes its own lowest common container.
 
 Vectors are never gathered: each task adds up its pages, and a vector is known by the exclusive or of hashes of (page, count), with the
 count of pages and of occurrences. Only frequent tokens of a host come together, at most as many as 1 / share pages hold. Host tables are
@@ -39,6 +40,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINER = frozenset("article body center div form html main section table tbody td tr".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("br body html head title option".split())
 ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 NEVER = frozenset("head nav aside footer form script style noscript iframe svg canvas template object button select textarea input menu dialog title".split())
@@ -55,11 +57,10 @@ _SPLIT = re.compile(r"[^a-z]+")
 @dataclass(frozen=True)
 class TemplateOptions:
     """least_pages: pages that a host's template is deduced from at least. share: of the host's pages that a valid class needs.
-    main_share: of the open text that the main container holds. fixed_share: of pages that a short text of the template stands in."""
+    fixed_share: of pages that a short text of the template stands in."""
 
     least_pages: int = 5
     share: float = 0.5
-    main_share: float = 0.6
     fixed_share: float = 0.95
     short_text: int = 60
     broadcast_rows: int = 100_000
@@ -71,7 +72,7 @@ class Page:
     def __init__(self, source: str):
         self.paths: list[str] = []
         self.texts: list[tuple[str, str, int, bool, bool]] = []
-        # (tag, path, whether text in it is open for extraction, whether in a link)
+        # (tag, path, whether text in it is open for extraction, whether in a link that is no heading)
         stack: list[tuple[str, str, bool, bool]] = [("", "", True, False)]
         at, block = 0, 0
         while at < len(source):
@@ -106,7 +107,8 @@ class Page:
                 shut = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(source, at)
                 at = shut.end() if shut else len(source)
             elif tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, path, good and not bad, link or tag == "a"))
+                heading = tag in HEADING or any(s[0] in HEADING for s in stack)
+                stack.append((tag, path, good and not bad, (link or tag == "a") and not heading))
 
     @staticmethod
     def _close(stack: list, tags: tuple[str, ...]) -> None:
@@ -167,17 +169,17 @@ def page_tokens(page: Page, short: int) -> tuple[dict[str, int], dict[str, int]]
     return counts, mass
 
 
-def main_container(mass: dict[str, int], share: float) -> str:
-    """The deepest container that holds the share of the open text."""
-    fits = [c for c, n in mass.items() if n >= share * mass[""]]
-    return max(fits, key=lambda c: (c.count("/"), mass[c], c)) if mass[""] else ""
+def main_container(mass: dict[str, int]) -> str:
+    """The lowest common container of the open text."""
+    fits = [c for c, n in mass.items() if n == mass[""]]
+    return max(fits, key=lambda c: (c.count("/"), c)) if mass[""] else ""
 
 
 def extract(page: Page, main: str | None, fixed: frozenset, options: TemplateOptions) -> str:
     """The text of the page's main slot."""
     inside = f"{main}/"
-    if main is None or (main and main not in page.paths):
-        inside = f"{main_container(page_tokens(page, 0)[1], options.main_share)}/"
+    if main is None or (main and main not in page.paths) or any(good and not link and not text.isspace() and not (path + "/").startswith(inside) for path, text, _, good, link in page.texts):
+        inside = f"{main_container(page_tokens(page, 0)[1])}/"
     blocks: list[list] = []
     for path, text, block, good, _ in page.texts:
         if good and (path + "/").startswith(inside):
@@ -242,8 +244,8 @@ def templates(pages: DataFrame, options: TemplateOptions) -> DataFrame:
 
 def host_slots(template: DataFrame, options: TemplateOptions) -> DataFrame:
     """(host, main, fixed): the main slot's container and the short texts that the template fixes."""
-    best = Window.partitionBy("host").orderBy(F.desc("depth"), F.desc("mass"), F.desc("token"))
-    holds = template.filter((F.col("mass") >= options.main_share * F.col("open")) & (F.col("mass") > 0) & ~F.col("token").contains("|"))
+    best = Window.partitionBy("host").orderBy(F.desc("depth"), F.desc("token"))
+    holds = template.filter((F.col("mass") == F.col("open")) & (F.col("mass") > 0) & ~F.col("token").contains("|"))
     main = holds.withColumn("n", F.row_number().over(best)).filter("n = 1").select("host", F.col("token").alias("main"))
     sure = template.filter(F.col("token").contains("|") & (F.col("class_size") > 1) & (F.col("host_pages") >= 2 * options.least_pages) & (F.col("pages") >= options.fixed_share * F.col("host_pages")))
     fixed = sure.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed"))

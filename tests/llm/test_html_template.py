@@ -68,3 +68,31 @@ def test_classes_against_brute_force(spark):
 def test_fixed_texts_go(spark):
     slots = H.host_slots(H.templates(spark.createDataFrame([("h", i, page(random.Random(i), 1)[0]) for i in range(30)], "host string, id long, html string"), H.TemplateOptions()), H.TemplateOptions()).collect()
     assert slots[0].main.endswith("div.story") and any(t.endswith("|Read more") for t in slots[0].fixed)
+
+
+def texts_of(spark, pages, host="http://one.example.org/"):
+    docs = spark.createDataFrame([(i, f"{host}{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text.split("\n") for r in H.main_texts(docs).collect()}
+
+
+def test_open_text_beside_the_largest_container_stays(spark):
+    rnd = random.Random(6)
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    pages, want = [], []
+    for i in range(24):
+        head, lead, body, cell = say(6), say(15), say(90), say(12)
+        if i % 3 == 0:
+            pages.append(f"<body><article><h1>{head}</h1><div class=lead>{lead}</div><div class=body><p>{body}</p></div></article></body>")
+            want.append([head, lead, body])
+        elif i % 3 == 1:  # a linked headline, split sections
+            pages.append(f"<body><article><h1><a href=x>{head}</a></h1><section class=a><p>{body}</p></section><section class=b>{lead}</section></article></body>")
+            want.append([head, body, lead])
+        else:
+            pages.append(f"<body><article><p>{lead}</p><table><tr><th>{head}</th><td>{body}</td></tr><tr><td>{cell}</td></tr></table></article></body>")
+            want.append([lead, head, body, cell])
+    for k in range(3):  # each kind as a host of its own, and all in one
+        assert texts_of(spark, pages[k::3]) == dict(enumerate(want[k::3]))
+    assert texts_of(spark, pages) == dict(enumerate(want))
+    assert texts_of(spark, pages[:2]) == dict(enumerate(want[:2]))
+    odd = ["<body><article><div class=body>a</div></article><div class=x>" + say(40) + "</div></body>"]
+    assert len(texts_of(spark, [*pages[::3], *odd])[8]) == 2
