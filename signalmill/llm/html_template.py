@@ -1,11 +1,14 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Tokens of a page are its elements, each known by its path of tags and classes, and its short texts with the path they stand in.
+Tokens of a page are its elements, each known by its path of tags and classes, and its texts with the path they stand in (long ones by
+a hash).
 Over all pages of a host each token has an occurrence vector: how often it stands in each page. Tokens that share the vector form an
 equivalence class; a class that enough pages hold is valid and belongs to the host's template, and classes nest as their paths do.
 What the template leaves open are slots. The main slot is the lowest common container of the host's open text, so that none is left
-outside; its texts are extracted, without nested menus, forms and the like, and without short texts that the template holds in nearly all
-pages. Links count as open text in headings only; a page that has open text elsewhere takes its own lowest common container.
+outside; its texts are extracted, without texts that the template holds in nearly all pages (long ones only where the template's texts are no more
+than half of the host's open text, so that copies of one page stay) and without nested menus, forms and the like. Those are known by lists
+of tags, roles and words of classes, which is all there is for hosts of few pages; an element that a list names is kept where it holds most
+of the page's text (see Page). Links count as open text in headings only; a page that has open text elsewhere takes its own lowest common container.
 
 Vectors are never gathered: each task adds up its pages, and a vector is known by the exclusive or of hashes of (page, count), with the
 count of pages and of occurrences. Only frequent tokens of a host come together, at most as many as 1 / share pages hold. Host tables are
@@ -43,7 +46,8 @@ CONTAINER = frozenset("article body center div form html main section table tbod
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("br body html head title option".split())
 ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-NEVER = frozenset("head nav aside footer form script style noscript iframe svg canvas template object button select textarea input menu dialog title".split())
+NEVER = frozenset("head script style noscript iframe svg canvas template object button select textarea input title".split())
+LISTED = frozenset("nav aside footer form menu dialog".split())
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -52,6 +56,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+# what a container has beside its text: has-sidebar, page-with-header
+_BESIDE = re.compile(r"(?<![a-z])(?:has|with|no|without|hide)[-_]+[a-z]+")
 
 
 @dataclass(frozen=True)
@@ -67,21 +73,28 @@ class TemplateOptions:
 
 
 class Page:
-    """The elements and texts of a page: ``paths`` of opened elements and ``texts`` (path, text, block, open, linked)."""
+    """The elements and texts of a page: ``paths`` of opened elements and ``texts`` (path, text, block, open, linked).
+
+    Texts in an element that a list names are not open, unless the element holds most of the page's text out of links: over ``MOST`` of it,
+    or over half where the listed word is only a part of a class, id or role (page-header), or the element is a form."""
+
+    MOST = 0.9
 
     def __init__(self, source: str):
         self.paths: list[str] = []
         self.texts: list[tuple[str, str, int, bool, bool]] = []
-        # (tag, path, whether text in it is open for extraction, whether in a link that is no heading)
-        stack: list[tuple[str, str, bool, bool]] = [("", "", True, False)]
+        found: list[tuple[str, str, int, tuple[int, ...] | None, bool]] = []
+        shares: list[float] = []  # that each listed element must exceed
+        # (tag, path, the listed elements around its text, None: never open; whether in a link that is no heading)
+        stack: list[tuple[str, str, tuple[int, ...] | None, bool]] = [("", "", (), False)]
         at, block = 0, 0
         while at < len(source):
             m = _TAG.search(source, at)
             # a lone < is text
             end = m.start() if m else len(source)
             if end > at:
-                _, path, good, link = stack[-1]
-                self.texts.append((path, source[at:end], block, good, link))
+                _, path, listed, link = stack[-1]
+                found.append((path, source[at:end], block, listed, link))
             if not m:
                 break
             at = m.end()
@@ -99,8 +112,13 @@ class Page:
             if tag in ITSELF:
                 self._close(stack, ITSELF[tag])
             block += tag in BLOCK
-            _, path, good, link = stack[-1]
-            name, bad = self._named(tag, m[3], stack)
+            _, path, listed, link = stack[-1]
+            name, share = self._named(tag, m[3], stack)
+            if share == 1:
+                listed = None
+            elif share and listed is not None:
+                listed = (*listed, len(shares))
+                shares.append(share)
             path = f"{path}/{name}"
             self.paths.append(path)
             if tag in RAW:
@@ -108,7 +126,18 @@ class Page:
                 at = shut.end() if shut else len(source)
             elif tag not in VOID and not m[3].endswith("/"):
                 heading = tag in HEADING or any(s[0] in HEADING for s in stack)
-                stack.append((tag, path, good and not bad, (link or tag == "a") and not heading))
+                stack.append((tag, path, listed, (link or tag == "a") and not heading))
+
+        sizes, total = [0] * len(shares), 0
+        if shares:
+            for _, text, _, listed, link in found:
+                if listed is not None and not link and not text.isspace():
+                    size = len(text) - text.count(" ")
+                    total += size
+                    for e in listed:
+                        sizes[e] += size
+        shut_out = {e for e, share in enumerate(shares) if sizes[e] <= share * total}
+        self.texts = [(path, text, block, listed is not None and shut_out.isdisjoint(listed), link) for path, text, block, listed, link in found]
 
     @staticmethod
     def _close(stack: list, tags: tuple[str, ...]) -> None:
@@ -120,23 +149,25 @@ class Page:
                 return
 
     @staticmethod
-    def _named(tag: str, attributes: str, stack: list) -> tuple[str, bool]:
-        """The element's name in paths, and whether it is never main text."""
-        bad, kind = tag in NEVER, ""
-        if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
-            bad = True
+    def _named(tag: str, attributes: str, stack: list) -> tuple[str, float]:
+        """The element's name in paths, and the share of the page's text that it must exceed to be open (0: any, 1: it never is)."""
+        share, kind = 0.0, ""
+        if tag in NEVER:
+            share = 1.0
+        elif tag in LISTED or (tag == "header" and not any(s[0] in ("article", "main") for s in stack)):
+            share = 0.5 if tag == "form" else Page.MOST
         if attributes:
             for m in _NAMES.finditer(attributes):
                 what, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if what == "hidden":
-                    bad = bad or attributes[: m.start()].count('"') % 2 == 0
+                    share = 1.0 if attributes[: m.start()].count('"') % 2 == 0 else share
                 elif what == "role":
-                    bad = bad or value.strip() in ROLES
-                elif tag not in ("html", "body", "article", "main"):
-                    bad = bad or not BOILERPLATE.isdisjoint(_SPLIT.split(value))
+                    share = max(share, Page.MOST) if value.strip() in ROLES else share
+                elif tag not in ("html", "body", "article", "main") and not BOILERPLATE.isdisjoint(_SPLIT.split(_BESIDE.sub(" ", value))):
+                    share = max(share, 0.5 if BOILERPLATE.isdisjoint(value.split()) else Page.MOST)
                 if what == "class":
                     kind = "." + ".".join(sorted(value.split()))
-        return tag + kind, bad
+        return tag + kind, share
 
 
 def containers(path: str) -> Iterator[str]:
@@ -148,8 +179,14 @@ def containers(path: str) -> Iterator[str]:
     yield path
 
 
+def text_token(path: str, text: str, short: int) -> str:
+    """A text's token: its path with the text, or with a hash of a long one."""
+    words = " ".join(text.split())
+    return f"{path}|{words}" if len(text) <= short else f"{path}|#{blake2b(words.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+
+
 def page_tokens(page: Page, short: int) -> tuple[dict[str, int], dict[str, int]]:
-    """How often each token stands in the page, and the open text (characters out of links) in each container."""
+    """How often each token stands in the page, and the open text (characters out of links) in each container and text."""
     counts: dict[str, int] = {"": 1}
     mass: dict[str, int] = {"": 0}
     for path in page.paths:
@@ -158,11 +195,11 @@ def page_tokens(page: Page, short: int) -> tuple[dict[str, int], dict[str, int]]
         size = len(text) - text.count(" ")
         if not size or text.isspace():
             continue
-        if len(text) <= short:
-            key = f"{path}|{' '.join(text.split())}"
-            counts[key] = counts.get(key, 0) + 1
+        key = text_token(path, text, short)
+        counts[key] = counts.get(key, 0) + 1
         if good and not link:
             mass[""] += size
+            mass[key] = mass.get(key, 0) + size
             for c in containers(path):
                 if re.split(r"[.]", c.rpartition("/")[2])[0] in CONTAINER:
                     mass[c] = mass.get(c, 0) + size
@@ -171,20 +208,20 @@ def page_tokens(page: Page, short: int) -> tuple[dict[str, int], dict[str, int]]
 
 def main_container(mass: dict[str, int]) -> str:
     """The lowest common container of the open text."""
-    fits = [c for c, n in mass.items() if n == mass[""]]
+    fits = [c for c, n in mass.items() if n == mass[""] and "|" not in c]
     return max(fits, key=lambda c: (c.count("/"), c)) if mass[""] else ""
 
 
 def extract(page: Page, main: str | None, fixed: frozenset, options: TemplateOptions) -> str:
     """The text of the page's main slot."""
+    if fixed:
+        page.texts = [(path, text, block, good and text_token(path, text, options.short_text) not in fixed, link) for path, text, block, good, link in page.texts]
     inside = f"{main}/"
     if main is None or (main and main not in page.paths) or any(good and not link and not text.isspace() and not (path + "/").startswith(inside) for path, text, _, good, link in page.texts):
         inside = f"{main_container(page_tokens(page, 0)[1])}/"
     blocks: list[list] = []
     for path, text, block, good, _ in page.texts:
         if good and (path + "/").startswith(inside):
-            if fixed and len(text) <= options.short_text and f"{path}|{' '.join(text.split())}" in fixed:
-                continue
             if not blocks or blocks[-1][0] != block:
                 blocks.append([block, []])
             blocks[-1][1].append(text)
@@ -236,20 +273,32 @@ def templates(pages: DataFrame, options: TemplateOptions) -> DataFrame:
     """The tokens of each host's template: (host, token, class, class_size, depth, pages, host_pages, mass, open)."""
     found = checkpointed(occurrences(pages, options))
     roots = found.filter("token = ''").select("host", F.col("pages").alias("host_pages"), F.col("mass").alias("open"))
-    frequent = found.filter("token <> ''").join(roots, "host").filter((F.col("host_pages") >= options.least_pages) & (F.col("pages") >= options.share * F.col("host_pages")))
+    several = found.filter("token <> ''").filter(F.col("pages") >= options.share * options.least_pages)
+    frequent = several.join(roots, "host").filter((F.col("host_pages") >= options.least_pages) & (F.col("pages") >= options.share * F.col("host_pages")))
     one = Window.partitionBy("host", "vector", "pages", "total")
     depth = F.length("token") - F.length(F.replace(F.col("token"), F.lit("/"), F.lit("")))
     return frequent.withColumns({"class": F.min("token").over(one), "class_size": F.count("*").over(one), "depth": depth}).select("host", "token", "class", "class_size", "depth", "pages", "host_pages", "mass", "open")
 
 
 def host_slots(template: DataFrame, options: TemplateOptions) -> DataFrame:
-    """(host, main, fixed): the main slot's container and the short texts that the template fixes."""
+    """(host, main, fixed): the main slot's container and the texts that the template fixes.
+
+    A text is fixed if nearly all pages hold it and its class holds another token, of elements or texts; its characters are no open text."""
+    text = F.col("token").contains("|")
+    sure = template.filter(text & (F.col("class_size") > 1) & (F.col("host_pages") >= 2 * options.least_pages) & (F.col("pages") >= options.fixed_share * F.col("host_pages")))
+    # a long text stands in the token as # and 16 digits
+    long = F.regexp_extract("token", r"(?s)^[^|]*\|(.*)$", 1).rlike("^#[0-9a-f]{16}$")
+    sums = sure.groupBy("host").agg(F.sum("mass").alias("fixed_mass"))
+    sure = sure.join(sums, "host").filter((2 * F.col("fixed_mass") <= F.col("open")) | ~long)
+    fixed = sure.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed"), F.sum("mass").alias("fixed_mass"))
+    # what the fixed texts take of each container's open text
+    steps = F.split(F.regexp_extract("token", r"(?s)^([^|]*)", 1), "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    taken = sure.filter("token LIKE '/%' AND mass > 0").select("host", "mass", F.explode(above).alias("token")).groupBy("host", "token").agg(F.sum("mass").alias("taken"))
     best = Window.partitionBy("host").orderBy(F.desc("depth"), F.desc("token"))
-    holds = template.filter((F.col("mass") == F.col("open")) & (F.col("mass") > 0) & ~F.col("token").contains("|"))
-    main = holds.withColumn("n", F.row_number().over(best)).filter("n = 1").select("host", F.col("token").alias("main"))
-    sure = template.filter(F.col("token").contains("|") & (F.col("class_size") > 1) & (F.col("host_pages") >= 2 * options.least_pages) & (F.col("pages") >= options.fixed_share * F.col("host_pages")))
-    fixed = sure.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed"))
-    return main.join(fixed, "host", "left")
+    rest = template.filter(~text & (F.col("mass") > 0)).join(fixed.select("host", "fixed_mass"), "host", "left").join(taken, ["host", "token"], "left").na.fill(0, ["fixed_mass", "taken"])
+    main = rest.filter((F.col("mass") - F.col("taken") == F.col("open") - F.col("fixed_mass")) & (F.col("mass") > F.col("taken"))).withColumn("n", F.row_number().over(best)).filter("n = 1").select("host", F.col("token").alias("main"))
+    return main.join(fixed.select("host", "fixed"), "host", "full")
 
 
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", options: TemplateOptions | None = None) -> DataFrame:

@@ -96,3 +96,24 @@ def test_open_text_beside_the_largest_container_stays(spark):
     assert texts_of(spark, pages[:2]) == dict(enumerate(want[:2]))
     odd = ["<body><article><div class=body>a</div></article><div class=x>" + say(40) + "</div></body>"]
     assert len(texts_of(spark, [*pages[::3], *odd])[8]) == 2
+
+
+def test_repeated_texts_of_any_length_and_name_go(spark):
+    rnd = random.Random(7)
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    notice, low = say(30), say(25)
+    bodies = [say(80 + i) for i in range(20)]
+    pages = [f"<body><div class=page><p>{notice}</p><div class=text><p>{b}</p></div></div><div class=low>{low}</div></body>" for b in bodies]
+    assert texts_of(spark, pages) == {i: [b] for i, b in enumerate(bodies)}
+    # copies of one page are no template
+    assert texts_of(spark, pages[:1] * 20) == {i: [notice, bodies[0], low] for i in range(20)}
+
+
+def test_listed_words_leave_the_container_of_the_text(spark):
+    rnd = random.Random(8)
+    body, side = (" ".join(rnd.choice(WORDS) for _ in range(n)) for n in (60, 20))
+    for kind in ('div class="content has-sidebar"', "div class=page-with-header", "div id=header-page", "form id=aspnet", "div class=sidebar"):
+        rest = "" if kind.endswith("=sidebar") else f"<div class=sidebar>{side}</div>"
+        assert texts_of(spark, [f"<body><{kind}><p>{body}</p>{rest}</{kind.split()[0]}></body>"]) == {0: [body]}, kind
+    page = f"<body><div class=story><p>{body}</p></div><div class=comment-list>{side}</div><form>{side}</form></body>"
+    assert texts_of(spark, [page]) == {0: [body]}
