@@ -2,7 +2,7 @@
 
 Texts are normalised: each letter or digit becomes one lower-case unit, anything else a space, and runs of
 spaces one. A passage of m units with at most e edits keeps at least m + 1 - q - q e of its
-q-grams, on diagonals (place in the document less place in the passage) that differ by e at most.
+q-grams (q is 8, or 5 where 8 leaves none), on diagonals (place in the document less place in the passage) that differ by e at most.
 So, for each document:
 
 1. the q-grams of the document are looked up among those of the benchmark;
@@ -14,7 +14,7 @@ The q-grams most frequent in the benchmark are left out of a passage's lookup, a
 nothing within the edit budget is lost. Passages over ``segment_chars`` units are searched by overlapping segments.
 The benchmark is broadcast in slices of bounded size; each slice is one more scan of the documents.
 
-Cases: null or empty texts match nothing; passages that are null or have fewer than q units match nothing; documents
+Cases: null or empty texts match nothing; passages that are null or have fewer than 8 units match nothing; documents
 of any length are read whole; repeated rows are searched one by one; empty tables give an empty
 result or leave all documents; other columns are ignored by ``find_leaks`` and passed through by
 ``drop_leaks``.
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Q = 8
+# for short passages whose bound is not positive with Q
+SHORT_Q = 5
 _SLOT_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,7 +44,7 @@ class LeakOptions:
     benchmark are not looked up, as far as half of a passage's bound allows. slice_chars: benchmark text that is broadcast at once."""
 
     edit_rate: float = 0.1
-    least_shared: int = 8
+    least_shared: int = 1
     frequent: int = 16
     segment_chars: int = 400
     slice_chars: int = 16_000_000
@@ -91,11 +93,16 @@ def grams(units: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_grams(units: np.ndarray) -> np.ndarray:
+    """Each run of five units as one number."""
+    return grams(np.concatenate((units, np.zeros(Q - SHORT_Q, np.uint8)))) & np.uint64((1 << 8 * SHORT_Q) - 1)
+
+
 class Passages:
     """Segments of benchmark passages and the lookup of their q-grams."""
 
     def __init__(self, items: list[tuple], options: LeakOptions):
-        self.items, self.units, self.edits, self.bounds = [], [], [], []
+        self.items, self.units, self.edits, self.bounds, self.short = [], [], [], [], False
         owners, places, keys = [], [], []
         for key, text in items:
             units = normalised([text])[0][1:-1]
@@ -104,12 +111,15 @@ class Passages:
                 if len(segment) < Q:
                     continue
                 m = len(segment)
-                e = max(0, min(int(options.edit_rate * m), (m + 1 - Q - options.least_shared) // Q))
+                e = int(options.edit_rate * m)
+                q = Q if m + 1 - Q - Q * e >= options.least_shared else SHORT_Q
+                e = max(0, min(e, (m + 1 - q - options.least_shared) // q))
+                self.short |= q < Q
                 self.items.append(key)
                 self.units.append(segment)
                 self.edits.append(e)
-                self.bounds.append(max(1, m + 1 - Q - Q * e))
-                keys.append(grams(segment))
+                self.bounds.append(max(1, m + 1 - q - q * e))
+                keys.append(grams(segment) if q == Q else short_grams(segment))
                 places.append(np.arange(len(keys[-1])))
                 owners.append(np.full(len(keys[-1]), len(self.items) - 1))
         self.lengths = np.array([len(u) for u in self.units], np.int64)
@@ -148,6 +158,10 @@ class Passages:
         found = grams(units)
         at = np.flatnonzero(self.slots[self._slot(found)])
         found = found[at]
+        if self.short:
+            less = short_grams(units)
+            there = np.flatnonzero(self.slots[self._slot(less)])
+            at, found = np.concatenate((at, there)), np.concatenate((found, less[there]))
         key = np.searchsorted(self.keys, found)
         same = self.keys[np.minimum(key, len(self.keys) - 1)] == found
         at, key = at[same], key[same]

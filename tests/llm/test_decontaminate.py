@@ -107,3 +107,23 @@ def test_alignment_against_the_full_table():
         least = least_edits(p, t)
         got = D.banded_alignment(np.frombuffer(p, np.uint8), np.frombuffer(t, np.uint8), 0, len(t), 6)
         assert (got[0] if got else None) == (least if least <= 6 else None), (p, t)
+
+
+def test_short_passages_have_the_tenth_of_edits():
+    rnd = random.Random(12)
+    for m in range(10, 101):
+        body = "".join(rnd.choice("abcdefghijkl") for _ in range(m))
+        passages = D.Passages([(1, body)], D.LeakOptions())
+        assert passages.edits.tolist() == [m // 10], m
+        e = m // 10
+        for k in range(e + 1):  # edits spread evenly leave the fewest q-grams
+            t = list(body)
+            for i in range(k):
+                t[(2 * i + 1) * m // (2 * k)] = "z"
+            for text in (f"{''.join(t)}", f"before {''.join(t)} after"):
+                (leaks,) = D.find_in_texts([text], passages)
+                assert leaks and leaks[0][3] == k, (m, k)
+        far = list(body)
+        for i in range(e + 1):
+            far[(2 * i + 1) * m // (2 * e + 2)] = "z"
+        assert D.find_in_texts(["".join(far)], passages) == [[]] or least_edits(norm(body), norm("".join(far))) <= e
