@@ -7,6 +7,8 @@ of a table share one with a chance of about n^2 / 2^65.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +124,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+class Scratch:
+    """Intermediate tables of one job in the shared checkpoint folder; ``drop`` removes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """The frame, computed once and read from its table."""
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name like this one that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Limits Arrow batches to 8 MB for this session: texts are long, and a task holds a batch on both sides several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

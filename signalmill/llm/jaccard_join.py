@@ -18,10 +18,10 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a b
    return a spanning forest of the links, never all pairs; no pair that could join two components is skipped.
 5. Connected components of the forests, by repeated contraction to the smallest neighbour.
 
-Cases: null or blank texts have an empty set and link with nothing, not even each other; rows with
-the same id are one document (their component is shared); a null id gets a null component and links with nothing; very long
+Cases: null or blank texts have an empty set and link with nothing, not even each other; rows that share an id are
+each judged by their own text; a null id gets a null component and gives its id to none; very long
 texts are read whole; an empty table gives an empty result; other columns are ignored or, in
-``keep_first``, passed through.
+``keep_first``, passed through, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import buffers, checkpointed, mix, partitions, row_chunks, shingle_hashes, word_hashes
+from ._text import Scratch, buffers, checkpointed, mix, partitions, row_chunks, shingle_hashes, unused, word_hashes
 
 #: Counters of words, as a power of 2; the broadcast table holds 8 bytes for each.
 SKETCH_BITS = 19
@@ -46,6 +46,8 @@ SHARED_PERCENT = 4
 LIST_ROWS = 65_536
 #: Shingles of a group that one task holds; larger groups go in blocks.
 BLOCK_SHINGLES = 400_000
+#: Hubs of groups over a block that are broadcast at most.
+BROADCAST_HUBS = 500_000
 
 
 def _words(column: pa.Array) -> Iterator[np.ndarray]:
@@ -83,22 +85,16 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 class _Forest:
-    """Union-find over the sets of a group; keeps the links that joined two trees."""
+    """The trees that the sets of a group are joined in so far, by one label for each set; keeps the links that joined two trees."""
 
     def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
+        self.tree, self.links = np.arange(n), []
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((i, j))
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Links set i with others, none of them in its tree; one link for each tree is kept."""
+        trees, first = np.unique(self.tree[others], return_index=True)
+        self.links += [(i, int(j)) for j in others[first]]
+        self.tree[np.isin(self.tree, trees)] = self.tree[i]
 
 
 class InvertedLists:
@@ -114,8 +110,8 @@ class InvertedLists:
         self.keys, self.starts = np.unique(every[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(every))
 
-    def search(self, query: np.ndarray, percent: int, skip: np.ndarray | None = None) -> np.ndarray:
-        """Places of the sets that share the least overlap with the query. skip: places that need no answer."""
+    def search(self, query: np.ndarray, percent: int, tree: np.ndarray | None = None, own: int = -1) -> np.ndarray:
+        """Places of the sets that share the least overlap with the query; not those whose tree is the query's own."""
         n = len(query)
         if n == 0 or len(self.keys) == 0:
             return np.zeros(0, np.int64)
@@ -134,8 +130,8 @@ class InvertedLists:
         found, counts = np.unique(merged, return_counts=True)
         need = np.maximum(t, -(-percent * (n + self.sizes[found]) // (100 + percent)))
         fits = (100 * np.minimum(n, self.sizes[found]) >= percent * np.maximum(n, self.sizes[found])) & (counts >= need - long)
-        if skip is not None:
-            fits &= ~skip[found]
+        if tree is not None:
+            fits &= tree[found] != own
         found, counts, need = found[fits], counts[fits], need[fits]
         # probe the long lists by binary search, while the candidate can still reach the overlap
         for left, i in zip(range(long - 1, -1, -1), at[len(at) - long :], strict=True):
@@ -157,11 +153,11 @@ def link_group(sets: list[np.ndarray], queries: list[int], percent: int, forest:
     """
     lists = InvertedLists(sets)
     for q in queries:
-        root = forest.root(q)
-        if base is None or q == base or root != forest.root(base):
-            same = np.fromiter((forest.root(i) == root for i in range(len(sets))), bool, len(sets))
-            for i in lists.search(sets[q], percent, same):
-                forest.join(q, int(i))
+        own = int(forest.tree[q])
+        if base is None or q == base or own != forest.tree[base]:
+            found = lists.search(sets[q], percent, forest.tree, own)
+            if len(found):
+                forest.join(q, found)
 
 
 # ---- the distributed join
@@ -259,11 +255,11 @@ def _postings(rows: DataFrame, k: int, percent: int, rarity) -> DataFrame:
     return rows.mapInArrow(post, "x long, salt int, salts int, node long, n long")
 
 
-def _groups(postings: DataFrame, percent: int) -> DataFrame:
+def _groups(postings: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(hub, node, n): the sets that meet."""
     one = Window.partitionBy("x", "salt")
     local = postings.withColumns({"low": F.min("node").over(one), "high": F.max("node").over(one)})
-    local = checkpointed(local.filter((F.col("salts") > 1) | (F.col("low") < F.col("high"))))
+    local = scratch.keep(local.filter((F.col("salts") > 1) | (F.col("low") < F.col("high"))))
     light = local.filter("salts = 1").select(F.col("low").alias("hub"), "node", "n")
     heavy = local.filter("salts > 1")
     tops = heavy.groupBy("x").agg(F.min("low").alias("hub"), F.max("high").alias("top")).filter("hub < top")
@@ -327,44 +323,56 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
         yield now, held
 
 
-def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _members(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, pivot, blocks, node, shingles). blocks: how many tasks share a group of over BLOCK_SHINGLES; its pivot is its smallest node.
+
+    Groups of one block are left as they are, so that only the few large hubs are joined: one for each BLOCK_SHINGLES shingles
+    at most, broadcast up to ``BROADCAST_HUBS`` of them."""
+    size = F.ceil(F.col("shingles_in_all") / BLOCK_SHINGLES).cast("int")
+    large = groups.groupBy("hub").agg(F.sum("n").alias("shingles_in_all"), F.min("node").alias("pivot")).withColumn("blocks", size)
+    large = large.filter("blocks > 1").select("hub", "pivot", "blocks")
+    if large.count() <= BROADCAST_HUBS:
+        large = F.broadcast(large)
+    groups = groups.join(large, "hub", "left").na.fill(1, ["blocks"])
+    return groups.select("hub", "pivot", "blocks", "node").join(sets, "node").select("hub", "pivot", "blocks", "node", "shingles")
+
+
+def _links(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): links between sets, a spanning forest of each group."""
-    sizes = groups.groupBy("hub").agg(F.sum("n").alias("shingles_in_all"), F.min("node").alias("pivot"), F.count("*").alias("sets")).filter("sets > 1")
-    groups = groups.join(sizes, "hub").select("hub", "pivot", "node", F.ceil(F.col("shingles_in_all") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = groups.join(sets, "node").select("hub", "pivot", "blocks", "node", "shingles")
-    tasks = partitions(groups)
+    tasks = partitions(members)
     own = F.pmod(F.hash("node"), F.col("blocks"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def dealt(frame: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
-        return frame.repartition(tasks, *keys).sortWithinPartitions(*keys).select(*keys, *rest, "shingles")
+        return frame.repartition(tasks, *keys).sortWithinPartitions(*keys, "node").select(*keys, *rest, "shingles")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (hub, _, blocks), rows in _by_group(batches, 3):
-            rows.sort(key=lambda r: r[0] != r[1])
-            nodes, forest = [r[1] for r in rows], _Forest(len(rows))
-            whole = blocks == 1
-            link_group([r[2] for r in rows], range(len(rows)) if whole else [0], percent, forest, 0)
+            if len(rows) < 2:
+                continue
+            nodes, forest, whole = [r[1] for r in rows], _Forest(len(rows)), blocks == 1
+            # the pivot goes first
+            base = 0 if whole else next(i for i, r in enumerate(rows) if r[0] == r[1])
+            link_group([r[2] for r in rows], range(len(rows)) if whole else [base], percent, forest, base)
             a, b = [nodes[i] for i, _ in forest.links], [nodes[j] for _, j in forest.links]
             if not whole:
-                left = [n for i, n in enumerate(nodes) if forest.root(i) != forest.root(0)]
+                left = [nodes[i] for i in np.flatnonzero(forest.tree != forest.tree[base])]
                 a, b = a + [hub] * len(left), b + left
             done = [True] * len(forest.links) + [False] * (len(a) - len(forest.links))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(done, pa.bool_())], names=["a", "b", "linked"])
 
-    # the pivot, in most groups the hub itself, goes to every block
+    # the pivot of a large group goes to every block
     placed = members.withColumn("block", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array(own))))
-    tried = checkpointed(dealt(placed, ["hub", "block", "blocks"], ["pivot", "node"]).mapInArrow(first, "a long, b long, linked boolean"))
+    tried = scratch.keep(dealt(placed, ["hub", "block", "blocks"], ["pivot", "node"]).mapInArrow(first, "a long, b long, linked boolean"))
     links = tried.filter("linked").select("a", "b")
     open_ = tried.filter("NOT linked").select(F.col("a").alias("hub"), F.col("b").alias("node"))
-    if open_.isEmpty():
-        return links
 
     # what did not link with the pivot of a large group, against all its blocks
-    asked = members.join(open_, ["hub", "node"], "left_semi")
+    large = members.filter("blocks > 1")
+    asked = large.join(open_, ["hub", "node"], "left_semi")
     query_blocks = asked.groupBy("hub").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).cast("int").alias("query_blocks"))
     queries = asked.join(query_blocks, "hub").withColumns({"turn": F.pmod(F.xxhash64("node"), F.col("query_blocks")).cast("int"), "asks": F.lit(1)}).withColumn("block", F.explode(every))
-    answers = members.filter("blocks > 1").join(query_blocks, "hub").join(open_.withColumn("apart", F.lit(True)), ["hub", "node"], "left")
+    answers = large.join(query_blocks, "hub").join(open_.withColumn("apart", F.lit(True)), ["hub", "node"], "left")
     answers = answers.withColumns({"block": own, "asks": F.when(F.col("apart"), 2).otherwise(0)}).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
     columns = ["hub", "block", "turn", "asks", "node", "shingles"]
 
@@ -372,32 +380,30 @@ def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for _, rows in _by_group(batches, 3):
             rows.sort(key=lambda r: r[0])
             nodes, forest = [r[1] for r in rows], _Forest(len(rows))
-            joined = [i for i, r in enumerate(rows) if r[0] == 0]
-            for i in joined[1:]:
-                forest.join(joined[0], i)
-            known = len(forest.links)
-            link_group([r[2] for r in rows], [i for i, r in enumerate(rows) if r[0] == 1], percent, forest, joined[0] if joined else None)
-            new = forest.links[known:]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in new], pa.int64()), pa.array([nodes[j] for _, j in new], pa.int64())], names=["a", "b"])
+            joined = sum(r[0] == 0 for r in rows)
+            forest.tree[:joined] = 0  # with the pivot already
+            link_group([r[2] for r in rows], [i for i, r in enumerate(rows) if r[0] == 1], percent, forest, 0 if joined else None)
+            a, b = [nodes[i] for i, _ in forest.links], [nodes[j] for _, j in forest.links]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     more = dealt(queries.select(columns).union(answers.select(columns)), ["hub", "block", "turn"], ["asks", "node"]).mapInArrow(second, "a long, b long")
     return links.union(more.filter("a <> b"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is one number for each component.
 
     Each round maps every node to the smallest of itself and its neighbours and keeps the edges
     between the images; a path shrinks by more than half, a star in one round.
     """
-    edges = checkpointed(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = scratch.keep(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps = []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        step = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        step = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
         steps.append(step)
         moved = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("u")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("v")), "b")
-        edges = checkpointed(moved.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+        edges = scratch.keep(moved.filter("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return reduce(_follow, steps[1:], steps[0].withColumnRenamed("to", "root"))
@@ -408,30 +414,63 @@ def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:
     return moved.select("node", F.coalesce("to", "root").alias("root"))
 
 
-def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each document: its id, ``n_shingles`` and ``component_id``, the smallest id it reaches by links."""
+def _classed(docs: DataFrame, id_column: str, text_column: str, shingle_words: int, percent: int) -> DataFrame:
+    """(id, n, node, root) of each document. node: the class of its set; root: one number for each component; both null for an empty set."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    described = checkpointed(_described(rows, shingle_words))
+    described = scratch.keep(_described(rows, shingle_words))
+    rarity = spark.sparkContext.broadcast(_summed(described.filter("piece IS NOT NULL").select("piece", "counts")))
+    groups = scratch.keep(_groups(_postings(rows, shingle_words, percent, rarity), percent, scratch))
+    rarity.destroy()
+    members = scratch.keep(_members(groups, _sets_of(rows, groups, shingle_words)))
+    labels = connected_components(_links(members, percent, scratch), scratch)
     known = described.filter("piece IS NULL").select("id", "n", "node")
-    rarity = rows.sparkSession.sparkContext.broadcast(_summed(described.filter("piece IS NOT NULL").select("piece", "counts")))
-    groups = checkpointed(_groups(_postings(rows, shingle_words, percent, rarity), percent))
-    labels = connected_components(_links(groups, _sets_of(rows, groups, shingle_words), percent))
-    classes = known.filter("node IS NOT NULL AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"))
-    classes = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = classes.join(least, "root").select("node", "component_id")
+    out = checkpointed(known.join(labels, "node", "left").select("id", "n", "node", F.coalesce("root", "node").alias("root")))
+    scratch.drop()
+    return out
+
+
+def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each document: its id, ``n_shingles`` and ``component_id``, the smallest id it reaches by links."""
+    found = _classed(docs, id_column, text_column, shingle_words, percent)
+    least = found.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
-    return known.join(by_node, "node", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own)
+    return found.join(least, "root", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), own)
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component, with all columns. Of rows that repeat an id one stays, any of
-    them; rows without an id all stay."""
-    found = checkpointed(jaccard_components(docs, id_column, text_column, **options))
-    gone = found.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
-    repeated = found.filter(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("_again")).count().filter("count > 1").select("_again")
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, with all columns: the one with the smallest id, of equal ids that with the smaller digest of its set.
+
+    Rows that repeat an id are judged by id and set, so a text with no copy stays; of rows equal in both, the one with the smallest
+    hash of its columns stays. Rows without an id all stay."""
+    found = _classed(docs, id_column, text_column, shingle_words, percent).filter("id IS NOT NULL")
+    first = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "node")).alias("first"))
+    judged = found.join(first, "root", "left").withColumn("gone", F.coalesce(F.col("first") != F.struct("id", "node"), F.lit(False)))
+    again, gone, node = (unused(docs, n) for n in ("_again", "_gone", "_node"))
+    repeated = judged.groupBy(F.col("id").alias(again)).agg(F.count("*").alias("rows")).filter("rows > 1").select(again)
+    out = docs.join(judged.filter("gone").select(F.col("id").alias(gone)).distinct(), docs[id_column] == F.col(gone), "left_anti")
     if repeated.isEmpty():
-        return kept
-    twice = kept.join(repeated, kept[id_column] == repeated["_again"], "left_semi").dropDuplicates([id_column])
-    return kept.join(repeated, kept[id_column] == repeated["_again"], "left_anti").unionByName(twice)
+        return out
+    once = out.join(repeated, docs[id_column] == F.col(again), "left_anti")
+    # rows that share an id: by id and set
+    twice = docs.join(repeated, docs[id_column] == F.col(again), "left_semi")
+    twice = _with_node(twice, text_column, shingle_words, node)
+    leave = judged.filter("gone").select(F.col("id").alias(gone), F.col("node").alias(again)).distinct()
+    twice = twice.join(leave, (twice[id_column] == F.col(gone)) & (twice[node] == F.col(again)), "left_anti")
+    plain = [c for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    one = twice.groupBy(id_column, node).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(again))
+    return once.unionByName(one.select(f"{again}.*"))
+
+
+def _with_node(docs: DataFrame, text_column: str, k: int, name: str) -> DataFrame:
+    """The documents with the digest of their set as one more column."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    place = docs.columns.index(text_column)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(place).cast(pa.string()), k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())], names=schema.names)
+
+    return docs.mapInArrow(digest, schema)

@@ -1,4 +1,5 @@
 import random
+import time
 import re
 from collections import Counter
 
@@ -160,6 +161,26 @@ def test_jaccard_odd_tables(spark):
     assert sorted(map(tuple, J.keep_first(docs, shingle_words=4, percent=85).collect()), key=str) == sorted([(1, "a b c d e"), (None, "a b c d e"), (0, None)], key=str)
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = (prose(900 + i, 60, 4000) for i in range(3))
+    rows = [(5, a, 1, "x"), (5, b, 2, "x"), (2, b, 3, "x"), (5, a, 4, "x"), (7, c, 5, "x"), (7, None, 6, "x"), (7, "", 7, "x"), (None, c, 8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _again string").repartition(3)
+    kept = J.keep_first(docs)
+    assert kept.columns == docs.columns
+    found = [tuple(r) for r in kept.collect()]
+    assert sorted((i or -1, t or "") for i, t, *_ in found) == sorted([(5, a), (2, b), (7, c), (7, ""), (-1, c)])
+    assert {r[2] for r in found} == {r[2] for r in J.keep_first(docs.repartition(1)).collect()}
+
+
+def test_large_group_of_sets_that_do_not_link():
+    rnd = np.random.default_rng(5)
+    shared = np.uint64(7)
+    sets = [np.unique(np.append(rnd.choice(2**62, 30).astype(np.uint64), shared)) for _ in range(6000)]
+    forest, began = J._Forest(len(sets)), time.time()
+    J.link_group(sets, range(len(sets)), 85, forest, 0)
+    assert not forest.links and time.time() - began < 10
+
+
 def test_divide_skip_against_all_overlaps():
     rnd = np.random.default_rng(3)
     base = rnd.choice(2**40, 80, replace=False).astype(np.uint64)
