@@ -10,13 +10,13 @@ from signalmill.llm.byte_bpe import with_tokens
 from signalmill.llm.decontaminate import drop_leaks
 from signalmill.llm.jaccard_join import keep_first
 from signalmill.llm.pii import redact, train
-from signalmill.llm.quality_rules import keep_good
+from signalmill.llm.quality_rules import fit_bands, keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, by limits fitted on documents that are labelled good."""
     small_batches(spark)
-    return keep_good(docs)
+    return keep_good(docs, rules=fit_bands(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

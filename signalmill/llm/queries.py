@@ -81,10 +81,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and compression-band verdicts of all documents."""
-    from .quality_rules import quality_features
+    """Base counts and verdicts of all documents, by compression bands fitted on documents that are labelled good."""
+    from .quality_rules import fit_bands, quality_features
 
-    return quality_features(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return quality_features(docs, rules=fit_bands(docs, _table(spark, sf_dir, "labels")))
 
 
 QUERIES = {

@@ -56,6 +56,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     items, rows = table()
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     want = brute(items, rows)
     got = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
@@ -66,6 +67,7 @@ def test_stages_keep_the_columns(spark, tmp_path):
     items, rows = table()
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             frame = stage(spark, frame, str(tmp_path))

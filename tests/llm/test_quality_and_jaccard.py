@@ -1,6 +1,7 @@
+import math
 import random
-import time
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -42,7 +43,22 @@ def test_words_are_those_of_the_pattern():
     assert len(set(seen.values())) == len(seen)
 
 
-def brute_quality(text):
+def between(n, ratio, band):
+    """Limits by straight lines between the given points."""
+    at, lows, highs = band
+    x = math.log2(n)
+    k = next((i for i, a in enumerate(at) if a > x), len(at))
+    if k == 0:
+        return lows[0] <= ratio <= highs[0]
+    if k == len(at):
+        rise = (highs[-1] - highs[-2]) / (at[-1] - at[-2]) if len(at) > 1 else 0
+        return lows[-1] <= ratio <= highs[-1] + rise * (x - at[-1])
+    part = (x - at[k - 1]) / (at[k] - at[k - 1])
+    low, high = (v[k - 1] + part * (v[k] - v[k - 1]) for v in (lows, highs))
+    return low <= ratio <= high
+
+
+def brute_quality(text, rules=Q.QualityRules()):
     text = text or ""
     words = WORD.findall(text)
     grams = Counter(zip(words, words[1:], words[2:]))
@@ -56,8 +72,9 @@ def brute_quality(text):
     raw, pack = text.encode(), zstandard.ZstdCompressor(level=3).compress
     ratio = len(raw) / len(pack(raw)) if raw else 0.0
     chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
-    bad = sum(not Q.in_band(len(c), len(c) / len(pack(c))) for c in chunks)
-    kept = not failed and Q.in_band(len(raw), ratio) and bad <= 0.5 * len(chunks)
+    band = rules.bands[sum(b > 127 for b in raw) > 0.01 * len(raw)]
+    bad = sum(not between(len(c), len(c) / len(pack(c)), band) for c in chunks)
+    kept = not failed and between(len(raw), ratio, band) and bad <= 0.5 * len(chunks)
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), failed, kept)
 
 
@@ -79,14 +96,34 @@ def test_quality_against_brute_force(spark):
     assert Q.quality_features(docs.limit(0)).count() == 0
 
 
-def test_compression_rejects_what_the_base_does_not(spark):
-    cycle = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
-    text = " ".join(w for w in (cycle + " ").split()) + " " + " ".join(reversed(cycle.split()))
-    hexes = " ".join(f"{random.Random(i).getrandbits(2000):x}" for i in range(60))
-    docs = spark.createDataFrame([(1, hexes), (2, text)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in Q.quality_features(docs).collect()}
-    assert not rows[1].base_failed
-    assert rows[1].ratio > 1.3 or not rows[1].kept
+def written(seed, n, letters="etaoinshrdlucmfw", accents=0.0):
+    """Text of syllables, which compresses as prose does."""
+    rnd = random.Random(seed)
+    parts = [a + b for a in letters for b in letters[:6]]
+    words = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 4))) + ("é" if rnd.random() < accents else "") for _ in range(n)]
+    return " ".join(words)
+
+
+def test_fitted_bands_reject_noise_and_repetition_and_keep_prose(spark):
+    rnd = random.Random(8)
+    good = [written(i, rnd.choice((120, 400, 1500)), accents=(i % 2) * 0.5) for i in range(600)]
+    noise = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    base64 = [" ".join("".join(rnd.choice(noise) for _ in range(40)) for _ in range(n)) for n in (60, 200, 400)]
+    hexes = [" ".join("".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(n)) for n in (60, 200, 400)]
+    # no word window stands twice, so the base rule passes it
+    cycle = [" ".join(f"item{a}of{b}" for a in range(30) for b in range(30))]
+    texts = [*good, *base64, *hexes, *cycle]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, other string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 600)) for i in [*range(0, 600, 2), *range(600, 604)]] + [(None, 1), (99_999, 1), (0, 1)], "doc_id long, quality int")
+    rules = Q.fit_bands(docs, labels)
+    rows = {r.doc_id: r for r in Q.quality_features(docs, rules=rules).collect()}
+    assert not any(rows[i].base_failed for i in range(len(texts)))
+    assert sum(rows[i].kept for i in range(600)) >= 0.97 * 600
+    assert not any(rows[i].kept for i in range(600, len(texts)))
+    assert {i: r.kept for i, r in rows.items()} == {i: brute_quality(t, rules)[-1] for i, t in enumerate(texts)}
+    assert Q.fit_bands(docs.repartition(1), labels).bands == rules.bands
+    assert Q.fit_bands(docs, labels.limit(0)).bands == Q.QualityRules().bands
+    assert Q.fit_bands(docs.limit(0), labels).bands == Q.QualityRules().bands
 
 
 # ---- Jaccard
