@@ -2,28 +2,32 @@
 
 Counts of n-grams over the training documents are discounted by Good-Turing estimates; what the discounts free goes to
 the next shorter history, with a weight for each history that makes its probabilities sum to one exactly. Tokens are
-words (A-Z lower-cased) and one end for each text; unknown tokens share one class.
+words (A-Z lower-cased) and one end for each text; unknown tokens share one class. Every n-gram of the training documents is in the model.
 
-- P(w) = d(c) c / N; the class of unknown tokens has what is left.
-- P(w | h) = s(h) d(c(hw)) c(hw) / c(h) where hw is in the model, else b(h) P(w | h without its first token).
-- b(h) = (1 - sum of P(w | h) over the w that follow h in the model) / (1 - sum of their P(w | shorter h)).
+- P(w) = D(c) / N with D(c) = d(c) c; the class of unknown tokens has what is left.
+- P(w | h) = s(h) D(c(hw)) / c(h) where hw was seen, else b(h) P(w | h without its first token).
+- b(h) = (1 - sum of P(w | h) over the w seen after h) / (1 - sum of their P(w | shorter h)).
 - s(h) is 1, or c(h) / (c(h) + 1) where the first sum would leave nothing for the others.
-- n-grams of two or more tokens stay in the model if they occur ``least`` times (2, after Katz). One that holds a rarer part can't, and is
-  not even counted: each such occurrence is an n-gram of count one, and is counted as that for the estimates.
 - d(r), r <= 5: (r* / r - a) / (1 - a), with r* = (r + 1) n(r+1) / n(r) and a = 6 n(6) / n(1). Where that is not
   between 0 and 1 (few data, many copies) it is (r - 0.5) / r.
 
 How it runs: documents are written once, in blocks of bounded size, to a table bucketed by block, so later steps don't
-shuffle texts. Each block adds up its own n-grams first and asks, by ranges of the key, for their counts over all blocks. The answers are
-counts in the order of the keys asked for (0: not in the model), which the block can compute again; they are kept in tables partitioned by
-order, and the model's keys and counts beside them where ``keep_keys`` is set. Of the blocks that hold an n-gram one adds it to the sums
-of its history; sums go the same way. The last step walks down the orders for each token. What is gathered grows with the corpus; nothing but the counts of counts comes to the driver.
-n-grams are known by 64-bit hashes.
+shuffle texts. For each order, each block adds up its own n-grams and asks, by ranges of the history's key, for their counts over all
+blocks and for what b(h) is made of: how many followers of the history were seen once to five times, and the sum of D over the counts of
+the followers after the shorter history (a seen n-gram's shorter one was seen too, so it never backs off). So one exchange an order gives
+all; the answers come in the order asked for, which the block can compute again, and are kept in a table partitioned by order.
+The last step walks up the orders for each token.
+
+What occurs once needs no exchange: an n-gram with a part that only this place of the corpus has (count 1, in no held-out document) was
+itself seen once, here; histories of that kind are complete in their block, and other histories get such followers as a number.
+A history of more than ``HISTORY_ROWS`` occurrences is split into salts, each with a part of the followers; who asks adds them up.
+A block asks for no more keys than it has places, however many ranges there are; ranges grow with the corpus, so that what one task holds
+stays the same. Nothing but the counts of counts comes to the driver. n-grams are known by 64-bit hashes.
 
 Cases: null or empty texts have one token, their end; a null id counts as the empty string for the split; repeated rows
 count and are scored as often as they occur; texts of any length are read whole (one is never cut by blocks); without
 training documents all probability is that of the unknown class; an empty table gives an empty result; other columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,42 +49,46 @@ from ._text import buffers, checkpointed, ensure_checkpoint_dir, mix, partitions
 
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 #: Bytes of text in a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Blocks for each range of keys.
+RANGE_BLOCKS = 4
+#: Occurrences of a history that one task holds the followers of; beyond, it is salted.
+HISTORY_ROWS = 4_000_000
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
-_ASK = "block long, bucket int, keys array<long>, counts array<int>"
-_ANSWER = "block long, bucket int, keys array<long>, counts array<long>"
-_SUMS = "block long, bucket int, keys array<long>, high array<double>, low array<double>"
+_K = MOST_DISCOUNTED
+_ASK = "block long, bucket int, histories array<long>, followers array<int>, singles array<int>, keys array<long>, counts array<long>, lower array<long>"
+_ANSWER = "block long, bucket int, keys array<long>, counts array<long>, once array<long>, low array<double>"
 
 
 @dataclass
 class Level:
-    """Counts of counts of the n-grams of one order."""
+    """Counts of counts of the n-grams of one order; total and distinct of words only."""
 
     total: int = 0
     distinct: int = 0
-    of_count: list[int] = field(default_factory=lambda: [0] * (MOST_DISCOUNTED + 2))
+    of_count: list[int] = field(default_factory=lambda: [0] * (_K + 2))
 
     def discounts(self) -> np.ndarray:
         """d(0) to d(MOST_DISCOUNTED)."""
-        k, n = MOST_DISCOUNTED, self.of_count
-        a = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-        out = np.zeros(k + 1)
-        for r in range(1, k + 1):
+        n = self.of_count
+        a = (_K + 1) * n[_K + 1] / n[1] if n[1] else 1.0
+        out = np.zeros(_K + 1)
+        for r in range(1, _K + 1):
             d = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) if n[r] and a < 1 else 2.0
             out[r] = d if 0 < d < 1 else (r - 0.5) / r
         return out
 
     def discounted(self, counts: np.ndarray) -> np.ndarray:
-        """d(c) c for counts c of the model."""
-        return np.where(counts <= MOST_DISCOUNTED, self.discounts()[np.minimum(counts, MOST_DISCOUNTED)], 1.0) * counts
+        """D(c) = d(c) c."""
+        return np.where(counts <= _K, self.discounts()[np.minimum(counts, _K)], 1.0) * counts
 
     def unigrams(self) -> tuple[float, float]:
-        """What d(c) c is divided by, and the probability of the unknown class."""
+        """What D(c) is divided by, and the probability of the unknown class."""
         if not self.total:
             return 1.0, 1.0
         d = self.discounts()
-        freed = sum((1 - d[r]) * r * self.of_count[r] for r in range(1, MOST_DISCOUNTED + 1))
+        freed = sum((1 - d[r]) * r * self.of_count[r] for r in range(1, _K + 1))
         return (float(self.total), freed / self.total) if freed > 0 else (self.total + 1.0, 1 / (self.total + 1))
 
 
@@ -92,10 +100,10 @@ class Block:
         tokens, starts, at = [], [0], 0
         for i, j in row_chunks(offsets):
             words, rows = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            for a, b in zip(rows[:-1], rows[1:], strict=True):
-                tokens += [words[a:b], END[None]]
-                at += b - a + 1
-                starts.append(at)
+            # an end after each text
+            tokens.append(np.insert(words, rows[1:], END))
+            starts += (at + rows[1:] + np.arange(1, j - i + 1)).tolist()
+            at += len(tokens[-1])
         self.starts = np.array(starts, np.int64)
         lengths = np.diff(self.starts)
         self.place = np.arange(at) - np.repeat(self.starts[:-1], lengths)
@@ -106,26 +114,74 @@ class Block:
             longer[1:] += self.keys[-1][:-1] * np.uint64(0xA0761D6478BD642F)
             self.keys.append(mix(longer))
 
-    def has(self, n: int) -> np.ndarray:
-        """Where an n-gram ends, within one document."""
-        return self.place >= n - 1
-
-
-def _aligned(table: pa.Table | None, n: int, columns: tuple[str, ...]) -> list[np.ndarray]:
-    """The answers' arrays of one kind, in the order of what was asked."""
-    if table is None or not table.num_rows:
-        return [np.zeros(0) for _ in columns]
-    rows = table.filter(pa.compute.equal(table["n"], n)).combine_chunks()
-    order = np.argsort(rows["bucket"].to_numpy(), kind="stable")
-    out = []
-    for c in columns:
-        lists = rows[c].combine_chunks()
-        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-        parts = [lists[int(i)].values.to_numpy(zero_copy_only=False) for i in order]
-        out.append(np.concatenate(parts) if parts else np.zeros(0))
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """What stands one place before, 0 for the first."""
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
     return out
 
 
+def _sums(index: np.ndarray, values: np.ndarray | None, size: int) -> np.ndarray:
+    return np.bincount(index, values, size).astype(np.int64)
+
+
+class Asked:
+    """What a block asks for one order: different n-grams (``keys``), for order 2 and more by histories (``slots``: salted)."""
+
+    def __init__(self, view: View, n: int, history_rows: int):
+        block, self.n = view.block, n
+        train = block.train
+        if n == 1:
+            self.at = np.arange(len(block.place))
+            self.lone = self.hidden = self.valid = np.zeros(0, np.int64)
+        else:
+            count, lone = view.count[-1], view.lone[-1]
+            inside = block.place >= n - 1
+            history_count, history_lone = _before(count), _before(lone)
+            self.lone = np.flatnonzero(inside & history_lone)
+            self.valid = np.flatnonzero(inside & (history_count > 0) & ~history_lone)
+            followers = self.valid[count[self.valid] > 0]
+            self.at, self.hidden = followers[~lone[followers]], followers[lone[followers]]
+        self.keys, first, self.of = np.unique(block.keys[n - 1][self.at], return_index=True, return_inverse=True)
+        mine = _sums(self.of, train[self.at], len(self.keys))
+        # the count, and whether a held-out place has it
+        self.counts = 2 * mine + (np.bincount(self.of, minlength=len(self.keys)) > mine)
+        if n == 1:
+            self.route = self.keys
+            return
+        self.lower = count[self.at[first]]
+        histories, one, self.history = np.unique(block.keys[n - 2][self.valid - 1], return_index=True, return_inverse=True)
+        self.salts = 1 + history_count[self.valid[one]] // history_rows
+        self.owner = np.repeat(np.arange(len(histories)), self.salts)
+        begin = np.cumsum(self.salts) - self.salts
+        salt = np.arange(len(self.owner)) - begin[self.owner]
+        slots = np.where(salt == 0, histories[self.owner], mix(histories[self.owner] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        order = np.argsort(slots, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.slots, self.owner = slots[order], self.owner[order]
+        # each key by the rank of its slot
+        whose = np.zeros(len(block.place), np.int64)
+        whose[self.valid] = self.history
+        mine = whose[self.at[first]]
+        turn = (self.keys % self.salts[mine].astype(np.uint64)).astype(np.int64)
+        slot = rank[begin[mine] + turn]
+        self.order = np.argsort(slot, kind="stable")
+        self.followers = np.bincount(slot, minlength=len(slots))
+        self.singles = np.bincount(rank[begin[whose[self.hidden]]], minlength=len(slots))
+        self.route = self.slots
+
+    def rows(self, block: int, ranges: int) -> list[tuple]:
+        none = np.zeros(0, np.int64)
+        if self.n == 1:
+            return [(block, b, none, none, none, self.keys[i:j].astype(np.int64), self.counts[i:j], none) for b, i, j in _ranges(self.route, ranges)]
+        keys, counts, lower = self.keys[self.order].astype(np.int64), self.counts[self.order], self.lower[self.order]
+        edge = np.concatenate(([0], np.cumsum(self.followers)))
+        slots, followers, singles = self.slots.astype(np.int64), self.followers.astype(np.int32), self.singles.astype(np.int32)
+        return [(block, b, slots[i:j], followers[i:j], singles[i:j], keys[edge[i] : edge[j]], counts[edge[i] : edge[j]], lower[edge[i] : edge[j]]) for b, i, j in _ranges(self.route, ranges)]
+
+
 def _ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to): sorted keys cut into ranges of equal width."""
     if not len(keys):
@@ -143,82 +199,125 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
+def _joined(table: pa.Table, name: str) -> np.ndarray:
+    """The lists of a column, one after the other."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def answer(table: pa.Table, n: int, lower: Level | None, keep: bool) -> pa.Table:
+    """The answers to all blocks' asks for one range of keys, and its counts of counts (block -1: n(1) to n(6), distinct, total)."""
+    bucket, private = table["bucket"][0].as_py(), pa.compute.less(table["block"], 0)
+    alone = int(_joined(table.filter(private), "counts").sum())
+    table = table.filter(pa.compute.invert(private))
+    keys, counts = _joined(table, "keys").astype(np.uint64), _joined(table, "counts")
+    each = pa.compute.list_value_length(table["counts"]).to_numpy()
+    known, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    totals = _sums(of, counts >> 1, len(known))
+    marked = (2 * totals + (_sums(of, counts & 1, len(known)) > 0))[of]
+    histogram = np.bincount(np.minimum(totals, _K + 2), minlength=_K + 3)[1 : _K + 2]
+    once, low, size = np.zeros((0, _K), np.int64), np.zeros(0), np.zeros(len(each), np.int64)
+    if n > 1:
+        slots, singles = _joined(table, "histories").astype(np.uint64), _joined(table, "singles")
+        size = pa.compute.list_value_length(table["histories"]).to_numpy()
+        names, slot = np.unique(slots, return_inverse=True)
+        mine = np.repeat(slot, _joined(table, "followers"))[first]
+        single = _sums(slot, singles, len(names))
+        seen = totals > 0
+        by_count = np.stack([_sums(mine[totals == r], None, len(names)) for r in range(1, _K + 1)], 1)
+        by_count[:, 0] += single
+        histogram[0] += single.sum()
+        below = np.bincount(mine[seen], lower.discounted(_joined(table, "lower")[first][seen]), len(names)) + single * lower.discounted(np.array([1]))[0]
+        once, low = by_count[slot], below[slot]
+    a, b = np.cumsum(each) - each, np.cumsum(size) - size
+    none = np.zeros(0, np.int64)
+    rows = [(block, bucket, none, marked[i : i + x], once[j : j + y].ravel(), low[j : j + y]) for block, i, x, j, y in zip(table["block"].to_pylist(), a, each, b, size, strict=True)]
+    histogram[0] += alone
+    rows.append((-1, bucket, none, np.concatenate((histogram, [int((totals > 0).sum()), int(totals.sum())])), none, np.zeros(0)))
+    if keep:
+        rows.append((-2, bucket, known[totals > 0].astype(np.int64), totals[totals > 0], none, np.zeros(0)))
+    return _rows(_ANSWER, rows)
+
+
 class View:
-    """What a block knows of the model: counts up to order ``known``, sums for histories of up to ``weighed`` tokens."""
-
-    def __init__(self, block: Block, answers: pa.Table | None, levels: list[Level], known: int, weighed: int):
-        self.block, self.levels = block, levels
-        self.asked: list[tuple[np.ndarray, np.ndarray]] = []  # by order: where asked, and which of the keys
-        self.keys: list[np.ndarray] = []
-        self.count: list[np.ndarray] = []  # by order: count and reporter's mark at each place
-        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in range(1, known + 1):
-            where, keys, inverse = self.ask(n)
-            (counts,) = _aligned(answers, n, ("counts",))
-            at = np.zeros(len(block.place), np.int64)
-            at[where] = counts[inverse]
-            self.keys.append(keys)
-            self.count.append(at)
-        for n in range(1, weighed + 1):
-            history, inverse, where = self.histories(n)
-            high, low = _aligned(answers, -n, ("high", "low"))
-            full = np.zeros((2, len(block.place)))
-            if len(high):
-                full[:, where] = high[inverse], low[inverse]
-            self.sums.append((full[0], full[1]))
-
-    def ask(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places whose n-grams are asked for, their different keys, and each place's key: those whose parts are in the model twice or more."""
-        where = self.block.has(n)
+    """What a block knows of the model by the answers to the first orders, at each of its places."""
+
+    def __init__(self, block: Block, answers: pa.Table | None, levels: list[Level], history_rows: int):
+        self.block, self.levels, self.history_rows = block, levels, history_rows
+        #: by order: training count of the n-gram that ends at each place, and whether it occurs nowhere else in all documents
+        self.count: list[np.ndarray] = []
+        self.lone: list[np.ndarray] = []
+        self.p = self.norm = np.zeros(len(block.place))
+        for n in range(1, len(levels) + 1):
+            self._learn(n, answers)
+
+    def ask(self) -> Asked:
+        """What the next order needs."""
+        return Asked(self, len(self.count) + 1, self.history_rows)
+
+    def _learn(self, n: int, answers: pa.Table) -> None:
+        asked, level = self.ask(), self.levels[n - 1]
+        mine = answers.filter(pa.compute.equal(answers["n"], n))
+        mine = mine.sort_by("bucket")
+        marked = _joined(mine, "counts")
         if n > 1:
-            often = (self.count[n - 2] >> 1) >= 2
-            where = where & often
-            where[1:] &= often[:-1]
-        where = np.flatnonzero(where)
-        return (where, *np.unique(self.block.keys[n - 1][where], return_inverse=True))
-
-    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different n-grams that can have followers in the model, each place's one, and the places."""
-        where = np.flatnonzero((self.count[n - 1] >> 1) >= 2)
-        return (*np.unique(self.block.keys[n - 1][where], return_inverse=True), where)
-
-    def counts(self, n: int, places: np.ndarray) -> np.ndarray:
-        """Training counts of the n-grams that end at places; 0 where not in the model."""
-        return self.count[n - 1][places] >> 1
-
-    def high(self, n: int, places: np.ndarray) -> np.ndarray:
-        """d(c) c / c(h) of n-grams in the model."""
-        return self.levels[n - 1].discounted(self.counts(n, places)) / np.maximum(self.counts(n - 1, places - 1), 1)
-
-    def model(self, n: int, places: np.ndarray) -> np.ndarray:
-        """The probability of the token at each place after up to n - 1 tokens."""
+            back = np.empty_like(marked)
+            back[asked.order] = marked
+            marked = back
+        count, lone = np.zeros(len(self.block.place), np.int64), np.zeros(len(self.block.place), bool)
+        count[asked.at] = (marked >> 1)[asked.of]
+        lone[asked.at] = (marked == 2)[asked.of]
+        # lone parts make lone n-grams
+        for at in (asked.hidden, asked.lone):
+            count[at], lone[at] = 1, True
         if n == 1:
-            whole, unknown = self.levels[0].unigrams()
-            counts = self.counts(1, places)
-            return np.where(counts > 0, self.levels[0].discounted(counts) / whole, unknown)
-        out = self.model(n - 1, places)
-        with_history = np.flatnonzero((places > 0) & self.block.has(n)[places])
-        at = places[with_history]
-        high, low = (x[at - 1] for x in self.sums[n - 2])
-        scale, backoff = weights(high, low, self.counts(n - 1, at - 1))
-        out[with_history] = np.where(self.counts(n, at) > 0, scale * self.high(n, at), backoff * out[with_history])
-        return out
+            whole, unknown = level.unigrams()
+            self.p = np.where(count > 0, level.discounted(count) / whole, unknown)
+            self.norm = np.full(len(count), 1 / whole)
+        else:
+            self._back_off(asked, level, count, _joined(mine, "once").reshape(-1, _K), _joined(mine, "low"))
+        self.count.append(count)
+        self.lone.append(lone)
+
+    def _back_off(self, asked: Asked, level: Level, count: np.ndarray, once: np.ndarray, low: np.ndarray) -> None:
+        """Brings the probability and s(h) / c(h) at each place up by one order."""
+        discounts, size = level.discounts(), len(asked.salts)
+        by_count = np.stack([np.bincount(asked.owner, once[:, r], size) for r in range(_K)], 1)
+        below = np.bincount(asked.owner, low, size)[asked.history]
+        total = self.count[-1][asked.valid - 1]
+        freed = (by_count @ (np.arange(1, _K + 1) * (1 - discounts[1:])))[asked.history]
+        scale, backoff = weights(1 - freed / total, self.norm[asked.valid] * below, total)
+        seen = count[asked.valid]
+        p, norm = self.p.copy(), np.zeros(len(self.p))
+        p[asked.valid] = np.where(seen > 0, scale * level.discounted(seen) / total, backoff * p[asked.valid])
+        norm[asked.valid] = scale / total
+        # histories that occur once have one follower
+        scale = weights(discounts[1:2], np.zeros(1), np.ones(1))[0][0]
+        p[asked.lone], norm[asked.lone] = scale * discounts[1], scale
+        self.p, self.norm = p, norm
+
+
+def weights(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scale and backoff weight of histories from the two sums over what follows them."""
+    scale = np.where(high < 1 - 1e-9, 1.0, counts / (counts + 1.0))
+    return scale, (1 - scale * high) / np.maximum(1 - low, 1e-300)
 
 
 class KatzModel:
     """The steps over the tables of one corpus. ``order``: tokens of the longest n-gram."""
 
-    def __init__(self, docs: DataFrame, train: Column, id_column: str, text_column: str, order: int, least: int, keep_keys: bool = False):
-        self.spark, self.order, self.least, self.keep_keys = docs.sparkSession, order, least, keep_keys
-        self.buckets = partitions(docs)
+    def __init__(self, docs: DataFrame, train: Column, id_column: str, text_column: str, order: int, keep_keys: bool = False):
+        self.spark, self.order, self.keep_keys = docs.sparkSession, order, keep_keys
         self.name = f"katz_{uuid.uuid4().hex}"
         self.folder = f"{ensure_checkpoint_dir(self.spark)}/{self.name}"
         self.levels: list[Level] = []
         rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
         self.id_type = rows.schema["id"].dataType
-        self._write_blocks(rows)
+        self._write_blocks(rows, partitions(docs))
+        blocks = self.spark.table(self.name).select("block").distinct().count()
+        self.ranges = max(1, -(-blocks // RANGE_BLOCKS))
 
-    def _write_blocks(self, rows: DataFrame) -> None:
+    def _write_blocks(self, rows: DataFrame, buckets: int) -> None:
         schema = T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())])
         size = BLOCK_BYTES
 
@@ -234,123 +333,57 @@ class KatzModel:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=schema.names)
 
         writer = rows.mapInArrow(number, schema).write.format("parquet").option("compression", "zstd")
-        writer.bucketBy(self.buckets, "block").sortBy("block").saveAsTable(self.name)
+        writer.bucketBy(buckets, "block").sortBy("block").saveAsTable(self.name)
 
     def drop(self) -> None:
-        """Removes the tables of blocks, counts and sums."""
+        """Removes the tables of blocks and answers."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         remove_folder(self.spark, self.folder)
 
-    def _with_answers(self, function, schema, levels: list[int], sums: list[int] = ()) -> DataFrame:
-        """The function over each block's documents and the answers to it."""
+    def _over_blocks(self, function, schema) -> DataFrame:
+        """The function over each block's documents and the answers to it so far."""
         docs = self.spark.table(self.name).groupBy("block")
-        none = F.array().cast("array<double>")
-        parts = [self.spark.read.parquet(f"{self.folder}/order={n}").filter("block >= 0").select("block", "bucket", "counts", none.alias("high"), none.alias("low"), F.lit(n).alias("n")) for n in levels]
-        parts += [self.spark.read.parquet(f"{self.folder}/sums={n}").select("block", "bucket", F.array().cast("array<long>").alias("counts"), "high", "low", F.lit(-n).alias("n")) for n in sums]
+        parts = [self.spark.read.parquet(f"{self.folder}/order={n}").filter("block >= 0").select("block", "bucket", "counts", "once", "low", F.lit(n).alias("n")) for n in range(1, len(self.levels) + 1)]
         if not parts:
             return docs.applyInArrow(lambda table: function(table, None), schema)
         return docs.cogroup(reduce(DataFrame.union, parts).groupBy("block")).applyInArrow(function, schema)
 
-    def count(self, n: int) -> None:
-        """Counts the n-grams of one order over all blocks and stores the answers."""
-        order, buckets, least, levels, keep = n, self.buckets, self.least if n > 1 else 1, list(self.levels), self.keep_keys
+    def count(self) -> None:
+        """Counts the n-grams of the next order over all blocks and stores the answers."""
+        levels, ranges, keep, history_rows = list(self.levels), self.ranges, self.keep_keys, HISTORY_ROWS
+        n = len(levels) + 1
 
         def ask(table: pa.Table, answers: pa.Table | None) -> pa.Table:
-            block = Block(table, order)
-            view = View(block, answers, levels, order - 1, order - 2)
-            where, keys, inverse = view.ask(order)
-            counts = np.bincount(inverse, block.train[where], len(keys)).astype(np.int32)
-            single = int((block.train & block.has(order)).sum() - block.train[where].sum()) if order > 1 else 0
-            me = table["block"][0].as_py()
-            rows = [(me, b, keys[i:j].astype(np.int64), counts[i:j]) for b, i, j in _ranges(keys, buckets)]
-            return _rows(_ASK, [*rows, (-1, 0, [single], [])])
-
-        def answer(table: pa.Table) -> pa.Table:
-            asked = [(b, t, k.values.to_numpy().astype(np.uint64), c.values.to_numpy()) for b, t, k, c in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), table["keys"], table["counts"], strict=True)]
-            single = sum(int(k[0]) for b, _, k, _ in asked if b < 0)
-            asked = [x for x in asked if x[0] >= 0]
-            histogram, out, kept = np.zeros(MOST_DISCOUNTED + 4, np.int64), [], np.zeros(0, np.uint64)
-            histogram[1] = histogram[-2] = histogram[-1] = single
-            if asked:
-                keys, first, inverse = np.unique(np.concatenate([x[2] for x in asked]), return_index=True, return_inverse=True)
-                totals = np.bincount(inverse, np.concatenate([x[3] for x in asked]), len(keys)).astype(np.int64)
-                low = np.bincount(totals[totals <= MOST_DISCOUNTED + 1], minlength=MOST_DISCOUNTED + 2)
-                histogram[1 : MOST_DISCOUNTED + 2] += low[1:]
-                histogram[-2] += int((totals > 0).sum())
-                histogram[-1] += int(totals.sum())
-                marked = np.where(totals >= least, totals, 0)[inverse] * 2
-                marked[first] += marked[first] > 0
-                at = 0
-                for block, bucket, k, _ in asked:
-                    out.append((block, bucket, [], marked[at : at + len(k)]))
-                    at += len(k)
-                if keep:
-                    kept = keys[totals >= least].astype(np.int64)
-                    out.append((-2, table["bucket"][0].as_py(), kept, totals[totals >= least]))
-            out.append((-1, table["bucket"][0].as_py(), [], histogram))
-            return _rows(_ANSWER, out)
-
-        asked = self._with_answers(ask, _ASK, list(range(1, n)), list(range(1, n - 1)))
-        asked.groupBy("bucket").applyInArrow(answer, _ANSWER).write.parquet(f"{self.folder}/order={n}")
-        rows = self.spark.read.parquet(f"{self.folder}/order={n}").filter("block = -1").select(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(MOST_DISCOUNTED + 4))).first()
-        numbers = [int(x or 0) for x in rows]
-        self.levels.append(Level(numbers[-1], numbers[-2], [0, *numbers[1 : MOST_DISCOUNTED + 2]]))
+            asked = View(Block(table, n), answers, levels, history_rows).ask()
+            # n-grams of histories that occur once are counted here
+            return _rows(_ASK, [*asked.rows(table["block"][0].as_py(), ranges), (-1, 0, [], [], [], [], [len(asked.lone)], [])])
 
-    def weigh(self, n: int) -> None:
-        """Adds up, for each history of n - 1 tokens, the probabilities of what follows it in the model, by n-grams and by those one shorter."""
-        order, buckets, levels = n, self.buckets, list(self.levels)
+        def reply(table: pa.Table) -> pa.Table:
+            return answer(table, n, levels[-1] if levels else None, keep)
 
-        def add(table: pa.Table, answers: pa.Table) -> pa.Table:
-            block = Block(table, order)
-            view = View(block, answers, levels, order, order - 2)
-            history, inverse, where = view.histories(order - 1)
-            index = np.zeros(len(block.place), np.int64)
-            index[where] = inverse
-            # the first place of each n-gram that this block reports
-            mine = np.flatnonzero(view.count[order - 1] & 1)
-            mine = mine[np.unique(block.keys[order - 1][mine], return_index=True)[1]]
-            a, b = (np.bincount(index[mine - 1], x, len(history)) for x in (view.high(order, mine), view.model(order - 1, mine)))
-            me = table["block"][0].as_py()
-            return _rows(_SUMS, [(me, k, history[i:j].astype(np.int64), a[i:j], b[i:j]) for k, i, j in _ranges(history, buckets)])
-
-        def total(table: pa.Table) -> pa.Table:
-            lists = [k.values.to_numpy().astype(np.uint64) for k in table["keys"]]
-            keys, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-            sums = [np.bincount(inverse, np.concatenate([x.values.to_numpy() for x in table[c]]), len(keys))[inverse] for c in ("high", "low")]
-            edges = np.cumsum([0, *map(len, lists)])
-            rows = zip(table["block"].to_pylist(), table["bucket"].to_pylist(), edges[:-1], edges[1:], strict=True)
-            return _rows(_SUMS, [(block, bucket, [], sums[0][i:j], sums[1][i:j]) for block, bucket, i, j in rows])
-
-        sums = self._with_answers(add, _SUMS, list(range(1, n + 1)), list(range(1, n - 1)))
-        sums.groupBy("bucket").applyInArrow(total, _SUMS).write.parquet(f"{self.folder}/sums={n - 1}")
+        path = f"{self.folder}/order={n}"
+        self._over_blocks(ask, _ASK).groupBy("bucket").applyInArrow(reply, _ANSWER).write.option("compression", "zstd").parquet(path)
+        rows = self.spark.read.parquet(path).filter("block = -1").select(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(_K + 3))).first()
+        numbers = [int(x or 0) for x in rows]
+        self.levels.append(Level(numbers[-1], numbers[-2], [0, *numbers[: _K + 1]]))
 
     def scores(self, id_column: str) -> DataFrame:
-        """One row for each document: id, train, tokens, known tokens, unigram base score, score."""
-        order, levels = self.order, list(self.levels)
-        schema = T.StructType([T.StructField(id_column, self.id_type), *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
+        """One row for each document: id, held_out, tokens, known tokens, training tokens, unigram base score, score."""
+        levels, order, history_rows = list(self.levels), self.order, HISTORY_ROWS
+        fields = (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))
+        schema = T.StructType([T.StructField(id_column, self.id_type), *(T.StructField(c, t) for c, t in fields)])
         names = schema.names
 
         def score(table: pa.Table, answers: pa.Table) -> pa.Table:
             block = Block(table, order)
-            view = View(block, answers, levels, order, order - 1)
-            every = np.arange(len(block.place))
-            logs = np.log10(view.model(order, every))
-            counts = view.counts(1, every)
-            base = np.log10((counts + 1) / (levels[0].total + levels[0].distinct + 1))
-            edges = block.starts[:-1]
+            view = View(block, answers, levels, history_rows)
+            base = np.log10((view.count[0] + 1) / (levels[0].total + levels[0].distinct + 1))
+            columns = [np.add.reduceat(x, block.starts[:-1]) for x in ((view.count[0] > 0).astype(np.int64), base, np.log10(view.p))]
             lengths = np.diff(block.starts)
-            columns = [np.add.reduceat(x, edges) for x in ((counts > 0).astype(np.int64), base, logs)]
-            held = pa.compute.invert(table["train"])
-            constant = pa.array(np.full(len(lengths), levels[0].total))
-            return pa.Table.from_arrays([table["id"], held, pa.array(lengths), pa.array(columns[0]), constant, pa.array(columns[1]), pa.array(columns[2])], names=names)
+            held, constant = pa.compute.invert(table["train"]), np.full(len(lengths), levels[0].total)
+            return pa.Table.from_arrays([table["id"], held, *map(pa.array, (lengths, columns[0], constant, columns[1], columns[2]))], names=names)
 
-        return self._with_answers(score, schema, list(range(1, order + 1)), list(range(1, order)))
-
-
-def weights(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scale and backoff weight of histories from the two sums over what follows them."""
-    scale = np.where(high < 1 - 1e-9, 1.0, counts / (counts + 1.0))
-    return scale, (1 - scale * high) / np.maximum(1 - low, 1e-300)
+        return self._over_blocks(score, schema)
 
 
 def train_share(id_column: str = "doc_id") -> Column:
@@ -358,16 +391,12 @@ def train_share(id_column: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_column).cast("string"), F.lit("")), "UTF-8")) % 7 != 2
 
 
-def katz_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", order: int = 2, least: int = 2) -> DataFrame:
+def katz_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column: str = "text", order: int = 3) -> DataFrame:
     """Scores all documents by a model of those for which ``train`` is true. The tables go when the scores are written;
     to keep them, use KatzModel."""
-    model = KatzModel(docs, train, id_column, text_column, order, least)
-    model.count(1)
-    release(model.spark)
-    for n in range(2, order + 1):
-        model.count(n)
-        release(model.spark)
-        model.weigh(n)
+    model = KatzModel(docs, train, id_column, text_column, order)
+    for _ in range(order):
+        model.count()
         release(model.spark)
     out = checkpointed(model.scores(id_column))
     model.drop()

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,46 +18,59 @@ def tokens(text):
 
 
 class Plain:
-    """The model by its definition, one n-gram at a time."""
+    """The model by its definition, one n-gram at a time; shares no code with the module."""
 
-    def __init__(self, texts, order, least):
+    def __init__(self, texts, order):
         self.order = order
         self.all = [Counter() for _ in range(order)]
         for t in texts:
             w = tokens(t)
             for n in range(1, order + 1):
                 self.all[n - 1].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-        self.model = [Counter({k: c for k, c in x.items() if n == 0 or c >= least}) for n, x in enumerate(self.all)]
-        self.levels = []
-        for x in self.all:
-            of = Counter(x.values())
-            self.levels.append(K.Level(sum(x.values()), len(x), [0, *(of[r] for r in range(1, K.MOST_DISCOUNTED + 2))]))
+        self.discounts = [self.good_turing(Counter(x.values())) for x in self.all]
         self.followers = {}
         for n in range(1, order):
-            for k in self.model[n]:
+            for k in self.all[n]:
                 self.followers.setdefault(k[:-1], []).append(k[-1])
         self.known = {}
+        self.tokens = sum(self.all[0].values())
+        self.used = sum(self.d(0, c) for c in self.all[0].values())
+
+    @staticmethod
+    def good_turing(of):
+        """d(1) to d(5) by Katz, exactly; (r - 1/2) / r where the estimate is no discount."""
+        out = {}
+        lost = Fraction(6 * of[6], of[1]) if of[1] else Fraction(1)
+        for r in range(1, 6):
+            good = None
+            if of[r] and lost < 1:
+                star = Fraction((r + 1) * of[r + 1], of[r])
+                good = (star / r - lost) / (1 - lost)
+            out[r] = good if good is not None and 0 < good < 1 else Fraction(2 * r - 1, 2 * r)
+        return out
 
     def d(self, n, c):
-        return (self.levels[n].discounts()[c] if c <= K.MOST_DISCOUNTED else 1.0) * c
+        return float(self.discounts[n][c] * c) if c < 6 else float(c)
 
     def p(self, w, h):
         if not h:
-            whole, unknown = self.levels[0].unigrams()
-            c = self.model[0][(w,)]
-            return self.d(0, c) / whole if c else unknown
+            c = self.all[0][(w,)]
+            if not self.tokens:
+                return 1.0
+            whole = self.tokens if self.used < self.tokens - 1e-9 else self.tokens + 1
+            return self.d(0, c) / whole if c else 1 - self.used / whole
         scale, backoff = self.weight(h)
-        c = self.model[len(h)][(*h, w)]
+        c = self.all[len(h)][(*h, w)]
         if c:
-            return scale * self.d(len(h), c) / self.model[len(h) - 1][h]
+            return scale * self.d(len(h), c) / self.all[len(h) - 1][h]
         return backoff * self.p(w, h[1:])
 
     def weight(self, h):
         if h not in self.followers:
             return 1.0, 1.0
         if h not in self.known:
-            follow, count = self.followers[h], self.model[len(h) - 1][h]
-            high = sum(self.d(len(h), self.model[len(h)][(*h, w)]) / count for w in follow)
+            follow, count = self.followers[h], self.all[len(h) - 1][h]
+            high = sum(self.d(len(h), self.all[len(h)][(*h, w)]) / count for w in follow)
             low = sum(self.p(w, h[1:]) for w in follow)
             scale = 1.0 if high < 1 - 1e-9 else count / (count + 1)
             self.known[h] = scale, (1 - scale * high) / (1 - low)
@@ -79,14 +93,15 @@ def cases():
     return texts + texts[20:26]
 
 
-@pytest.mark.parametrize(("order", "block"), [(2, 400), (3, 1500)])
-def test_scores_against_the_definition(spark, monkeypatch, order, block):
+@pytest.mark.parametrize(("order", "block", "history"), [(2, 400, 4_000_000), (3, 1500, 7), (4, 3000, 50)])
+def test_scores_against_the_definition(spark, monkeypatch, order, block, history):
     monkeypatch.setattr(K, "BLOCK_BYTES", block)
+    monkeypatch.setattr(K, "HISTORY_ROWS", history)
     rows = [(i, t, 0.0) for i, t in enumerate(cases())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(3)
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _, _ in rows}
-    plain = Plain([t for i, t, _ in rows if not held[i]], order, 2)
-    whole, kinds = plain.levels[0].total, plain.levels[0].distinct
+    plain = Plain([t for i, t, _ in rows if not held[i]], order)
+    whole, kinds = plain.tokens, len(plain.all[0])
     got = K.katz_scores(docs, K.train_share(), order=order).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -99,7 +114,7 @@ def test_scores_against_the_definition(spark, monkeypatch, order, block):
 
 def test_probabilities_sum_to_one():
     for texts in (cases(), ["a b a b a b"] * 9, ["x"]):
-        plain = Plain(texts, 3, 2)
+        plain = Plain(texts, 3)
         vocabulary = [k[0] for k in plain.all[0]] + ["never seen"]
         histories = [(), ("never seen",), *list(plain.followers)[:60]]
         for h in histories:
@@ -115,6 +130,25 @@ def test_better_than_the_base_on_held_out_texts(spark):
     assert got[0] > 0.9 * got[1] and got[0] > got[1] * 0.75
 
 
+def test_discounts_are_the_exact_estimates():
+    of = {1: 1000, 2: 420, 3: 230, 4: 160, 5: 110, 6: 70}
+    exact = Plain.good_turing(Counter(of))
+    got = K.Level(of_count=[0, *of.values()]).discounts()
+    assert got[1:].tolist() == pytest.approx([float(exact[r]) for r in range(1, 6)], abs=1e-12)
+    # the estimates free n(1) occurrences, as Good and Turing have it
+    assert sum((1 - exact[r]) * r * of[r] for r in range(1, 6)) == of[1]
+
+
+def test_tables_by_order(spark):
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "a b d")], "doc_id long, text string")
+    model = K.KatzModel(docs, F.lit(True), "doc_id", "text", 3, keep_keys=True)
+    for n, grams in enumerate((5, 7, 7), 1):
+        model.count()
+        kept = spark.read.parquet(f"{model.folder}/order={n}").filter("block = -2").select(F.explode("counts").alias("c"))
+        assert kept.count() <= grams and model.levels[n - 1].of_count[1] > 0
+    model.drop()
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert K.katz_scores(docs, F.lit(False)).select("n_tokens", "n_known", "score").orderBy("n_tokens").collect() == [(1, 0, 0.0), (3, 0, 0.0)]
