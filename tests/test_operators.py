@@ -172,8 +172,9 @@ def test_isotonic_fit():
     many = np.arange(1, 2000) / 2000
     xs, ys = isotonic.fit(many, np.full(len(many), 100), (many * 100).astype(int), least=1)
     assert len(xs) <= 26 and ys == sorted(ys)
-    blocks = isotonic.at_least([(10, 1, 0.1), (35, 9, 0.2), (50, 25, 0.3), (5, 5, 0.4)], 40)
-    assert [b[0] for b in blocks] == [45, 55]
+    # blocks of 10, 35, 50 and 5 rows, where each must have 40
+    assert isotonic.cuts_of_weight(np.array([0.0, 10, 45, 95, 100]), 40).tolist() == [0, 2, 4]
+    assert isotonic.cuts_of_weight(np.array([0.0, 10, 20]), 40).tolist() == [0, 2]
 
 
 def test_apply_and_holdout(spark):
