@@ -1,84 +1,154 @@
-"""Structured Streaming jobs: traces and edges, whole sessions with rules, sliding rates, quotas, card replay."""
+"""Structured Streaming jobs: traces and edges, whole sessions with rules, sliding rates, quotas, card replay.
+
+Every state ends: event time is ``ts`` or, where there is no such column, ``t`` seconds after a day in 1970; rows later than the watermark are left
+out, and what has had no row for ``idle`` after its last one is removed once the watermark is past that.
+"""
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions import trace as core
+from ..operators.sampling import bin_of
 
+#: Watermarks begin at 1970, so that a time of 0 must lie beyond it.
+_DAY = 86_400
 _STATE = "state binary"
 _OUT = "session_id string, key string, t double, tick long, value double, ema double, disagreement double, in_band_for double, warm boolean, unreliable boolean, fired boolean, latched boolean, fire_count long"
+_NUMBERS = ["t", "tick", "value", "alt", *core.SPEC]
+
+
+@dataclass(frozen=True)
+class Ends:
+    """late: how far the watermark is behind the newest row. idle: seconds without a row after which a state is removed."""
+
+    late: str = "1 minute"
+    idle_s: float = 3600.0
+
+
+@dataclass(frozen=True)
+class StreamRule:
+    """A rule over a frame of wide states, one row a tick: columns ``key__ema``, ``key__fired``, ``key__slope``, ``key__in_band_for`` and
+    ``key__warm`` with NaN or false where a trace has nothing yet."""
+
+    id: str
+    when: Callable[[pd.DataFrame], pd.Series]
+    refractory_s: float = 45.0
+
 
+def _timed(rows: DataFrame, ends: Ends, *columns) -> DataFrame:
+    """The columns with the event time under a watermark."""
+    ts = F.col("ts") if "ts" in rows.columns else F.timestamp_micros(((F.col("t") + _DAY) * 1_000_000).cast("long"))
+    return rows.select(F.col("session_id").cast("string").alias("session_id"), F.col("key").cast("string").alias("key"), *columns, ts.alias("ts")).withWatermark("ts", ends.late)
 
-def _load(state: GroupState, fresh):
-    return pickle.loads(state.get[0]) if state.exists else fresh
 
+def _ended(state: GroupState) -> bool:
+    """Removes a state whose time is over."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
 
-def stream_traces(judgments: DataFrame) -> DataFrame:
+
+def _keep(state: GroupState, value: tuple, rows: pd.DataFrame, ends: Ends) -> None:
+    """Stores a state until ``idle_s`` after its newest row."""
+    state.update(value)
+    newest = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest + int(ends.idle_s * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def _advance(rows: pd.DataFrame, state: core.TraceState) -> dict[str, np.ndarray]:
+    """The recurrence over rows of one trace in order."""
+    t, _, value, alt, *spec = (rows[c].to_numpy(float) for c in _NUMBERS)
+    return core.run(np.array([0, len(rows)]), t, value, alt, np.array([[c[0] for c in spec]]), [state])
+
+
+def stream_traces(judgments: DataFrame, ends: Ends = Ends()) -> DataFrame:
     """The trace recurrence on a stream of judgments that carry their spec columns.
 
     Rows of a micro-batch are taken in order of t; one that is older than what the trace has seen moves no average, as
     in the batch job. State is one small record for each trace.
     """
-    columns = ["t", "tick", "value", "alt", *core.SPEC]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        trace = _load(state, core.TraceState())
+        if _ended(state):
+            return
+        trace = pickle.loads(state.get[0]) if state.exists else core.TraceState()
         rows = pd.concat(list(batches)).sort_values(["t", "tick"], kind="stable")
-        out = []
-        for r in rows[columns].astype(float).itertuples(index=False):
-            ema, dis, _, held, warm, unreliable, fired, latched, count = trace.push(r[0], r[2], r[3], tuple(r[4:]))
-            out.append((*key, r[0], int(r[1]), r[2], ema, dis, held, warm, unreliable, fired, latched, count))
-        state.update((pickle.dumps(trace),))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _OUT.split(", ")])
+        found = _advance(rows, trace)
+        _keep(state, (pickle.dumps(trace),), rows, ends)
+        first = {"session_id": key[0], "key": key[1], "t": rows["t"].to_numpy(), "tick": rows["tick"].to_numpy().astype("int64"), "value": rows["value"].to_numpy()}
+        yield pd.DataFrame({**first, **{c: found[c] for c in core.OUT if c != "slope"}})
 
-    typed = judgments.select(F.col("session_id").cast("string").alias("session_id"), F.col("key").cast("string").alias("key"), *(F.col(c).cast("double").alias(c) for c in columns))
-    return typed.groupBy("session_id", "key").applyInPandasWithState(advance, _OUT, _STATE, "append", "NoTimeout")
+    typed = _timed(judgments, ends, *(F.col(c).cast("double").alias(c) for c in _NUMBERS))
+    return typed.groupBy("session_id", "key").applyInPandasWithState(advance, _OUT, _STATE, "append", "EventTimeTimeout")
 
 
-def stream_quota(judgments: DataFrame, per_bin: int = 25, bins: int = 10) -> DataFrame:
+def stream_quota(judgments: DataFrame, per_bin: int = 25, bins: int = 10, ends: Ends = Ends()) -> DataFrame:
     """The first ``per_bin`` rows of each session, key and bin as they arrive; the state is one count."""
 
     def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _ended(state):
+            return
         (n,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values(["t", "tick"], kind="stable").head(max(0, per_bin - n))
-        state.update((n + len(rows),))
-        yield rows[["session_id", "key", "bin", "t", "tick", "raw"]]
+        rows = pd.concat(list(batches)).sort_values(["t", "tick"], kind="stable")
+        taken = rows.head(max(0, per_bin - n))
+        _keep(state, (n + len(taken),), rows, ends)
+        yield taken[["session_id", "key", "bin", "t", "tick", "raw"]]
+
+    columns = bin_of(F.col("raw"), bins).cast("long").alias("bin"), F.col("t").cast("double").alias("t"), F.col("tick").cast("long").alias("tick"), F.col("raw").cast("double").alias("raw")
+    typed = _timed(judgments, ends, *columns)
+    return typed.groupBy("session_id", "key", "bin").applyInPandasWithState(take, "session_id string, key string, bin long, t double, tick long, raw double", "n long", "append", "EventTimeTimeout")
 
-    from ..operators.sampling import bin_of
 
-    typed = judgments.select(F.col("session_id").cast("string").alias("session_id"), F.col("key").cast("string").alias("key"), bin_of(F.col("raw"), bins).cast("long").alias("bin"), F.col("t").cast("double").alias("t"), F.col("tick").cast("long").alias("tick"), F.col("raw").cast("double").alias("raw"))
-    return typed.groupBy("session_id", "key", "bin").applyInPandasWithState(take, "session_id string, key string, bin long, t double, tick long, raw double", "n long", "append", "NoTimeout")
+MEASURES = ("ema", "slope", "in_band_for", "warm")
 
 
-def stream_sessions(judgments: DataFrame, refractory_s: dict[str, float]) -> DataFrame:
-    """Whole sessions on a stream: every trace of a session and the cooldown of each edge rule, in one state.
+def stream_sessions(judgments: DataFrame, rules: list[StreamRule], keys: list[str], ends: Ends = Ends()) -> DataFrame:
+    """Cards of whole sessions on a stream: rules over the latest state of all traces at each tick, with the rules' cooldowns.
 
-    A rule here is a trace key whose edge raises a card, with its refractory seconds; the batch job has rules over several traces.
+    The state of a session is its traces, the latest measures of each and when each rule last held. A tick is judged once for each micro-batch
+    that brings rows of it.
     """
-    columns = ["t", "tick", "value", "alt", *core.SPEC]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        traces, last = _load(state, ({}, {}))
+        if _ended(state):
+            return
+        traces, latest, last = pickle.loads(state.get[0]) if state.exists else ({}, {}, {})
         rows = pd.concat(list(batches)).sort_values(["t", "tick", "key"], kind="stable")
-        out = []
-        for trace_key, r in zip(rows["key"], rows[columns].astype(float).itertuples(index=False), strict=True):
-            fired = traces.setdefault(trace_key, core.TraceState()).push(r[0], r[2], r[3], tuple(r[4:]))[6]
-            gap = refractory_s.get(trace_key)
-            if fired and gap is not None and (trace_key not in last or r[0] - last[trace_key] >= gap):
-                last[trace_key] = r[0]
-                out.append((key[0], trace_key, r[0], int(r[1])))
-        state.update((pickle.dumps((traces, last)),))
-        yield pd.DataFrame(out, columns=["session_id", "rule", "t", "tick"])
-
-    typed = judgments.select(F.col("session_id").cast("string").alias("session_id"), F.col("key").cast("string").alias("key"), *(F.col(c).cast("double").alias(c) for c in columns))
-    return typed.groupBy("session_id").applyInPandasWithState(advance, "session_id string, rule string, t double, tick long", _STATE, "append", "NoTimeout")
+        parts = []
+        for name, one in rows.groupby("key", sort=False):
+            found = _advance(one, traces.setdefault(name, core.TraceState()))
+            parts.append(pd.DataFrame({"t": one["t"].to_numpy(), "tick": one["tick"].to_numpy(), **{f"{name}__{m}": found[m] for m in (*MEASURES, "fired")}}))
+        wide = pd.concat(parts).groupby(["t", "tick"], as_index=False, sort=True).last()
+        wide = wide.reindex(columns=["t", "tick", *(f"{k}__{m}" for k in keys for m in (*MEASURES, "fired"))])
+        for k in keys:
+            wide[f"{k}__fired"] = wide[f"{k}__fired"].eq(True)
+            for m in MEASURES:
+                # what stood before holds until the trace's next row
+                c = f"{k}__{m}"
+                wide[c] = wide[c].astype(float).ffill().fillna(latest.get(c, np.nan))
+                latest[c] = float(wide[c].iloc[-1])
+        cards = []
+        for rule in rules:
+            hits = wide[rule.when(wide).fillna(False).astype(bool)]
+            for t, tick in zip(hits["t"], hits["tick"], strict=True):
+                if t - last.get(rule.id, -np.inf) >= rule.refractory_s:
+                    last[rule.id] = t
+                    cards.append((key[0], rule.id, t, int(tick)))
+        _keep(state, (pickle.dumps((traces, latest, last)),), rows, ends)
+        yield pd.DataFrame(cards, columns=["session_id", "rule", "t", "tick"])
+
+    typed = _timed(judgments, ends, *(F.col(c).cast("double").alias(c) for c in _NUMBERS))
+    return typed.groupBy("session_id").applyInPandasWithState(advance, "session_id string, rule string, t double, tick long", _STATE, "append", "EventTimeTimeout")
 
 
 def stream_rates(calls: DataFrame, late: str = "10 seconds", window: str = "20 seconds", step: str = "1 second") -> DataFrame:

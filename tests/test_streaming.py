@@ -44,12 +44,32 @@ def test_stream_equals_batch(spark, tmp_path):
         assert r.ema == pytest.approx(want.ema) and (r.fired, r.latched, r.fire_count, r.unreliable) == (want.fired, want.latched, want.fire_count, want.unreliable)
 
 
-def test_sessions_and_cooldowns(spark, tmp_path):
+def test_sessions_with_rules_over_several_traces(spark, tmp_path):
     frame = spark.createDataFrame(rows(), SCHEMA)
-    edges = [(r.session_id, r.key, r.t) for r in traces.run_traces(frame).filter("fired").collect()]
-    got = {(r.session_id, r.rule, r.t) for r in run(spark, frame, lambda s: streams.stream_sessions(s, {"x": 100.0, "y": 0.0}), tmp_path, 2).collect()}
+    edge = [streams.StreamRule(k, lambda w, k=k: w[f"{k}__fired"], gap) for k, gap in (("x", 100.0), ("y", 0.0))]
+    both = streams.StreamRule("both", lambda w: (w["x__ema"] > 0.6) & (w["y__ema"] > 0.2), 0.0)
+    got = {(r.session_id, r.rule, r.t) for r in run(spark, frame, lambda s: streams.stream_sessions(s, [*edge, both], ["x", "y"]), tmp_path, 2).collect()}
+    done = traces.run_traces(frame)
+    edges = [(r.session_id, r.key, r.t) for r in done.filter("fired").collect()]
     first = {s: min(t for a, k, t in edges if a == s and k == "x") for s in "ab"}
-    assert got == {e for e in edges if e[1] == "y"} | {(s, "x", t) for s, t in first.items()}
+    wide = done.groupBy("session_id", "t").pivot("key", ["x", "y"]).agg(F.first("ema")).filter("x > 0.6 AND y > 0.2")
+    want = {(r.session_id, "both", r.t) for r in wide.collect()}
+    assert want and got == {e for e in edges if e[1] == "y"} | {(s, "x", t) for s, t in first.items()} | want
+
+
+def test_states_end_and_late_rows_are_left_out(spark, tmp_path):
+    # session a is quiet after 12 s; b goes on for two hours and lets the watermark pass; at last a comes again, once late
+    data = [(*r[:2], r[2] + (0 if r[0] == "a" else 7200 * (r[3] >= 20)), *r[3:]) for r in rows() if r[0] == "b" or r[3] < 20]
+    extra = [("a", "x", 8000.0, 58, 0.9, None, *rows()[0][6:]), ("a", "y", 13.0, 59, 0.9, None, *rows()[0][6:])]
+    frame = spark.createDataFrame([*data, *extra], SCHEMA)
+    ends = streams.Ends("10 seconds", 600.0)
+    out = run(spark, frame, lambda s: streams.stream_traces(s, ends), tmp_path, 6)
+    again = out.filter("session_id = 'a' AND tick = 58").first()
+    # nothing is known of the session's first part any more, and it is no part of the state store
+    assert again.ema == 0.9 and again.fire_count == 0
+    assert out.filter("tick = 59").filter("session_id = 'a'").count() == 0
+    left = spark.read.format("statestore").load(str(tmp_path / "cp")).select("key.session_id", "key.key").collect()
+    assert {tuple(r) for r in left} == {("a", "x")}
 
 
 def test_quota_is_kept_over_batches(spark, tmp_path):
