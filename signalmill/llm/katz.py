@@ -22,7 +22,8 @@ What occurs once needs no exchange: an n-gram with a part that only this place o
 itself seen once, here; histories of that kind are complete in their block, and other histories get such followers as a number.
 A history of more than ``HISTORY_ROWS`` occurrences is split into salts, each with a part of the followers; who asks adds them up.
 A block asks for no more keys than it has places, however many ranges there are; ranges grow with the corpus, so that what one task holds
-stays the same. Nothing but the counts of counts comes to the driver. n-grams are known by 64-bit hashes.
+stays the same. Nothing but the counts of counts comes to the driver. n-grams are known by 64-bit hashes, on the way by their history's and
+48 bits of their own.
 
 Cases: null or empty texts have one token, their end; a null id counts as the empty string for the split; repeated rows
 count and are scored as often as they occur; texts of any length are read whole (one is never cut by blocks); without
@@ -40,6 +41,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,16 +51,18 @@ from ._text import buffers, checkpointed, ensure_checkpoint_dir, mix, partitions
 
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Blocks for each range of keys.
-RANGE_BLOCKS = 4
+RANGE_BLOCKS = 2
+#: Bytes of a follower's hash beside its history.
+FOLLOWER_BYTES = 6
 #: Occurrences of a history that one task holds the followers of; beyond, it is salted.
 HISTORY_ROWS = 4_000_000
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 _K = MOST_DISCOUNTED
-_ASK = "block long, bucket int, histories array<long>, followers array<int>, singles array<int>, keys array<long>, counts array<long>, lower array<long>"
-_ANSWER = "block long, bucket int, keys array<long>, counts array<long>, once array<long>, low array<double>"
+_ASK = "block long, bucket int, body binary"
+_ANSWER = "block long, bucket int, counts binary, sums binary"
 
 
 @dataclass
@@ -126,6 +130,53 @@ def _sums(index: np.ndarray, values: np.ndarray | None, size: int) -> np.ndarray
     return np.bincount(index, values, size).astype(np.int64)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, rising; for each a place where it stands; for each place its key."""
+    order = np.argsort(keys)
+    rising = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = rising[1:] != rising[:-1]
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return rising[new], order[new], of
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, whole numbers that are not negative in as few bytes each as the greatest needs."""
+    head, bodies = [len(arrays)], []
+    for a in arrays:
+        kind = a.dtype.kind
+        if kind == "i":
+            a = a.astype(next(k for k in ("u1", "u2", "u4", "u8") if not len(a) or int(a.max()) < 1 << 8 * int(k[1])))
+        head += [ord(kind), a.dtype.itemsize, len(a)]
+        bodies.append(a.tobytes())
+    return zstandard.compress(b"".join([np.array(head, "<i8").tobytes(), *bodies]), 1)
+
+
+def unpacked(body: bytes) -> list[np.ndarray]:
+    """The arrays; whole numbers as 64 bits."""
+    raw = zstandard.decompress(body)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head, at, out = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(n, 3).tolist(), 8 + 24 * n, []
+    for kind, size, length in head:
+        whole = kind == ord("i")
+        a = np.frombuffer(raw, f"<{'u' if whole else chr(kind)}{size}", length, at)
+        at += size * length
+        out.append(a.astype(np.int64) if whole else a)
+    return out
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The low bytes of keys."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :FOLLOWER_BYTES]).ravel()
+
+
+def _long(short: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(short) // FOLLOWER_BYTES, 8), np.uint8)
+    out[:, :FOLLOWER_BYTES] = short.reshape(-1, FOLLOWER_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 class Asked:
     """What a block asks for one order: different n-grams (``keys``), for order 2 and more by histories (``slots``: salted)."""
 
@@ -143,7 +194,7 @@ class Asked:
             self.valid = np.flatnonzero(inside & (history_count > 0) & ~history_lone)
             followers = self.valid[count[self.valid] > 0]
             self.at, self.hidden = followers[~lone[followers]], followers[lone[followers]]
-        self.keys, first, self.of = np.unique(block.keys[n - 1][self.at], return_index=True, return_inverse=True)
+        self.keys, first, self.of = distinct(block.keys[n - 1][self.at])
         mine = _sums(self.of, train[self.at], len(self.keys))
         # the count, and whether a held-out place has it
         self.counts = 2 * mine + (np.bincount(self.of, minlength=len(self.keys)) > mine)
@@ -151,7 +202,7 @@ class Asked:
             self.route = self.keys
             return
         self.lower = count[self.at[first]]
-        histories, one, self.history = np.unique(block.keys[n - 2][self.valid - 1], return_index=True, return_inverse=True)
+        histories, one, self.history = distinct(block.keys[n - 2][self.valid - 1])
         self.salts = 1 + history_count[self.valid[one]] // history_rows
         self.owner = np.repeat(np.arange(len(histories)), self.salts)
         begin = np.cumsum(self.salts) - self.salts
@@ -173,13 +224,16 @@ class Asked:
         self.route = self.slots
 
     def rows(self, block: int, ranges: int) -> list[tuple]:
-        none = np.zeros(0, np.int64)
         if self.n == 1:
-            return [(block, b, none, none, none, self.keys[i:j].astype(np.int64), self.counts[i:j], none) for b, i, j in _ranges(self.route, ranges)]
-        keys, counts, lower = self.keys[self.order].astype(np.int64), self.counts[self.order], self.lower[self.order]
+            return [(block, b, packed(self.keys[i:j], self.counts[i:j])) for b, i, j in _ranges(self.route, ranges)]
+        keys, counts, lower = self.keys[self.order], self.counts[self.order], self.lower[self.order]
         edge = np.concatenate(([0], np.cumsum(self.followers)))
-        slots, followers, singles = self.slots.astype(np.int64), self.followers.astype(np.int32), self.singles.astype(np.int32)
-        return [(block, b, slots[i:j], followers[i:j], singles[i:j], keys[edge[i] : edge[j]], counts[edge[i] : edge[j]], lower[edge[i] : edge[j]]) for b, i, j in _ranges(self.route, ranges)]
+        out = []
+        for b, i, j in _ranges(self.route, ranges):
+            mine = slice(edge[i], edge[j])
+            body = packed(self.slots[i:j], self.followers[i:j], self.singles[i:j], _short(keys[mine]).view("S1"), counts[mine], lower[mine])
+            out.append((block, b, body))
+        return out
 
 
 def _ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
@@ -193,57 +247,57 @@ def _ranges(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
-    names, types = zip(*(f.split(" ", 1) for f in schema.split(", ")), strict=True)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.Table.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _joined(table: pa.Table, name: str) -> np.ndarray:
-    """The lists of a column, one after the other."""
-    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
 def answer(table: pa.Table, n: int, lower: Level | None, keep: bool) -> pa.Table:
     """The answers to all blocks' asks for one range of keys, and its counts of counts (block -1: n(1) to n(6), distinct, total)."""
-    bucket, private = table["bucket"][0].as_py(), pa.compute.less(table["block"], 0)
-    alone = int(_joined(table.filter(private), "counts").sum())
-    table = table.filter(pa.compute.invert(private))
-    keys, counts = _joined(table, "keys").astype(np.uint64), _joined(table, "counts")
-    each = pa.compute.list_value_length(table["counts"]).to_numpy()
-    known, first, of = np.unique(keys, return_index=True, return_inverse=True)
+    bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
+    bodies = [unpacked(b.as_py()) for b in table["body"]]
+    alone = sum(int(b[0][0]) for block, b in zip(blocks, bodies, strict=True) if block < 0)
+    asks = [(block, b) for block, b in zip(blocks, bodies, strict=True) if block >= 0]
+    joined = lambda i, kind: np.concatenate([b[i] for _, b in asks]) if asks else np.zeros(0, kind)
+    if n == 1:
+        keys, counts = joined(0, np.uint64), joined(1, np.int64)
+    else:
+        slots, followers, singles, keys, counts, below = (joined(i, k) for i, k in enumerate((np.uint64, np.int64, np.int64, "S1", np.int64, np.int64)))
+        names, _, slot = distinct(slots)
+        whose = np.repeat(slot, followers)
+        keys = mix(names[whose] * np.uint64(0xA24BAED4963EE407) + _long(keys.view(np.uint8)))
+    known, first, of = distinct(keys)
     totals = _sums(of, counts >> 1, len(known))
     marked = (2 * totals + (_sums(of, counts & 1, len(known)) > 0))[of]
     histogram = np.bincount(np.minimum(totals, _K + 2), minlength=_K + 3)[1 : _K + 2]
-    once, low, size = np.zeros((0, _K), np.int64), np.zeros(0), np.zeros(len(each), np.int64)
-    if n > 1:
-        slots, singles = _joined(table, "histories").astype(np.uint64), _joined(table, "singles")
-        size = pa.compute.list_value_length(table["histories"]).to_numpy()
-        names, slot = np.unique(slots, return_inverse=True)
-        mine = np.repeat(slot, _joined(table, "followers"))[first]
-        single = _sums(slot, singles, len(names))
-        seen = totals > 0
+    histogram[0] += alone
+    sizes = np.cumsum([0, *(len(b[-1 if n == 1 else 4]) for _, b in asks)])
+    if n == 1:
+        rows = [(block, bucket, packed(marked[i:j]), b"") for (block, _), i, j in zip(asks, sizes[:-1], sizes[1:], strict=True)]
+    else:
+        mine, seen = whose[first], totals > 0
         by_count = np.stack([_sums(mine[totals == r], None, len(names)) for r in range(1, _K + 1)], 1)
+        single = _sums(slot, singles, len(names))
         by_count[:, 0] += single
         histogram[0] += single.sum()
-        below = np.bincount(mine[seen], lower.discounted(_joined(table, "lower")[first][seen]), len(names)) + single * lower.discounted(np.array([1]))[0]
-        once, low = by_count[slot], below[slot]
-    a, b = np.cumsum(each) - each, np.cumsum(size) - size
-    none = np.zeros(0, np.int64)
-    rows = [(block, bucket, none, marked[i : i + x], once[j : j + y].ravel(), low[j : j + y]) for block, i, x, j, y in zip(table["block"].to_pylist(), a, each, b, size, strict=True)]
-    histogram[0] += alone
-    rows.append((-1, bucket, none, np.concatenate((histogram, [int((totals > 0).sum()), int(totals.sum())])), none, np.zeros(0)))
+        low = np.bincount(mine[seen], lower.discounted(below[first][seen]), len(names)) + single * lower.discounted(np.array([1]))[0]
+        edges = np.cumsum([0, *(len(b[0]) for _, b in asks)])
+        rows = [
+            (block, bucket, packed(marked[i:j]), packed(*by_count[slot[x:y]].T, low[slot[x:y]]))
+            for (block, _), i, j, x, y in zip(asks, sizes[:-1], sizes[1:], edges[:-1], edges[1:], strict=True)
+        ]
+    rows.append((-1, bucket, packed(histogram, np.array([(totals > 0).sum(), totals.sum()])), b""))
     if keep:
-        rows.append((-2, bucket, known[totals > 0].astype(np.int64), totals[totals > 0], none, np.zeros(0)))
+        rows.append((-2, bucket, packed(known[totals > 0], totals[totals > 0]), b""))
     return _rows(_ANSWER, rows)
 
 
 class View:
     """What a block knows of the model by the answers to the first orders, at each of its places."""
 
-    def __init__(self, block: Block, answers: pa.Table | None, levels: list[Level], history_rows: int):
-        self.block, self.levels, self.history_rows = block, levels, history_rows
+    def __init__(self, block: Block, answers: pa.Table | None, levels: list[Level], history_rows: int, scored: bool = False):
+        self.block, self.levels, self.history_rows, self.scored = block, levels, history_rows, scored
         #: by order: training count of the n-gram that ends at each place, and whether it occurs nowhere else in all documents
         self.count: list[np.ndarray] = []
         self.lone: list[np.ndarray] = []
@@ -257,9 +311,8 @@ class View:
 
     def _learn(self, n: int, answers: pa.Table) -> None:
         asked, level = self.ask(), self.levels[n - 1]
-        mine = answers.filter(pa.compute.equal(answers["n"], n))
-        mine = mine.sort_by("bucket")
-        marked = _joined(mine, "counts")
+        mine = answers.filter(pa.compute.equal(answers["n"], n)).sort_by("bucket")
+        marked = np.concatenate([unpacked(b.as_py())[0] for b in mine["counts"]]) if mine.num_rows else np.zeros(0, np.int64)
         if n > 1:
             back = np.empty_like(marked)
             back[asked.order] = marked
@@ -274,18 +327,20 @@ class View:
             whole, unknown = level.unigrams()
             self.p = np.where(count > 0, level.discounted(count) / whole, unknown)
             self.norm = np.full(len(count), 1 / whole)
-        else:
-            self._back_off(asked, level, count, _joined(mine, "once").reshape(-1, _K), _joined(mine, "low"))
+        elif self.scored:
+            sums = [unpacked(b.as_py()) for b in mine["sums"]]
+            self._back_off(asked, level, count, [np.concatenate(c) for c in zip(*sums, strict=True)])
         self.count.append(count)
         self.lone.append(lone)
 
-    def _back_off(self, asked: Asked, level: Level, count: np.ndarray, once: np.ndarray, low: np.ndarray) -> None:
-        """Brings the probability and s(h) / c(h) at each place up by one order."""
+    def _back_off(self, asked: Asked, level: Level, count: np.ndarray, sums: list[np.ndarray]) -> None:
+        """Brings the probability and s(h) / c(h) at each place up by one order. sums: by salted history, the followers seen once
+        to five times and the sum of D over the followers' counts one order below."""
         discounts, size = level.discounts(), len(asked.salts)
-        by_count = np.stack([np.bincount(asked.owner, once[:, r], size) for r in range(_K)], 1)
-        below = np.bincount(asked.owner, low, size)[asked.history]
+        *by_count, low = (np.bincount(asked.owner, x, size) for x in sums) if sums else [np.zeros(size)] * (_K + 1)
+        below = low[asked.history]
         total = self.count[-1][asked.valid - 1]
-        freed = (by_count @ (np.arange(1, _K + 1) * (1 - discounts[1:])))[asked.history]
+        freed = sum(r * (1 - discounts[r]) * x for r, x in enumerate(by_count, 1))[asked.history]
         scale, backoff = weights(1 - freed / total, self.norm[asked.valid] * below, total)
         seen = count[asked.valid]
         p, norm = self.p.copy(), np.zeros(len(self.p))
@@ -340,10 +395,11 @@ class KatzModel:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         remove_folder(self.spark, self.folder)
 
-    def _over_blocks(self, function, schema) -> DataFrame:
+    def _over_blocks(self, function, schema, sums: bool = False) -> DataFrame:
         """The function over each block's documents and the answers to it so far."""
         docs = self.spark.table(self.name).groupBy("block")
-        parts = [self.spark.read.parquet(f"{self.folder}/order={n}").filter("block >= 0").select("block", "bucket", "counts", "once", "low", F.lit(n).alias("n")) for n in range(1, len(self.levels) + 1)]
+        columns = ["block", "bucket", "counts", *(["sums"] if sums else [])]
+        parts = [self.spark.read.parquet(f"{self.folder}/order={n}").filter("block >= 0").select(*columns, F.lit(n).alias("n")) for n in range(1, len(self.levels) + 1)]
         if not parts:
             return docs.applyInArrow(lambda table: function(table, None), schema)
         return docs.cogroup(reduce(DataFrame.union, parts).groupBy("block")).applyInArrow(function, schema)
@@ -356,15 +412,15 @@ class KatzModel:
         def ask(table: pa.Table, answers: pa.Table | None) -> pa.Table:
             asked = View(Block(table, n), answers, levels, history_rows).ask()
             # n-grams of histories that occur once are counted here
-            return _rows(_ASK, [*asked.rows(table["block"][0].as_py(), ranges), (-1, 0, [], [], [], [], [len(asked.lone)], [])])
+            return _rows(_ASK, [*asked.rows(table["block"][0].as_py(), ranges), (-1, 0, packed(np.array([len(asked.lone)])))])
 
         def reply(table: pa.Table) -> pa.Table:
             return answer(table, n, levels[-1] if levels else None, keep)
 
         path = f"{self.folder}/order={n}"
         self._over_blocks(ask, _ASK).groupBy("bucket").applyInArrow(reply, _ANSWER).write.option("compression", "zstd").parquet(path)
-        rows = self.spark.read.parquet(path).filter("block = -1").select(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(_K + 3))).first()
-        numbers = [int(x or 0) for x in rows]
+        found = self.spark.read.parquet(path).filter("block = -1").select("counts").mapInArrow(_added, "n array<long>").collect()
+        numbers = [int(sum(x)) for x in zip(*(r.n for r in found), strict=True)] or [0] * (_K + 3)
         self.levels.append(Level(numbers[-1], numbers[-2], [0, *numbers[: _K + 1]]))
 
     def scores(self, id_column: str) -> DataFrame:
@@ -376,14 +432,23 @@ class KatzModel:
 
         def score(table: pa.Table, answers: pa.Table) -> pa.Table:
             block = Block(table, order)
-            view = View(block, answers, levels, history_rows)
+            view = View(block, answers, levels, history_rows, scored=True)
             base = np.log10((view.count[0] + 1) / (levels[0].total + levels[0].distinct + 1))
             columns = [np.add.reduceat(x, block.starts[:-1]) for x in ((view.count[0] > 0).astype(np.int64), base, np.log10(view.p))]
             lengths = np.diff(block.starts)
             held, constant = pa.compute.invert(table["train"]), np.full(len(lengths), levels[0].total)
             return pa.Table.from_arrays([table["id"], held, *map(pa.array, (lengths, columns[0], constant, columns[1], columns[2]))], names=names)
 
-        return self._over_blocks(score, schema)
+        return self._over_blocks(score, schema, sums=True)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of counts of a task's ranges, added up: a row of eight numbers."""
+    total = np.zeros(_K + 3, np.int64)
+    for batch in batches:
+        for body in batch.column(0):
+            total += np.concatenate(unpacked(body.as_py()))
+    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n"])
 
 
 def train_share(id_column: str = "doc_id") -> Column:
