@@ -18,13 +18,11 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _query(sql: str | None = None):
+def _query(sql: str):
     """Registers a function as a query of its name."""
 
     def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
         return f
 
     return register
@@ -321,8 +319,7 @@ SELECT rule, count(hit_t) AS hits, round(stddev_samp(hit_t), 4) AS hit_sd, round
 )
 def causal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = spark.createDataFrame([("viewed", 100.0, 400.0), ("few_errors", 50.0, 300.0), ("none", 0.0, 1.0)], "rule string, lo double, hi double")
-    sessions = judgments(spark, sf_dir).agg(F.count_distinct("session_id")).first()[0]
-    rows = evaluate.hit_summary(evaluate.causal_hits(_cards(spark, sf_dir), windows), sessions)
+    rows = evaluate.hit_summary(evaluate.causal_hits(_cards(spark, sf_dir), windows), judgments(spark, sf_dir))
     return rows.select("rule", "hits", F.round("hit_sd", 4).alias("hit_sd"), *_r("early_mean"))
 
 
@@ -555,13 +552,6 @@ def apply_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.apply_curves(samples(spark, sf_dir), curves).select("tick", "key", *_r("value"))
 
 
-@_query()
-def holdout_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split is by hash order, which SQL of another engine doesn't have; tests hold it against a plain loop."""
-    rows = samples(spark, sf_dir).filter("truth IS NOT NULL")
-    return calibration.holdout_fit(rows, ["tick"])
-
-
 @_query(
     _ACC
     + """, h AS (SELECT key, accuracy AS a, accuracy * 0.1 + (1 - accuracy) * 0.9 AS low, accuracy * 0.9 + (1 - accuracy) * 0.1 AS high, sqrt(accuracy * (1 - accuracy)) * 0.8 AS sigma FROM measured),

@@ -22,7 +22,7 @@ def measured(judgments: DataFrame, specs: DataFrame, curves: DataFrame | None =
     out = traces.run_traces(traces.with_specs(rows, specs))
     out = traces.ema_integral(traces.ema_slope(out.drop("slope"), 2.0, "slope"), 30.0, "integral30")
     about = specs.select("key", "fire", "silent")
-    return out.join(F.broadcast(about), "key").withColumn("fired", F.col("fired") & ~F.coalesce("silent", F.lit(False)))
+    return out.join(about, "key").withColumn("fired", F.col("fired") & ~F.coalesce("silent", F.lit(False)))
 
 
 def cards_from_judgments(judgments: DataFrame, specs: DataFrame, curves: DataFrame | None = None, utterances: DataFrame | None = None, deck=rules.DEFAULT_RULES) -> DataFrame:

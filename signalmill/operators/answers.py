@@ -27,13 +27,12 @@ def answer_value(kind: Column, levels: Column, answer: Column, option: Column) -
 def parse_answers(calls: DataFrame, channels: DataFrame) -> DataFrame:
     """Rows (session_id, tick, t, answers) to judgments (session_id, tick, t, key, raw, alt).
 
-    No row without the first wording's answer; alt is null without the second's. Choices give a row for each watched option. The channels are
-    a short table and broadcast.
+    No row without the first wording's answer; alt is null without the second's. Choices give a row for each watched option.
     """
     options = F.when(F.col("kind") == "choice", F.col("watch")).otherwise(F.array(F.lit(None).cast("string")))
     small = channels.select(F.col("id"), F.col("kind"), F.size(F.coalesce("criteria", F.array())).alias("levels"), F.explode(options).alias("option"), (F.length("alt") > 0).alias("twice"))
     asked = calls.select("session_id", "tick", "t", F.explode("answers").alias("id", "first"), "answers").filter(~F.col("id").endswith(ALT))
-    rows = asked.join(F.broadcast(small), "id").filter(F.col("first").isNotNull())
+    rows = asked.join(small, "id").filter(F.col("first").isNotNull())
     second = F.when(F.coalesce("twice", F.lit(False)), F.try_element_at("answers", F.concat("id", F.lit(ALT))))
     rows = rows.withColumn("second", second)
     value = lambda a: answer_value(F.col("kind"), F.col("levels"), F.col(a), F.col("option"))
@@ -52,7 +51,7 @@ def plain_question(traces: DataFrame, channels: DataFrame) -> DataFrame:
     """Adds ``question`` to rows with a trace key: the wording, and for a choice which option is meant."""
     small = channels.select(F.col("id").alias("_id"), "instructions", F.map_from_arrays("criteria.option", "criteria.label").alias("_labels"))
     option = F.when(F.contains("key", F.lit(":")), F.substring_index("key", ":", -1))
-    rows = traces.join(F.broadcast(small), F.substring_index("key", ":", 1) == F.col("_id"), "left").withColumn("_option", option)
+    rows = traces.join(small, F.substring_index("key", ":", 1) == F.col("_id"), "left").withColumn("_option", option)
     label = F.coalesce(F.try_element_at("_labels", F.col("_option")), F.col("_option"))
     long = F.format_string("%s — is it '%s' (%s)?", "instructions", "_option", label)
     return rows.withColumn("question", F.when(F.col("_option").isNull(), F.col("instructions")).otherwise(long)).drop("_id", "instructions", "_labels", "_option")

@@ -5,8 +5,9 @@ Pairs are rows (key, raw, truth).
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import isotonic
@@ -22,7 +23,7 @@ def calibration_error(pairs: DataFrame, bins: int = 10, value: str = "raw", keys
 
 def boundary_accuracy(pairs: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """The share of rows whose raw falls on the side of its truth, by key, to 4 places; bounds (key, bound), else 0.5."""
-    rows = pairs.withColumn("bound", F.lit(0.5)) if bounds is None else pairs.join(F.broadcast(bounds), "key", "left")
+    rows = pairs.withColumn("bound", F.lit(0.5)) if bounds is None else pairs.join(bounds, "key", "left")
     hit = ((F.col("raw") >= F.coalesce("bound", F.lit(0.5))) == F.col("truth")).cast("double")
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg(hit), 4).alias("accuracy"))
 
@@ -63,41 +64,64 @@ def calibrated(raw: Column, xs: Column, ys: Column) -> Column:
     return F.when(raw.isNull(), 0.0).when(xs.isNull() | (F.size(xs) == 0), raw).otherwise(inside)
 
 
-def apply_curves(judgments: DataFrame, curves: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+def apply_curves(judgments: DataFrame, curves: DataFrame) -> DataFrame:
     """Judgments with ``value`` and ``alt`` calibrated by their key's curve; a null alt stays null."""
-    few = curves.limit(broadcast_rows + 1).count() <= broadcast_rows
-    slim = curves.select("key", "xs", "ys")
-    rows = judgments.join(F.broadcast(slim) if few else slim, "key", "left")
+    rows = judgments.join(curves.select("key", "xs", "ys"), "key", "left")
     rows = rows.withColumn("value", calibrated(F.col("raw"), F.col("xs"), F.col("ys")))
     if "alt" in judgments.columns:
         rows = rows.withColumn("alt", F.when(F.col("alt").isNotNull(), calibrated(F.col("alt"), F.col("xs"), F.col("ys"))))
     return rows.drop("xs", "ys")
 
 
-def holdout_fit(pairs: DataFrame, id_columns: list[str], enough: int = 80, seed: int = 0, bounds: DataFrame | None = None) -> DataFrame:
-    """By key: a curve fitted on a random half (by hash order) and kept if it lowers the error on the other half.
+def for_training(id_columns: list[str], seed: int = 0) -> Column:
+    """A random half of the rows: those whose id, as text with the seed, has an md5 that begins with 0 to 7."""
+    return F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in id_columns), F.lit(str(seed)))) < "8"
 
-    Columns: key, xs, ys (null unless kept), accuracy, n, ece_before, ece_after, verdict (keep, drop or too few).
+
+def holdout_fit(pairs: DataFrame, id_columns: list[str], enough: int = 80, seed: int = 0, bounds: DataFrame | None = None, least: int | None = None, most_points: int = 24, digits: int = 4) -> DataFrame:
+    """By key: a curve fitted on a random half and kept if it lowers the error on the other half.
+
+    Columns: key, xs, ys (null unless kept), accuracy, n, ece_before, ece_after, verdict (keep, drop or too few). Raws count to ``digits`` places,
+    as they are recorded: rows are added up by key and raw in one shuffle, so a key meets its fit as 10^digits + 1 rows at most.
     """
-    counts = pairs.groupBy("key").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64(*id_columns, F.lit(seed)), *id_columns)
-    rows = pairs.join(counts, "key").withColumn("_train", F.row_number().over(order) <= F.floor(F.col("n") / 2)).filter(F.col("n") >= enough)
-    curves = fit_curves(rows.filter("_train")).drop("n")
-    test = apply_curves(rows.filter(~F.col("_train")).drop("alt") if "alt" in rows.columns else rows.filter(~F.col("_train")), curves)
-    before = calibration_error(test).select("key", F.col("ece").alias("ece_before"))
-    after = calibration_error(test, value="value").select("key", F.col("ece").alias("ece_after"))
-    accuracy = boundary_accuracy(pairs, bounds).select("key", "accuracy")
-    out = counts.join(accuracy, "key").join(before, "key", "left").join(after, "key", "left").join(curves, "key", "left")
-    verdict = F.when(F.col("n") < enough, "too few").when(F.col("ece_after") < F.col("ece_before"), "keep").otherwise("drop")
-    out = out.withColumn("verdict", verdict)
-    kept = F.col("verdict") == "keep"
-    return out.select("key", F.when(kept, F.col("xs")).alias("xs"), F.when(kept, F.col("ys")).alias("ys"), F.when(F.col("verdict") != "too few", F.col("accuracy")).alias("accuracy"), "n", "ece_before", "ece_after", "verdict")
+    train, yes = for_training(id_columns, seed), F.col("truth").cast("long")
+    sums = {"n_train": F.count_if(train), "y_train": F.sum(F.when(train, yes).otherwise(0)), "n_test": F.count_if(~train), "y_test": F.sum(F.when(~train, yes).otherwise(0))}
+    points = pairs.groupBy("key", F.round("raw", digits).alias("raw")).agg(*(c.alias(n) for n, c in sums.items()))
+    points = points.withColumn("bound", F.lit(0.5)) if bounds is None else points.join(bounds, "key", "left").na.fill(0.5, ["bound"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("raw")
+        raw, n_train, y_train, n_test, y_test, bound = (table[c].to_numpy() for c in ("raw", "n_train", "y_train", "n_test", "y_test", "bound"))
+        n, hits = n_train + n_test, np.where(raw >= bound, y_train + y_test, n_train + n_test - y_train - y_test)
+        accuracy = xs = ys = before = after = None
+        verdict, total = "too few", int(n.sum())
+        if total >= enough:
+            seen, tried = n_train > 0, n_test > 0
+            xs, ys = isotonic.fit(raw[seen], n_train[seen], y_train[seen], least, most_points)
+            before = binned_error(raw[tried], n_test[tried], y_test[tried])
+            after = binned_error(np.interp(raw[tried], xs, ys), n_test[tried], y_test[tried])
+            accuracy, verdict = round(float(hits.sum() / total), 4), "keep" if after < before else "drop"
+            xs, ys = (xs, ys) if verdict == "keep" else (None, None)
+        row = {"key": table["key"][:1], "xs": [xs], "ys": [ys], "accuracy": [accuracy], "n": [total], "ece_before": [before], "ece_after": [after], "verdict": [verdict]}
+        kinds = {"xs": pa.list_(pa.float64()), "ys": pa.list_(pa.float64()), "accuracy": pa.float64(), "ece_before": pa.float64(), "ece_after": pa.float64()}
+        return pa.table({c: pa.array(v, kinds[c]) if c in kinds else v for c, v in row.items()})
+
+    return points.groupBy("key").applyInArrow(judge, "key string, xs array<double>, ys array<double>, accuracy double, n long, ece_before double, ece_after double, verdict string")
+
+
+def binned_error(p: np.ndarray, n: np.ndarray, yes: np.ndarray, bins: int = 10) -> float:
+    """The expected calibration error of points that stand for n rows each; 0 for none."""
+    if not len(p):
+        return 0.0
+    of = np.minimum((p * bins).astype(int), bins - 1)
+    rows, said, was = (np.bincount(of, x, bins) for x in (n, n * p, yes))
+    return float(np.abs(said - was).sum() / rows.sum())
 
 
 def with_accuracies(channels: DataFrame, fitted: DataFrame) -> DataFrame:
     """Channels with measured accuracies (the least of a choice's traces) in place of the assumed ones."""
     measured = fitted.filter("accuracy IS NOT NULL").groupBy(F.substring_index("key", ":", 1).alias("_id")).agg(F.min("accuracy").alias("_a"))
-    rows = channels.join(F.broadcast(measured), channels["id"] == F.col("_id"), "left")
+    rows = channels.join(measured, channels["id"] == F.col("_id"), "left")
     return rows.withColumn("accuracy", F.coalesce("_a", "accuracy")).drop("_id", "_a")
 
 

@@ -57,13 +57,20 @@ def last_lines(lines: Column, n: int) -> Column:
     return F.slice(lines, F.greatest(F.size(lines) - n + 1, F.lit(1)), F.lit(n))
 
 
-def payloads(contexts: DataFrame, agenda: Column | None = None, brief: Column | None = None) -> DataFrame:
-    """Adds ``payload``, JSON of the recent conversation and, where given, agenda and brief; empty fields are left out."""
+def payloads(contexts: DataFrame, agenda: Column | None = None, brief: Column | None = None, questions: DataFrame | None = None) -> DataFrame:
+    """Adds ``payload``, JSON of the recent conversation and, where given, agenda and brief; empty fields are left out.
+
+    With ``questions`` (rows of ``answers.questions``) that is the payload's ``state``, beside the map of all questions: one short row."""
     fields = [F.when(F.size("lines") > 0, F.col("lines")).alias("recent_conversation")]
     for value, name in ((agenda, "agenda"), (brief, "brief")):
         if value is not None:
             fields.append(F.when(F.length(value) > 0, value).alias(name))
-    return contexts.withColumn("payload", F.to_json(F.struct(*fields)))
+    if questions is None:
+        return contexts.withColumn("payload", F.to_json(F.struct(*fields)))
+    body = F.struct(F.col("kind").alias("type"), "instructions", F.col("criteria.option").alias("criteria"))
+    asked = questions.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("question_id", body)))).alias("questions"))
+    state = F.struct(*fields).alias("state")
+    return contexts.crossJoin(asked).withColumn("payload", F.to_json(F.struct(state, "questions"))).drop("questions")
 
 
 def _merged(ticks: DataFrame, utterances: DataFrame, extra: list) -> tuple[DataFrame, object]:

@@ -25,15 +25,17 @@ def first_fires(cards: DataFrame) -> DataFrame:
 
 
 def causal_hits(cards: DataFrame, windows: DataFrame, early_s: float = 1.0) -> DataFrame:
-    """By session and rule with a causal window (rule, lo, hi): the first fire in it, and fires before its cause. Windows are few and broadcast."""
-    rows = cards.join(F.broadcast(windows), "rule")
+    """By session and rule with a causal window (rule, lo, hi): the first fire in it, and fires before its cause."""
+    rows = cards.join(windows, "rule")
     inside = F.col("t").between(F.col("lo"), F.col("hi"))
     return rows.groupBy("session_id", "rule").agg(F.min(F.when(inside, F.col("t"))).alias("hit_t"), F.count_if(F.col("t") < F.col("lo") - early_s).alias("early"))
 
 
-def hit_summary(hits: DataFrame, sessions: int) -> DataFrame:
-    """By rule over sessions: sessions with a hit, the spread of hit times, and the mean of fires before the cause."""
-    return hits.groupBy("rule").agg(F.count("hit_t").alias("hits"), F.stddev_samp("hit_t").alias("hit_sd"), (F.sum("early") / sessions).alias("early_mean"))
+def hit_summary(hits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """By rule over all sessions (session_id, repeated or not): sessions with a hit, the spread of hit times, the mean of fires before the cause."""
+    by_rule = hits.groupBy("rule").agg(F.count("hit_t").alias("hits"), F.stddev_samp("hit_t").alias("hit_sd"), F.sum("early").alias("early"))
+    rows = by_rule.crossJoin(sessions.agg(F.count_distinct("session_id").alias("sessions")))
+    return rows.select("rule", "hits", "hit_sd", (F.col("early") / F.col("sessions")).alias("early_mean"))
 
 
 def detector_quality(outputs: DataFrame, episodes: DataFrame) -> DataFrame:

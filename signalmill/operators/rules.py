@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import spaced
+from .context import last_lines
 
 MEASURES = ("ema", "slope", "integral30", "warm", "fire", "in_band_for")
 
@@ -150,12 +151,32 @@ def floor_holder(wide: DataFrame, at: float = 0.42):
     return wide.withColumn("floor", F.when(best["v"] > at, best["o"]).otherwise("them"))
 
 
-def frames(wide: DataFrame, keys: list[str], found: DataFrame, lines: DataFrame | None = None, most_cards: int = 40) -> DataFrame:
-    """A snapshot for each tick: a map of traces to smoothed values, that tick's cards and, where given, the last lines."""
-    pairs = [x for k in keys for x in (F.lit(k), F.col(f"{column(k)}__ema"))]
-    traces = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-    raised = found.groupBy("session_id", "tick").agg(F.slice(F.sort_array(F.collect_list("rule")), 1, most_cards).alias("cards"))
-    out = wide.select("session_id", "tick", "t", traces.alias("traces")).join(raised, ["session_id", "tick"], "left")
+#: What a frame shows of each trace.
+SHOWN = ("raw", "alt", "ema", "disagreement", "slope", "latched", "warm", "unreliable", "fire_count")
+
+
+def frames(outputs: DataFrame, keys: list[str], gate: DataFrame | None = None, found: DataFrame | None = None, lines: DataFrame | None = None, meter: DataFrame | None = None, digits: int = 4, most_cards: int = 40) -> DataFrame:
+    """A snapshot for each tick: ``traces``, a map of each trace to its latest sample at that tick (numbers to 4 places), and where given the
+    gate's decision (``open``), that tick's cards, the last lines, and the meter as a struct of the other columns of its rows.
+
+    ``outputs`` are trace outputs with session_id, tick, t, key and any of ``SHOWN``; the keys are a short list, so one pass pivots them.
+    All parts meet by session and tick, which Spark shuffles once.
+    """
+    shown = [m for m in SHOWN if m in outputs.columns]
+    rounded = [F.round(m, digits).alias(m) if m in ("raw", "alt", "ema", "disagreement", "slope") else F.col(m) for m in shown]
+    latest = [F.max_by(F.when(F.col("key") == k, F.struct(*rounded)), F.when(F.col("key") == k, F.col("t"))).alias(f"trace{i}") for i, k in enumerate(keys)]
+    wide = outputs.groupBy("session_id", "tick").agg(F.max("t").alias("t"), *latest)
+    up_to = Window.partitionBy("session_id").orderBy("t", "tick").rowsBetween(Window.unboundedPreceding, 0)
+    pairs = [x for i, k in enumerate(keys) for x in (F.lit(k), F.last(f"trace{i}", ignorenulls=True).over(up_to))]
+    out = wide.select("session_id", "tick", "t", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("traces"))
+    at = ["session_id", "tick"]
+    if gate is not None:
+        out = out.join(gate.select(*at, "open"), at, "left")
+    if found is not None:
+        raised = found.groupBy(*at).agg(F.slice(F.sort_array(F.collect_list("rule")), 1, most_cards).alias("cards"))
+        out = out.join(raised, at, "left").withColumn("cards", F.coalesce("cards", F.array().cast("array<string>")))
     if lines is not None:
-        out = out.join(lines.select("session_id", "tick", F.slice(F.col("lines"), F.greatest(F.size("lines") - 7, F.lit(1)), F.lit(8)).alias("transcript")), ["session_id", "tick"], "left")
+        out = out.join(lines.select(*at, last_lines(F.col("lines"), 8).alias("transcript")), at, "left")
+    if meter is not None:
+        out = out.join(meter.select(*at, F.struct(*(c for c in meter.columns if c not in at)).alias("meter")), at, "left")
     return out

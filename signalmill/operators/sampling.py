@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import checkpointed, unused
+
 
 def bin_of(raw: Column, bins: int = 10) -> Column:
     """The bin of a value from 0 to 1; 1 falls in the last."""
@@ -24,8 +26,20 @@ def quota_sample(judgments: DataFrame, per_bin: int = 25, bins: int = 10, pooled
 
 def sample_rows(kept: DataFrame) -> DataFrame:
     """Sampled rows as they are written for labelling: rounded, with an empty truth."""
-    out = kept.withColumns({"raw": F.round("raw", 4), "t": F.round("t", 2), "truth": F.lit(None).cast("boolean")})
-    return out.drop("bin")
+    rounded = {c: F.round(c, 4) for c in ("raw", "ema", "alt") if c in kept.columns}
+    return kept.withColumns({**rounded, "t": F.round("t", 2), "truth": F.lit(None).cast("boolean")}).drop("bin")
+
+
+def recorded_rows(kept: DataFrame, contexts: DataFrame, channels: DataFrame, turns: int = 2) -> DataFrame:
+    """Sampled rows (session_id, key, raw, t, tick, ema, alt) as labellers need them: with the question in plain words and the last lines
+    before them. ``contexts`` are rows (session_id, tick, lines); texts join the few sampled rows only."""
+    from .answers import plain_question
+    from .context import last_lines
+
+    rows = plain_question(sample_rows(kept), channels).withColumnRenamed("question", "instructions")
+    lines = contexts.select("session_id", "tick", last_lines(F.col("lines"), turns).alias("context"))
+    rows = rows.join(lines, ["session_id", "tick"], "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
+    return rows.select("session_id", "key", "raw", "truth", "t", "tick", "ema", "alt", "instructions", "context")
 
 
 def coverage(kept: DataFrame) -> DataFrame:
@@ -47,13 +61,26 @@ def thinnest(covered: DataFrame, n: int = 3) -> DataFrame:
 
 
 def label_queue(samples: DataFrame, like: str | None = None) -> DataFrame:
-    """What is unlabelled, by key and raw, with the place in its key's queue and how many remain there."""
+    """What is unlabelled, by key and raw, with the place in its key's queue and how many remain there.
+
+    A key may hold most rows, so rows are dealt by ranges of the whole order, each task counts its own, and places follow from the counts:
+    a row for each key in each task, which is at most tasks + keys rows.
+    """
     rows = samples.filter("truth IS NULL")
     if like:
         rows = rows.filter(F.contains("key", F.lit(like)))
-    one = Window.partitionBy("key")
-    rows = rows.withColumns({"place": F.row_number().over(one.orderBy("raw", "session_id", "tick")), "remaining": F.count("*").over(one)})
-    return rows
+    order = ["key", "raw", "session_id", "tick"]
+    part, turn = unused(samples, "part"), unused(samples, "turn")
+    number = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # computed once: the cuts are drawn from a sample
+    dealt = checkpointed(dealt.withColumns({part: F.shiftright(number, 33), turn: number.bitwiseAND((1 << 33) - 1)}))
+    held = dealt.groupBy(F.col("key").alias("_key"), F.col(part).alias("_part")).agg(F.count("*").alias("_n"), F.min(turn).alias("_first"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_key", "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_key")).alias("remaining"))
+    joined = dealt.join(held, dealt["key"].eqNullSafe(held["_key"]) & (dealt[part] == held["_part"]))
+    place = F.col(turn) - F.col("_first") + F.col("_before") + 1
+    return joined.select(*(dealt[c] for c in samples.columns), place.alias("place"), "remaining")
 
 
 def label_progress(samples: DataFrame, enough: int = 80) -> DataFrame:

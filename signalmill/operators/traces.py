@@ -19,10 +19,9 @@ TRACE = ("session_id", "key")
 _TYPES = {"warm": T.BooleanType(), "unreliable": T.BooleanType(), "fired": T.BooleanType(), "latched": T.BooleanType(), "fire_count": T.LongType()}
 
 
-def with_specs(judgments: DataFrame, specs: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """Judgments with the spec of their trace; keys without a spec are dropped. The specs are broadcast if they are few."""
-    few = specs.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return judgments.join(F.broadcast(specs) if few else specs, "key")
+def with_specs(judgments: DataFrame, specs: DataFrame) -> DataFrame:
+    """Judgments with the spec of their trace; keys without a spec are dropped. Spark broadcasts the specs if they are small."""
+    return judgments.join(specs, "key")
 
 
 def run_traces(judgments: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def fired_edges(outputs: DataFrame, channels: DataFrame | None = None) -> DataFr
     if channels is None:
         return edges
     silent = channels.filter("silent").select(F.col("id").alias("_silent"))
-    return edges.join(F.broadcast(silent), F.substring_index("key", ":", 1) == F.col("_silent"), "left_anti")
+    return edges.join(silent, F.substring_index("key", ":", 1) == F.col("_silent"), "left_anti")
 
 
 def trace_status(unreliable: Column, warm: Column, latched: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import swapped_in, unused
+
 SPEAKERS = ("ME", "THEM", "SILENCE")
 _SCRIPT = "t DOUBLE, speaker STRING, text STRING, truth STRING"
 ANSWERS = "MAP<STRING, STRUCT<noul: DOUBLE, choice: STRING, probabilities: MAP<STRING, DOUBLE>, score: DOUBLE, confidence: DOUBLE>>"
@@ -64,7 +68,17 @@ def merged_streams(streams: dict[str, DataFrame]) -> DataFrame:
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """A log of model calls as JSON lines; answers of failed calls are empty."""
-    return spark.read.schema(CALLS).json(path).withColumn("answers", F.coalesce("answers", F.create_map().cast(ANSWERS)))
+    return _answered(spark.read.schema(CALLS).json(path))
+
+
+def parse_calls(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The same of lines that are at hand, from a stream for example; malformed JSON goes."""
+    rows = lines.select(F.from_json(column, CALLS).alias("r")).filter("r.session_id IS NOT NULL")
+    return _answered(rows.select("r.*"))
+
+
+def _answered(calls: DataFrame) -> DataFrame:
+    return calls.withColumn("answers", F.coalesce("answers", F.create_map().cast(ANSWERS)))
 
 
 def labelled_rows(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,9 +93,19 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def merge_labels(samples: DataFrame, labels: DataFrame, keys=("session_id", "key", "tick")) -> DataFrame:
-    """Samples with new labels set; other rows and columns are untouched. The result is written to a new place, then swapped in."""
-    new = labels.select(*keys, F.col("truth").alias("_truth")).dropDuplicates(list(keys))
-    return samples.join(new, list(keys), "left").withColumn("truth", F.coalesce("_truth", "truth")).select(samples.columns)
+    """Samples with new labels set; other rows and columns are untouched. Of several labels of a row the one with the greatest ``at`` counts,
+    or where there is no such column, true before false. Null labels set nothing."""
+    last = F.max_by("truth", F.struct("at", "truth")) if "at" in labels.columns else F.max("truth")
+    truth = unused(samples, "new_truth")
+    new = labels.filter("truth IS NOT NULL").groupBy(*keys).agg(last.alias(truth))
+    return samples.join(new, list(keys), "left").withColumn("truth", F.coalesce(truth, "truth")).select(samples.columns)
+
+
+def save_samples(samples: DataFrame, path: str) -> None:
+    """Writes rows to a new folder beside the path and swaps it in when it is whole, so that a failed job leaves the old rows."""
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    samples.write.json(fresh)
+    swapped_in(samples.sparkSession, fresh, path)
 
 
 def write_calibration(curves: DataFrame, path: str) -> None:

@@ -127,8 +127,8 @@ def test_default_deck(spark):
     card = got.filter("rule = 'losing_them'").first()
     assert card.evidence == {"confusion": 0.7, "interest": 0.4} and card.severity == "alert"
     assert rules.floor_holder(wide).filter("tick = 3").first().floor == "me"
-    frames = {r.tick: r for r in rules.frames(wide, keys, got).collect()}
-    assert frames[2].cards == ["losing_them"] and frames[1].traces == {"interest": 0.4}
+    shown = {r.tick: r for r in rules.frames(samples, keys, found=got).collect()}
+    assert shown[2].cards == ["losing_them"] and {k: v.ema for k, v in shown[1].traces.items()} == {"interest": 0.4}
 
 
 def test_quotas(spark):
@@ -216,7 +216,7 @@ def test_evaluation(spark):
     windows = spark.createDataFrame([("r", 15.0, 32.0)], "rule string, lo double, hi double")
     hits = evaluate.causal_hits(cards, windows)
     assert {tuple(r) for r in hits.collect()} == {("a", "r", 20.0, 1), ("b", "r", 22.0, 0)}
-    assert tuple(evaluate.hit_summary(hits, 2).first()) == ("r", 2, pytest.approx(2**0.5), 0.5)
+    assert tuple(evaluate.hit_summary(hits, cards).first()) == ("r", 2, pytest.approx(2**0.5), 0.5)
 
 
 @pytest.mark.parametrize("name", ["trigger_edges", "card_cooldown", "gate_decisions", "context_window", "isotonic_curve", "truth_asof"])
