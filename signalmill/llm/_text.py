@@ -8,6 +8,7 @@ of a table share one with a chance of about n^2 / 2^65.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +135,8 @@ class Scratch:
         """The frame, computed once and read from its table."""
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
-        frame.write.parquet(path)
+        with once(self.spark):
+            frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self) -> None:
@@ -154,13 +156,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps, which it does when the driver's garbage is collected."""
-    import gc
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+@contextmanager
+def once(spark: SparkSession):
+    """Steps that write a table: their shuffle files go when each is written, not when the driver's garbage is collected. Settings come back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

@@ -22,8 +22,8 @@ What occurs once needs no exchange: an n-gram with a part that only this place o
 itself seen once, here; histories of that kind are complete in their block, and other histories get such followers as a number.
 A history of more than ``HISTORY_ROWS`` occurrences is split into salts, each with a part of the followers; who asks adds them up.
 A block asks for no more keys than it has places, however many ranges there are; ranges grow with the corpus, so that what one task holds
-stays the same. Nothing but the counts of counts comes to the driver. n-grams are known by 64-bit hashes, on the way by their history's and
-48 bits of their own.
+stays the same. Nothing but the counts of counts comes to the driver. n-grams are known by 64-bit hashes, on the way by 48 bits of their history's,
+within its range, and 40 of their own.
 
 Cases: null or empty texts have one token, their end; a null id counts as the empty string for the split; repeated rows
 count and are scored as often as they occur; texts of any length are read whole (one is never cut by blocks); without
@@ -47,15 +47,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import buffers, checkpointed, ensure_checkpoint_dir, mix, partitions, release, remove_folder, row_chunks, word_hashes
+from ._text import Scratch, buffers, ensure_checkpoint_dir, mix, once, partitions, remove_folder, row_chunks, word_hashes
 
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 #: Bytes of text in a block.
 BLOCK_BYTES = 6 << 20
 #: Blocks for each range of keys.
 RANGE_BLOCKS = 2
-#: Bytes of a follower's hash beside its history.
-FOLLOWER_BYTES = 6
+#: Bytes of a follower's hash beside its history, and bits of a history's beside its range.
+FOLLOWER_BYTES, HISTORY_BITS = 5, 48
 #: Occurrences of a history that one task holds the followers of; beyond, it is salted.
 HISTORY_ROWS = 4_000_000
 #: Counts up to this are discounted.
@@ -166,6 +166,16 @@ def unpacked(body: bytes) -> list[np.ndarray]:
     return out
 
 
+def _planes(rising: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences, all their lowest bytes first, which packs well."""
+    steps = np.diff(rising.astype(np.uint64), prepend=np.zeros(1, np.uint64))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _of_planes(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _short(keys: np.ndarray) -> np.ndarray:
     """The low bytes of keys."""
     return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :FOLLOWER_BYTES]).ravel()
@@ -231,7 +241,7 @@ class Asked:
         out = []
         for b, i, j in _ranges(self.route, ranges):
             mine = slice(edge[i], edge[j])
-            body = packed(self.slots[i:j], self.followers[i:j], self.singles[i:j], _short(keys[mine]).view("S1"), counts[mine], lower[mine])
+            body = packed(_planes(self.slots[i:j] >> np.uint64(64 - HISTORY_BITS)).view("S1"), self.followers[i:j], self.singles[i:j], _short(keys[mine]).view("S1"), counts[mine], lower[mine])
             out.append((block, b, body))
         return out
 
@@ -257,6 +267,8 @@ def answer(table: pa.Table, n: int, lower: Level | None, keep: bool) -> pa.Table
     """The answers to all blocks' asks for one range of keys, and its counts of counts (block -1: n(1) to n(6), distinct, total)."""
     bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
     bodies = [unpacked(b.as_py()) for b in table["body"]]
+    if n > 1:
+        bodies = [[_of_planes(b[0].view(np.uint8)), *b[1:]] if block >= 0 else b for block, b in zip(blocks, bodies, strict=True)]
     alone = sum(int(b[0][0]) for block, b in zip(blocks, bodies, strict=True) if block < 0)
     asks = [(block, b) for block, b in zip(blocks, bodies, strict=True) if block >= 0]
     joined = lambda i, kind: np.concatenate([b[i] for _, b in asks]) if asks else np.zeros(0, kind)
@@ -418,7 +430,8 @@ class KatzModel:
             return answer(table, n, levels[-1] if levels else None, keep)
 
         path = f"{self.folder}/order={n}"
-        self._over_blocks(ask, _ASK).groupBy("bucket").applyInArrow(reply, _ANSWER).write.option("compression", "zstd").parquet(path)
+        with once(self.spark):
+            self._over_blocks(ask, _ASK).groupBy("bucket").applyInArrow(reply, _ANSWER).write.option("compression", "zstd").parquet(path)
         found = self.spark.read.parquet(path).filter("block = -1").select("counts").mapInArrow(_added, "n array<long>").collect()
         numbers = [int(sum(x)) for x in zip(*(r.n for r in found), strict=True)] or [0] * (_K + 3)
         self.levels.append(Level(numbers[-1], numbers[-2], [0, *numbers[: _K + 1]]))
@@ -462,7 +475,7 @@ def katz_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
     model = KatzModel(docs, train, id_column, text_column, order)
     for _ in range(order):
         model.count()
-        release(model.spark)
-    out = checkpointed(model.scores(id_column))
+    scratch = Scratch(model.spark)
+    out = scratch.keep(model.scores(id_column))
     model.drop()
     return out
