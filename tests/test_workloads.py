@@ -53,7 +53,7 @@ def found(spark):
 def test_cards_come_after_their_cause_and_in_time(spark, found):
     cards, _ = found
     windows = spark.createDataFrame(WINDOWS, "rule string, lo double, hi double")
-    hits = {r.rule: r for r in evaluate.hit_summary(evaluate.causal_hits(cards, windows), 6).collect()}
+    hits = {r.rule: r for r in evaluate.hit_summary(evaluate.causal_hits(cards, windows), found[1]).collect()}
     assert hits["monologue"].hits >= 5 and hits["objection_price"].hits >= 4 and hits["hanging_question"].hits >= 4
     assert all(r.early_mean <= 0.2 for r in hits.values())
     assert cards.filter("rule IN ('drifted', 'talking_over')").count() == 0
