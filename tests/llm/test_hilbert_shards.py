@@ -46,6 +46,16 @@ def test_curve_visits_neighbours(spark):
         assert all(r.h == plain_index(r[:n], bits) for r in rows)
 
 
+def plain_text_cuts(values, bits):
+    """The greatest value whose last row lies in each step of equal shares, but for the last step."""
+    values = sorted((v for v in values if v is not None), key=str.encode)
+    last = {v: i + 1 for i, v in enumerate(values)}
+    steps = {}
+    for v, upto in last.items():
+        steps[-(-upto * 2**bits // len(values))] = v
+    return [v for k, v in sorted(steps.items()) if k < 2**bits]
+
+
 def cases():
     rnd = random.Random(3)
     rows = [(i, None if i % 50 == 7 else "é" * rnd.randrange(60), rnd.choice(("en", "de", None)), "hot" if i % 3 else f"s{rnd.randrange(9)}", rnd.randrange(5000), 1) for i in range(500)]
@@ -69,11 +79,26 @@ def test_shards_against_brute_force(spark, monkeypatch):
     assert [r.curve for r in order] == sorted(r.curve for r in got)
     assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
     cuts = H.cut_points(docs, ["lang", "source", "n_chars"], 4)
-    number = {"lang": lambda v: int((v or "").encode()[:7].ljust(7, b"\0").hex(), 16), "source": lambda v: int((v or "").encode()[:7].ljust(7, b"\0").hex(), 16), "n_chars": float}
-    cells = {r[0]: [0 if v is None else sum(c < number[d](v) for c in cuts[d]) for d, v in zip(cuts, r[2:5])] for r in cases()}
+    assert cuts["lang"] == plain_text_cuts([r[2] for r in cases()], 4) and cuts["source"] == plain_text_cuts([r[3] for r in cases()], 4)
+    cells = {r[0]: [0 if v is None else sum(c < v for c in cuts[d]) for d, v in zip(cuts, r[2:5])] for r in cases()}
     assert all(r.curve == plain_index(cells[r.doc_id], 4) for r in got)
 
 
+def test_strings_with_a_long_common_head_are_parted(spark):
+    rows = [(i, "x", f"https://archive.example.org/{i % 40:02d}" + "y" * (i % 40 == 3) * 5000) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    assert H.cut_points(docs, ["source"], 4)["source"] == plain_text_cuts([r[2] for r in rows], 4)
+    cells = Counter(r.curve for r in H.shard_rows(docs, 8).collect())
+    assert len(cells) >= 13 and max(cells.values()) <= 80
+
+
+def test_an_id_that_fills_a_cell_is_split(spark, monkeypatch):
+    monkeypatch.setattr(H, "PART_ROWS", 20)
+    docs = spark.createDataFrame([(None, "same", "s", 5)] * 700 + [(i, "t", "s", 5) for i in range(60)], "doc_id long, text string, source string, n_chars long").repartition(6)
+    counts = Counter((r.shard, r.slot) for r in H.shard_rows(docs, 7).collect())
+    assert len(counts) == 760 and max(counts.values()) == 1
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame(cases(), SCHEMA)
     assert H.shard_rows(docs.limit(0), 24).count() == 0
@@ -82,9 +107,13 @@ def test_odd_tables(spark):
 
 
 def test_files_prune(spark, tmp_path):
-    docs = spark.createDataFrame(cases()[:500], SCHEMA)
-    H.write_shards(docs, str(tmp_path / "out"), 8)
+    docs = spark.createDataFrame(cases(), SCHEMA).withColumn("_shard", F.lit("taken"))
+    H.write_shards(docs, str(tmp_path / "out"), 8, files=20)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 500
-    spans = back.groupBy("_shard").agg(F.min("n_chars").alias("a"), F.max("n_chars").alias("b")).collect()
+    assert Counter(tuple(r) for r in back.drop("_shard_").collect()) == Counter(tuple(r) for r in docs.collect())
+    sizes = Counter(r["_shard_"] for r in back.collect())
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 1
+    # a shard is written by several tasks
+    assert max(len(list(p.glob("*.parquet"))) for p in (tmp_path / "out").iterdir()) > 1
+    spans = back.groupBy("_shard_").agg(F.min("n_chars").alias("a"), F.max("n_chars").alias("b")).collect()
     assert sum(r.b - r.a for r in spans) < 0.9 * 8 * 5000
