@@ -149,7 +149,8 @@ def packed(*arrays: np.ndarray) -> bytes:
         if kind == "i":
             a = a.astype(next(k for k in ("u1", "u2", "u4", "u8") if not len(a) or int(a.max()) < 1 << 8 * int(k[1])))
         head += [ord(kind), a.dtype.itemsize, len(a)]
-        bodies.append(a.tobytes())
+        # all lowest bytes first, which packs well
+        bodies.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
     return zstandard.compress(b"".join([np.array(head, "<i8").tobytes(), *bodies]), 1)
 
 
@@ -160,20 +161,16 @@ def unpacked(body: bytes) -> list[np.ndarray]:
     head, at, out = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(n, 3).tolist(), 8 + 24 * n, []
     for kind, size, length in head:
         whole = kind == ord("i")
-        a = np.frombuffer(raw, f"<{'u' if whole else chr(kind)}{size}", length, at)
+        planes = np.frombuffer(raw, np.uint8, length * size, at).reshape(size, length)
+        a = np.ascontiguousarray(planes.T).view(f"<{'u' if whole else chr(kind)}{size}").ravel()
         at += size * length
         out.append(a.astype(np.int64) if whole else a)
     return out
 
 
-def _planes(rising: np.ndarray) -> np.ndarray:
-    """Rising numbers as differences, all their lowest bytes first, which packs well."""
-    steps = np.diff(rising.astype(np.uint64), prepend=np.zeros(1, np.uint64))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).ravel()
-
-
-def _of_planes(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def _steps(rising: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences."""
+    return np.diff(rising.astype(np.int64), prepend=np.zeros(1, np.int64))
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
@@ -241,7 +238,7 @@ class Asked:
         out = []
         for b, i, j in _ranges(self.route, ranges):
             mine = slice(edge[i], edge[j])
-            body = packed(_planes(self.slots[i:j] >> np.uint64(64 - HISTORY_BITS)).view("S1"), self.followers[i:j], self.singles[i:j], _short(keys[mine]).view("S1"), counts[mine], lower[mine])
+            body = packed(_steps(self.slots[i:j] >> np.uint64(64 - HISTORY_BITS)), self.followers[i:j], self.singles[i:j], _short(keys[mine]).view("S1"), counts[mine], lower[mine])
             out.append((block, b, body))
         return out
 
@@ -263,12 +260,12 @@ def _rows(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def answer(table: pa.Table, n: int, lower: Level | None, keep: bool) -> pa.Table:
+def answer(table: pa.Table, n: int, keep: bool) -> pa.Table:
     """The answers to all blocks' asks for one range of keys, and its counts of counts (block -1: n(1) to n(6), distinct, total)."""
     bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
     bodies = [unpacked(b.as_py()) for b in table["body"]]
     if n > 1:
-        bodies = [[_of_planes(b[0].view(np.uint8)), *b[1:]] if block >= 0 else b for block, b in zip(blocks, bodies, strict=True)]
+        bodies = [[np.cumsum(b[0]).astype(np.uint64), *b[1:]] if block >= 0 else b for block, b in zip(blocks, bodies, strict=True)]
     alone = sum(int(b[0][0]) for block, b in zip(blocks, bodies, strict=True) if block < 0)
     asks = [(block, b) for block, b in zip(blocks, bodies, strict=True) if block >= 0]
     joined = lambda i, kind: np.concatenate([b[i] for _, b in asks]) if asks else np.zeros(0, kind)
@@ -293,10 +290,14 @@ def answer(table: pa.Table, n: int, lower: Level | None, keep: bool) -> pa.Table
         single = _sums(slot, singles, len(names))
         by_count[:, 0] += single
         histogram[0] += single.sum()
-        low = np.bincount(mine[seen], lower.discounted(below[first][seen]), len(names)) + single * lower.discounted(np.array([1]))[0]
+        # the followers' counts after the shorter history: how many of one to five, and the sum of the others
+        less = np.where(seen, below[first], 0)
+        short = np.stack([_sums(mine[less == r], None, len(names)) for r in range(1, _K + 1)], 1)
+        short[:, 0] += single
+        more = _sums(mine, np.where(less > _K, less, 0), len(names))
         edges = np.cumsum([0, *(len(b[0]) for _, b in asks)])
         rows = [
-            (block, bucket, packed(marked[i:j]), packed(*by_count[slot[x:y]].T, low[slot[x:y]]))
+            (block, bucket, packed(marked[i:j]), packed(*by_count[slot[x:y]].T, *short[slot[x:y]].T, more[slot[x:y]]))
             for (block, _), i, j, x, y in zip(asks, sizes[:-1], sizes[1:], edges[:-1], edges[1:], strict=True)
         ]
     rows.append((-1, bucket, packed(histogram, np.array([(totals > 0).sum(), totals.sum()])), b""))
@@ -347,12 +348,14 @@ class View:
 
     def _back_off(self, asked: Asked, level: Level, count: np.ndarray, sums: list[np.ndarray]) -> None:
         """Brings the probability and s(h) / c(h) at each place up by one order. sums: by salted history, the followers seen once
-        to five times and the sum of D over the followers' counts one order below."""
-        discounts, size = level.discounts(), len(asked.salts)
-        *by_count, low = (np.bincount(asked.owner, x, size) for x in sums) if sums else [np.zeros(size)] * (_K + 1)
-        below = low[asked.history]
+        to five times, those of such counts after the shorter history, and the sum of the greater counts there."""
+        discounts, size, below = level.discounts(), len(asked.salts), self.levels[len(self.count) - 1].discounts()
+        parts = sums or [np.zeros(0)] * (2 * _K + 1)
+        freed = sum(r * (1 - discounts[r]) * x for r, x in enumerate(parts[:_K], 1))
+        low = parts[-1] + sum(r * below[r] * x for r, x in enumerate(parts[_K:-1], 1))
+        # over the salts of each history
+        freed, below = (np.bincount(asked.owner, x, size)[asked.history] for x in (freed, low))
         total = self.count[-1][asked.valid - 1]
-        freed = sum(r * (1 - discounts[r]) * x for r, x in enumerate(by_count, 1))[asked.history]
         scale, backoff = weights(1 - freed / total, self.norm[asked.valid] * below, total)
         seen = count[asked.valid]
         p, norm = self.p.copy(), np.zeros(len(self.p))
@@ -427,7 +430,7 @@ class KatzModel:
             return _rows(_ASK, [*asked.rows(table["block"][0].as_py(), ranges), (-1, 0, packed(np.array([len(asked.lone)])))])
 
         def reply(table: pa.Table) -> pa.Table:
-            return answer(table, n, levels[-1] if levels else None, keep)
+            return answer(table, n, keep)
 
         path = f"{self.folder}/order={n}"
         with once(self.spark):
