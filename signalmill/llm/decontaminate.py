@@ -1,18 +1,18 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are normalised: each letter or digit becomes one lower-case unit, anything else a space, and runs of
-spaces one. A passage of m units with at most e edits keeps at least m + 1 - q - q e of its
+spaces one. A document leaks a passage of m units if it holds it with m / 10 edits at most, whatever its length. A passage (or a segment
+of a long one, see Passages) of m units with at most e edits keeps at least m + 1 - q - q e of its
 q-grams (q is 8, or 5 where 8 leaves none), on diagonals (place in the document less place in the passage) that differ by e at most.
 So, for each document:
 
-1. the q-grams of the document are looked up among those of the benchmark;
+1. the q-grams of the document are looked up among those of the benchmark (as bytes, in which units that are not ASCII share 128 classes);
 2. the hits are counted by passage and diagonal band; bands are 2 (e + 1) wide and overlap by half, so
    that one of them holds all hits of a match;
-3. bands that reach the bound are retained, and a banded alignment finds their least number of edits.
+3. bands that reach the bound are retained, and a banded alignment of the units themselves finds the passage's least number of edits.
 
 The q-grams most frequent in the benchmark are left out of a passage's lookup, and its bound is lowered by as many, so
-nothing within the edit budget is lost. Passages over ``segment_chars`` units are searched by overlapping segments.
-The benchmark is broadcast in slices of bounded size; each slice is one more scan of the documents.
+nothing within the edit budget is lost. The benchmark is broadcast in slices of bounded size; each slice is one more scan of the documents.
 
 Cases: null or empty texts match nothing; passages that are null or have fewer than 8 units match nothing; documents
 of any length are read whole; repeated rows are searched one by one; empty tables give an empty
@@ -44,35 +44,38 @@ class LeakOptions:
     benchmark are not looked up, as far as half of a passage's bound allows. slice_chars: benchmark text that is broadcast at once."""
 
     edit_rate: float = 0.1
-    least_shared: int = 1
     frequent: int = 16
     segment_chars: int = 400
     slice_chars: int = 16_000_000
     batch_chars: int = 1 << 20
 
 
-_FOLD: list[np.ndarray] = []
+_LOWER: list[np.ndarray] = []
 
 
-def fold_table() -> np.ndarray:
-    """For each code point, its unit: a-z and 0-9 as they are, other letters and digits 128 to 255, anything else a space."""
-    if not _FOLD:
-        table = np.full(0x110000, 32, np.uint8)
+def lower_table() -> np.ndarray:
+    """For each code point its unit: a letter or digit in lower case, a space for anything else."""
+    if not _LOWER:
+        table = np.full(0x110000, 32, np.uint32)
         for c in range(0x110000):
             s = chr(c)
             if s.isalnum():
-                low = ord(s.lower()[0])
-                table[c] = low if low < 128 else 128 + (low * 2654435761 >> 7) % 128
+                table[c] = ord(s.lower()[0])
         table[0] = 0  # stands between texts
-        _FOLD.append(table)
-    return _FOLD[0]
+        _LOWER.append(table)
+    return _LOWER[0]
+
+
+def folded(units: np.ndarray) -> np.ndarray:
+    """Units as bytes, for q-grams: ASCII as it is, others in 128 classes. Equal units fold alike, so no shared q-gram is lost."""
+    return np.where(units < 128, units, 128 + (units * np.uint32(2654435761) >> np.uint32(7)) % np.uint32(128)).astype(np.uint8)
 
 
 def normalised(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units of all texts, each text after a 0; where each begins (with the end); the code point in the joined texts of each unit."""
     joined = "\0" + "\0".join((t or "").replace("\0", " ") for t in texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    units = fold_table()[points]
+    units = lower_table()[points]
     keep = np.ones(len(units), bool)
     keep[1:] = (units[1:] != 32) | ((units[:-1] != 32) & (units[:-1] != 0))
     places = np.flatnonzero(keep)
@@ -99,30 +102,34 @@ def short_grams(units: np.ndarray) -> np.ndarray:
 
 
 class Passages:
-    """Segments of benchmark passages and the lookup of their q-grams."""
+    """Benchmark passages, cut into segments, and the lookup of the segments' q-grams.
+
+    A passage with e edits that is cut into k segments has one with e / k at most, which is what a segment is searched with; what it finds is
+    verified for the whole passage and all its edits. ``whole``: each segment's passage; places are places in the passage."""
 
     def __init__(self, items: list[tuple], options: LeakOptions):
-        self.items, self.units, self.edits, self.bounds, self.short = [], [], [], [], False
+        self.items, self.units, self.most, self.whole, self.edits, self.bounds, self.short = [], [], [], [], [], [], False
         owners, places, keys = [], [], []
         for key, text in items:
             units = normalised([text])[0][1:-1]
             units = units[: len(units) - (len(units) > 0 and units[-1] == 32)]
-            for segment in _segments(units, options.segment_chars):
-                if len(segment) < Q:
-                    continue
-                m = len(segment)
-                e = int(options.edit_rate * m)
-                q = Q if m + 1 - Q - Q * e >= options.least_shared else SHORT_Q
-                e = max(0, min(e, (m + 1 - q - options.least_shared) // q))
+            if len(units) < Q:
+                continue
+            most, k = int(options.edit_rate * len(units)), -(-len(units) // options.segment_chars)
+            self.items.append(key)
+            self.units.append(units)
+            self.most.append(most)
+            bytes_, edges = folded(units), np.linspace(0, len(units), k + 1).astype(int)
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                segment, m, e = bytes_[start:end], int(end - start), most // k
+                q = Q if m + 1 - Q - Q * e >= 1 else SHORT_Q
                 self.short |= q < Q
-                self.items.append(key)
-                self.units.append(segment)
+                self.whole.append(len(self.items) - 1)
                 self.edits.append(e)
                 self.bounds.append(max(1, m + 1 - q - q * e))
                 keys.append(grams(segment) if q == Q else short_grams(segment))
-                places.append(np.arange(len(keys[-1])))
-                owners.append(np.full(len(keys[-1]), len(self.items) - 1))
-        self.lengths = np.array([len(u) for u in self.units], np.int64)
+                places.append(start + np.arange(len(keys[-1])))
+                owners.append(np.full(len(keys[-1]), len(self.whole) - 1))
         self.edits, self.bounds = np.array(self.edits, np.int64), np.array(self.bounds, np.int64)
         if not self.items:
             self.keys = np.zeros(0, np.uint64)
@@ -154,7 +161,7 @@ class Passages:
         return (keys * _MULTIPLIER) >> np.uint64(64 - _SLOT_BITS)
 
     def hits(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the units, segment, place in the segment) of each shared q-gram."""
+        """(place in the folded units, segment, place in its passage) of each shared q-gram."""
         found = grams(units)
         at = np.flatnonzero(self.slots[self._slot(found)])
         found = found[at]
@@ -170,24 +177,20 @@ class Passages:
         return np.repeat(at, counts), self.owners[entry], self.places[entry]
 
 
-def _segments(units: np.ndarray, size: int) -> list[np.ndarray]:
-    if len(units) <= size:
-        return [units]
-    half = size // 2
-    return [units[i : i + size] for i in range(0, len(units) - half, half)]
-
-
 def banded_alignment(passage: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
     """The least number of edits between the passage and a part of the text that begins on a diagonal from low to
     high, and where it ends; None beyond ``most``. Diagonals from low - most to high + most are computed."""
-    whole = text.tobytes().find(passage.tobytes())
-    if max(low, 0) <= whole <= high:
-        return 0, whole + len(passage)
+    size, raw, wanted = text.dtype.itemsize, text.tobytes(), passage.tobytes()
+    whole = raw.find(wanted, max(low, 0) * size)
+    while whole >= 0 and whole % size:
+        whole = raw.find(wanted, whole + 1)
+    if 0 <= whole <= high * size:
+        return 0, whole // size + len(passage)
     first, width, far = low - most, high - low + 2 * most + 1, 1 << 20
     steps = np.arange(width)
     columns = first + steps  # of the text, before the row's unit
     row = np.where((columns >= 0) & (columns <= len(text)), 0, far)
-    padded = np.full(len(passage) + 2 * width + len(text) + 2, 1, np.uint8)
+    padded = np.full(len(passage) + 2 * width + len(text) + 2, 1, text.dtype)
     shift = max(0, -first)
     padded[shift : shift + len(text)] = text
     for i, unit in enumerate(passage):
@@ -212,7 +215,7 @@ def find_in_texts(texts: list[str | None], passages: Passages) -> list[list[tupl
     if not len(passages.keys):
         return out
     units, begins, places = normalised(texts)
-    at, owner, i = passages.hits(units)
+    at, owner, i = passages.hits(folded(units))
     if not len(at):
         return out
     document = np.searchsorted(begins, at, "right") - 1
@@ -223,17 +226,19 @@ def find_in_texts(texts: list[str | None], passages: Passages) -> list[list[tupl
     keep = counts >= passages.bounds[keys[1]]
     best: dict[tuple, tuple] = {}
     for d, o, b in keys[:, keep].T.tolist():
-        e, passage = int(passages.edits[o]), passages.units[o]
-        if best.get((d, passages.items[o]), (1,))[0] == 0:
+        w, step = passages.whole[o], int(passages.edits[o]) + 1
+        e, passage, item = passages.most[w], passages.units[w], passages.items[w]
+        if best.get((d, item), (1,))[0] == 0:
             continue
-        low, high = b * (e + 1) - begins[d], (b + 2) * (e + 1) - 1 - begins[d]
+        # the segment's diagonals; the alignment may leave them by the whole passage's edits
+        low, high = b * step - begins[d], (b + 2) * step - 1 - begins[d]
         a, z = max(0, low - e), min(int(begins[d + 1]) - 1 - begins[d], high + e + len(passage))
         if z <= a:
             continue
         text = units[begins[d] + a : begins[d] + z]
         found = banded_alignment(passage, text, int(low - a), int(high - a), e)
         if found:
-            key = (d, passages.items[o])
+            key = (d, item)
             end = int(a + found[1])
             mark = (found[0], max(0, end - len(passage)), end, len(passage))
             if key not in best or mark < best[key]:
