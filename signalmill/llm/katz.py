@@ -54,8 +54,8 @@ END = np.uint64(0xE2D0E2D0E2D0E2D1)
 BLOCK_BYTES = 6 << 20
 #: Blocks for each range of keys.
 RANGE_BLOCKS = 2
-#: Bytes of a follower's hash beside its history, and bits of a history's beside its range.
-FOLLOWER_BYTES, HISTORY_BITS = 5, 48
+#: Bits of a follower's hash beside its history, and of a history's beside its range.
+FOLLOWER_BITS, HISTORY_BITS = 40, 48
 #: Occurrences of a history that one task holds the followers of; beyond, it is salted.
 HISTORY_ROWS = 4_000_000
 #: Counts up to this are discounted.
@@ -173,72 +173,90 @@ def _steps(rising: np.ndarray) -> np.ndarray:
     return np.diff(rising.astype(np.int64), prepend=np.zeros(1, np.int64))
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    """The low bytes of keys."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :FOLLOWER_BYTES]).ravel()
+def _within(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Keys that rise within each slot as differences in it."""
+    out = keys.copy()
+    out[1:] -= keys[:-1]
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[starts] = keys[starts]
+    return out
 
 
-def _long(short: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(short) // FOLLOWER_BYTES, 8), np.uint8)
-    out[:, :FOLLOWER_BYTES] = short.reshape(-1, FOLLOWER_BYTES)
-    return out.view(np.uint64).ravel()
+def _of_within(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    upto = np.concatenate(([0], np.cumsum(steps)))
+    return upto[1:] - np.repeat(upto[np.cumsum(sizes) - sizes], sizes)
 
 
 class Asked:
-    """What a block asks for one order: different n-grams (``keys``), for order 2 and more by histories (``slots``: salted)."""
+    """What a block asks for one order: different n-grams, for order 2 and more by histories (``slots``: salted).
+
+    ``at``: places whose n-grams are asked for, ``of`` their places among what is asked; ``valid``: places with a history that has followers elsewhere,
+    ``history`` theirs; ``hidden``: places of n-grams that occur only there; ``lone``: places whose history does."""
 
     def __init__(self, view: View, n: int, history_rows: int):
         block, self.n = view.block, n
-        train = block.train
+        train, keys = block.train, block.keys[n - 1]
         if n == 1:
             self.at = np.arange(len(block.place))
             self.lone = self.hidden = self.valid = np.zeros(0, np.int64)
+            self.names, _, self.of = distinct(keys)
+            self.keys = self.route = self.names
         else:
             count, lone = view.count[-1], view.lone[-1]
             inside = block.place >= n - 1
             history_count, history_lone = _before(count), _before(lone)
             self.lone = np.flatnonzero(inside & history_lone)
             self.valid = np.flatnonzero(inside & (history_count > 0) & ~history_lone)
-            followers = self.valid[count[self.valid] > 0]
-            self.at, self.hidden = followers[~lone[followers]], followers[lone[followers]]
-        self.keys, first, self.of = distinct(block.keys[n - 1][self.at])
-        mine = _sums(self.of, train[self.at], len(self.keys))
+            # histories were asked for as n-grams of the order below
+            known = view.index[self.valid - 1]
+            used = np.zeros(len(view.names), bool)
+            used[known] = True
+            self.history = (np.cumsum(used) - 1)[known]
+            histories = view.names[used]
+            counts = np.zeros(len(histories), np.int64)
+            counts[self.history] = history_count[self.valid]
+            self.salts = 1 + counts // history_rows
+            begin, rank = self._salted(histories)
+            followers = count[self.valid] > 0
+            hidden = lone[self.valid]
+            self.at, self.hidden = self.valid[followers & ~hidden], self.valid[hidden]
+            mine = self.history[followers & ~hidden]
+            turn = (keys[self.at] % self.salts[mine].astype(np.uint64)).astype(np.int64)
+            slot = rank[begin[mine] + turn].astype(np.uint64)
+            # by slot, then by the first bits of the n-gram
+            both, first, self.of = distinct(slot << np.uint64(FOLLOWER_BITS) | keys[self.at] >> np.uint64(64 - FOLLOWER_BITS))
+            self.names, self.keys = keys[self.at[first]], (both & np.uint64((1 << FOLLOWER_BITS) - 1)).astype(np.int64)
+            self.lower = count[self.at[first]]
+            self.followers = np.bincount((both >> np.uint64(FOLLOWER_BITS)).astype(np.int64), minlength=len(self.slots))
+            self.singles = np.bincount(rank[begin[self.history[hidden]]], minlength=len(self.slots))
+            self.route = self.slots
+        mine = _sums(self.of, train[self.at], len(self.names))
         # the count, and whether a held-out place has it
-        self.counts = 2 * mine + (np.bincount(self.of, minlength=len(self.keys)) > mine)
-        if n == 1:
-            self.route = self.keys
-            return
-        self.lower = count[self.at[first]]
-        histories, one, self.history = distinct(block.keys[n - 2][self.valid - 1])
-        self.salts = 1 + history_count[self.valid[one]] // history_rows
-        self.owner = np.repeat(np.arange(len(histories)), self.salts)
+        self.counts = 2 * mine + (np.bincount(self.of, minlength=len(self.names)) > mine)
+
+    def _salted(self, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets the slots, rising, and the history of each. Returns where each history's salts begin, and the slot of each salt."""
         begin = np.cumsum(self.salts) - self.salts
-        salt = np.arange(len(self.owner)) - begin[self.owner]
-        slots = np.where(salt == 0, histories[self.owner], mix(histories[self.owner] + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        order = np.argsort(slots, kind="stable")
+        self.owner = np.repeat(np.arange(len(histories)), self.salts)
+        slots = histories[self.owner]
+        if len(self.owner) > len(histories):
+            salt = np.arange(len(self.owner)) - begin[self.owner]
+            slots = np.where(salt == 0, slots, mix(slots + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        order = np.argsort(slots)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.slots, self.owner = slots[order], self.owner[order]
-        # each key by the rank of its slot
-        whose = np.zeros(len(block.place), np.int64)
-        whose[self.valid] = self.history
-        mine = whose[self.at[first]]
-        turn = (self.keys % self.salts[mine].astype(np.uint64)).astype(np.int64)
-        slot = rank[begin[mine] + turn]
-        self.order = np.argsort(slot, kind="stable")
-        self.followers = np.bincount(slot, minlength=len(slots))
-        self.singles = np.bincount(rank[begin[whose[self.hidden]]], minlength=len(slots))
-        self.route = self.slots
+        return begin, rank
 
     def rows(self, block: int, ranges: int) -> list[tuple]:
         if self.n == 1:
             return [(block, b, packed(self.keys[i:j], self.counts[i:j])) for b, i, j in _ranges(self.route, ranges)]
-        keys, counts, lower = self.keys[self.order], self.counts[self.order], self.lower[self.order]
         edge = np.concatenate(([0], np.cumsum(self.followers)))
         out = []
         for b, i, j in _ranges(self.route, ranges):
             mine = slice(edge[i], edge[j])
-            body = packed(_steps(self.slots[i:j] >> np.uint64(64 - HISTORY_BITS)), self.followers[i:j], self.singles[i:j], _short(keys[mine]).view("S1"), counts[mine], lower[mine])
+            heads = _steps(self.slots[i:j] >> np.uint64(64 - HISTORY_BITS))
+            body = packed(heads, self.followers[i:j], self.singles[i:j], _within(self.keys[mine], self.followers[i:j]), self.counts[mine], self.lower[mine])
             out.append((block, b, body))
         return out
 
@@ -265,17 +283,17 @@ def answer(table: pa.Table, n: int, keep: bool) -> pa.Table:
     bucket, blocks = table["bucket"][0].as_py(), table["block"].to_pylist()
     bodies = [unpacked(b.as_py()) for b in table["body"]]
     if n > 1:
-        bodies = [[np.cumsum(b[0]).astype(np.uint64), *b[1:]] if block >= 0 else b for block, b in zip(blocks, bodies, strict=True)]
+        bodies = [[np.cumsum(b[0]).astype(np.uint64), *b[1:3], _of_within(b[3], b[1]), *b[4:]] if block >= 0 else b for block, b in zip(blocks, bodies, strict=True)]
     alone = sum(int(b[0][0]) for block, b in zip(blocks, bodies, strict=True) if block < 0)
     asks = [(block, b) for block, b in zip(blocks, bodies, strict=True) if block >= 0]
     joined = lambda i, kind: np.concatenate([b[i] for _, b in asks]) if asks else np.zeros(0, kind)
     if n == 1:
         keys, counts = joined(0, np.uint64), joined(1, np.int64)
     else:
-        slots, followers, singles, keys, counts, below = (joined(i, k) for i, k in enumerate((np.uint64, np.int64, np.int64, "S1", np.int64, np.int64)))
+        slots, followers, singles, keys, counts, below = (joined(i, k) for i, k in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)))
         names, _, slot = distinct(slots)
         whose = np.repeat(slot, followers)
-        keys = mix(names[whose] * np.uint64(0xA24BAED4963EE407) + _long(keys.view(np.uint8)))
+        keys = mix(names[whose] * np.uint64(0xA24BAED4963EE407) + keys.astype(np.uint64))
     known, first, of = distinct(keys)
     totals = _sums(of, counts >> 1, len(known))
     marked = (2 * totals + (_sums(of, counts & 1, len(known)) > 0))[of]
@@ -326,13 +344,11 @@ class View:
         asked, level = self.ask(), self.levels[n - 1]
         mine = answers.filter(pa.compute.equal(answers["n"], n)).sort_by("bucket")
         marked = np.concatenate([unpacked(b.as_py())[0] for b in mine["counts"]]) if mine.num_rows else np.zeros(0, np.int64)
-        if n > 1:
-            back = np.empty_like(marked)
-            back[asked.order] = marked
-            marked = back
         count, lone = np.zeros(len(self.block.place), np.int64), np.zeros(len(self.block.place), bool)
         count[asked.at] = (marked >> 1)[asked.of]
         lone[asked.at] = (marked == 2)[asked.of]
+        self.names, self.index = asked.names, np.full(len(count), -1)
+        self.index[asked.at] = asked.of
         # lone parts make lone n-grams
         for at in (asked.hidden, asked.lone):
             count[at], lone[at] = 1, True
