@@ -1,3 +1,4 @@
+import html
 import random
 from collections import Counter, defaultdict
 
@@ -47,27 +48,119 @@ def test_texts(spark):
     assert {(r.page_id, r.text) for r in joined} == {(i, r.text) for i, r in got.items()}
 
 
-def test_classes_against_brute_force(spark):
-    rows = [(r[1] or "", r[0], r[2]) for r in cases()[:120]]
-    options = H.TemplateOptions()
-    docs = spark.createDataFrame([(h.split("/")[2], i, t) for h, i, t in rows], "host string, id long, html string").repartition(5)
+def host_rows():
+    return [((r[1] or "//").split("/")[2], r[0], r[2]) for r in cases()[:120]]
+
+
+def plain_vectors(rows):
+    """By host and token: in which pages it stands how often."""
     vectors = defaultdict(Counter)
     for h, i, t in rows:
-        for token, n in H.page_tokens(H.Page(t), options.short_text)[0].items():
-            vectors[h.split("/")[2], token][i] = n
-    counted = {(r.host, r.token): r for r in H.occurrences(docs, options).collect()}
+        for token, (n, *_) in H.page_tokens(H.Page(t)).items():
+            vectors[h, token][i] = n
+    return vectors
+
+
+def test_occurrences_and_classes_against_brute_force(spark):
+    options = H.TemplateOptions()
+    docs = spark.createDataFrame(host_rows(), "host string, id long, html string").repartition(5)
+    vectors = plain_vectors(host_rows())
+    counted = {(r.host, r.token): r for r in H.occurrences(docs).collect()}
     assert {k: (r.pages, r.total) for k, r in counted.items()} == {k: (len(v), sum(v.values())) for k, v in vectors.items()}
-    same = defaultdict(set)
-    for (h, token), v in vectors.items():
-        same[h, tuple(sorted(v.items()))].add(token)
-    for r in H.templates(docs, options).collect():
-        mine = same[r.host, tuple(sorted(vectors[r.host, r.token].items()))] - {""}
-        assert r["class"] == min(mine) and r.class_size == len(mine)
+    found = H.templates(docs, options).collect()
+    parent = {(r.host, r.token): r.parent for r in found}
+    frequent = {(h, t) for (h, t), v in vectors.items() if len(v) >= options.share * len(vectors[h, 0]) and len(vectors[h, 0]) >= options.least_pages}
+    assert set(parent) == frequent
+
+    def outside(h, t):
+        """The nearest element around a token that has another vector."""
+        while (h, t) in parent and t:
+            up = parent[h, t]
+            if vectors[h, up] != vectors[h, t]:
+                return up
+            t = up
+        return 0
+
+    for r in found:
+        same = {t for h, t in frequent if h == r.host and vectors[h, t] == vectors[r.host, r.token] and outside(h, t) == outside(r.host, r.token)}
+        assert r["class"] == (min(same) if len(same) > 1 else None)
+
+
+def test_tokens_out_of_order_leave_their_class(spark):
+    pages = [f"<body><div class=a>x{i}</div><div class=b>y{i}</div><div class=c>z</div></body>" if i % 2 else f"<body><div class=b>y{i}</div><div class=a>x{i}</div><div class=c>z</div></body>" for i in range(12)]
+    rows = spark.createDataFrame([("h", i, p) for i, p in enumerate(pages)], "host string, id long, html string")
+    options = H.TemplateOptions()
+    template = H.templates(rows, options)
+    wrong = {r.token for r in H.misplaced(rows, template, options).collect()}
+    keys = {n: next(k for k, t in zip(H.Page(pages[0]).key, H.Page(pages[0]).tag) if k == H.path_key(H.path_key(0, "body"), f"div.{n}")) for n in "abc"}
+    assert {keys["a"], keys["b"]} <= wrong and keys["c"] in wrong and H.path_key(0, "body") not in wrong
+    steady = [f"<body><div class=a>x{i}</div><div class=b>y{i}</div></body>" for i in range(12)]
+    rows = spark.createDataFrame([("h", i, p) for i, p in enumerate(steady)], "host string, id long, html string")
+    assert H.misplaced(rows, H.templates(rows, options), options).count() == 0
+
+
+def plain_extract(pages, options):
+    """Main texts by the definition, with whole occurrence vectors, for hosts whose pages name nothing: fixed texts and menus go,
+    the rest is what the lowest container of all open text holds."""
+    parsed = {i: H.Page(t) for i, t in pages.items()}
+    vectors = plain_vectors([("", i, t) for i, t in pages.items()])
+    share = {t: v for (_, t), v in vectors.items() if len(v) >= options.fixed_share * len(pages)}
+    out = {}
+    for i, page in parsed.items():
+        lines = []
+        for e, text, block, link in page.texts:
+            key = H.text_key(page.key[e], text)
+            fixed = key in share and any(o != key and share[o] == share[key] for o in share)
+            if text.strip() and not fixed and not link:
+                if not lines or lines[-1][0] != block:
+                    lines.append([block, ""])
+                lines[-1][1] += text
+        out[i] = "\n".join(" ".join(html.unescape(x).split()) for _, x in lines)
+    return out
+
+
+def neutral(rnd, i, notice, foot, menu):
+    """A page without tags or names that mean anything."""
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    parts = "".join(f"<div class=k4>{say(rnd.randrange(8, 40))}</div>" for _ in range(rnd.randrange(1, 5)))
+    links = "".join(f"<span><a href=/{w}>{w}</a></span>" for w in rnd.sample(WORDS, 6)) if menu else ""
+    return f"<body><div class=k1>{notice}</div><div class=k2>{links}</div><div class=k3><div class=k5>{say(6)}</div>{parts}<div class=k6>{foot}</div></div><div class=k7>{foot} {notice}</div></body>"
 
 
-def test_fixed_texts_go(spark):
-    slots = H.host_slots(H.templates(spark.createDataFrame([("h", i, page(random.Random(i), 1)[0]) for i in range(30)], "host string, id long, html string"), H.TemplateOptions()), H.TemplateOptions()).collect()
-    assert slots[0].main.endswith("div.story") and any(t.endswith("|Read more") for t in slots[0].fixed)
+def test_template_decides_where_names_mean_nothing(spark, monkeypatch):
+    rnd = random.Random(12)
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    notice, foot = say(18), say(5)
+    pages = {i: neutral(rnd, i, notice, foot, menu=True) for i in range(30)}
+    docs = spark.createDataFrame([(i, "http://n.example.org/", p) for i, p in pages.items()], "page_id long, url string, html string").repartition(4)
+    want = plain_extract(pages, H.TemplateOptions())
+    assert all(notice not in x and foot not in x and x for x in want.values())
+    got = {r.page_id: r.text for r in H.main_texts(docs).collect()}
+    assert got == want
+    # without the template all of that stays
+    off = {r.page_id: r.text for r in H.main_texts(docs, options=H.TemplateOptions(least_pages=10_000)).collect()}
+    assert all(notice in off[i] and foot in off[i] for i in pages)
+
+
+def test_names_do_not_decide_on_what_holds_the_text(spark):
+    rnd = random.Random(13)
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    bodies = [say(30 + i) for i in range(24)]
+    for kind in ("social-history", "sidebar", "comments"):
+        pages = [f"<body><div class={kind}><p>{b}</p></div><div class=widget>{say(7)}</div></body>" for b in bodies]
+        # a page with hardly any text in it follows its host
+        pages.append(f"<body><div class={kind}><p>short</p></div><div class=widget>{say(40)}</div></body>")
+        assert texts_of(spark, pages) == {**{i: [b] for i, b in enumerate(bodies)}, 24: ["short"]}, kind
+    assert texts_of(spark, [f"<body><div class=social-history><p>{bodies[0]}</p></div></body>"]) == {0: [bodies[0]]}
+
+
+def test_broken_quotes_and_depth():
+    assert H.extract(H.Page('<p class="a>Hello</p><p class="b">World</p>there')) == "World\nthere"
+    assert H.extract(H.Page("<p>one<p class='x>two")) == "one"
+    assert H.extract(H.Page("<p title='a > b' data-hidden=1>Yes <a href=/x/y>link</a> <br/>no</p>")) == "Yes link\nno"
+    deep = H.Page("<div>" * 100_000 + "text" + "</div>" * 100_000 + "<b>" * 50_000 + "<p>x" * 20_000)
+    assert H.extract(deep).startswith("text\nx") and len(deep.key) == 170_001
+    assert H.page_tokens(H.Page("<div>" * 30_000 + "text"))[0][1] == 4
 
 
 def texts_of(spark, pages, host="http://one.example.org/"):
