@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalmill.llm._text import ensure_checkpoint_dir, small_batches
+from signalmill.llm._text import ensure_checkpoint_dir, remove_folder, small_batches
 from signalmill.llm.byte_bpe import with_tokens
 from signalmill.llm.decontaminate import drop_leaks
 from signalmill.llm.jaccard_join import keep_first
@@ -65,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
     return docs

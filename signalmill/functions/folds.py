@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 
-def gate_opens(rows, state: tuple | None, start_s: float = 3.0, stale_s: float = 8.0, level: float = 0.62):
-    """Decisions for rows (t, eventful or None); state: (last open time or None, whether the bank ever ran).
 
-    Open in the first seconds, while there is no bank answer yet, when it is stale, or when something happens. Yields
-    (open, reason) and returns the state by the last element of the generator's value.
-    """
-    last, ran = state or (None, False)
-    for t, eventful in rows:
+def gate_reasons(sessions: Iterable, times: Iterable, eventful: Iterable, carried: tuple, start_s: float = 3.0, stale_s: float = 8.0, level: float = 0.62) -> tuple[list, tuple]:
+    """Why the gate opens at each row, None where it stays shut: in a session's first seconds, while there is no bank answer yet, when the
+    last one is stale, or when something happens. Rows come by session and time; carried is (session, time of its last opening) before and after."""
+    out, (session, last) = [], carried
+    for s, t, happens in zip(sessions, times, eventful, strict=True):
+        if s != session:
+            session, last = s, None
         if t < start_s:
             reason = "start"
-        elif not ran:
+        elif last is None:
             reason = "no bank"
-        elif last is None or t - last > stale_s:
+        elif t - last > stale_s:
             reason = "stale"
-        elif eventful is not None and eventful >= level:
+        elif happens is not None and happens >= level:
             reason = "eventful"
         else:
             reason = None
         if reason:
-            last, ran = t, True
-        yield reason is not None, reason, (last, ran)
+            last = t
+        out.append(reason)
+    return out, (session, last)
 
 
-def spaced(times, refractory: float, last: float | None = None):
-    """Of rising times, whether each is kept: at least ``refractory`` after the last kept one."""
-    for t in times:
-        keep = last is None or t - last >= refractory
+def spaced(keys: Iterable, times: Iterable, gaps: Iterable, carried: tuple) -> tuple[list[bool], tuple]:
+    """Whether each row stays: at least its gap after the one of its key that was kept before. Rows come by key and time; carried is (key, time
+    of its last kept row) before and after."""
+    out, (key, last) = [], carried
+    for k, t, gap in zip(keys, times, gaps, strict=True):
+        if k != key:
+            key, last = k, None
+        keep = last is None or t - last >= gap
         if keep:
             last = t
-        yield keep
+        out.append(keep)
+    return out, (key, last)

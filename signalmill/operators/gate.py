@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..functions.folds import gate_opens
+from ..functions.folds import gate_reasons
 
 
 def gate_decisions(ticks: DataFrame, start_s: float = 3.0, stale_s: float = 8.0, level: float = 0.62) -> DataFrame:
@@ -17,16 +17,11 @@ def gate_decisions(ticks: DataFrame, start_s: float = 3.0, stale_s: float = 8.0,
     schema = T.StructType([*rows.schema.fields, T.StructField("open", T.BooleanType()), T.StructField("reason", T.StringType())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
+        carried = (None, None)
         for batch in batches:
-            opens, reasons = [], []
-            for session, t, eventful in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if session != now:
-                    now, state = session, None
-                ((is_open, reason, state),) = gate_opens([(t, eventful)], state, start_s, stale_s, level)
-                opens.append(is_open)
-                reasons.append(reason)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opens, pa.bool_()), pa.array(reasons, pa.string())], names=schema.names)
+            reasons, carried = gate_reasons(*(batch.column(i).to_pylist() for i in (0, 2, 3)), carried, start_s, stale_s, level)
+            why = pa.array(reasons, pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, why.is_valid(), why], names=schema.names)
 
     return rows.mapInArrow(decide, schema)
 

@@ -107,15 +107,10 @@ def cooled_down(hits: DataFrame) -> DataFrame:
     s, r, t, gap = (hits.columns.index(c) for c in ("session_id", "rule", "t", "refractory_s"))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, None
+        carried = (None, None)
         for batch in batches:
-            keep = []
-            for session, rule, at, least in zip(*(batch.column(i).to_pylist() for i in (s, r, t, gap)), strict=True):
-                if (session, rule) != now:
-                    now, last = (session, rule), None
-                (kept,) = spaced([at], least, last)
-                last = at if kept else last
-                keep.append(kept)
+            sessions, names, times, gaps = (batch.column(i).to_pylist() for i in (s, r, t, gap))
+            keep, carried = spaced(zip(sessions, names, strict=True), times, gaps, carried)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(thin, hits.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalmill.functions import channels as ch
 from signalmill.functions import isotonic
-from signalmill.functions.folds import gate_opens, spaced
+from signalmill.functions.folds import gate_reasons, spaced
 from signalmill.operators import answers, calibration, context, evaluate, gate, meter, rules, sampling
 from signalmill.sources import transcripts
 
@@ -58,12 +58,14 @@ def test_parse_answers(spark):
 
 def test_gate_fold():
     rows = [(0.0, None), (2.9, 0.1), (3.1, 0.7), (4.0, 0.1), (11.0, 0.1), (11.2, 0.1), (12.0, 0.62)]
-    state, out = None, []
-    for r in rows:
-        ((is_open, reason, state),) = gate_opens([r], state)
-        out.append(reason if is_open else None)
+    out, carried = [], (None, None)
+    for part in (rows[:3], rows[3:]):  # decisions go on over parts
+        reasons, carried = gate_reasons(["s"] * len(part), *zip(*part), carried)
+        out += reasons
     assert out == ["start", "start", "eventful", None, None, "stale", "eventful"]
-    assert list(spaced([0, 1, 5, 9, 10], 5)) == [True, False, True, False, True]
+    assert gate_reasons(["a", "a", "b"], [5.0, 6.0, 6.5], [None, None, None], (None, None))[0] == ["no bank", None, "no bank"]
+    kept, carried = spaced("aaa", [0, 1, 5], [5] * 3, (None, None))
+    assert kept + spaced("aab", [9, 10, 10], [5] * 3, carried)[0] == [True, False, True, False, True, True]
 
 
 def test_gate_on_spark(spark):
@@ -219,12 +221,17 @@ def test_evaluation(spark):
     assert tuple(evaluate.hit_summary(hits, cards).first()) == ("r", 2, pytest.approx(2**0.5), 0.5)
 
 
-@pytest.mark.parametrize("name", ["trigger_edges", "card_cooldown", "gate_decisions", "context_window", "isotonic_curve", "truth_asof"])
+NAMES = ["trigger_edges", "card_cooldown", "gate_decisions", "context_window", "isotonic_curve", "truth_asof", "label_queue", "default_deck", "sloped_edges", "frames", "recorded_rows"]
+NAMES += ["payload_questions", "thinned_curve", "holdout_verdict", "scripts", "turn_events", "call_log", "channel_specs", "relabelled", "stream_traces", "stream_sessions"]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_queries_against_sql(spark, name):
     from pathlib import Path
 
-    from signalmill.jobs.queries import ORACLES, QUERIES
+    from __spark_entry__ import _signals
 
+    QUERIES, ORACLES = _signals()
     folder = Path("/root/testdata/sf0.001")
     if not folder.exists():
         pytest.skip("no test tables here")
@@ -236,3 +243,27 @@ def test_queries_against_sql(spark, name):
     want = sorted((tuple(dict(zip(rows.columns, r))[c] for c in columns) for r in rows.fetchall()), key=str)
     got = sorted((tuple(r[c] for c in columns) for r in QUERIES[name](spark, str(folder)).collect()), key=str)
     assert got == want
+
+
+def test_saved_rows_are_swapped_in_whole(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "key string, n long")
+    transcripts.save_samples(old, path)
+    rows = spark.read.schema("key string, n long").json(path)
+    transcripts.save_samples(rows.withColumn("n", F.col("n") * 10), path)
+    assert {tuple(r) for r in spark.read.schema("key string, n long").json(path).collect()} == {("a", 10), ("b", 20)}
+    with pytest.raises(Exception):  # noqa: B017
+        transcripts.save_samples(old.withColumn("n", F.raise_error(F.lit("broken"))), path)
+    assert spark.read.schema("key string, n long").json(path).count() == 2
+    assert [p.name for p in tmp_path.iterdir() if "." not in p.name] == ["rows"]
+
+
+def test_label_queue_by_ranges(spark):
+    rows = [("s", "hot" if i % 10 else "rare", (i * 7) % 100 / 100, i, None if i % 4 else True, i) for i in range(900)]
+    frame = spark.createDataFrame(rows, "session_id string, key string, raw double, tick long, truth boolean, part long").repartition(5)
+    got = sampling.label_queue(frame).collect()
+    want = {}
+    for r in sorted((r for r in rows if r[4] is None), key=lambda r: (r[1], r[2], r[0], r[3])):
+        want.setdefault(r[1], []).append(r[3])
+    assert {(r.key, r.tick): (r.place, r.remaining) for r in got} == {(k, t): (i + 1, len(v)) for k, v in want.items() for i, t in enumerate(v)}
+    assert sampling.label_queue(frame.limit(0)).count() == 0
