@@ -88,6 +88,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_features(docs, rules=fit_bands(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, counts and checksums of the ids of all documents, from token files in ascending order of doc_id."""
+    import public_tokenizers
+
+    from .token_files import token_digests
+
+    return token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 QUERIES = {
     "op1_katz": op1_katz,
     "op2_decontamination": op2_decontamination,
@@ -99,6 +108,7 @@ QUERIES = {
     "op8_preferences": op8_preferences,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {"op8_preferences": PREFERENCES_SQL}
