@@ -88,6 +88,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_features(docs, rules=fit_bands(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repairs of all conversations, of which some rows are damaged."""
+    from .conversation_repair import repair_digests
+
+    return repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places, counts and checksums of the ids of all documents, from token files in ascending order of doc_id."""
     import public_tokenizers
@@ -108,6 +115,7 @@ QUERIES = {
     "op8_preferences": op8_preferences,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_token_files": op13_token_files,
 }
 
