@@ -95,6 +95,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(_table(spark, sf_dir, "conversations"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the ids of two tokenizers meet in all documents, by counts over the whole corpus."""
+    import public_tokenizers
+
+    from .token_alignment import alignment_scores
+
+    return alignment_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places, counts and checksums of the ids of all documents, from token files in ascending order of doc_id."""
     import public_tokenizers
@@ -116,6 +125,7 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
     "op13_token_files": op13_token_files,
 }
 
