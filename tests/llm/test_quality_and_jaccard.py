@@ -122,6 +122,18 @@ def test_fitted_bands_reject_noise_and_repetition_and_keep_prose(spark):
     assert not any(rows[i].kept for i in range(600, len(texts)))
     assert {i: r.kept for i, r in rows.items()} == {i: brute_quality(t, rules)[-1] for i, t in enumerate(texts)}
     assert Q.fit_bands(docs.repartition(1), labels).bands == rules.bands
+    # only ASCII texts are labelled: the others are judged by the base rule alone
+    assert rules.bands[0] != Q.OPEN and rules.bands[1] == Q.OPEN and all(rows[i].kept for i in range(1, 600, 2))
+    both = spark.createDataFrame([(i, 1) for i in range(600)], "doc_id long, quality int")
+    judged = Q.fit_bands(docs, both)
+    assert Q.OPEN not in judged.bands
+    kept = {r.doc_id for r in Q.keep_good(docs, rules=judged).select("doc_id").collect()}
+    for script in (range(0, 600, 2), range(1, 600, 2)):
+        assert len(kept & {*script}) >= 0.97 * 300
+    assert not kept & {*range(600, len(texts))}
+    # limits of one script only
+    accents = spark.createDataFrame([(i, 1) for i in range(1, 600, 2)], "doc_id long, quality int")
+    assert Q.fit_bands(docs, accents).bands[0] == Q.OPEN
     assert Q.fit_bands(docs, labels.limit(0)).bands == Q.QualityRules().bands
     assert Q.fit_bands(docs.limit(0), labels).bands == Q.QualityRules().bands
 
