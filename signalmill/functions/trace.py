@@ -75,9 +75,8 @@ def _next(mask: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.minimum(np.minimum.accumulate(at[::-1])[::-1], ends)
 
 
-def run(starts: np.ndarray, t: np.ndarray, value: np.ndarray, alt: np.ndarray, specs: np.ndarray, states: list[TraceState]) -> dict[str, np.ndarray]:
-    """The outputs for rows of some traces: trace i has rows starts[i] to starts[i + 1], at least one, spec specs[i] and state states[i],
-    which is brought up to date."""
+def measured(starts: np.ndarray, t: np.ndarray, value: np.ndarray, alt: np.ndarray, specs: np.ndarray, states: list[TraceState]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """What needs no latch: the outputs up to ``unreliable``, the rows that may fire and those that release. States are brought up to date so far."""
     heads, n = starts[:-1], len(t)
     of = np.repeat(np.arange(len(heads)), np.diff(starts))
     fire, release, polarity, tau, dwell, refractory, min_slope, window, warmup, unreliable_at = specs[of].T
@@ -118,16 +117,26 @@ def run(starts: np.ndarray, t: np.ndarray, value: np.ndarray, alt: np.ndarray, s
         "unreliable": disagreement > unreliable_at,
     }
     may_fire = inside & (out["in_band_for"] >= dwell) & out["warm"] & (np.isnan(min_slope) | (slope >= min_slope))
-    fired, latched = _edges(starts, t, may_fire, polarity * ema <= polarity * release, out["unreliable"], refractory, states)
-    begun = np.array([s.fire_count for s in states], np.int64)
-    upto = np.cumsum(fired)
-    count = begun[of] + upto - (upto[heads] - fired[heads])[of]
     for i, (state, z) in enumerate(zip(states, starts[1:] - 1, strict=True)):
         state.ema, state.disagreement, state.band_since, state.last_t, state.first_t = (float(x) for x in (ema[z], disagreement[z], since[z], t[z], began[i]))
+    return out, may_fire, polarity * ema <= polarity * release
+
+
+def run(starts: np.ndarray, t: np.ndarray, value: np.ndarray, alt: np.ndarray, specs: np.ndarray, states: list[TraceState]) -> dict[str, np.ndarray]:
+    """The outputs for rows of some traces: trace i has rows starts[i] to starts[i + 1], at least one, spec specs[i] and state states[i],
+    which is brought up to date."""
+    heads, sizes = starts[:-1], np.diff(starts)
+    out, may_fire, released = measured(starts, t, value, alt, specs, states)
+    fired, latched = _edges(starts, t, may_fire, released, out["unreliable"], np.repeat(specs[:, 5], sizes), states)
+    upto = np.cumsum(fired)
+    count = np.repeat(np.array([s.fire_count for s in states], np.int64) - (upto[heads] - fired[heads]), sizes) + upto
+    for state, z in zip(states, starts[1:] - 1, strict=True):
         state.latched, state.fire_count = bool(latched[z]), int(count[z])
     return {**out, "fired": fired, "latched": latched, "fire_count": count}
 
 
+
+
 def _smoothed(keep: np.ndarray, value: np.ndarray, heads: np.ndarray, of: np.ndarray, old: np.ndarray, there: np.ndarray) -> np.ndarray:
     """Averages of the values that are there, from the old ones on; NaN before the first."""
     order = np.cumsum(there)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import channels as ch
-from ..operators import answers, calibration, context, evaluate, gate, meter, rules, sampling, traces
+from ..operators import answers, calibration, context, evaluate, gate, long_traces, meter, rules, sampling, traces
 from ..sources import transcripts
 
 QUERIES: dict = {}
@@ -147,6 +147,22 @@ def session_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "key", "fire_count", points.alias("series"))
 
 
+# all users as one session
+_ONE = _TRACE.replace("SELECT user_id AS session_id", "SELECT CAST(0 AS BIGINT) AS session_id")
+
+
+@_query(
+    _ONE
+    + """SELECT session_id, key, tick, round(ema, 6) AS ema, round(dis, 6) AS disagreement, round(CASE WHEN since IS NULL THEN 0 ELSE t - since END, 6) AS in_band_for, warm, fired, latched, fire_count
+FROM r"""
+)
+def trace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of one long session, over tasks by ranges of time of some five rows a trace and range at the smallest scale."""
+    rows = judgments(spark, sf_dir).withColumns({"session_id": F.lit(0).cast("long"), "value": F.col("raw")})
+    done = long_traces.run_long_traces(traces.with_specs(rows, specs(spark)), 64)
+    return done.select("session_id", "key", "tick", *_r("ema", "disagreement", "in_band_for"), "warm", "fired", "latched", "fire_count")
+
+
 _V = f"WITH {_J}, v AS (SELECT *, raw AS ema, CAST(round(t * 1000000) AS BIGINT) AS us FROM j)"
 
 

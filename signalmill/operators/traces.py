@@ -24,37 +24,50 @@ def with_specs(judgments: DataFrame, specs: DataFrame) -> DataFrame:
     return judgments.join(specs, "key")
 
 
+def typed_rows(judgments: DataFrame) -> DataFrame:
+    """The columns that the recurrence needs, with their types, of rows that have a time and a value."""
+    numbers = [F.col(c).cast("double").alias(c) for c in ("value", "alt", *core.SPEC)]
+    rows = judgments.select(*TRACE, F.col("t").cast("double").alias("t"), F.col("tick").cast("long").alias("tick"), *numbers)
+    return rows.filter("t IS NOT NULL AND value IS NOT NULL")
+
+
+def output_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields[:6], *(T.StructField(c, _TYPES.get(c, T.DoubleType())) for c in core.OUT)])
+
+
+def runs_of(batch: pa.RecordBatch) -> tuple[list[tuple], list[int], list[np.ndarray]]:
+    """The keys of typed rows, where each trace begins, and the numbers t, value, alt and the spec's."""
+    keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+    return keys, starts, [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:3] + batch.columns[4:]]
+
+
+def advance(batches: Iterator[pa.RecordBatch], names: list[str], state: core.TraceState | None = None) -> Iterator[pa.RecordBatch]:
+    """The outputs of typed rows in order. The first trace goes on from a state, if one is given."""
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, starts, numbers = runs_of(batch)
+        states = [core.TraceState() for _ in starts]
+        if state is not None and now in (None, keys[0]):
+            states[0] = state
+        found = core.run(np.array([*starts, len(keys)]), *numbers[:3], np.stack([c[starts] for c in numbers[3:]], 1), states)
+        now, state = keys[-1], states[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], *(pa.array(found[c], from_pandas=True) for c in core.OUT)], names=names)
+
+
 def run_traces(judgments: DataFrame) -> DataFrame:
     """The recurrence over judgments that carry their spec columns: adds ema, disagreement, slope (only with a
     min_slope), in_band_for, warm, unreliable, fired, latched and fire_count.
 
     One shuffle, on the trace. Rows stream through each task in order and the state of a trace is carried from batch to batch, so a trace
-    that never ends needs no more memory than a short one.
+    that never ends needs no more memory than a short one. Traces that are too long for one task: ``long_traces.run_long_traces``.
     """
-    spec = [F.col(c).cast("double").alias(c) for c in core.SPEC]
-    rows = judgments.select(*TRACE, F.col("t").cast("double").alias("t"), F.col("tick").cast("long").alias("tick"), F.col("value").cast("double").alias("value"), F.col("alt").cast("double").alias("alt"), *spec)
-    rows = rows.filter("t IS NOT NULL AND value IS NOT NULL").repartition(*TRACE).sortWithinPartitions(*TRACE, "t", "tick")
-    kept = rows.schema.fields[:6]
-    schema = T.StructType([*kept, *(T.StructField(c, _TYPES.get(c, T.DoubleType())) for c in core.OUT)])
-
-    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
-            states = [core.TraceState() for _ in starts]
-            if keys[0] == now:
-                states[0] = state
-            numbers = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:3] + batch.columns[4:]]
-            specs = np.stack([c[starts] for c in numbers[3:]], 1)
-            found = core.run(np.array([*starts, len(keys)]), *numbers[:3], specs, states)
-            now, state = keys[-1], states[-1]
-            columns = [pa.array(found[c], from_pandas=True) for c in core.OUT]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *columns], names=schema.names)
-
-    return rows.mapInArrow(advance, schema)
+    rows = typed_rows(judgments).repartition(*TRACE).sortWithinPartitions(*TRACE, "t", "tick")
+    schema = output_schema(rows)
+    names = schema.names
+    return rows.mapInArrow(lambda batches: advance(batches, names), schema)
 
 
 def default_specs(frame: DataFrame) -> DataFrame:
