@@ -260,7 +260,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_WIDE + "SELECT session_id, tick, " + ", ".join(f"round({k}, 6) AS {k}__ema, {k}_fired AS {k}__fired" for k in _KEYS) + " FROM w")
 def wide_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = rules.wide_state(outputs(spark, sf_dir).select("session_id", "tick", "t", "key", "fired", "ema"), _KEYS)
+    wide = rules.wide_state(outputs(spark, sf_dir).select("session_id", "tick", "t", "key", "fired", "ema"), _KEYS, bucket_s=48.0)
     return wide.select("session_id", "tick", *(c for k in _KEYS for c in (F.round(f"{k}__ema", 6).alias(f"{k}__ema"), f"{k}__fired")))
 
 
@@ -360,7 +360,7 @@ def truth_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = judgments(spark, sf_dir)
     value = F.when(F.col("raw") > 0.5, "true").otherwise("false")
     changes = j.filter("key = 'signup'").select("session_id", "t", F.lit("signup").alias("channel"), value.alias("value"))
-    rows = context.truth_at(j.filter("key = 'click'").select("session_id", "tick", "t"), changes)
+    rows = context.truth_at(j.filter("key = 'click'").select("session_id", "tick", "t"), changes, 24.0)
     return rows.select("session_id", "tick", context.trace_truth(F.lit("noul"), F.lit(None).cast("string"), F.col("truth")).alias("truth"))
 
 
@@ -653,7 +653,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM g LEFT JOIN u ON u.session_id = g.session_id AND u.t <= g.t GROUP BY g.session_id, g.tick, g.t"""
 )
 def silence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.silence(ticks(spark, sf_dir), utterances(spark, sf_dir)).select("session_id", "tick", "silence_for", "last_speaker")
+    return context.silence(ticks(spark, sf_dir), utterances(spark, sf_dir), 8.0).select("session_id", "tick", "silence_for", "last_speaker")
 
 
 @_query(
@@ -662,7 +662,7 @@ def silence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT session_id, tick, CASE WHEN text IS NULL OR t - said > 10 THEN '' WHEN length(text) > 90 THEN left(text, 87) || '...' ELSE text END AS last_question FROM q"""
 )
 def last_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.last_question(ticks(spark, sf_dir), utterances(spark, sf_dir), ",", 10.0).select("session_id", "tick", "last_question")
+    return context.last_question(ticks(spark, sf_dir), utterances(spark, sf_dir), ",", 10.0, bucket_s=8.0).select("session_id", "tick", "last_question")
 
 
 @_query(

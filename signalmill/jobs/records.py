@@ -270,7 +270,7 @@ def default_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("m") % 2 == 0).alias("warm"),
     )
     state = state.withColumn("fire", F.lit(None).cast("double"))
-    hits = rules.candidates(rules.wide_state(state, _DECK_KEYS))
+    hits = rules.candidates(rules.wide_state(state, _DECK_KEYS, bucket_s=48.0, deck=rules.DEFAULT_RULES))
     return rules.cards(rules.cooled_down(hits)).select("session_id", "rule", "tick", "severity")
 
 

@@ -28,7 +28,7 @@ def measured(judgments: DataFrame, specs: DataFrame, curves: DataFrame | None =
 def cards_from_judgments(judgments: DataFrame, specs: DataFrame, curves: DataFrame | None = None, utterances: DataFrame | None = None, deck=rules.DEFAULT_RULES) -> DataFrame:
     """Cards of all sessions. The keys of the wide state are those that the specs name, a short list."""
     keys = [r[0] for r in specs.select("key").distinct().orderBy("key").collect()]
-    wide = rules.wide_state(measured(judgments, specs, curves), keys)
+    wide = rules.wide_state(measured(judgments, specs, curves), keys, deck=deck)
     hits = rules.cooled_down(rules.candidates(wide, deck))
     if utterances is not None:
         asked = context.last_question(hits.select("session_id", "tick", "t").distinct(), utterances)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import BUCKET_S, last_known
+
 
 def tick_grid(utterances: DataFrame, rate_hz: float = 5.0, tail_s: float = 6.0) -> DataFrame:
     """Ticks step / rate of each session, to ``tail_s`` after its last utterance."""
@@ -73,39 +75,39 @@ def payloads(contexts: DataFrame, agenda: Column | None = None, brief: Column |
     return contexts.crossJoin(asked).withColumn("payload", F.to_json(F.struct(state, "questions"))).drop("questions")
 
 
-def _merged(ticks: DataFrame, utterances: DataFrame, extra: list) -> tuple[DataFrame, object]:
-    """Ticks and utterances in one order of time, utterances first, with the frame up to each row."""
-    a = utterances.select("session_id", F.lit(None).cast("long").alias("tick"), F.col("t"), F.lit(0).alias("kind"), "seq", *extra)
-    b = ticks.select("session_id", F.col("tick").cast("long"), F.col("t").cast("double"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"))
-    order = Window.partitionBy("session_id").orderBy("t", "kind", "seq", "tick").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b, allowMissingColumns=True), order
+#: Ticks and utterances in one order of time, utterances first.
+_ORDER = ("t", "kind", "seq", "tick")
+
+
+def _merged(ticks: DataFrame, utterances: DataFrame, said: dict[str, Column], bucket_s: float) -> DataFrame:
+    """Ticks, each with these values of the last utterance up to it that has them."""
+    a = utterances.select("session_id", F.lit(None).cast("long").alias("tick"), F.col("t").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("seq"), *(c.alias(n) for n, c in said.items()))
+    b = ticks.select("session_id", F.col("tick").cast("long").alias("tick"), F.col("t").cast("double").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"))
+    return last_known(a.unionByName(b, allowMissingColumns=True), list(said), _ORDER, bucket_s=bucket_s).filter("kind = 1")
 
 
-def silence(ticks: DataFrame, utterances: DataFrame) -> DataFrame:
+def silence(ticks: DataFrame, utterances: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
     """For each tick the seconds since the last utterance (0 with none) and the last speaker."""
-    rows, order = _merged(ticks, utterances.withColumn("said", F.col("t")), ["speaker", "said"])
-    last = F.last("said", ignorenulls=True).over(order)
-    speaker = F.last(F.when(F.col("kind") == 0, F.struct("speaker")), ignorenulls=True).over(order)["speaker"]
-    rows = rows.withColumns({"silence_for": F.coalesce(F.col("t") - last, F.lit(0.0)), "last_speaker": speaker})
-    return rows.filter("kind = 1").select("session_id", "tick", "t", "silence_for", "last_speaker")
+    rows = _merged(ticks, utterances, {"last": F.struct(F.col("t").cast("double").alias("said"), "speaker")}, bucket_s)
+    quiet = F.coalesce(F.col("t") - F.col("last.said"), F.lit(0.0))
+    return rows.select("session_id", "tick", "t", quiet.alias("silence_for"), F.col("last.speaker").alias("last_speaker"))
 
 
-def last_question(ticks: DataFrame, utterances: DataFrame, mark: str = "?", window_s: float = 45.0, most_chars: int = 90) -> DataFrame:
+def last_question(ticks: DataFrame, utterances: DataFrame, mark: str = "?", window_s: float = 45.0, most_chars: int = 90, bucket_s: float = BUCKET_S) -> DataFrame:
     """For each tick the newest utterance of the window that holds the mark, trimmed; a long one is cut and ends in ``...``."""
-    rows, order = _merged(ticks, utterances.withColumn("q", F.when(F.contains("text", F.lit(mark)), F.struct(F.col("t").alias("at"), F.trim("text").alias("text")))), ["q"])
-    rows = rows.withColumn("q", F.last("q", ignorenulls=True).over(order)).filter("kind = 1")
+    asked = F.when(F.contains("text", F.lit(mark)), F.struct(F.col("t").cast("double").alias("at"), F.trim("text").alias("text")))
+    rows = _merged(ticks, utterances, {"q": asked}, bucket_s)
     text = F.when(F.col("t") - F.col("q.at") <= window_s, F.col("q.text"))
     short = F.when(F.length(text) > most_chars, F.concat(F.substring(text, 1, most_chars - 3), F.lit("..."))).otherwise(text)
     return rows.select("session_id", "tick", "t", F.coalesce(short, F.lit("")).alias("last_question"))
 
 
-def truth_at(ticks: DataFrame, changes: DataFrame) -> DataFrame:
+def truth_at(ticks: DataFrame, changes: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
     """For each tick and channel the truth in force: the last change (session_id, t, channel, value) at or before it."""
     channels = changes.select("session_id", "channel").distinct()
-    asked = ticks.join(channels, "session_id").select("session_id", "channel", "tick", "t", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("value"))
-    known = changes.select("session_id", "channel", F.lit(None).cast("long").alias("tick"), "t", F.lit(0).alias("kind"), F.col("value").cast("string").alias("value"))
-    order = Window.partitionBy("session_id", "channel").orderBy("t", "kind", "tick", "value").rowsBetween(Window.unboundedPreceding, 0)
-    rows = known.unionByName(asked).withColumn("truth", F.last("value", ignorenulls=True).over(order))
+    asked = ticks.join(channels, "session_id").select("session_id", "channel", "tick", F.col("t").cast("double").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("truth"))
+    known = changes.select("session_id", "channel", F.lit(None).cast("long").alias("tick"), F.col("t").cast("double").alias("t"), F.lit(0).alias("kind"), F.col("value").cast("string").alias("truth"))
+    rows = last_known(known.unionByName(asked), ["truth"], ("t", "kind", "tick", "truth"), ("session_id", "channel"), bucket_s)
     return rows.filter("kind = 1 AND truth IS NOT NULL").select("session_id", "channel", "tick", "t", "truth")
 
 

@@ -10,11 +10,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import spaced
+from ..functions.folds import over_keys, run_starts, spaced
+from .asof import BUCKET_S, last_known
 from .context import last_lines
 
 MEASURES = ("ema", "slope", "integral30", "warm", "fire", "in_band_for")
@@ -60,24 +62,31 @@ DEFAULT_RULES = (
 )
 
 
-def wide_state(samples: DataFrame, keys: list[str], ticks: DataFrame | None = None) -> DataFrame:
+def wide_state(samples: DataFrame, keys: list[str], ticks: DataFrame | None = None, bucket_s: float = BUCKET_S, deck=None) -> DataFrame:
     """One row for each session and tick: each trace's latest measures, and whether it fired at that very tick.
 
     ``samples`` has session_id, tick, t, key, fired and any of the measures; the keys are given, so one pass pivots them. ``ticks`` adds
-    ticks without samples.
+    ticks without samples. With a ``deck``, only what its rules read is carried. Values are carried over buckets of ``bucket_s`` seconds, so a
+    long session is no single task's.
     """
-    measures = [m for m in MEASURES if m in samples.columns]
-    per_tick = [F.max(F.when(F.col("key") == k, F.struct("t", *measures))).alias(f"{column(k)}__all") for k in keys]
-    fired = [F.max(F.when(F.col("key") == k, F.col("fired"))).alias(_fired(k)) for k in keys]
+    measures = {k: [m for m in MEASURES if m in samples.columns] for k in keys}
+    fires = list(keys)
+    if deck is not None:
+        read = {c for rule in deck for c in _columns_of(rule.when)} | {f"{column(k)}__ema" for rule in deck for k in rule.evidence}
+        measures = {k: [m for m in own if f"{column(k)}__{m}" in read] for k, own in measures.items()}
+        fires = [k for k in keys if _fired(k) in read]
+    held = {k: f"{column(k)}__all" for k in keys if measures[k]}
+    per_tick = [F.max(F.when(F.col("key") == k, F.struct("t", *measures[k]))).alias(name) for k, name in held.items()]
+    fired = [F.max(F.when(F.col("key") == k, F.col("fired"))).alias(_fired(k)) for k in fires]
     rows = samples
     if ticks is not None:
-        rows = samples.select("session_id", "tick", "t", "key", "fired", *measures).unionByName(ticks.select("session_id", "tick", "t"), allowMissingColumns=True)
+        used = [m for m in MEASURES if any(m in own for own in measures.values())]
+        rows = samples.select("session_id", "tick", "t", "key", "fired", *used).unionByName(ticks.select("session_id", "tick", "t"), allowMissingColumns=True)
     wide = rows.groupBy("session_id", "tick").agg(F.max("t").alias("t"), *per_tick, *fired)
-    up_to = Window.partitionBy("session_id").orderBy("t", "tick").rowsBetween(Window.unboundedPreceding, 0)
-    held = {f"{column(k)}__all": F.last(f"{column(k)}__all", ignorenulls=True).over(up_to) for k in keys}
-    wide = wide.withColumns(held)
-    out = [F.col(f"{column(k)}__all")[m].alias(f"{column(k)}__{m}") for k in keys for m in measures]
-    return wide.select("session_id", "tick", "t", *out, *(F.coalesce(_fired(k), F.lit(False)).alias(_fired(k)) for k in keys))
+    if held:
+        wide = last_known(wide, list(held.values()), ("t", "tick"), bucket_s=bucket_s)
+    out = [F.col(name)[m].alias(f"{column(k)}__{m}") for k, name in held.items() for m in measures[k]]
+    return wide.select("session_id", "tick", "t", *out, *(F.coalesce(_fired(k), F.lit(False)).alias(_fired(k)) for k in fires))
 
 
 def _columns_of(condition: str) -> set[str]:
@@ -86,7 +95,8 @@ def _columns_of(condition: str) -> set[str]:
 
 
 def candidates(wide: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
-    """Rows (session_id, tick, t, rule, place, ...) for each rule that holds at a tick, in deck order; wide columns stay.
+    """Rows (session_id, tick, t, place, rule, refractory_s, evidence) for each rule that holds at a tick, in deck order. Evidence is the map of the
+    rule's own smoothed values (0 for missing ones), so the wide state goes no further; a ``last_question`` column stays.
 
     A rule over columns that the state lacks never holds.
     """
@@ -94,24 +104,36 @@ def candidates(wide: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     for place, rule in enumerate(rules):
         if not _columns_of(rule.when) <= have:
             continue
-        marks.append(F.when(F.coalesce(F.expr(rule.when), F.lit(False)), F.struct(F.lit(place).alias("place"), F.lit(rule.id).alias("rule"), F.lit(float(rule.refractory_s)).alias("refractory_s"))))
-    if not marks:
-        return wide.withColumns({"place": F.lit(0), "rule": F.lit(""), "refractory_s": F.lit(0.0)}).filter("false")
-    rows = wide.withColumn("_hit", F.explode(F.array_compact(F.array(*marks))))
-    return rows.select("*", "_hit.*").drop("_hit")
+        pairs = [x for k in rule.evidence for x in (F.lit(k), F.coalesce(F.col(f"{column(k)}__ema"), F.lit(0.0)) if f"{column(k)}__ema" in have else F.lit(0.0))]
+        evidence = F.create_map(*pairs).cast("map<string,double>").alias("evidence")
+        marks.append(F.when(F.coalesce(F.expr(rule.when), F.lit(False)), F.struct(F.lit(place).alias("place"), F.lit(rule.id).alias("rule"), F.lit(float(rule.refractory_s)).alias("refractory_s"), evidence)))
+    kept = wide.select("session_id", "tick", "t", *(c for c in wide.columns if c == "last_question"), (F.array_compact(F.array(*marks)) if marks else F.array().cast(_NO_HITS)).alias("hits"))
+    return kept.withColumn("hit", F.explode("hits")).select("session_id", "tick", "t", "hit.*", *(c for c in wide.columns if c == "last_question"))
+
+
+_NO_HITS = "array<struct<place:int,rule:string,refractory_s:double,evidence:map<string,double>>>"
 
 
 def cooled_down(hits: DataFrame) -> DataFrame:
-    """Hits of each session and rule that are at least ``refractory_s`` after the one kept before. Rows stream; one number is carried."""
+    """Hits of each session and rule that are at least ``refractory_s`` (the same for all hits of a rule) after the one kept before. Rows stream; one
+    number is carried."""
     rows = hits.repartition("session_id", "rule").sortWithinPartitions("session_id", "rule", "t", "tick")
     s, r, t, gap = (hits.columns.index(c) for c in ("session_id", "rule", "t", "refractory_s"))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = (None, None)
+        now, last = None, np.nan
         for batch in batches:
-            sessions, names, times, gaps = (batch.column(i).to_pylist() for i in (s, r, t, gap))
-            keep, carried = spaced(zip(sessions, names, strict=True), times, gaps, carried)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch.column(s).to_pylist(), batch.column(r).to_pylist(), strict=True))
+            starts = run_starts(keys)
+            times, gaps = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (t, gap))
+            keep = over_keys(starts, lambda rows, since, t=times, g=gaps: spaced(t[rows], g[rows][0], since), last if keys[0] == now else np.nan)
+            own = np.flatnonzero(keep[starts[-2] :])
+            if len(own):
+                last = times[starts[-2] + own[-1]]
+            now = keys[-1]
+            yield batch.filter(pa.array(keep))
 
     return rows.mapInArrow(thin, hits.schema)
 
@@ -119,17 +141,15 @@ def cooled_down(hits: DataFrame) -> DataFrame:
 def cards(kept: DataFrame, rules=DEFAULT_RULES, question: str = "last_question") -> DataFrame:
     """Cards: title, body with the question filled in, severity, t to 2 places and the evidence's smoothed values to 3."""
     q = F.coalesce(F.when(F.length(question) > 0, F.col(question)), F.lit("that question")) if question in kept.columns else F.lit("that question")
-    have = set(kept.columns)
-    by = {"title": F.lit(""), "body": F.lit(""), "severity": F.lit("nudge"), "evidence": F.create_map().cast("map<string,double>")}
+    by = {"title": F.lit(""), "body": F.lit(""), "severity": F.lit("nudge")}
     for rule in rules:
         is_it = F.col("rule") == rule.id
-        pairs = [x for k in rule.evidence for x in (F.lit(k), F.round(F.coalesce(F.col(f"{column(k)}__ema"), F.lit(0.0)), 3) if f"{column(k)}__ema" in have else F.lit(0.0))]
         by = {
             "title": F.when(is_it, rule.title).otherwise(by["title"]),
             "body": F.when(is_it, F.replace(F.lit(rule.body), F.lit("{q}"), q)).otherwise(by["body"]),
             "severity": F.when(is_it, rule.severity).otherwise(by["severity"]),
-            "evidence": F.when(is_it, F.create_map(*pairs).cast("map<string,double>")).otherwise(by["evidence"]),
         }
+    by["evidence"] = F.transform_values("evidence", lambda _, v: F.round(v, 3))
     return kept.select("session_id", "rule", *(c.alias(n) for n, c in by.items()), F.round("t", 2).alias("t"), "tick")
 
 
@@ -150,7 +170,7 @@ def floor_holder(wide: DataFrame, at: float = 0.42):
 SHOWN = ("raw", "alt", "ema", "disagreement", "slope", "latched", "warm", "unreliable", "fire_count")
 
 
-def frames(outputs: DataFrame, keys: list[str], gate: DataFrame | None = None, found: DataFrame | None = None, lines: DataFrame | None = None, meter: DataFrame | None = None, digits: int = 4, most_cards: int = 40) -> DataFrame:
+def frames(outputs: DataFrame, keys: list[str], gate: DataFrame | None = None, found: DataFrame | None = None, lines: DataFrame | None = None, meter: DataFrame | None = None, digits: int = 4, most_cards: int = 40, bucket_s: float = BUCKET_S) -> DataFrame:
     """A snapshot for each tick: ``traces``, a map of each trace to its latest sample at that tick (numbers to 4 places), and where given the
     gate's decision (``open``), that tick's cards, the last lines, and the meter as a struct of the other columns of its rows.
 
@@ -161,8 +181,8 @@ def frames(outputs: DataFrame, keys: list[str], gate: DataFrame | None = None, f
     rounded = [F.round(m, digits).alias(m) if m in ("raw", "alt", "ema", "disagreement", "slope") else F.col(m) for m in shown]
     latest = [F.max_by(F.when(F.col("key") == k, F.struct(*rounded)), F.when(F.col("key") == k, F.col("t"))).alias(f"trace{i}") for i, k in enumerate(keys)]
     wide = outputs.groupBy("session_id", "tick").agg(F.max("t").alias("t"), *latest)
-    up_to = Window.partitionBy("session_id").orderBy("t", "tick").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = [x for i, k in enumerate(keys) for x in (F.lit(k), F.last(f"trace{i}", ignorenulls=True).over(up_to))]
+    wide = last_known(wide, [f"trace{i}" for i in range(len(keys))], ("t", "tick"), bucket_s=bucket_s)
+    pairs = [x for i, k in enumerate(keys) for x in (F.lit(k), F.col(f"trace{i}"))]
     out = wide.select("session_id", "tick", "t", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("traces"))
     at = ["session_id", "tick"]
     if gate is not None:

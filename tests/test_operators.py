@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from signalmill.functions import channels as ch
 from signalmill.functions import isotonic
-from signalmill.functions.folds import gate_reasons, spaced
 from signalmill.operators import answers, calibration, context, evaluate, gate, meter, rules, sampling
 from signalmill.sources import transcripts
 
@@ -56,18 +55,6 @@ def test_parse_answers(spark):
     assert merged[0].answers["commitment"].noul == 0.1 and merged[0].answers["confusion"].score == 1.5
 
 
-def test_gate_fold():
-    rows = [(0.0, None), (2.9, 0.1), (3.1, 0.7), (4.0, 0.1), (11.0, 0.1), (11.2, 0.1), (12.0, 0.62)]
-    out, carried = [], (None, None)
-    for part in (rows[:3], rows[3:]):  # decisions go on over parts
-        reasons, carried = gate_reasons(["s"] * len(part), *zip(*part), carried)
-        out += reasons
-    assert out == ["start", "start", "eventful", None, None, "stale", "eventful"]
-    assert gate_reasons(["a", "a", "b"], [5.0, 6.0, 6.5], [None, None, None], (None, None))[0] == ["no bank", None, "no bank"]
-    kept, carried = spaced("aaa", [0, 1, 5], [5] * 3, (None, None))
-    assert kept + spaced("aab", [9, 10, 10], [5] * 3, carried)[0] == [True, False, True, False, True, True]
-
-
 def test_gate_on_spark(spark):
     data = spark.createDataFrame([(s, i, i * 1.0, None) for s in "ab" for i in range(30)], "session_id string, tick long, t double, eventful double")
     opened = sorted((r.session_id, r.tick) for r in gate.gate_decisions(data).filter("open").collect())
