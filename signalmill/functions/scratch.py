@@ -26,6 +26,12 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours, in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def swapped_in(spark: SparkSession, fresh: str, path: str) -> None:
     """Puts a finished folder in the place of another, which goes only then. A reader finds the old one, none for a moment, or the new one."""
     jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -5,7 +5,7 @@ Calls are rows (session_id, tick, t, stage, input_tokens, latency_ms, error).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .traces import micros
@@ -50,11 +50,11 @@ def latency_percentiles(calls: DataFrame, percents=(50, 95), latest: int = 200)
     return rows.select("session_id", *(F.element_at("x", at(p) + 1).alias(f"p{p}_ms") for p in percents))
 
 
-def rolling_rates(calls: DataFrame, window_s: float = 20.0) -> DataFrame:
-    """For each call the rates over the trailing window, both ends included: tokens a second, requests a minute, cost an hour, shares of the limits."""
-    w = Window.partitionBy("session_id").orderBy(micros(F.col("t"))).rangeBetween(-round(window_s * 1_000_000), 0)
-    span = F.greatest(F.col("t") - F.min("t").over(w), F.lit(1e-3))
-    rows = calls.withColumns({"tokens_per_sec": F.sum("input_tokens").over(w) / span, "requests_per_min": F.count("*").over(w) / span * 60})
+def rates(rows: DataFrame, tokens: Column, calls: Column, oldest: Column) -> DataFrame:
+    """The rates of a window up to t with these tokens and calls, the oldest of which is that old: tokens a second, requests a minute, cost an hour,
+    shares of the limits."""
+    span = F.greatest(F.col("t") - oldest, F.lit(1e-3))
+    rows = rows.withColumns({"tokens_per_sec": tokens / span, "requests_per_min": calls / span * 60})
     return rows.withColumns(
         {
             "dollars_per_hour": F.col("tokens_per_sec") * 3600 / 1e6 * PRICE,
@@ -64,6 +64,12 @@ def rolling_rates(calls: DataFrame, window_s: float = 20.0) -> DataFrame:
     )
 
 
+def rolling_rates(calls: DataFrame, window_s: float = 20.0) -> DataFrame:
+    """For each call the rates over the trailing window, both ends included."""
+    w = Window.partitionBy("session_id").orderBy(micros(F.col("t"))).rangeBetween(-round(window_s * 1_000_000), 0)
+    return rates(calls, F.sum("input_tokens").over(w), F.count("*").over(w), F.min("t").over(w))
+
+
 def budget_grid(calls: DataFrame, rates=(1.0, 2.0, 5.0, 10.0), open_rates=(0.2, 0.4, 0.8)) -> DataFrame:
     """What sessions would cost over a grid of tick rates and gate open rates, from their average tokens by stage.
 

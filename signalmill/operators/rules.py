@@ -69,12 +69,7 @@ def wide_state(samples: DataFrame, keys: list[str], ticks: DataFrame | None = No
     ticks without samples. With a ``deck``, only what its rules read is carried. Values are carried over buckets of ``bucket_s`` seconds, so a
     long session is no single task's.
     """
-    measures = {k: [m for m in MEASURES if m in samples.columns] for k in keys}
-    fires = list(keys)
-    if deck is not None:
-        read = {c for rule in deck for c in _columns_of(rule.when)} | {f"{column(k)}__ema" for rule in deck for k in rule.evidence}
-        measures = {k: [m for m in own if f"{column(k)}__{m}" in read] for k, own in measures.items()}
-        fires = [k for k in keys if _fired(k) in read]
+    measures, fires = read_by(deck, keys, [m for m in MEASURES if m in samples.columns])
     held = {k: f"{column(k)}__all" for k in keys if measures[k]}
     per_tick = [F.max(F.when(F.col("key") == k, F.struct("t", *measures[k]))).alias(name) for k, name in held.items()]
     fired = [F.max(F.when(F.col("key") == k, F.col("fired"))).alias(_fired(k)) for k in fires]
@@ -89,6 +84,14 @@ def wide_state(samples: DataFrame, keys: list[str], ticks: DataFrame | None = No
     return wide.select("session_id", "tick", "t", *out, *(F.coalesce(_fired(k), F.lit(False)).alias(_fired(k)) for k in fires))
 
 
+def read_by(deck, keys: list[str], measures) -> tuple[dict[str, list[str]], list[str]]:
+    """For each key the measures that the rules read, and the keys whose edges they read; all without a deck."""
+    if deck is None:
+        return {k: list(measures) for k in keys}, list(keys)
+    read = {c for rule in deck for c in _columns_of(rule.when)} | {f"{column(k)}__ema" for rule in deck for k in rule.evidence}
+    return {k: [m for m in measures if f"{column(k)}__{m}" in read] for k in keys}, [k for k in keys if _fired(k) in read]
+
+
 def _columns_of(condition: str) -> set[str]:
     """The wide columns that a condition names."""
     return set(re.findall(r"\b\w+__(?:fired|ema|slope|integral30|warm|fire|in_band_for)\b", condition))
@@ -96,7 +99,7 @@ def _columns_of(condition: str) -> set[str]:
 
 def candidates(wide: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Rows (session_id, tick, t, place, rule, refractory_s, evidence) for each rule that holds at a tick, in deck order. Evidence is the map of the
-    rule's own smoothed values (0 for missing ones), so the wide state goes no further; a ``last_question`` column stays.
+    rule's own smoothed values (0 for missing ones), so the wide state goes no further; of other columns ``last_question`` and ``ts`` stay.
 
     A rule over columns that the state lacks never holds.
     """
@@ -107,8 +110,9 @@ def candidates(wide: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
         pairs = [x for k in rule.evidence for x in (F.lit(k), F.coalesce(F.col(f"{column(k)}__ema"), F.lit(0.0)) if f"{column(k)}__ema" in have else F.lit(0.0))]
         evidence = F.create_map(*pairs).cast("map<string,double>").alias("evidence")
         marks.append(F.when(F.coalesce(F.expr(rule.when), F.lit(False)), F.struct(F.lit(place).alias("place"), F.lit(rule.id).alias("rule"), F.lit(float(rule.refractory_s)).alias("refractory_s"), evidence)))
-    kept = wide.select("session_id", "tick", "t", *(c for c in wide.columns if c == "last_question"), (F.array_compact(F.array(*marks)) if marks else F.array().cast(_NO_HITS)).alias("hits"))
-    return kept.withColumn("hit", F.explode("hits")).select("session_id", "tick", "t", "hit.*", *(c for c in wide.columns if c == "last_question"))
+    stay = [c for c in ("last_question", "ts") if c in have]
+    kept = wide.select("session_id", "tick", "t", *stay, (F.array_compact(F.array(*marks)) if marks else F.array().cast(_NO_HITS)).alias("hits"))
+    return kept.withColumn("hit", F.explode("hits")).select("session_id", "tick", "t", "hit.*", *stay)
 
 
 _NO_HITS = "array<struct<place:int,rule:string,refractory_s:double,evidence:map<string,double>>>"

@@ -1,74 +1,73 @@
-"""Structured Streaming jobs: traces and edges, whole sessions with rules, sliding rates, quotas, card replay.
+"""Structured Streaming jobs: traces and edges, whole sessions with the rule deck, exact rates, quotas, sliding rates, card replay.
+
+The stateful jobs run on ``transformWithStateInPandas`` (processors in ``processors.py``), which needs the RocksDB state store:
+``spark.sql.streaming.stateStore.providerClass`` names it when a query starts; ``on_rocksdb`` sets it for a block of code. Groups are hash buckets of
+sessions and keys, so a micro-batch makes one Python call a bucket, however many traces it has. State is kept in typed columns.
 
 Every state ends: event time is ``ts`` or, where there is no such column, ``t`` seconds after a day in 1970; rows later than the watermark are left
-out, and what has had no row for ``idle`` after its last one is removed once the watermark is past that.
+out, and what has had no row for ``idle`` after its last one is removed once the watermark is past that. Rows without a session or key are left out.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions import trace as core
+from ..operators import meter, rules
 from ..operators.sampling import bin_of
+from . import processors
 
 #: Watermarks begin at 1970, so that a time of 0 must lie beyond it.
 _DAY = 86_400
-_STATE = "state binary"
 _OUT = "session_id string, key string, t double, tick long, value double, ema double, disagreement double, in_band_for double, warm boolean, unreliable boolean, fired boolean, latched boolean, fire_count long"
-_NUMBERS = ["t", "tick", "value", "alt", *core.SPEC]
 
 
 @dataclass(frozen=True)
 class Ends:
-    """late: how far the watermark is behind the newest row. idle: seconds without a row after which a state is removed."""
+    """late: how far the watermark is behind the newest row. idle_s: seconds without a row after which a state is removed. buckets: groups that
+    states are dealt into, some for each task (as many as the session's shuffle partitions, if none is given)."""
 
     late: str = "1 minute"
     idle_s: float = 3600.0
+    buckets: int | None = None
 
 
-@dataclass(frozen=True)
-class StreamRule:
-    """A rule over a frame of wide states, one row a tick: columns ``key__ema``, ``key__fired``, ``key__slope``, ``key__in_band_for`` and
-    ``key__warm`` with NaN or false where a trace has nothing yet."""
+@contextmanager
+def on_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in this block keep their state in RocksDB; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
 
-    id: str
-    when: Callable[[pd.DataFrame], pd.Series]
-    refractory_s: float = 45.0
+def _event_time(rows: DataFrame):
+    return F.col("ts") if "ts" in rows.columns else F.timestamp_micros(((F.col("t") + _DAY) * 1_000_000).cast("long"))
 
 
-def _timed(rows: DataFrame, ends: Ends, *columns) -> DataFrame:
-    """The columns with the event time under a watermark."""
-    ts = F.col("ts") if "ts" in rows.columns else F.timestamp_micros(((F.col("t") + _DAY) * 1_000_000).cast("long"))
-    return rows.select(F.col("session_id").cast("string").alias("session_id"), F.col("key").cast("string").alias("key"), *columns, ts.alias("ts")).withWatermark("ts", ends.late)
+def _bucket(rows: DataFrame, ends: Ends, *keys: str) -> DataFrame:
+    count = ends.buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(count)))
 
 
-def _ended(state: GroupState) -> bool:
-    """Removes a state whose time is over."""
-    if state.hasTimedOut:
-        state.remove()
-        return True
-    return False
+def _numbers(*names: str) -> list:
+    return [F.col(c).cast("double").alias(c) for c in names]
 
 
-def _keep(state: GroupState, value: tuple, rows: pd.DataFrame, ends: Ends) -> None:
-    """Stores a state until ``idle_s`` after its newest row."""
-    state.update(value)
-    newest = int(rows["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(newest + int(ends.idle_s * 1000), state.getCurrentWatermarkMs() + 1))
+def _keyed(*names: str) -> list:
+    return [F.col(c).cast("string").alias(c) for c in names]
 
 
-def _advance(rows: pd.DataFrame, state: core.TraceState) -> dict[str, np.ndarray]:
-    """The recurrence over rows of one trace in order."""
-    t, _, value, alt, *spec = (rows[c].to_numpy(float) for c in _NUMBERS)
-    return core.run(np.array([0, len(rows)]), t, value, alt, np.array([[c[0] for c in spec]]), [state])
+def _tick():
+    return F.col("tick").cast("long").alias("tick")
 
 
 def stream_traces(judgments: DataFrame, ends: Ends = Ends()) -> DataFrame:
@@ -77,78 +76,60 @@ def stream_traces(judgments: DataFrame, ends: Ends = Ends()) -> DataFrame:
     Rows of a micro-batch are taken in order of t; one that is older than what the trace has seen moves no average, as
     in the batch job. State is one small record for each trace.
     """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _ended(state):
-            return
-        trace = pickle.loads(state.get[0]) if state.exists else core.TraceState()
-        rows = pd.concat(list(batches)).sort_values(["t", "tick"], kind="stable")
-        found = _advance(rows, trace)
-        _keep(state, (pickle.dumps(trace),), rows, ends)
-        first = {"session_id": key[0], "key": key[1], "t": rows["t"].to_numpy(), "tick": rows["tick"].to_numpy().astype("int64"), "value": rows["value"].to_numpy()}
-        yield pd.DataFrame({**first, **{c: found[c] for c in core.OUT if c != "slope"}})
-
-    typed = _timed(judgments, ends, *(F.col(c).cast("double").alias(c) for c in _NUMBERS))
-    return typed.groupBy("session_id", "key").applyInPandasWithState(advance, _OUT, _STATE, "append", "EventTimeTimeout")
+    rows = judgments.select(*_keyed("session_id", "key"), _tick(), *_numbers("t", "value", "alt", *core.SPEC), _event_time(judgments).alias("ts"))
+    rows = _bucket(rows.filter("session_id IS NOT NULL AND key IS NOT NULL AND t IS NOT NULL AND value IS NOT NULL").withWatermark("ts", ends.late), ends, "session_id", "key")
+    return rows.groupBy("bucket").transformWithStateInPandas(processors.Traces(ends.idle_s), _OUT, "Append", "EventTime")
 
 
 def stream_quota(judgments: DataFrame, per_bin: int = 25, bins: int = 10, ends: Ends = Ends()) -> DataFrame:
     """The first ``per_bin`` rows of each session, key and bin as they arrive; the state is one count."""
+    rows = judgments.select(*_keyed("session_id", "key"), bin_of(F.col("raw"), bins).cast("long").alias("bin"), _tick(), *_numbers("t", "raw"), _event_time(judgments).alias("ts"))
+    rows = _bucket(rows.filter("session_id IS NOT NULL AND key IS NOT NULL AND bin IS NOT NULL").withWatermark("ts", ends.late), ends, "session_id", "key", "bin")
+    return rows.groupBy("bucket").transformWithStateInPandas(processors.Quotas(ends.idle_s, per_bin), "session_id string, key string, bin long, t double, tick long, raw double", "Append", "EventTime")
 
-    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _ended(state):
-            return
-        (n,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values(["t", "tick"], kind="stable")
-        taken = rows.head(max(0, per_bin - n))
-        _keep(state, (n + len(taken),), rows, ends)
-        yield taken[["session_id", "key", "bin", "t", "tick", "raw"]]
 
-    columns = bin_of(F.col("raw"), bins).cast("long").alias("bin"), F.col("t").cast("double").alias("t"), F.col("tick").cast("long").alias("tick"), F.col("raw").cast("double").alias("raw")
-    typed = _timed(judgments, ends, *columns)
-    return typed.groupBy("session_id", "key", "bin").applyInPandasWithState(take, "session_id string, key string, bin long, t double, tick long, raw double", "n long", "append", "EventTimeTimeout")
+def stream_states(judgments: DataFrame, keys: list[str], deck=rules.DEFAULT_RULES, utterances: DataFrame | None = None, ends: Ends = Ends(), mark: str = "?", question_s: float = 45.0, slope_s: float = 2.0, integral_s: float = 30.0) -> DataFrame:
+    """The wide state of whole sessions as the deck reads it, a row for each session and tick, with ``last_question`` and ``ts``.
 
-
-MEASURES = ("ema", "slope", "in_band_for", "warm")
-
-
-def stream_sessions(judgments: DataFrame, rules: list[StreamRule], keys: list[str], ends: Ends = Ends()) -> DataFrame:
-    """Cards of whole sessions on a stream: rules over the latest state of all traces at each tick, with the rules' cooldowns.
-
-    The state of a session is its traces, the latest measures of each and when each rule last held. A tick is judged once for each micro-batch
-    that brings rows of it.
+    Judgments carry their spec columns and may have ``silent``. The state of a session is its traces, the samples that the
+    slope and the 30 s average reach back to, and its last question. A tick is told once for each micro-batch that brings rows of it.
     """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _ended(state):
-            return
-        traces, latest, last = pickle.loads(state.get[0]) if state.exists else ({}, {}, {})
-        rows = pd.concat(list(batches)).sort_values(["t", "tick", "key"], kind="stable")
-        parts = []
-        for name, one in rows.groupby("key", sort=False):
-            found = _advance(one, traces.setdefault(name, core.TraceState()))
-            parts.append(pd.DataFrame({"t": one["t"].to_numpy(), "tick": one["tick"].to_numpy(), **{f"{name}__{m}": found[m] for m in (*MEASURES, "fired")}}))
-        wide = pd.concat(parts).groupby(["t", "tick"], as_index=False, sort=True).last()
-        wide = wide.reindex(columns=["t", "tick", *(f"{k}__{m}" for k in keys for m in (*MEASURES, "fired"))])
-        for k in keys:
-            wide[f"{k}__fired"] = wide[f"{k}__fired"].eq(True)
-            for m in MEASURES:
-                # what stood before holds until the trace's next row
-                c = f"{k}__{m}"
-                wide[c] = wide[c].astype(float).ffill().fillna(latest.get(c, np.nan))
-                latest[c] = float(wide[c].iloc[-1])
-        cards = []
-        for rule in rules:
-            hits = wide[rule.when(wide).fillna(False).astype(bool)]
-            for t, tick in zip(hits["t"], hits["tick"], strict=True):
-                if t - last.get(rule.id, -np.inf) >= rule.refractory_s:
-                    last[rule.id] = t
-                    cards.append((key[0], rule.id, t, int(tick)))
-        _keep(state, (pickle.dumps((traces, latest, last)),), rows, ends)
-        yield pd.DataFrame(cards, columns=["session_id", "rule", "t", "tick"])
-
-    typed = _timed(judgments, ends, *(F.col(c).cast("double").alias(c) for c in _NUMBERS))
-    return typed.groupBy("session_id").applyInPandasWithState(advance, "session_id string, rule string, t double, tick long", _STATE, "append", "EventTimeTimeout")
+    measures, fires = rules.read_by(deck, keys, rules.MEASURES)
+    silent = F.coalesce(F.col("silent"), F.lit(False)) if "silent" in judgments.columns else F.lit(False)
+    rows = judgments.select(*_keyed("session_id", "key"), _tick(), *_numbers("t", "value", "alt", *core.SPEC), silent.alias("silent"), F.lit(None).cast("string").alias("text"), _event_time(judgments).alias("ts"))
+    rows = rows.filter("session_id IS NOT NULL AND key IS NOT NULL AND tick IS NOT NULL AND t IS NOT NULL AND value IS NOT NULL")
+    if utterances is not None:
+        asked = utterances.filter(F.contains("text", F.lit(mark)) & F.col("session_id").isNotNull() & F.col("t").isNotNull())
+        rows = rows.unionByName(asked.select(*_keyed("session_id"), *_numbers("t"), F.trim("text").alias("text"), _event_time(utterances).alias("ts")), allowMissingColumns=True)
+    columns = {k: rules.column(k) for k in keys}
+    kinds = {"warm": "boolean"}
+    wide = ["session_id string", "tick long", "t double", "ts timestamp"]
+    for k in dict.fromkeys((*measures, *fires)):
+        wide += [f"{columns[k]}__fired boolean"] * (k in fires) + [f"{columns[k]}__{m} {kinds.get(m, 'double')}" for m in measures.get(k, ())]
+    processor = processors.Sessions(ends.idle_s, measures, fires, columns, slope_s, integral_s, question_s, 90)
+    dealt = _bucket(rows.withWatermark("ts", ends.late), ends, "session_id")
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, ", ".join([*wide, "last_question string"]), "Append", "EventTime", eventTimeColumnName="ts")
+
+
+def stream_sessions(judgments: DataFrame, keys: list[str], deck=rules.DEFAULT_RULES, utterances: DataFrame | None = None, ends: Ends = Ends(), **options) -> DataFrame:
+    """Cards of whole sessions on a stream, as ``workloads.cards_from_judgments`` gives them: the SQL deck over the latest state of all traces at
+    each tick, its cooldowns, bodies with the last question, and evidence. Two stateful steps, the rules between them being plain SQL. Options are those of
+    ``stream_states``."""
+    hits = rules.candidates(stream_states(judgments, keys, deck, utterances, ends, **options), deck)
+    # a map crosses to Python and back as JSON
+    flat = _bucket(hits.withColumn("evidence", F.to_json("evidence")), ends, "session_id", "rule")
+    schema = "session_id string, tick long, t double, place int, rule string, refractory_s double, evidence string, last_question string, ts timestamp"
+    kept = flat.groupBy("bucket").transformWithStateInPandas(processors.Cooldowns(ends.idle_s), schema, "Append", "EventTime", eventTimeColumnName="ts")
+    return rules.cards(kept.withColumn("evidence", F.from_json("evidence", "map<string,double>")), deck)
+
+
+def stream_meter(calls: DataFrame, window_s: float = 20.0, ends: Ends = Ends()) -> DataFrame:
+    """For each call the rates over the trailing window, exactly as ``meter.rolling_rates``: session_id, tick, t and the rates. A call is told when the
+    watermark has passed it, so none that counts is still to come."""
+    rows = calls.select(*_keyed("session_id"), _tick(), *_numbers("t"), F.coalesce(F.col("input_tokens").cast("double"), F.lit(0.0)).alias("tokens"), _event_time(calls).alias("ts"))
+    rows = _bucket(rows.filter("session_id IS NOT NULL AND t IS NOT NULL").withWatermark("ts", ends.late), ends, "session_id")
+    sums = rows.groupBy("bucket").transformWithStateInPandas(processors.Meter(max(ends.idle_s, window_s), window_s), "session_id string, tick long, t double, tokens double, calls long, oldest double", "Append", "EventTime")
+    return meter.rates(sums, F.col("tokens"), F.col("calls"), F.col("oldest")).drop("tokens", "calls", "oldest")
 
 
 def stream_rates(calls: DataFrame, late: str = "10 seconds", window: str = "20 seconds", step: str = "1 second") -> DataFrame:
