@@ -85,21 +85,21 @@ def derive_specs(channels: DataFrame, rate_hz: float = 5.0, gate_open: float = 0
     Channels outside what can be thresholded get a ``status`` other than ``ok`` (strict: raise an error instead).
     """
     hit, miss = mass(F.col("kind"), F.size(F.coalesce("criteria", F.array())), F.col("p_hit"), F.col("p_miss"))
-    rows = channels.withColumns({"_hit": hit, "_miss": miss})
+    rows = channels.select("*", F.explode(F.array(F.struct(hit.alias("_hit"), miss.alias("_miss")))).alias("_mass")).select("*", "_mass.*").drop("_mass")
     a, hit, miss, fire_at = F.col("accuracy"), F.col("_hit"), F.col("_miss"), F.coalesce("fire_at", F.lit(0.65))
     low, high = attractors(a, hit, miss)
     rate = F.when(F.col("tier") == "gate", rate_hz).otherwise(max(rate_hz * gate_open, 0.5))
     high_side = F.col("polarity") != "low"
     line = lambda share: F.round(F.when(high_side, low + share * (high - low)).otherwise(1 - (low + share * (high - low))), 4)
-    rows = rows.withColumns(
-        {
-            "fire": line(fire_at),
-            "release": line(F.lit(0.35)),
-            "tau": F.round(required_tau(a, rate, hit, miss, fire_at), 3),
-            "unreliable_at": F.round(disagreement_threshold(a, hit, miss), 4),
-            "gap": high - low,
-        }
-    )
+    found = {
+        "fire": line(fire_at),
+        "release": line(F.lit(0.35)),
+        "tau": F.round(required_tau(a, rate, hit, miss, fire_at), 3),
+        "unreliable_at": F.round(disagreement_threshold(a, hit, miss), 4),
+        "gap": high - low,
+    }
+    # each is computed once: the optimizer would otherwise write these long expressions out wherever they are named below
+    rows = rows.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in found.items())))).alias("found")).select("*", "found.*").drop("found")
     ordered = F.when(high_side, F.col("release") < F.col("fire")).otherwise(F.col("release") > F.col("fire"))
     status = (
         F.when(~a.between(0, 1) | a.isNull(), "accuracy out of range")

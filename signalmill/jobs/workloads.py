@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import channels as ch
+from ..functions.scratch import checkpointed
 from ..operators import answers, calibration, context, evaluate, gate, meter, rules, sampling, traces
 
 
@@ -31,6 +32,8 @@ def cards_from_judgments(judgments: DataFrame, specs: DataFrame, curves: DataFra
     wide = rules.wide_state(measured(judgments, specs, curves), keys, deck=deck)
     hits = rules.cooled_down(rules.candidates(wide, deck))
     if utterances is not None:
+        # sparse rows that are read twice below
+        hits = checkpointed(hits)
         asked = context.last_question(hits.select("session_id", "tick", "t").distinct(), utterances)
         hits = hits.join(asked.select("session_id", "tick", "last_question"), ["session_id", "tick"], "left")
     return rules.cards(hits, deck)

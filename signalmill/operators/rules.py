@@ -111,11 +111,14 @@ def candidates(wide: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
         evidence = F.create_map(*pairs).cast("map<string,double>").alias("evidence")
         marks.append(F.when(F.coalesce(F.expr(rule.when), F.lit(False)), F.struct(F.lit(place).alias("place"), F.lit(rule.id).alias("rule"), F.lit(float(rule.refractory_s)).alias("refractory_s"), evidence)))
     stay = [c for c in ("last_question", "ts") if c in have]
-    kept = wide.select("session_id", "tick", "t", *stay, (F.array_compact(F.array(*marks)) if marks else F.array().cast(_NO_HITS)).alias("hits"))
-    return kept.withColumn("hit", F.explode("hits")).select("session_id", "tick", "t", "hit.*", *stay)
+    if not marks:
+        marks = [F.lit(None).cast(_HIT)]
+    # a plain array of all rules, of which most are null: array_compact here would be written out in filters that Spark infers and compares at length
+    rows = wide.select("session_id", "tick", "t", *stay, F.explode(F.array(*marks)).alias("hit")).filter("hit IS NOT NULL")
+    return rows.select("session_id", "tick", "t", "hit.*", *stay)
 
 
-_NO_HITS = "array<struct<place:int,rule:string,refractory_s:double,evidence:map<string,double>>>"
+_HIT = "struct<place:int,rule:string,refractory_s:double,evidence:map<string,double>>"
 
 
 def cooled_down(hits: DataFrame) -> DataFrame:

@@ -73,9 +73,7 @@ def run_traces(judgments: DataFrame) -> DataFrame:
 def default_specs(frame: DataFrame) -> DataFrame:
     """Fills warmup (2 tau), slope_window (2 s), dwell (0) and unreliable_at (0.3) where they are missing or null."""
     defaults = {"dwell": F.lit(0.0), "slope_window": F.lit(2.0), "warmup": 2 * F.col("tau"), "unreliable_at": F.lit(0.3), "min_slope": F.lit(None).cast("double")}
-    for name, value in defaults.items():
-        frame = frame.withColumn(name, F.coalesce(F.col(name), value) if name in frame.columns else value)
-    return frame
+    return frame.withColumns({name: F.coalesce(F.col(name), value) if name in frame.columns else value for name, value in defaults.items()})
 
 
 def micros(t: Column) -> Column:

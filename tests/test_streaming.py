@@ -65,7 +65,7 @@ def default_calls(spark):
 
     from signalmill.functions import channels as ch
 
-    rnd, specs = random.Random(12), traces.default_specs(ch.derive_specs(ch.default_channels(spark)))
+    rnd, specs = random.Random(12), ch.derive_specs(ch.default_channels(spark))
     keys = sorted(r.key for r in specs.select("key").collect())
     data, said = [], []
     for s in range(2):
