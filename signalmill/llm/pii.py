@@ -59,7 +59,9 @@ _LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| \. )[0-9]{1,3
 # Kinds without a base pattern
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
 _SECRET_WORD = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|secret[_-]?key|auth|credentials?)[\"']?\s{0,2}$")
+#: How such a value begins, and how it goes on: of any length, but read on only where a word for a secret stands before it.
 _ASSIGNED = re.compile(r"[=:]\s{0,2}[\"']?([^\s\"'<>]{8,200})")
+_ON = re.compile(r"[^\s\"'<>]*")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _CHECKED = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{8}-?[A-Z]|[12] ?[0-9]{2} ?[01][0-9] ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2})(?![0-9A-Za-z-])")
@@ -123,9 +125,9 @@ def candidates(text: str) -> list[tuple[int, str, int, str]]:
     # what a word for a secret is given
     while m := _ASSIGNED.search(text, at):
         if _SECRET_WORD.search(text, max(0, m.start() - 24), m.start()):
-            end = m.end() - len(m[1]) + len(m[1].rstrip(".,;)]}"))
+            at = _ON.match(text, m.end()).end()
+            end = m.start(1) + len(text[m.start(1) : at].rstrip(".,;)]}"))
             out.append((m.start(1), "secret", end, "assigned"))
-            at = m.end()
         else:
             at = m.start() + 1
     if not _DIGIT.search(text):

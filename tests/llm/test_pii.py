@@ -201,3 +201,21 @@ def test_sample_is_of_documents_with_candidates(spark, monkeypatch):
     for text in cases() + corpus():
         if len(text or "") <= 20_000 and any(f in ("base", "failing") for *_, f in P.candidates(text or "")):
             assert any(P.re.search(p, text) for p in P._HOLDS.values()), text
+
+
+def test_a_long_secret_goes_whole_and_many_colons_cost_little():
+    import string
+    import time
+
+    rnd = random.Random(3)
+    model = P.fit_model(corpus(), P.PiiOptions())
+    for n in (40, 199, 201, 500, 5000):
+        secret = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+        text = f'The config has api_key = "{secret}", and more text follows.'
+        start = text.index(secret)
+        assert (start, "secret", start + n, "assigned") in P.candidates(text)
+        left = P.redacted(text, sorted((s, k, e) for s, k, e, _ in model.select(text)))
+        assert not any(secret[i : i + 12] in left for i in range(0, n - 12, 7)), (n, left[:200])
+    began = time.process_time()
+    P.candidates("token x:" + "a:" * 100_000)
+    assert time.process_time() - began < 20
