@@ -5,9 +5,15 @@ Utterances are rows (session_id, seq, t, speaker, text); ticks are rows (session
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.scratch import unused
 from .asof import BUCKET_S, last_known
 
 
@@ -44,14 +50,64 @@ def in_window(ticks: DataFrame, utterances: DataFrame, window_s: float) -> DataF
 def rolling_context(ticks: DataFrame, utterances: DataFrame, window_s: float = 45.0, max_chars: int = 3000, most: int = 400) -> DataFrame:
     """For each tick its lines, oldest first: those of the window, from the newest back while they and one more character each fit.
 
-    A newest line that does not fit leaves no lines. Only the ``most`` newest utterances are kept. Texts join last, by id.
+    A newest line that does not fit leaves no lines. Only the ``most`` newest utterances are kept. Ticks and lines are shuffled once, by session and
+    a slot of time, a line into its slot and the next; no pairs of them are made. In a slot the lines' lengths are added up, and each tick finds its
+    first and last line by binary search. Ticks without a session or a time have no lines.
     """
-    newest = Window.partitionBy("session_id", "tick").orderBy(F.desc("said"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = in_window(ticks, utterances, window_s).withColumns({"used": F.sum(F.col("chars") + 1).over(newest), "n": F.count("*").over(newest)})
-    kept = rows.filter((F.col("used") <= max_chars) & (F.col("n") <= most)).select("session_id", "tick", "seq", "said")
-    texts = utterances.select("session_id", "seq", transcript_line(F.col("speaker"), F.col("text")).alias("line"))
-    lines = kept.join(texts, ["session_id", "seq"]).groupBy("session_id", "tick").agg(F.sort_array(F.collect_list(F.struct("said", "seq", "line"))).alias("all"))
-    return ticks.join(lines.select("session_id", "tick", F.col("all.line").alias("lines")), ["session_id", "tick"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
+    slot_s = max(window_s, 600.0)
+    slot, said, seq, line, chars, kind = (unused(ticks, c) for c in ("slot", "said", "seq", "line", "chars", "kind"))
+    at = lambda t: F.floor(F.col(t) / slot_s)
+    text = transcript_line(F.col("speaker"), F.col("text"))
+    lines = utterances.filter("session_id IS NOT NULL AND t IS NOT NULL").select("session_id", F.col("t").cast("double").alias(said), F.col("seq").alias(seq), text.alias(line), F.lit(0).alias(kind))
+    lines = lines.withColumn(slot, F.explode(F.array(at(said), at(said) + 1))).withColumn(chars, F.length(line).cast("long"))
+    asked = ticks.withColumns({slot: at("t"), said: F.col("t").cast("double"), kind: F.lit(1)})
+    order = ["session_id", slot, kind, said, seq]
+    rows = asked.unionByName(lines, allowMissingColumns=True).repartition("session_id", slot).sortWithinPartitions(*order).select(*ticks.columns, slot, kind, said, chars, line)
+    schema = T.StructType([*ticks.schema.fields, T.StructField("lines", T.ArrayType(T.StringType()))])
+    names, here = schema.names, ticks.columns.index("session_id")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, times, sizes, texts = None, [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *own, slots, kinds, when, lengths, content = batch.columns
+            keys = list(zip(batch.column(here).to_pylist(), slots.to_pylist(), strict=True))
+            starts = [*(i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]), len(keys)]
+            is_tick, found = kinds.to_numpy() == 1, []
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if keys[i] != now:
+                    now, times, sizes, texts = keys[i], [], [], []
+                cut = i + int((~is_tick[i:j]).sum())
+                times += when.slice(i, cut - i).to_pylist()
+                sizes += lengths.slice(i, cut - i).to_pylist()
+                texts += content.slice(i, cut - i).to_pylist()
+                if cut == j:
+                    continue
+                t, known = when.slice(cut, j - cut).to_numpy(zero_copy_only=False).astype(float), np.array(times, float)
+                low, high = windows_of(t, known, np.array(sizes, np.int64), window_s, max_chars, most)
+                found += [texts[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+            if found:
+                columns = [c.filter(pa.array(is_tick)) for c in own]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string()))], names=names)
+
+    return rows.mapInArrow(gather, schema)
+
+
+def windows_of(t: np.ndarray, said: np.ndarray, chars: np.ndarray, window_s: float, max_chars: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each time the first and the end of its lines, among lines in order of the times they were said and with these lengths."""
+    high = np.where(np.isnan(t), 0, np.searchsorted(said, t, "right"))
+    low = np.searchsorted(said, t - window_s)
+    n = len(said)
+    # the edge is where t - said says so
+    while (back := (low > 0) & (t - said[np.maximum(low - 1, 0)] <= window_s) if n else np.zeros(len(t), bool)).any():
+        low = low - back
+    while (on := (low < high) & (t - said[np.minimum(low, n - 1)] > window_s) if n else np.zeros(len(t), bool)).any():
+        low = low + on
+    upto = np.concatenate(([0], np.cumsum(chars + 1)))
+    fits = np.searchsorted(upto, upto[high] - max_chars)
+    low = np.maximum.reduce([low, fits, high - most])
+    return np.minimum(low, high), high
 
 
 def last_lines(lines: Column, n: int) -> Column:
