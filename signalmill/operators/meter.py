@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import unused
 from .traces import micros
 
 # Price of a million input tokens, limits of tokens a second and requests a minute.
@@ -44,7 +45,8 @@ def totals(calls: DataFrame) -> DataFrame:
 def latency_percentiles(calls: DataFrame, percents=(50, 95), latest: int = 200) -> DataFrame:
     """Exact percentiles of the last ``latest`` latencies of each session: the sorted value at int(p / 100 n)."""
     order = Window.partitionBy("session_id").orderBy(F.desc("t"), F.desc("tick"))
-    rows = calls.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= latest)
+    nth = unused(calls, "nth")
+    rows = calls.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= latest)
     rows = rows.groupBy("session_id").agg(F.sort_array(F.collect_list("latency_ms")).alias("x"))
     at = lambda p: F.least((F.size("x") * (p / 100)).cast("int"), F.size("x") - 1)
     return rows.select("session_id", *(F.element_at("x", at(p) + 1).alias(f"p{p}_ms") for p in percents))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import over_keys, run_starts, spaced
+from ..functions.scratch import unused
 from .asof import BUCKET_S, last_known
 from .context import last_lines
 
@@ -163,7 +164,8 @@ def cards(kept: DataFrame, rules=DEFAULT_RULES, question: str = "last_question")
 def recent_cards(found: DataFrame, most: int = 60) -> DataFrame:
     """The last cards of each session, once for each rule and tick."""
     order = Window.partitionBy("session_id").orderBy(F.desc("t"), F.desc("tick"), "rule")
-    return found.dropDuplicates(["session_id", "rule", "tick"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+    nth = unused(found, "nth")
+    return found.dropDuplicates(["session_id", "rule", "tick"]).withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= most).drop(nth)
 
 
 def floor_holder(wide: DataFrame, at: float = 0.42):

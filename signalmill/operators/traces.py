@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import trace as core
+from ..functions.scratch import unused
 
 TRACE = ("session_id", "key")
 _TYPES = {"warm": T.BooleanType(), "unreliable": T.BooleanType(), "fired": T.BooleanType(), "latched": T.BooleanType(), "fire_count": T.LongType()}
@@ -102,11 +103,12 @@ def ema_integral(samples: DataFrame, seconds: float = 30.0, name: str = "integra
     """Time average of ema over the trailing window by trapezoids that lie in it whole; 0 for under two samples."""
     order = Window.partitionBy(*TRACE).orderBy(micros(F.col("t")), "tick")
     dt = F.greatest(F.col("t") - F.lag("t").over(order), F.lit(0.0))
-    rows = samples.withColumns({"_dt": F.coalesce(dt, F.lit(0.0)), "_term": F.coalesce(dt * (F.col("ema") + F.lag("ema").over(order)) / 2, F.lit(0.0))})
+    step, term = unused(samples, "dt"), unused(samples, "term")
+    rows = samples.withColumns({step: F.coalesce(dt, F.lit(0.0)), term: F.coalesce(dt * (F.col("ema") + F.lag("ema").over(order)) / 2, F.lit(0.0))})
     w = trailing(seconds)
-    area = F.sum("_term").over(w) - F.first("_term").over(w)
-    span = F.sum("_dt").over(w) - F.first("_dt").over(w)
-    return rows.withColumn(name, F.when(span > 1e-9, area / span).otherwise(0.0)).drop("_dt", "_term")
+    area = F.sum(term).over(w) - F.first(term).over(w)
+    span = F.sum(step).over(w) - F.first(step).over(w)
+    return rows.withColumn(name, F.when(span > 1e-9, area / span).otherwise(0.0)).drop(step, term)
 
 
 def in_band(ema: Column, fire: Column, polarity: Column) -> Column:
@@ -116,10 +118,11 @@ def in_band(ema: Column, fire: Column, polarity: Column) -> Column:
 def in_band_for(samples: DataFrame, inside: Column, name: str = "in_band_for") -> DataFrame:
     """Seconds since the trace came into its band; 0 outside."""
     order = Window.partitionBy(*TRACE).orderBy("t", "tick")
-    rows = samples.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_in"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    since = F.min(F.when(F.col("_in"), F.col("t"))).over(Window.partitionBy(*TRACE, "_run"))
-    return rows.withColumn(name, F.when(F.col("_in"), F.col("t") - since).otherwise(0.0)).drop("_in", "_run")
+    within, run = unused(samples, "within"), unused(samples, "run")
+    rows = samples.withColumn(within, F.coalesce(inside, F.lit(False)))
+    rows = rows.withColumn(run, F.sum(F.when(F.col(within), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    since = F.min(F.when(F.col(within), F.col("t"))).over(Window.partitionBy(*TRACE, run))
+    return rows.withColumn(name, F.when(F.col(within), F.col("t") - since).otherwise(0.0)).drop(within, run)
 
 
 def warm(samples: DataFrame, warmup: Column, name: str = "warm") -> DataFrame:
@@ -134,7 +137,8 @@ def unreliable(disagreement: Column, at: Column) -> Column:
 def latest_samples(samples: DataFrame, most: int = 900) -> DataFrame:
     """The last ``most`` samples of each trace."""
     order = Window.partitionBy(*TRACE).orderBy(F.desc("t"), F.desc("tick"))
-    return samples.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+    nth = unused(samples, "nth")
+    return samples.withColumn(nth, F.row_number().over(order)).filter(F.col(nth) <= most).drop(nth)
 
 
 def fired_edges(outputs: DataFrame, channels: DataFrame | None = None) -> DataFrame:

@@ -37,3 +37,15 @@ def test_contexts_are_those_of_the_definition(spark, window_s, max_chars, most):
     plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert "Join" not in plan and plan.count("Exchange hash") == 1
     assert context.rolling_context(a, b.limit(0)).filter("size(lines) > 0").count() == 0
+
+
+def test_measures_keep_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    from signalmill.operators import meter, traces
+
+    rows = spark.createDataFrame([("s", "k", float(i), i, 0.9, 1, 2, 3, 4, 5) for i in range(6)], "session_id string, key string, t double, tick long, ema double, dt int, term int, within int, run int, nth int")
+    done = traces.latest_samples(traces.in_band_for(traces.ema_integral(rows, 3.0), F.col("ema") > 0.5), 2)
+    assert done.columns == [*rows.columns, "integral", "in_band_for"]
+    assert sorted((r.tick, round(r.integral, 9), r.in_band_for, r.dt, r.term, r.within, r.run, r.nth) for r in done.collect()) == [(4, 0.9, 4.0, 1, 2, 3, 4, 5), (5, 0.9, 5.0, 1, 2, 3, 4, 5)]
+    assert meter.latency_percentiles(rows.withColumn("latency_ms", F.col("t")), latest=3).first().p50_ms == 4.0
