@@ -9,10 +9,12 @@ So, for each document:
 1. the q-grams of the document are looked up among those of the benchmark (as bytes, in which units that are not ASCII share 128 classes);
 2. the hits are counted by passage and diagonal band; bands are 2 (e + 1) wide and overlap by half, so
    that one of them holds all hits of a match;
-3. bands that reach the bound are retained, and a banded alignment of the units themselves finds the passage's least number of edits.
+3. bands that reach the bound are retained, those of a passage that overlap are joined, and one banded alignment of the units themselves, by bits,
+   finds the passage's least number of edits.
 
 The q-grams most frequent in the benchmark are left out of a passage's lookup, and its bound is lowered by as many, so
-nothing within the edit budget is lost. The benchmark is broadcast in slices of bounded size; each slice is one more scan of the documents.
+nothing within the edit budget is lost. The benchmark is broadcast in slices of bounded size, one after the other: each is one more scan of the
+documents, whose result is kept in the checkpoint folder before the next slice is made.
 
 Cases: null or empty texts match nothing; passages that are null or have fewer than 8 units match nothing; documents
 of any length are read whole; repeated rows are searched one by one; empty tables give an empty
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._text import checkpointed
+
 Q = 8
 # for short passages whose bound is not positive with Q
 SHORT_Q = 5
@@ -178,35 +182,62 @@ class Passages:
 
 
 def banded_alignment(passage: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
-    """The least number of edits between the passage and a part of the text that begins on a diagonal from low to
-    high, and where it ends; None beyond ``most``. Diagonals from low - most to high + most are computed."""
+    """The least number of edits between the passage and a part of the text on diagonals from low - most to high + most, and where it first
+    ends; None beyond ``most``. Steps between rows of the band are bits of whole numbers, so a unit of the text takes a few operations on them;
+    the band moves down every so many units, and ends where all of it is beyond ``most``."""
     size, raw, wanted = text.dtype.itemsize, text.tobytes(), passage.tobytes()
     whole = raw.find(wanted, max(low, 0) * size)
     while whole >= 0 and whole % size:
         whole = raw.find(wanted, whole + 1)
     if 0 <= whole <= high * size:
         return 0, whole // size + len(passage)
-    first, width, far = low - most, high - low + 2 * most + 1, 1 << 20
-    steps = np.arange(width)
-    columns = first + steps  # of the text, before the row's unit
-    row = np.where((columns >= 0) & (columns <= len(text)), 0, far)
-    padded = np.full(len(passage) + 2 * width + len(text) + 2, 1, text.dtype)
-    shift = max(0, -first)
-    padded[shift : shift + len(text)] = text
-    for i, unit in enumerate(passage):
-        columns = first + i + steps  # of the text unit beside this row
-        same = padded[first + i + shift : first + i + shift + width] == unit
-        turn = row + np.where(same, 0, 1)
-        turn[(columns < 0) | (columns >= len(text))] = far
-        below = np.append(row[1:] + 1, far)  # the passage's unit is missing in the text
-        new = np.minimum(turn, below)
-        new[(columns + 1 < 0) | (columns + 1 > len(text))] = far
-        row = np.minimum.accumulate(new - steps) + steps  # units of the text that the passage lacks
-        row[(columns + 1 < 0) | (columns + 1 > len(text))] = far
-        if row.min() > most:
-            return None
-    best = int(row.argmin())
-    return int(row[best]), first + len(passage) + best
+    at, last = max(0, low - most), min(len(text), high + most + len(passage))
+    top, bottom = 0, 0  # rows (units of the passage) top + 1 to bottom are held
+    up, down, value, best = 0, 0, 0, None  # steps between rows as bits, the value of row top
+    while at < last:
+        stop, before = min(last, at + _COLUMNS), bottom
+        gone = max(0, at - high - most) - top
+        if gone > 0:
+            cut = (1 << gone) - 1
+            value += (up & cut).bit_count() - (down & cut).bit_count()
+            up, down, top = up >> gone, down >> gone, top + gone
+        bottom = max(before, min(len(passage), stop - low + most))
+        if bottom <= top:
+            break
+        mask = (1 << bottom - top) - 1
+        up |= mask & ~((1 << max(0, before - top)) - 1)
+        if top and value + _least_sum(up, down, bottom - top) > most:
+            break
+        units, places = np.unique(text[at:stop], return_inverse=True)
+        same = [int.from_bytes(np.packbits(passage[top:bottom] == u, bitorder="little").tobytes(), "little") for u in units]
+        # a match begins anywhere above the passage's first row; rows that are gone grow by one
+        step, width = int(top > 0), bottom - top
+        whole = value + up.bit_count() - down.bit_count() if bottom == len(passage) else None
+        if whole is not None and whole <= most and (best is None or whole < best[0]):
+            best = whole, at
+        for column, u in enumerate(places.tolist(), at + 1):
+            eq = same[u]
+            vertical = eq | down
+            across = ((((eq & up) + up) ^ up) | eq) & mask
+            more, less = down | mask ^ (across | up), up & across
+            if whole is not None:
+                whole += (more >> width - 1) - (less >> width - 1)
+                if whole <= most and (best is None or whole < best[0]):
+                    best = whole, column
+            more, less = (more << 1 | step) & mask, less << 1 & mask
+            up, down = less | mask ^ (vertical | more), more & vertical
+        value, at = value + step * (stop - at), stop
+    return best
+
+
+_COLUMNS = 256
+
+
+def _least_sum(up: int, down: int, width: int) -> int:
+    """The least sum of steps from the first row on."""
+    size = -(-width // 8)
+    rows = [np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little")[:width].astype(np.int32) for x in (up, down)]
+    return min(0, int(np.cumsum(rows[0] - rows[1]).min()))
 
 
 def find_in_texts(texts: list[str | None], passages: Passages) -> list[list[tuple]]:
@@ -225,24 +256,21 @@ def find_in_texts(texts: list[str | None], passages: Passages) -> list[list[tupl
     keys, counts = np.unique(np.concatenate(both, 1), axis=1, return_counts=True) if len(at) < 50_000 else _counted(np.concatenate(both, 1))
     keep = counts >= passages.bounds[keys[1]]
     best: dict[tuple, tuple] = {}
-    for d, o, b in keys[:, keep].T.tolist():
-        w, step = passages.whole[o], int(passages.edits[o]) + 1
-        e, passage, item = passages.most[w], passages.units[w], passages.items[w]
-        if best.get((d, item), (1,))[0] == 0:
+    for (d, w), (low, high) in _joined_bands(keys[:, keep], begins, passages):
+        passage, item = passages.units[w], passages.items[w]
+        # what is found later must be better
+        e = min(passages.most[w], best.get((d, item), (1 << 30,))[0] - 1)
+        if e < 0:
             continue
         # the segment's diagonals; the alignment may leave them by the whole passage's edits
-        low, high = b * step - begins[d], (b + 2) * step - 1 - begins[d]
-        a, z = max(0, low - e), min(int(begins[d + 1]) - 1 - begins[d], high + e + len(passage))
+        a, z = max(0, low - e), min(int(begins[d + 1]) - 1 - int(begins[d]), high + e + len(passage))
         if z <= a:
             continue
         text = units[begins[d] + a : begins[d] + z]
-        found = banded_alignment(passage, text, int(low - a), int(high - a), e)
+        found = banded_alignment(passage, text, low - a, high - a, e)
         if found:
-            key = (d, item)
-            end = int(a + found[1])
-            mark = (found[0], max(0, end - len(passage)), end, len(passage))
-            if key not in best or mark < best[key]:
-                best[key] = mark
+            end = a + found[1]
+            best[d, item] = (found[0], max(0, end - len(passage)), end, len(passage))
     for (d, item), (n, start, end, m) in best.items():
         origin = places[begins[d]]
         first, last = places[begins[d] + start] - origin, places[begins[d] + max(start, end - 1)] - origin + 1
@@ -250,6 +278,24 @@ def find_in_texts(texts: list[str | None], passages: Passages) -> list[list[tupl
     return out
 
 
+def _joined_bands(bands: np.ndarray, begins: np.ndarray, passages: Passages) -> Iterator[tuple]:
+    """((document, passage), (first, last diagonal)) of retained bands; those of a document and a passage that an alignment would see together are one."""
+    d, o, b = bands
+    step = passages.edits[o] + 1
+    w, low = np.array(passages.whole, np.int64)[o], b * step - begins[d]
+    high, order = low + 2 * step - 1, np.lexsort((low, w, d))
+    held: tuple | None = None
+    for one, first, last in zip(zip(d[order].tolist(), w[order].tolist(), strict=True), low[order].tolist(), high[order].tolist(), strict=True):
+        if held and held[0] == one and first <= held[1][1] + 2 * passages.most[one[1]]:
+            held = one, (held[1][0], max(held[1][1], last))
+            continue
+        if held:
+            yield held
+        held = one, (first, last)
+    if held:
+        yield held
+
+
 def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """np.unique over columns of three numbers, by one packed number."""
     low = rows.min(1, keepdims=True)
@@ -261,14 +307,17 @@ def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack((packed // (b * c), packed // c % b, packed % c)) + low, counts
 
 
-def _slices(benchmark: DataFrame, item_column: str, text_column: str, options: LeakOptions) -> Iterator:
-    """Broadcasts of benchmark slices, each of a bounded size."""
+def _slices(benchmark: DataFrame, item_column: str, text_column: str, options: LeakOptions) -> Iterator[tuple]:
+    """Broadcasts of benchmark slices, each of a bounded size, and whether it is the only one. The next is made when the one before is used up."""
     rows = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // options.slice_chars))
     for s in range(n):
         items = [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == s).collect()]
-        yield rows.sparkSession.sparkContext.broadcast(Passages(items, options))
+        held = rows.sparkSession.sparkContext.broadcast(Passages(items, options))
+        yield held, n == 1
+        if n > 1:
+            held.destroy()
 
 
 def _batches(batches: Iterator[pa.RecordBatch], place: int, chars: int) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -306,7 +355,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
 
         return rows.mapInArrow(search, schema)
 
-    parts = [with_slice(p) for p in _slices(benchmark, item_column, item_text_column, options)]
+    parts = [with_slice(p) if only else checkpointed(with_slice(p)) for p, only in _slices(benchmark, item_column, item_text_column, options)]
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -325,8 +374,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
 
         return frame.mapInArrow(search, frame.schema)
 
-    for passages in _slices(benchmark, item_column, item_text_column, options):
-        docs = with_slice(docs, passages)
+    for passages, only in _slices(benchmark, item_column, item_text_column, options):
+        docs = with_slice(docs, passages) if only else checkpointed(with_slice(docs, passages))
     return docs
 
 

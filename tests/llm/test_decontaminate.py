@@ -159,3 +159,46 @@ def test_short_passages_have_the_tenth_of_edits():
         for i in range(e + 1):
             far[(2 * i + 1) * m // (2 * e + 2)] = "z"
         assert D.find_in_texts(["".join(far)], passages) == [[]] or least_edits(norm(body), norm("".join(far))) <= e
+
+
+def test_long_alignments_against_the_full_table():
+    rnd = random.Random(21)
+    for m in (300, 700, 1500):
+        body = [rnd.choice("abcdefgh ") for _ in range(m)]
+        for edits in (0, 3, m // 20, m // 10, m // 8):
+            t = list(body)
+            for i in rnd.sample(range(m), edits):
+                t[i] = rnd.choice(("", "x", t[i] + "y"))
+            before, text = rnd.randrange(200), "".join(t)
+            text = "".join(rnd.choice("abcdefgh ") for _ in range(before)) + text + "".join(rnd.choice("abcdefgh ") for _ in range(150))
+            p, q = (np.frombuffer("".join(s).encode(), np.uint8) for s in (body, text))
+            least = full_table(p, q)
+            for low, high in ((0, len(q)), (before - 20, before + 20), (before, before)):
+                got = D.banded_alignment(p, q, low, high, m // 10)
+                assert (got[0] if got else None) == (least if least <= m // 10 else None), (m, edits, low, high)
+
+
+def full_table(p, q):
+    """Least edits between p and any part of q, row by row."""
+    row, steps = np.zeros(len(q) + 1, np.int64), np.arange(len(q) + 1)
+    for i, u in enumerate(p, 1):
+        new = np.minimum(row + 1, np.append(i, row[:-1] + (q != u)))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+def test_long_passages_take_one_fast_alignment():
+    import time
+
+    rnd = random.Random(22)
+    body = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(4000))
+    t = list(body)
+    for i in rnd.sample(range(4000), 380):
+        t[i] = "z"
+    passages = D.Passages([(1, body)], D.LeakOptions())
+    start = time.perf_counter()
+    (leaks,) = D.find_in_texts(["x " * 500 + "".join(t) + " y" * 500], passages)
+    assert leaks and leaks[0][3] <= 380 and time.perf_counter() - start < 1
+    repeated = D.Passages([(1, "ab " * 400)], D.LeakOptions())
+    assert D.find_in_texts(["ab " * 3000], repeated)[0][0][3] == 0
+    assert D.find_in_texts(["abc " * 3000], repeated) == [[]]
