@@ -7,13 +7,14 @@ same element of its class is out of order and leaves it. What is left is the hos
 leaves open are slots. Extracted are the main slots: those in the lowest container that holds all open text, without fixed texts and without
 slots that are menus, by their share of links over all pages of the host.
 
-Lists of tags, roles and class words (nav, footer, ad) speak against a slot only where it holds less than half of the host's text; in hosts without
-a template, less than most of the page's (see Page). Links count as open text in headings only; a page that has open text elsewhere takes its
-own lowest common container.
+Lists of tags, roles and class words (nav, footer, ad, comments) speak against a slot. Where a page has an article beside it (see Page.judge), the
+slot is shut however long it is; else it is open where it holds most of the page's text or, by the template, over half of the host's. Links count as
+open text in headings only; a page that has open text elsewhere takes its own lowest common container.
 
 Vectors are never gathered: each task adds up its pages, and a vector is known by the exclusive or of hashes of (page, count), with the
 count of pages and of occurrences. Only frequent tokens of a host come together, at most as many as 1 / share pages hold. Host tables are
-broadcast up to ``broadcast_rows`` hosts; beyond, pages and hosts are joined by shuffle.
+broadcast up to ``broadcast_tokens`` tokens in all; beyond, pages and hosts are joined by shuffle, where adaptive execution splits the pages of a
+host that holds many.
 
 Cases: null or empty pages have an empty text; hosts of few pages have no template, so each of their pages is its own (its main
 container is found by the same rule); a page without the host's main container likewise; null URLs share one host;
@@ -53,6 +54,7 @@ LISTED = frozenset("nav aside footer form menu dialog".split())
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+READERS = frozenset("comment comments disqus replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 
 # A tag as the standard reads it: a quote that is never closed takes the rest of the page
@@ -73,14 +75,15 @@ TEXT, HOLDS, NAMED = 1, 2, 4
 @dataclass(frozen=True)
 class TemplateOptions:
     """least_pages: pages that a host's template is deduced from at least. share: of the host's pages that a token of it needs.
-    fixed_share: of pages that a text of the template stands in. link_share: of its text that makes a slot a menu."""
+    fixed_share: of pages that a text of the template stands in. link_share: of its text that makes a slot a menu. broadcast_tokens: of all hosts
+    together that are broadcast."""
 
     least_pages: int = 5
     share: float = 0.5
     fixed_share: float = 0.95
     short_text: int = 60
     link_share: float = 0.8
-    broadcast_rows: int = 100_000
+    broadcast_tokens: int = 1_000_000
 
 
 def _digest(*parts: bytes) -> int:
@@ -115,6 +118,7 @@ class Page:
     open, 1 if it never is, 0 if none is asked. ``texts``: (element, text, block, whether in a link that is no heading)."""
 
     MOST = 0.9
+    LEAST = 80  # characters without names that count as an article where there is no element of that kind
 
     def __init__(self, source: str):
         self.parent, self.key, self.tag, self.named = [0], [0], [""], [0.0]
@@ -185,6 +189,44 @@ class Page:
                     barriers.append(len(stack))
                 stack.append((tag, len(self.key) - 1, (link or tag == "a") and not headings))
 
+        self.shut = [False] * len(self.key)
+        self.judge()
+
+    def judge(self) -> None:
+        """Finds the page's article and shuts named elements beside it.
+
+        An article is text out of links, headings and named elements: in an article or main element any, elsewhere ``LEAST`` characters of it. Elements
+        around it that only hint at something else (a form, class words in part) count as unnamed. Beside it, what a tag, a role or a whole word names is
+        shut; what hints only where it is out of the article's element, or that has ``LEAST`` characters without it. ``has_article`` tells whether there is one."""
+        n = len(self.key)
+        owner, heading, strong = [0] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            owner[i] = i if self.tag[i] in ("article", "main") else 0 if self.named[i] else owner[up]
+            heading[i] = heading[up] or self.tag[i] in HEADING
+            strong[i] = strong[up] or self.named[i] >= self.MOST
+        sizes = self.sizes()
+        said = [(e, size) for (e, _, _, link), size in zip(self.texts, sizes, strict=True) if size and not link and not heading[e]]
+        articles = {owner[e] for e, _ in said if owner[e] and not strong[owner[e]]}
+        seen = {0}
+        for at in articles:
+            while at not in seen:
+                seen.add(at)
+                self.named[at] = 0.0
+                at = self.parent[at]
+        inside, beneath = [False] * n, [False] * n
+        for i in range(1, n):
+            inside[i] = inside[self.parent[i]] or i in articles
+            beneath[i] = beneath[self.parent[i]] or self.named[i] > 0
+        free = sum(size for e, size in said if not beneath[e])
+        within = sum(size for e, size in said if not beneath[e] and inside[e])
+        self.has_article = within > 0 or free >= self.LEAST
+        for i in range(1, n):
+            if self.named[i] >= self.MOST:
+                self.shut[i] = self.has_article
+            elif self.named[i]:
+                self.shut[i] = within >= self.LEAST or (within > 0 and not inside[i])
+
     @staticmethod
     def _named(tag: str, attributes: str, inside: bool) -> tuple[str, float]:
         """The element's name in paths, and its share (see Page)."""
@@ -204,19 +246,20 @@ class Page:
             elif what == "role":
                 share = max(share, Page.MOST) if value.strip() in ROLES else share
             elif tag not in ("html", "body", "article", "main") and not BOILERPLATE.isdisjoint(_SPLIT.split(_BESIDE.sub(" ", value))):
-                share = max(share, 0.5 if BOILERPLATE.isdisjoint(value.split()) else Page.MOST)
+                whole = not BOILERPLATE.isdisjoint(value.split()) or not READERS.isdisjoint(_SPLIT.split(_BESIDE.sub(" ", value)))
+                share = max(share, Page.MOST if whole else 0.5)
             if what == "class":
                 kind = "." + ".".join(sorted(value.split()))
         return tag + kind, share
 
     def opened(self, slots: dict[int, bool] | None = None) -> list[bool]:
-        """For each element whether texts in it are open. The host's decisions on slots go first; else a named element is open if it holds its share of the
-        page's text out of links."""
+        """For each element whether texts in it are open. Named elements beside an article are shut; then the host's decisions on slots count; else a named
+        element is open if it holds its share of the page's text out of links."""
         held, never = self.summed([0 if link else n for (_, _, _, link), n in zip(self.texts, self.sizes(), strict=True)])
         slots, out = slots or {}, [True] * len(self.key)
         for i in range(1, len(self.key)):
             said = slots.get(self.key[i])
-            mine = not never[i] and (held[i] > self.named[i] * held[0] if said is None and self.named[i] else said is not False)
+            mine = not never[i] and not self.shut[i] and (held[i] > self.named[i] * held[0] if said is None and self.named[i] else said is not False)
             out[i] = out[self.parent[i]] and mine
         return out
 
@@ -239,7 +282,8 @@ class Page:
 
 
 def page_tokens(page: Page) -> dict[int, list[int]]:
-    """For each token of the page: how often it stands there, its open text, its text out of links and in links, its parent's token, its marks."""
+    """For each token of the page: how often it stands there, its open text, its text out of links and in links, for the root whether the page has an
+    article, its parent's token, its marks."""
     sizes, opened = page.sizes(), page.opened()
     out_of_links = [0 if t[3] else n for t, n in zip(page.texts, sizes, strict=True)]
     plain, _ = page.summed(out_of_links)
@@ -248,12 +292,12 @@ def page_tokens(page: Page) -> dict[int, list[int]]:
     found: dict[int, list[int]] = {}
     for i, key in enumerate(page.key):
         marks = (HOLDS if page.tag[i] in CONTAINER else 0) | (NAMED if page.named[i] else 0)
-        one = found.setdefault(key, [0, 0, 0, 0, page.key[page.parent[i]], marks])
-        for k, x in enumerate((1, open_[i], plain[i], every[i] - plain[i])):
+        one = found.setdefault(key, [0, 0, 0, 0, 0, page.key[page.parent[i]], marks])
+        for k, x in enumerate((1, open_[i], plain[i], every[i] - plain[i], int(i == 0 and page.has_article))):
             one[k] += x
     for (e, text, _, link), n in zip(page.texts, sizes, strict=True):
         if n:
-            one = found.setdefault(text_key(page.key[e], text), [0, 0, 0, 0, page.key[e], TEXT])
+            one = found.setdefault(text_key(page.key[e], text), [0, 0, 0, 0, 0, page.key[e], TEXT])
             for k, x in enumerate((1, n if opened[e] and not link else 0, 0 if link else n, n if link else 0)):
                 one[k] += x
     return found
@@ -283,6 +327,7 @@ class Token:
     open: int
     plain: int
     linked: int
+    articles: int
     parent: int
     marks: int
 
@@ -330,12 +375,13 @@ def slots_of(tokens: list[Token], classes: dict[int, int], pages: int, options:
 
     - A text of a class that nearly all pages hold is fixed; long ones only where fixed texts are no more than half of the open text, so that
       copies of one page are no template.
-    - A slot whose text is links is a menu. A named slot is shut where it holds less of the host's text than its name asks.
+    - A slot whose text is links is a menu. In a host of articles a named slot is open where the pages themselves open most of its text; in
+      other hosts where it holds over half of the host's text.
     - The main slots' container is the lowest element that holds all open text that is left.
     """
     by = {t.token: t for t in tokens}
-    sure = pages >= 2 * options.least_pages
-    fixed = [t for t in tokens if t.marks & TEXT and t.token in classes and sure and t.pages >= options.fixed_share * pages]
+    articles = 0 in by and 2 * by[0].articles > pages
+    fixed = [t for t in tokens if t.marks & TEXT and t.token in classes and t.pages >= options.fixed_share * pages]
     whole = by[0].open if 0 in by else 0
     if 2 * sum(t.open for t in fixed) > whole:
         fixed = [t for t in fixed if t.plain + t.linked <= options.short_text * t.pages]
@@ -354,12 +400,12 @@ def slots_of(tokens: list[Token], classes: dict[int, int], pages: int, options:
         take(t, t.open)
     said: dict[int, bool] = {}
     for t in sorted((t for t in tokens if not t.marks & TEXT and t.token in classes and t.token), key=lambda t: -t.plain - t.linked):
-        menu = sure and not t.marks & NAMED and t.linked >= options.link_share * (t.linked + t.plain) > 0
+        menu = not t.marks & NAMED and t.linked >= options.link_share * (t.linked + t.plain) > 0
         if menu and t.plain <= 0.1 * max(1, by[0].plain if 0 in by else 0):
             said[t.token] = False
             take(t, t.open - taken.get(t.token, 0))
-        elif t.marks & NAMED and sure:
-            said[t.token] = 2 * t.plain > (by[0].plain if 0 in by else 0)
+        elif t.marks & NAMED:
+            said[t.token] = 2 * t.open > t.plain if articles else 2 * t.plain > (by[0].plain if 0 in by else 0)
     left = {t.token: t.open - taken.get(t.token, 0) for t in tokens if not t.marks & TEXT}
     depth: dict[int, int] = {0: 0}
 
@@ -405,7 +451,7 @@ def extract(page: Page, slots: Slots | None = None) -> str:
 
 # ---- on Spark
 
-_SEEN = "host string, token long, vector long, pages long, total long, open long, plain long, linked long, parent long, marks int"
+_SEEN = "host string, token long, vector long, pages long, total long, open long, plain long, linked long, articles long, parent long, marks int"
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
@@ -419,18 +465,18 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 for token, (n, *sums, parent, marks) in page_tokens(Page(source or "")).items():
                     if n not in hashes:
                         hashes[n] = _digest(f"{key}\0{n}".encode("utf-8", "replace"))
-                    one = held.setdefault((host, token), [0, 0, 0, 0, 0, 0, parent, marks])
+                    one = held.setdefault((host, token), [0, 0, 0, 0, 0, 0, 0, parent, marks])
                     one[0] ^= hashes[n]
                     for k, x in enumerate((1, n, *sums), 1):
                         one[k] += x
-                    one[7] |= marks
+                    one[8] |= marks
                 if len(held) > 200_000:
                     yield _table(held)
                     held = {}
         yield _table(held)
 
     rows = pages.mapInArrow(count, _SEEN)
-    sums = [F.sum(c).alias(c) for c in ("pages", "total", "open", "plain", "linked")]
+    sums = [F.sum(c).alias(c) for c in ("pages", "total", "open", "plain", "linked", "articles")]
     return rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), *sums, F.min("parent").alias("parent"), F.bit_or("marks").alias("marks"))
 
 
@@ -442,8 +488,8 @@ def _table(held: dict[tuple, list]) -> pa.RecordBatch:
 
 
 def _tokens(table: pa.Table) -> list[Token]:
-    columns = [table[c].to_pylist() for c in ("token", "vector", "pages", "total", "open", "plain", "linked", "parent", "marks")]
-    return [Token(t, (v, p, n), p, o, a, b, up, m) for t, v, p, n, o, a, b, up, m in zip(*columns, strict=True)]
+    columns = [table[c].to_pylist() for c in ("token", "vector", "pages", "total", "open", "plain", "linked", "articles", "parent", "marks")]
+    return [Token(t, (v, p, n), p, o, a, b, c, up, m) for t, v, p, n, o, a, b, c, up, m in zip(*columns, strict=True)]
 
 
 def templates(pages: DataFrame, options: TemplateOptions) -> DataFrame:
@@ -461,8 +507,10 @@ def templates(pages: DataFrame, options: TemplateOptions) -> DataFrame:
 
 
 def _beside(rows: DataFrame, hosts: DataFrame, options: TemplateOptions) -> DataFrame:
-    """Rows with the one row of their host; few hosts are broadcast."""
-    return rows.join(F.broadcast(hosts) if hosts.count() <= options.broadcast_rows else hosts, "host", "left")
+    """Rows with the one row of their host; hosts are broadcast where their lists of tokens are short in all."""
+    lists = [F.coalesce(F.size(f.name), F.lit(0)) for f in hosts.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    tokens = hosts.agg(F.sum(sum(lists, F.lit(1)))).first()[0] or 0
+    return rows.join(F.broadcast(hosts) if tokens <= options.broadcast_tokens else hosts, "host", "left")
 
 
 def misplaced(rows: DataFrame, template: DataFrame, options: TemplateOptions) -> DataFrame:

@@ -40,11 +40,9 @@ def test_texts(spark):
     docs = spark.createDataFrame([(*r[:3], "t") for r in cases()], "page_id long, url string, html string, text string").repartition(4)
     got = {r.page_id: r for r in H.main_texts(docs).collect()}
     for i, url, _, want in cases():
-        if i < 240 and i % 3 == 1 and i % 2 == 0:  # hosts of few pages keep texts that would be fixed in larger ones
-            want += "\nRead more"
         assert got[i].text == want and got[i].n_chars == len(want) and got[i].url == url, i
     assert H.main_texts(docs.limit(0)).count() == 0
-    joined = H.main_texts(docs, options=H.TemplateOptions(broadcast_rows=0)).collect()
+    joined = H.main_texts(docs, options=H.TemplateOptions(broadcast_tokens=0)).collect()
     assert {(r.page_id, r.text) for r in joined} == {(i, r.text) for i, r in got.items()}
 
 
@@ -210,3 +208,44 @@ def test_listed_words_leave_the_container_of_the_text(spark):
         assert texts_of(spark, [f"<body><{kind}><p>{body}</p>{rest}</{kind.split()[0]}></body>"]) == {0: [body]}, kind
     page = f"<body><div class=story><p>{body}</p></div><div class=comment-list>{side}</div><form>{side}</form></body>"
     assert texts_of(spark, [page]) == {0: [body]}
+
+
+def test_comments_and_other_named_slots_never_outweigh_an_article(spark):
+    rnd = random.Random(31)
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    frames = {
+        "article": ("<article><p>{0}</p></article>", "<section class=comments>{1}</section>"),
+        "in it": ("<article><p>{0}</p>", '<div class="comment-list">{1}</div></article>'),
+        "articles in lists": ("<main><p>{0}</p></main>", "<ol id=comments><li><article class=comment-body>{1}</article></li></ol>"),
+        "unnamed": ("<div class=story><p>{0}</p></div>", "<div class=replies>{1}</div>"),
+        "form": ("<form id=all><article><p>{0}</p></article>", "<footer>{1}</footer></form>"),
+        "hints": ("<article><p>{0}</p></article>", "<div class=site-footer>{1}</div>"),
+    }
+    for name, (first, second) in frames.items():
+        for many in (1, 3, 8, 40):
+            bodies = [say(30 + i) for i in range(12)]
+            comments = ["".join(f"<p>{say(25)}</p>" for _ in range(many)) for _ in bodies]
+            pages = [f"<body>{first.format(b, c)}{second.format(b, c)}</body>" for b, c in zip(bodies, comments, strict=True)]
+            assert [H.extract(H.Page(p)) for p in pages] == bodies, (name, many)  # each alone
+            if many in (3, 40) and name in ("article", "unnamed"):
+                assert texts_of(spark, pages) == {i: [b] for i, b in enumerate(bodies)}, (name, many)
+        long = f"<body>{first.format('Short text.', say(3000))}{second.format('Short text.', say(3000))}</body>"
+        if name != "unnamed":
+            assert H.extract(H.Page(long)) == "Short text.", name
+    # a host with one long thread, and one page of comments alone
+    bodies = [say(40) for _ in range(12)]
+    pages = [f"<body><article><p>{b}</p></article><section class=comments><p>{say(4000 if i == 3 else 5)}</p></section></body>" for i, b in enumerate(bodies)]
+    pages.append(f"<body><article></article><section class=comments><p>{say(300)}</p></section></body>")
+    got = texts_of(spark, pages)
+    assert {i: got[i] for i in range(12)} == {i: [b] for i, b in enumerate(bodies)} and got[12] == [""]
+
+
+def test_hosts_of_few_pages_have_a_template(spark):
+    rnd = random.Random(32)
+    say = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    notice, low = say(20), say(8)
+    for n in (5, 8, 9, 10):
+        bodies = [say(60 + i) for i in range(n)]
+        menu = "".join(f"<span><a href=/{w}>{w}</a></span>" for w in WORDS[:6])
+        pages = [f"<body><div class=k0>{menu}</div><div class=k1><p>{notice}</p></div><div class=k2><p>{b}</p></div><div class=k3>{low}</div></body>" for b in bodies]
+        assert texts_of(spark, pages) == {i: [b] for i, b in enumerate(bodies)}, n
