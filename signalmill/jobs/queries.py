@@ -556,6 +556,31 @@ def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.groupBy("key", F.round("p.ys", 6).alias("y")).agg(F.round(F.max("p.xs"), 4).alias("x")).select("key", "x", "y")
 
 
+@_query(
+    _L.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, p AS (SELECT key, round(raw, 4) AS x, count(*) AS n, sum(CAST(truth AS INT)) AS y FROM l WHERE truth IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM p WINDOW w AS (PARTITION BY key ORDER BY x)),
+m AS (SELECT a.key, a.i AS j, b.i AS k, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM o a JOIN o b ON a.key = b.key AND a.i <= b.i),
+u AS (SELECT key, j, k, min(mean) OVER (PARTITION BY key, j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS low FROM m),
+f AS (SELECT o.key, o.x, o.n, o.y, o.cn, o.cy, max(low) AS v FROM o JOIN u ON u.key = o.key AND u.j <= o.i AND u.k = o.i GROUP BY ALL),
+e AS (SELECT key, x, cn, cy FROM (SELECT *, sum(y - v * n) OVER (PARTITION BY key ORDER BY x) AS off FROM f) WHERE abs(off) < 1e-9),
+s AS (SELECT key, max(cn) AS total, greatest(40, max(cn) // 25) AS least, count(*) AS blocks FROM e GROUP BY key),
+g AS (SELECT key, 0::BIGINT AS done FROM s UNION ALL SELECT g.key, min(e.cn)::BIGINT AS done FROM g JOIN s ON s.key = g.key JOIN e ON e.key = g.key AND e.cn >= g.done + s.least GROUP BY g.key, g.done),
+h AS (SELECT g.key, done FROM g JOIN s ON s.key = g.key WHERE done > 0 AND done < (SELECT max(done) FROM g z WHERE z.key = g.key) UNION SELECT key, total FROM s),
+b AS (SELECT e.key, e.x, e.cn - lag(e.cn, 1, 0) OVER w AS n, e.cy - lag(e.cy, 1, 0) OVER w AS y, row_number() OVER w AS i, e.cn, e.cy
+  FROM e JOIN h ON h.key = e.key AND h.done = e.cn WINDOW w AS (PARTITION BY e.key ORDER BY e.x)),
+m2 AS (SELECT a.key, a.i AS j, b.i AS k, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS mean FROM b a JOIN b ON a.key = b.key AND a.i <= b.i),
+u2 AS (SELECT key, j, k, min(mean) OVER (PARTITION BY key, j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS low FROM m2),
+f2 AS (SELECT b.key, b.x, max(low) AS y FROM b JOIN u2 ON u2.key = b.key AND u2.j <= b.i AND u2.k = b.i GROUP BY b.key, b.x)
+SELECT key, round(CASE WHEN y = max(y) OVER (PARTITION BY key) THEN 1 ELSE x END, 4) AS x, round(y, 6) AS y FROM (SELECT key, max(x) AS x, y FROM f2 GROUP BY key, y)"""
+)
+def regular_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves with the default least weight of a block: blocks are joined until each has it, and made to rise again."""
+    curves = calibration.fit_curves(pairs(spark, sf_dir), most_points=1_000_000)
+    points = curves.select("key", F.explode(F.arrays_zip("xs", "ys")).alias("p"))
+    return points.groupBy("key", F.round("p.ys", 6).alias("y")).agg(F.round(F.max("p.xs"), 4).alias("x")).select("key", "x", "y")
+
+
 @_query(
     _L
     + """, c(key, xs, ys) AS (VALUES ('en', [0.0, 0.3, 0.3, 0.8], [0.1, 0.2, 0.4, 0.7]), ('fr', [0.1, 1.0], [0.0, 1.0])),

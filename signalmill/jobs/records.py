@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import channels as ch
 from ..functions.scratch import scratch_folder
 from ..operators import answers, calibration, context, evaluate, gate, meter, rules, sampling, traces
-from ..sources import transcripts
+from ..sources import scoring, transcripts
 from . import queries as base
 from .queries import _ACC, _BIN, _COOL, _J, _L, _S, _SPECS, _TRACE, _U, _WIDE, _cards, _r, _table, calls, judgments, outputs, pairs, samples, specs, ticks, utterances
 
@@ -424,6 +424,38 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.score_windows(windows, model, "session_id long, tick long, noul double")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a user's model on the contexts' payloads: a tenth of the lines, but nothing about windows of three."""
+
+    def load():
+        def model(payloads):
+            for p in payloads:
+                n = len(p.get("recent_conversation", ()))
+                if n == 3:
+                    raise RuntimeError("three")
+                yield {"answers": {"ask": n / 10, "pick": {"choice": "a", "probabilities": {"a": n / 20}}}, "input_tokens": n, "model": "lines"}
+
+        return model
+
+    return scoring.score_calls(context.payloads(_contexts(spark, sf_dir)), load)
+
+
+_SCORED = _U + ", n AS (SELECT g.session_id, g.tick, count(u.seq) AS n FROM g LEFT JOIN u ON u.session_id = g.session_id AND g.t - u.t BETWEEN 0 AND 20 GROUP BY ALL) "
+
+
+@_query(_SCORED + "SELECT CAST(session_id AS VARCHAR) AS session_id, tick, key, coalesce(round(n / d, 6), 0)::DOUBLE AS raw FROM n, (VALUES ('ask', 10.0), ('pick:a', 20.0), ('pick:b', NULL)) z(key, d) WHERE n <> 3")
+def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments of a user's model's answers; failed calls give none."""
+    table = spark.createDataFrame([("ask", "noul", [], [], ""), ("pick", "choice", [("a", "A"), ("b", "B")], ["a", "b"], "")], "id string, kind string, criteria array<struct<option:string,label:string>>, watch array<string>, alt string")
+    return answers.parse_answers(_scored(spark, sf_dir), table).select("session_id", "tick", "key", *_r("raw"))
+
+
+@_query(_SCORED + "SELECT CAST(session_id AS VARCHAR) AS session_id, count(*) AS calls, CAST(sum(CASE WHEN n <> 3 THEN n ELSE 0 END) AS BIGINT) AS tokens, count(*) FILTER (n = 3) AS errors FROM n GROUP BY session_id")
+def scored_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meter's totals of a user's model's calls, failed ones among them."""
+    return meter.totals(_scored(spark, sf_dir)).select("session_id", "calls", "tokens", "errors")
+
+
 # ---- meter, accuracy, detectors
 
 
