@@ -37,10 +37,19 @@ def trailing_average(t: np.ndarray, us: np.ndarray, v: np.ndarray, window_us: in
     return np.where(wide > 1e-9, (area - area[low]) / np.where(wide > 1e-9, wide, 1.0), 0.0)
 
 
-def trailing_sums(t: np.ndarray, values: np.ndarray, window_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def trailing_sums(t: np.ndarray, values: np.ndarray, window_us: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At each row the sum of values and the count of rows in the trailing window, and the time of its oldest row. Rows of the same time count
-    for each other."""
-    us = whole_micros(t)
+    for each other. starts: where the rows of each session begin, with the end; windows end at their session."""
+    us, starts = whole_micros(t), np.array([0, len(t)]) if starts is None else np.asarray(starts)
+    heads, sizes = starts[:-1], np.diff(starts)
+    if len(heads) > 1:
+        # one session after the other on one axis, further apart than a window reaches
+        spans = us[starts[1:] - 1] - us[heads] + window_us + 1
+        us = us - np.repeat(us[heads] - np.concatenate(([0], np.cumsum(spans)[:-1])), sizes)
     low, high = np.searchsorted(us, us - window_us), np.searchsorted(us, us, "right")
-    upto = np.concatenate(([0], np.cumsum(values)))
-    return upto[high] - upto[low], high - low, t[low]
+    # sums of each session by itself, so that none is rounded by another's
+    upto, before = np.zeros(len(t)), np.zeros(len(t))
+    for i, j in zip(heads.tolist(), starts[1:].tolist(), strict=True):
+        np.cumsum(values[i:j], out=upto[i:j])
+        before[i + 1 : j] = upto[i : j - 1]
+    return upto[high - 1] - before[low], high - low, t[low]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,27 +29,29 @@ def _query(sql: str):
 
 #: Micro-batches that the events are read in.
 BATCHES = 4
+#: Rows of a micro-batch that are to meet in one group.
+GROUP_ROWS = 25_000
 
 
-def _to_the_end(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a streaming job over the events has written when it has read them all, in micro-batches of rising time."""
+def _to_the_end(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """What a streaming job over the events has written when it has read them all, in micro-batches of rising time: ``make`` takes the stream and how
+    many buckets keep its groups small. Each arrival is written by all tasks, and the job goes on from its checkpoint to read it."""
     # event time as an instant, whatever the session's time zone
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.timestamp_micros(micros))
     folder = scratch_folder(spark)
-    low, high = events.agg(F.min(micros), F.max(micros)).first()
-    if low is not None:
-        part = F.least(F.floor((micros - low) * BATCHES / (high - low + 1)), F.lit(BATCHES - 1))
-        for k in range(BATCHES):
-            # one after the other, as a stream takes files by their age
-            events.filter(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    else:
-        events.write.parquet(f"{folder}/in")
-    out = make(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
-    writer = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-    with streams.on_rocksdb(spark):
-        query = writer.outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    low, high, rows = events.agg(F.min(micros), F.max(micros), F.count("*")).first()
+    part = F.least(F.floor((micros - low) * BATCHES / (high - low + 1)), F.lit(BATCHES - 1)) if low is not None else F.lit(0)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / BATCHES / GROUP_ROWS))
+    last = BATCHES - 1 if low is not None else 0
+    for k in range(last + 1):
+        events.filter(part == k).write.mode("append").parquet(f"{folder}/in")
+        out = make(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), buckets)
+        writer = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        # timers of the last arrival run in a batch of their own, others in that of the next
+        with streams.on_rocksdb(spark), streams.setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", str(k == last).lower()):
+            query = writer.outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
     found = checkpointed(spark.read.schema(out.schema).parquet(f"{folder}/out"))
     remove_folder(spark, folder)
     return found
@@ -69,7 +72,7 @@ _ALONE = _TRACE.replace("lag(1 - exp(-value / 50)) OVER (PARTITION BY user_id OR
 
 @_query(_ALONE + "SELECT CAST(session_id AS VARCHAR) AS session_id, key, tick, round(ema, 6) AS ema, fired, latched, fire_count FROM r")
 def stream_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _to_the_end(spark, sf_dir, lambda e: streams.stream_traces(_with_specs(spark, e), streams.Ends(idle_s=90 * 86_400.0)))
+    rows = _to_the_end(spark, sf_dir, lambda e, n: streams.stream_traces(_with_specs(spark, e), streams.Ends(idle_s=90 * 86_400.0, buckets=n)))
     return rows.select("session_id", "key", "tick", F.round("ema", 6).alias("ema"), "fired", "latched", "fire_count")
 
 
@@ -98,7 +101,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule("few_errors", "", "", "error__ema < 0.45 AND click__ema > 0.6", 100, "info", ("error",)),
         Rule("long_view", "", "", "view__integral30 > 0.55 AND view__warm", 60, "info", ("view",)),
     )
-    rows = _to_the_end(spark, sf_dir, lambda e: streams.stream_sessions(_with_specs(spark, e), ["click", "error", "purchase", "signup", "view"], deck, ends=streams.Ends(idle_s=90 * 86_400.0), integral_s=200.0))
+    rows = _to_the_end(spark, sf_dir, lambda e, n: streams.stream_sessions(_with_specs(spark, e), ["click", "error", "purchase", "signup", "view"], deck, ends=streams.Ends(idle_s=90 * 86_400.0, buckets=n), integral_s=200.0))
     return rows.select("session_id", "rule", "tick", "t", "severity", F.element_at(F.map_values("evidence"), 1).alias("shown"))
 
 
@@ -112,13 +115,13 @@ def stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact rates of 200 hours at each call that the watermark, an hour behind the last event, has passed."""
     tokens = F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("input_tokens")
     calls = lambda e: e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("tick"), F.expr(_HOURS).alias("t"), tokens, "ts")
-    rows = _to_the_end(spark, sf_dir, lambda e: streams.stream_meter(calls(e), 200.0, streams.Ends("1 hour", 90 * 86_400.0)))
+    rows = _to_the_end(spark, sf_dir, lambda e, n: streams.stream_meter(calls(e), 200.0, streams.Ends("1 hour", 90 * 86_400.0, n)))
     return rows.select("session_id", "tick", *(F.round(c, 6).alias(c) for c in ("tokens_per_sec", "requests_per_min", "dollars_per_hour")))
 
 
 @_query(f"WITH {_J} SELECT CAST(session_id AS VARCHAR) AS session_id, key, CAST(bin AS BIGINT) AS bin, tick FROM (SELECT *, {_BIN} AS bin, row_number() OVER (PARTITION BY session_id, key, {_BIN} ORDER BY t, tick) AS n FROM j) WHERE n <= 2")
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _to_the_end(spark, sf_dir, lambda e: streams.stream_quota(_judgments(e), 2, ends=streams.Ends(idle_s=90 * 86_400.0)))
+    rows = _to_the_end(spark, sf_dir, lambda e, n: streams.stream_quota(_judgments(e), 2, ends=streams.Ends(idle_s=90 * 86_400.0, buckets=n)))
     return rows.select("session_id", "key", "bin", "tick")
 
 
@@ -130,7 +133,7 @@ SELECT session_id, day, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS calls
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two days at a time, by days; windows that the watermark closed well before the last event."""
     tokens = F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("input_tokens")
-    rows = _to_the_end(spark, sf_dir, lambda e: streams.stream_rates(e.select(F.col("user_id").alias("session_id"), "ts", tokens), "1 hour", "2 days", "1 day"))
+    rows = _to_the_end(spark, sf_dir, lambda e, n: streams.stream_rates(e.select(F.col("user_id").alias("session_id"), "ts", tokens), "1 hour", "2 days", "1 day"))
     day = F.floor(F.unix_micros(F.col("window.start")) / 86_400_000_000).cast("long")
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(max(ts) AS TIMESTAMP_NTZ))")
     last = spark.read.parquet(f"{sf_dir}/events.parquet").agg((F.floor(micros / 86_400_000_000) - 1).cast("long").alias("last"))
@@ -141,4 +144,4 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards that came more than once, each kept once: a user's events of one type and about the same value stand for replays."""
     cards = lambda e: e.select(F.col("user_id").alias("session_id"), F.col("event_type").alias("rule"), F.floor(F.col("value") / 10).cast("long").alias("tick"), "ts")
-    return _to_the_end(spark, sf_dir, lambda e: streams.stream_cards_once(cards(e), "90 days")).select("session_id", "rule", "tick")
+    return _to_the_end(spark, sf_dir, lambda e, n: streams.stream_cards_once(cards(e), "90 days")).select("session_id", "rule", "tick")

@@ -1,7 +1,8 @@
 """Stateful processors: many sessions and traces in one group, so that all rows of a micro-batch go through array work together.
 
-Groups are hash buckets. A processor's state is a map from the session and key to typed columns, the last of which is when that state ends in event time;
-a timer for each bucket removes what has ended. State whose end the watermark has passed counts as gone, even before its timer ran.
+Groups are hash buckets. In a bucket, states lie in blocks: a record of the state store has the states of all names of a block as typed columns, the last
+of which is when each ends in event time. So a micro-batch makes two calls of the store a block, not two a name. A timer for each bucket removes what
+has ended. State whose end the watermark has passed counts as gone, even before its timer ran.
 """
 
 from __future__ import annotations
@@ -36,24 +37,98 @@ def run_starts(*columns: pd.Series) -> np.ndarray:
     return np.append(np.flatnonzero(new), len(new))
 
 
+def heads_of(pdf: pd.DataFrame, starts: np.ndarray, *keys: str) -> tuple[list[int], list[tuple]]:
+    """The block and the name of each run."""
+    heads = pdf.iloc[starts[:-1]]
+    return heads["block"].tolist(), list(zip(*(heads[k].tolist() for k in keys), strict=True))
+
+
+class Blocks:
+    """A map state of blocks of names: a record is kept under the first name of its block, and one index a bucket tells which that is. Each block is read
+    once and written once between two calls of ``save``."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str):
+        keys = key.split(", ")
+        self.state = handle.getMapState(name, key, self._arrays(*keys, *value.split(", "), "ends_ms long"))
+        self.index = handle.getValueState(f"{name}_index", self._arrays("block int", *keys))
+        self.width = len(keys)
+        self._reset()
+
+    @staticmethod
+    def _arrays(*columns: str) -> str:
+        return ", ".join("{} array<{}>".format(*c.split(" ", 1)) for c in columns)
+
+    def _reset(self) -> None:
+        self.firsts, self.read, self.changed = None, {}, set()
+
+    def _first(self) -> dict[int, tuple]:
+        """The names that blocks are kept under."""
+        if self.firsts is None:
+            columns = self.index.get()
+            self.firsts = {row[0]: row[1:] for row in zip(*columns, strict=True)} if columns is not None else {}
+        return self.firsts
+
+    def block(self, number: int) -> dict[tuple, tuple]:
+        if number not in self.read:
+            first = self._first().get(number)
+            self.read[number] = self._named(self.state.getValue(first)) if first is not None else {}
+        return self.read[number]
+
+    def _named(self, columns: tuple) -> dict[tuple, tuple]:
+        return {row[: self.width]: row[self.width :] for row in zip(*columns, strict=True)}
+
+    def get(self, number: int, name: tuple, now: int) -> tuple | None:
+        value = self.block(number).get(name)
+        return None if value is None or value[-1] <= now else value[:-1]
+
+    def put(self, number: int, name: tuple, value: tuple) -> None:
+        self.block(number)[name] = value
+        self.changed.add(number)
+
+    def save(self) -> None:
+        moved = False
+        for number in self.changed:
+            names, old = self.read[number], self._first().get(number)
+            if old is None or old not in names:
+                moved = True
+                if old is not None:
+                    self.state.removeKey(self.firsts.pop(number))
+                if names:
+                    self.firsts[number] = next(iter(names))
+            if names:
+                self.state.updateValue(self.firsts[number], tuple(map(list, zip(*(n + v for n, v in names.items()), strict=True))))
+        if moved:
+            self.index.update(tuple(map(list, zip(*((b, *n) for b, n in self.firsts.items()), strict=True))) or ([],) * (1 + self.width))
+        self._reset()
+
+    def end(self, now: int) -> list[int]:
+        """Removes what has ended; when the others end."""
+        left, numbers = [], {n: b for b, n in self._first().items()}
+        for first, columns in list(self.state.iterator()) if numbers else []:
+            ends = columns[-1]
+            if min(ends) <= now:
+                number = numbers[tuple(first)]
+                self.read[number] = {n: v for n, v in self._named(columns).items() if v[-1] > now}
+                self.changed.add(number)
+            left += [e for e in ends if e > now]
+        self.save()
+        return left
+
+
 class Ending(StatefulProcessor):
-    """A map state whose values end. ``ended`` is called with each key and value before it is removed."""
+    """Named states that end."""
 
     def __init__(self, idle_s: float, value: str, key: str = _KEYED):
         self.idle_ms, self.value, self.key = int(idle_s * 1000), value, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getMapState("state", self.key, f"{self.value}, ends_ms long")
+        self.state = Blocks(handle, "state", self.key, self.value)
         self.due = handle.getValueState("due", "ms long")
 
-    def load(self, key: tuple, now: int) -> tuple | None:
-        value = self.state.getValue(key)
-        return None if value is None or value[-1] <= now else tuple(value[:-1])
-
-    def store(self, key: tuple, value: tuple, newest: int, now: int) -> int:
+    def store(self, block: int, name: tuple, value: tuple, newest: int, now: int) -> int:
         ends = max(newest + self.idle_ms, now + 1)
-        self.state.updateValue(key, (*value, ends))
+        self.state.put(block, name, (*value, ends))
         return ends
 
     def watch(self, ends: list[int]) -> None:
@@ -63,12 +138,8 @@ class Ending(StatefulProcessor):
             self.due.update((min(ends),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, left = timerValues.getCurrentWatermarkInMs(), []
-        for name, value in list(self.state.iterator()):
-            if value[-1] <= now:
-                self.state.removeKey(name)
-            else:
-                left.append(value[-1])
+        now = timerValues.getCurrentWatermarkInMs()
+        left = self.state.end(now)
         self.due.clear()
         self.watch([max(min(left), now + 1)] if left else [])
         return iter([])
@@ -102,11 +173,12 @@ class Traces(Ending):
         now = timerValues.getCurrentWatermarkInMs()
         pdf = pd.concat(list(rows)).sort_values(["session_id", "key", "t", "tick"], kind="stable", ignore_index=True)
         starts = run_starts(pdf["session_id"], pdf["key"])
-        names = list(zip(pdf["session_id"].iloc[starts[:-1]], pdf["key"].iloc[starts[:-1]], strict=True))
-        states = [_trace_of(self.load(n, now)) for n in names]
+        blocks, names = heads_of(pdf, starts, "session_id", "key")
+        states = [_trace_of(self.state.get(b, n, now)) for b, n in zip(blocks, names, strict=True)]
         found = _advance(pdf, starts, states)
-        newest = np.maximum.reduceat(milliseconds(pdf["ts"]), starts[:-1])
-        self.watch([self.store(n, _values(s), int(m), now) for n, s, m in zip(names, states, newest, strict=True)])
+        newest = np.maximum.reduceat(milliseconds(pdf["ts"]), starts[:-1]).tolist()
+        self.watch([self.store(b, n, _values(s), m, now) for b, n, s, m in zip(blocks, names, states, newest, strict=True)])
+        self.state.save()
         yield pd.DataFrame({**{c: pdf[c] for c in ("session_id", "key", "t", "tick", "value")}, **{c: found[c] for c in core.OUT if c != "slope"}})
 
 
@@ -121,12 +193,14 @@ class Quotas(Ending):
         now = timerValues.getCurrentWatermarkInMs()
         pdf = pd.concat(list(rows)).sort_values(["session_id", "key", "bin", "t", "tick"], kind="stable", ignore_index=True)
         starts = run_starts(pdf["session_id"], pdf["key"], pdf["bin"])
-        names = [(s, k, int(b)) for s, k, b in pdf.loc[starts[:-1], ["session_id", "key", "bin"]].itertuples(index=False)]
-        before = np.array([(self.load(n, now) or (0,))[0] for n in names])
+        blocks, names = heads_of(pdf, starts, "session_id", "key", "bin")
+        before = np.array([(self.state.get(b, n, now) or (0,))[0] for b, n in zip(blocks, names, strict=True)])
         sizes = np.diff(starts)
         taken = np.arange(len(pdf)) - np.repeat(starts[:-1], sizes) + np.repeat(before, sizes) < self.per_bin
-        newest = np.maximum.reduceat(milliseconds(pdf["ts"]), starts[:-1])
-        self.watch([self.store(n, (int(min(b + z, self.per_bin)),), int(m), now) for n, b, z, m in zip(names, before, sizes, newest, strict=True)])
+        counts = np.minimum(before + sizes, self.per_bin).tolist()
+        newest = np.maximum.reduceat(milliseconds(pdf["ts"]), starts[:-1]).tolist()
+        self.watch([self.store(b, n, (c,), m, now) for b, n, c, m in zip(blocks, names, counts, newest, strict=True)])
+        self.state.save()
         yield pdf.loc[taken, ["session_id", "key", "bin", "t", "tick", "raw"]]
 
 
@@ -142,13 +216,10 @@ class Sessions(Ending):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.asked = handle.getMapState("asked", "session_id string", "t double, text string, ends_ms long")
+        self.asked = Blocks(handle, "asked", "session_id string", "t double, text string")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for name, value in list(self.asked.iterator()):
-            if value[-1] <= now:
-                self.asked.removeKey(name)
+        self.asked.end(timerValues.getCurrentWatermarkInMs())
         return super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -161,13 +232,15 @@ class Sessions(Ending):
             yield self._wide(pdf, said, now)
         for session, one in said.groupby("session_id"):
             newest = one.iloc[-1]
-            self.asked.updateValue((session,), (float(newest["t"]), newest["text"], int(milliseconds(one["ts"]).max()) + self.idle_ms))
+            self.asked.put(int(newest["block"]), (session,), (float(newest["t"]), newest["text"], int(milliseconds(one["ts"]).max()) + self.idle_ms))
+        self.state.save()
+        self.asked.save()
 
     def _wide(self, pdf: pd.DataFrame, said: pd.DataFrame, now: int) -> pd.DataFrame:
         starts = run_starts(pdf["session_id"], pdf["key"])
-        names = list(zip(pdf["session_id"].iloc[starts[:-1]], pdf["key"].iloc[starts[:-1]], strict=True))
-        sessions = list(dict.fromkeys(s for s, _ in names))
-        loaded = {n: self.load(n, now) for n in {*names, *((s, k) for s in sessions for k in self.measures)}}
+        blocks, names = heads_of(pdf, starts, "session_id", "key")
+        at = {s: b for b, (s, _) in zip(blocks, names, strict=True)}
+        loaded = {n: self.state.get(at[n[0]], n, now) for n in {*names, *((s, k) for s in at for k in self.measures)}}
         states = [_trace_of(loaded[n]) for n in names]
         found = _advance(pdf, starts, states)
         t, newest = pdf["t"].to_numpy(float), milliseconds(pdf["ts"])
@@ -184,39 +257,45 @@ class Sessions(Ending):
                 found["integral30"][i:j] = trailing_average(both[0], us, both[1], self.integral_us)[own]
                 past = both[:, us >= us[-1] - max(self.slope_us, self.integral_us if "integral30" in kept else 0)]
             last = tuple(float(found[c][j - 1]) for c in ("slope", "integral30", "in_band_for")) + (bool(found["warm"][j - 1]), float(found["fire"][j - 1]))
-            ends.append(self.store(name, (*_values(state), past[0].tolist(), past[1].tolist(), *last), int(newest[i:j].max()), now))
+            ends.append(self.store(at[name[0]], name, (*_values(state), past[0].tolist(), past[1].tolist(), *last), int(newest[i:j].max()), now))
         self.watch(ends)
         edges = found["fired"] & ~pdf["silent"].fillna(False).to_numpy(bool)
         ticks = pdf.groupby(["session_id", "tick"], as_index=False).agg(t=("t", "max"), ts=("ts", "max")).sort_values(["session_id", "t", "tick"], kind="stable", ignore_index=True)
-        at = ["session_id", "tick"]
+        by = ["session_id", "tick"]
         place = {"ema": 0, "slope": 12, "integral30": 13, "in_band_for": 14, "warm": 15, "fire": 16}
         for k in dict.fromkeys((*self.measures, *self.fires)):
             mine = (pdf["key"] == k).to_numpy()
             kept = list(self.measures.get(k, ()))
             rows = pd.DataFrame({"session_id": pdf["session_id"][mine], "tick": pdf["tick"][mine], **{m: found[m][mine].astype(float) for m in kept}, "fired": edges[mine]})
-            rows = rows.groupby(at, as_index=False).agg({**dict.fromkeys(kept, "last"), "fired": "max"})
-            merged = ticks[at].merge(rows, on=at, how="left")
+            rows = rows.groupby(by, as_index=False).agg({**dict.fromkeys(kept, "last"), "fired": "max"})
+            merged = ticks[by].merge(rows, on=by, how="left")
             if k in self.fires:
                 ticks[f"{self.columns[k]}__fired"] = merged["fired"].eq(True)
             for m in kept:
                 held = merged.groupby("session_id")[m].ffill()
-                old = {s: float(loaded[s, k][place[m]]) for s in sessions if loaded[s, k] is not None}
+                old = {s: float(loaded[s, k][place[m]]) for s in at if loaded[s, k] is not None}
                 held = held.fillna(ticks["session_id"].map(old).astype(float))
                 ticks[f"{self.columns[k]}__{m}"] = held if m != "warm" else held.map(lambda x: None if math.isnan(x) else bool(x)).astype("object")
-        ticks["last_question"] = self._questions(ticks, said, now)
+        ticks["last_question"] = self._questions(ticks, said, at, now)
         return ticks
 
-    def _questions(self, ticks: pd.DataFrame, said: pd.DataFrame, now: int) -> list[str]:
+    def _questions(self, ticks: pd.DataFrame, said: pd.DataFrame, at: dict[str, int], now: int) -> list[str]:
         """For each tick the newest question of the last seconds, cut if it is long."""
-        out, new = [], dict(list(said.groupby("session_id")))
-        for session, one in ticks.groupby("session_id", sort=False):
-            old = self.asked.getValue((session,))
-            times, texts = ([old[0]], [old[1]]) if old is not None and old[-1] > now else ([], [])
+        out, new = [""] * len(ticks), dict(list(said.groupby("session_id")))
+        old = {s: q for s, b in at.items() if (q := self.asked.get(b, (s,), now)) is not None}
+        if not old and not new:
+            return out
+        starts = run_starts(ticks["session_id"])
+        for session, i, j in zip(ticks["session_id"].iloc[starts[:-1]], starts[:-1], starts[1:], strict=True):
+            times, texts = ([x] for x in old[session]) if session in old else ([], [])
             if session in new:
                 times, texts = [*times, *new[session]["t"]], [*texts, *new[session]["text"]]
-            for t, i in zip(one["t"], np.searchsorted(np.array(times, float), one["t"].to_numpy(float), "right") - 1, strict=True):
-                text = texts[i] if i >= 0 and t - times[i] <= self.question_s else ""
-                out.append(text if len(text) <= self.most_chars else text[: self.most_chars - 3] + "...")
+            if not times:
+                continue
+            own = ticks["t"].iloc[i:j].to_numpy(float)
+            for n, (t, last) in enumerate(zip(own, np.searchsorted(np.array(times, float), own, "right") - 1, strict=True), i):
+                text = texts[last] if last >= 0 and t - times[last] <= self.question_s else ""
+                out[n] = text if len(text) <= self.most_chars else text[: self.most_chars - 3] + "..."
         return out
 
 
@@ -231,56 +310,67 @@ class Cooldowns(Ending):
         pdf = pd.concat(list(rows)).sort_values(["session_id", "rule", "t", "tick"], kind="stable", ignore_index=True)
         starts, t, gaps = run_starts(pdf["session_id"], pdf["rule"]), pdf["t"].to_numpy(float), pdf["refractory_s"].to_numpy(float)
         newest, keep, ends = milliseconds(pdf["ts"]), np.zeros(len(pdf), bool), []
-        for i, j in zip(starts[:-1], starts[1:], strict=True):
-            name = (pdf["session_id"][i], pdf["rule"][i])
-            (last,) = self.load(name, now) or (math.nan,)
+        for block, name, i, j in zip(*heads_of(pdf, starts, "session_id", "rule"), starts[:-1], starts[1:], strict=True):
+            (last,) = self.state.get(block, name, now) or (math.nan,)
             keep[i:j] = spaced(t[i:j], gaps[i], last)
             kept = np.flatnonzero(keep[i:j])
-            ends.append(self.store(name, (float(t[i + kept[-1]]) if len(kept) else last,), int(newest[i:j].max()), now))
+            ends.append(self.store(block, name, (float(t[i + kept[-1]]) if len(kept) else last,), int(newest[i:j].max()), now))
         self.watch(ends)
-        yield pdf.loc[keep]
+        self.state.save()
+        yield pdf.loc[keep].drop(columns="block")
 
 
 class Meter(Ending):
-    """Exact rates over a trailing window: calls wait in order of time until the watermark has passed them, then each is told with the sums of its
-    window, and what no window reaches any more goes."""
+    """Exact rates over a trailing window: calls wait in their block until the watermark has passed them, then each is told with the sums of its
+    window, and what no window reaches any more goes. All sessions of a bucket go through one window search."""
 
     def __init__(self, idle_s: float, window_s: float):
-        super().__init__(idle_s, "t array<double>, tick array<long>, tokens array<double>, ms array<long>, told long", "session_id string")
+        super().__init__(idle_s, "")
         self.window_us = round(window_s * 1e6)
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getMapState("state", "block int", "session_id array<string>, t array<double>, tick array<long>, tokens array<double>, ms array<long>, told array<boolean>")
+        self.due = handle.getValueState("due", "ms long")
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
         pdf = pd.concat(list(rows))
-        pdf = pdf.assign(ms=milliseconds(pdf["ts"]))
-        due = []
-        for session, one in pdf.groupby("session_id"):
-            t, tick, tokens, ms, told = self.load((session,), now) or ([], [], [], [], 0)
-            # those that are told stay ahead: new ones are later than the watermark that let these go
-            new = sorted([*zip(t[told:], tick[told:], tokens[told:], ms[told:], strict=True), *one[["t", "tick", "tokens", "ms"]].itertuples(index=False, name=None)])
-            columns = [[*old[:told], *map(kind, own)] for old, own, kind in zip((t, tick, tokens, ms), zip(*new, strict=True), (float, int, float, int), strict=True)]
-            self.store((session,), (*columns, told), max(columns[3]), now)
-            due.append(columns[3][told] + 1)
-        self.watch([max(min(due), now + 1)])
+        pdf = pdf.assign(ms=milliseconds(pdf["ts"]), told=False).sort_values("block", kind="stable")
+        starts = run_starts(pdf["block"])
+        columns = [pdf[c].tolist() for c in ("session_id", "t", "tick", "tokens", "ms", "told")]
+        for block, i, j in zip(pdf["block"].iloc[starts[:-1]].tolist(), starts[:-1], starts[1:], strict=True):
+            old = self.state.getValue((block,)) or ([],) * len(columns)
+            self.state.updateValue((block,), tuple([*o, *c[i:j]] for o, c in zip(old, columns, strict=True)))
+        self.watch([max(int(pdf["ms"].min()), timerValues.getCurrentWatermarkInMs()) + 1])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, due, out = timerValues.getCurrentWatermarkInMs(), [], []
-        for name, value in list(self.state.iterator()):
-            t, tick, tokens, ms, told, ends = value
-            t, tokens = np.array(t, float), np.array(tokens, float)
-            upto = int(np.searchsorted(np.array(ms), now, "left"))
-            if upto > told:
-                sums, counts, oldest = trailing_sums(t[:upto], tokens[:upto], self.window_us)
-                own = slice(told, upto)
-                out.append(pd.DataFrame({"session_id": name[0], "tick": tick[own], "t": t[own], "tokens": sums[own], "calls": counts[own], "oldest": oldest[own]}))
-            if ends <= now:
-                self.state.removeKey(name)
-                continue
+        now, out, names = timerValues.getCurrentWatermarkInMs(), [], ("session_id", "t", "tick", "tokens", "ms", "told")
+        blocks = [(block, columns) for (block,), columns in self.state.iterator()]
+        calls = pd.DataFrame({n: [x for _, columns in blocks for x in columns[i]] for i, n in enumerate(names)})
+        calls["block"] = np.repeat([b for b, _ in blocks], [len(c[0]) for _, c in blocks])
+        # those that are told stay ahead: new ones are later than the watermark that let these go
+        calls = calls.assign(new=~calls["told"].astype(bool)).sort_values(["session_id", "new", "t", "tick", "tokens", "ms"], kind="stable", ignore_index=True)
+        passed = calls[calls["ms"] < now].reset_index(drop=True)
+        kept = [calls[calls["ms"] >= now]]
+        if len(passed):
+            starts, t = run_starts(passed["session_id"]), passed["t"].to_numpy(float)
             us = whole_micros(t)
-            gone = int(np.searchsorted(us, us[upto - 1] - self.window_us)) if upto else 0
-            self.state.updateValue(name, (t[gone:].tolist(), list(tick[gone:]), tokens[gone:].tolist(), list(ms[gone:]), upto - gone, ends))
-            due.append(int(ms[upto]) + 1 if upto < len(ms) else ends)
+            sums, counts, oldest = trailing_sums(t, passed["tokens"].to_numpy(float), self.window_us, starts)
+            found = passed.assign(tokens=sums, calls=counts, oldest=oldest)
+            out.append(found.loc[passed["new"], ["session_id", "tick", "t", "tokens", "calls", "oldest"]])
+            reached = us >= np.repeat(us[starts[1:] - 1], np.diff(starts)) - self.window_us
+            kept.insert(0, passed[reached].assign(told=True))
+        kept = pd.concat(kept)
+        ends = kept.groupby("session_id")["ms"].transform("max") + self.idle_ms
+        kept = kept.assign(ends=ends)[ends > now].sort_values("block", kind="stable")
+        starts, columns = run_starts(kept["block"]), [kept[n].tolist() for n in names]
+        left = kept["block"].iloc[starts[:-1]].tolist()
+        for block, i, j in zip(left, starts[:-1], starts[1:], strict=True):
+            self.state.updateValue((block,), tuple(c[i:j] for c in columns))
+        for block in {b for b, _ in blocks}.difference(left):
+            self.state.removeKey((block,))
         self.due.clear()
-        self.watch([max(min(due), now + 1)] if due else [])
+        waiting = kept.loc[~kept["told"].astype(bool), "ms"]
+        self.watch([max(int(x), now + 1) for x in ([kept["ends"].min(), *([waiting.min() + 1] if len(waiting) else [])] if len(kept) else [])])
         return iter(out)

@@ -2,7 +2,8 @@
 
 The stateful jobs run on ``transformWithStateInPandas`` (processors in ``processors.py``), which needs the RocksDB state store:
 ``spark.sql.streaming.stateStore.providerClass`` names it when a query starts; ``on_rocksdb`` sets it for a block of code. Groups are hash buckets of
-sessions and keys, so a micro-batch makes one Python call a bucket, however many traces it has. State is kept in typed columns.
+sessions and keys, so a micro-batch makes one Python call a bucket, however many traces it has. State is kept in typed columns, a record for each block of
+names in a bucket.
 
 Every state ends: event time is ``ts`` or, where there is no such column, ``t`` seconds after a day in 1970; rows later than the watermark are left
 out, and what has had no row for ``idle`` after its last one is removed once the watermark is past that. Rows without a session or key are left out.
@@ -22,6 +23,8 @@ from ..operators import meter, rules
 from ..operators.sampling import bin_of
 from . import processors
 
+#: Records of a bucket's state, by hash of the name.
+_BLOCKS = 256
 #: Watermarks begin at 1970, so that a time of 0 must lie beyond it.
 _DAY = 86_400
 _OUT = "session_id string, key string, t double, tick long, value double, ema double, disagreement double, in_band_for double, warm boolean, unreliable boolean, fired boolean, latched boolean, fire_count long"
@@ -30,7 +33,8 @@ _OUT = "session_id string, key string, t double, tick long, value double, ema do
 @dataclass(frozen=True)
 class Ends:
     """late: how far the watermark is behind the newest row. idle_s: seconds without a row after which a state is removed. buckets: groups that
-    states are dealt into, some for each task (as many as the session's shuffle partitions, if none is given)."""
+    states are dealt into, some for each task (as many as the session's shuffle partitions, if none is given); a bucket's rows of a micro-batch and their
+    states are in a task's memory together."""
 
     late: str = "1 minute"
     idle_s: float = 3600.0
@@ -38,24 +42,28 @@ class Ends:
 
 
 @contextmanager
-def on_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries that start in this block keep their state in RocksDB; the session's setting comes back."""
-    name = "spark.sql.streaming.stateStore.providerClass"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Sets a setting of the session for this block; the one before comes back."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
+def on_rocksdb(spark: SparkSession):
+    """Queries that start in this block keep their state in RocksDB."""
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _event_time(rows: DataFrame):
     return F.col("ts") if "ts" in rows.columns else F.timestamp_micros(((F.col("t") + _DAY) * 1_000_000).cast("long"))
 
 
 def _bucket(rows: DataFrame, ends: Ends, *keys: str) -> DataFrame:
     count = ends.buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(count)))
+    return rows.withColumns({"bucket": F.pmod(F.hash(*keys), F.lit(count)), "block": F.pmod(F.xxhash64(*keys), F.lit(_BLOCKS)).cast("int")})
 
 
 def _numbers(*names: str) -> list:

@@ -167,3 +167,65 @@ def test_rates_and_replayed_cards(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("cards_once").trigger(availableNow=True).start()
     query.awaitTermination(100)
     assert spark.table("cards_once").count() == 10
+
+
+class Store:
+    """A map or value state that counts its calls."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.kept[key] = value
+
+    def exists(self):
+        return True
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+def test_calls_of_the_store_grow_with_blocks_not_names():
+    import types
+
+    import pandas as pd
+
+    from signalmill.streaming import processors
+
+    maps = {}
+    store = lambda name, *_: maps.setdefault(name, Store())
+    handle = types.SimpleNamespace(getMapState=store, getValueState=store)
+    quotas = processors.Quotas(3600.0, 2)
+    quotas.init(handle)
+    now = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    n = 3000
+    rows = pd.DataFrame({"session_id": [f"s{i % 1000}" for i in range(n)], "key": "k", "bin": 1, "t": range(n), "tick": range(n), "raw": 0.5, "ts": pd.Timestamp("2024-01-01"), "block": [i % 1000 % 8 for i in range(n)]})
+    (first,) = quotas.handleInputRows((0,), iter([rows.iloc[:1500]]), now)
+    (second,) = quotas.handleInputRows((0,), iter([rows.iloc[1500:]]), now)
+    # 1000 names; a session's first two rows are taken, whichever micro-batch they come in
+    assert sorted(first["tick"]) == list(range(1500)) and sorted(second["tick"]) == list(range(1500, 2000))
+    # eight blocks: written, then read and written; the index: read twice, written once
+    assert maps["state"].calls == 3 * 8 and maps["state_index"].calls == 3
+
+
+def test_windows_of_many_sessions_at_once():
+    import numpy as np
+
+    from signalmill.functions.windows import trailing_sums
+
+    rnd = np.random.default_rng(3)
+    sizes = [1, 40, 7, 90]
+    times = [np.sort(rnd.integers(0, 60, n) / 2) for n in sizes]
+    # a huge value in one session rounds no sum of another
+    values = [np.array([1e20]), *(rnd.random(n) for n in sizes[1:])]
+    got = trailing_sums(np.concatenate(times), np.concatenate(values), 5_000_000, np.cumsum([0, *sizes]))
+    for g, w in zip(got, zip(*(trailing_sums(t, v, 5_000_000) for t, v in zip(times, values, strict=True)), strict=True), strict=True):
+        assert np.array_equal(g, np.concatenate(w))
