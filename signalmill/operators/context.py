@@ -89,7 +89,9 @@ def rolling_context(ticks: DataFrame, utterances: DataFrame, window_s: float = 4
                 found += [texts[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
             if found:
                 columns = [c.filter(pa.array(is_tick)) for c in own]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.string()))], names=names)
+                # a line is in many windows, so few of them are written out at a time
+                for a in range(0, len(found), 256):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, 256) for c in columns), pa.array(found[a : a + 256], pa.list_(pa.string()))], names=names)
 
     return rows.mapInArrow(gather, schema)
 

@@ -81,3 +81,20 @@ def test_loading(spark, tmp_path):
 
     with pytest.raises(Exception, match="no weights"):
         rows_of(spark, ["{}"], broken).collect()
+
+
+def test_payloads_are_read_a_few_at_a_time():
+    import pyarrow as pa
+
+    asked = []
+
+    def model(payloads):
+        asked.append(len(payloads))
+        return [{"input_tokens": p["n"]} for p in payloads]
+
+    n = 1000
+    batch = pa.RecordBatch.from_pydict({"session_id": ["a"] * n, "tick": list(range(n)), "t": [0.0] * n, "stage": ["bank"] * n, "payload": [f'{{"n": {i}}}' for i in range(n)]})
+    parts = scoring.score_batch(model, batch, 64)
+    first = next(parts)
+    assert asked == [64] and first.num_rows == 64
+    assert [x for p in (first, *parts) for x in p.column("input_tokens").to_pylist()] == list(range(n))
