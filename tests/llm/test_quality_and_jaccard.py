@@ -238,3 +238,19 @@ def test_divide_skip_against_all_overlaps():
     for q in sets:
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
         assert sorted(lists.search(q, 80).tolist()) == want
+
+
+def test_every_good_text_counts_for_the_limits(spark):
+    # more good texts than were once drawn; one in a hundred compresses far better than the others
+    rnd = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rnd.integers(0, 26, 6)) for _ in range(3000)]
+    rows = [(i, " ".join(["same"] * 80) if i % 100 == 0 else " ".join(words[w] for w in rnd.integers(0, 3000, 57))) for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rules = Q.fit_bands(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    pack = Q.zstandard.ZstdCompressor(level=3).compress
+    sizes, ratios = (np.array(x) for x in zip(*((len(t), len(t) / len(pack(t.encode()))) for _, t in rows), strict=True))
+    for at, low, high in zip(*rules.bands[0], strict=True):
+        mine = np.floor(2 * np.log2(sizes)) == np.floor(2 * at)
+        assert mine.sum() == len(rows) or mine.sum() >= 30
+        assert low == pytest.approx(np.quantile(ratios[mine], 0.001) * 0.985, rel=2e-4)
+        assert high == pytest.approx(max(np.quantile(ratios[mine], 0.999) * 1.015, 0), rel=2e-4)
