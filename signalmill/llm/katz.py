@@ -7,7 +7,7 @@ words (A-Z lower-cased) and one end for each text; unknown tokens share one clas
 - P(w) = D(c) / N with D(c) = d(c) c; the class of unknown tokens has what is left.
 - P(w | h) = s(h) D(c(hw)) / c(h) where hw was seen, else b(h) P(w | h without its first token).
 - b(h) = (1 - sum of P(w | h) over the w seen after h) / (1 - sum of their P(w | shorter h)).
-- s(h) is 1, or c(h) / (c(h) + 1) where the first sum would leave nothing for the others.
+- s(h) is 1, or c(h) / (c(h) + 1) where all w were seen more than MOST_DISCOUNTED times, so that the first sum would leave nothing for the others.
 - d(r), r <= 5: (r* / r - a) / (1 - a), with r* = (r + 1) n(r+1) / n(r) and a = 6 n(6) / n(1). Where that is not
   between 0 and 1 (few data, many copies) it is (r - 0.5) / r.
 
@@ -16,6 +16,7 @@ shuffle texts. For each order, each block adds up its own n-grams and asks, by r
 blocks and for what b(h) is made of: how many followers of the history were seen once to five times, and the sum of D over the counts of
 the followers after the shorter history (a seen n-gram's shorter one was seen too, so it never backs off). So one exchange an order gives
 all; the answers come in the order asked for, which the block can compute again, and are kept in a table partitioned by order.
+Only where a block has an unseen n-gram after a history, in a held-out document, does b(h) count there; elsewhere the answer is one bit, which tells s(h).
 The last step walks up the orders for each token.
 
 What occurs once needs no exchange: an n-gram with a part that only this place of the corpus has (count 1, in no held-out document) was
@@ -191,7 +192,8 @@ class Asked:
     """What a block asks for one order: different n-grams, for order 2 and more by histories (``slots``: salted).
 
     ``at``: places whose n-grams are asked for, ``of`` their places among what is asked; ``valid``: places with a history that has followers elsewhere,
-    ``history`` theirs; ``hidden``: places of n-grams that occur only there; ``lone``: places whose history does."""
+    ``history`` theirs; ``hidden``: places of n-grams that occur only there; ``lone``: places whose history does; ``wanted``: slots whose sums
+    the block needs in any case."""
 
     def __init__(self, view: View, n: int, history_rows: int):
         block, self.n = view.block, n
@@ -218,6 +220,11 @@ class Asked:
             self.salts = 1 + counts // history_rows
             begin, rank = self._salted(histories)
             followers = count[self.valid] > 0
+            # n-grams with an unseen part are not asked for, and back off; a salt doesn't know the others' n-grams
+            wanted = np.zeros(len(histories), bool)
+            wanted[self.history[~followers]] = True
+            wanted[self.history[~train[self.valid]]] |= self.salts[self.history[~train[self.valid]]] > 1
+            self.wanted = wanted[self.owner]
             hidden = lone[self.valid]
             self.at, self.hidden = self.valid[followers & ~hidden], self.valid[hidden]
             mine = self.history[followers & ~hidden]
@@ -226,13 +233,16 @@ class Asked:
             # by slot, then by the first bits of the n-gram
             both, first, self.of = distinct(slot << np.uint64(FOLLOWER_BITS) | keys[self.at] >> np.uint64(64 - FOLLOWER_BITS))
             self.names, self.keys = keys[self.at[first]], (both & np.uint64((1 << FOLLOWER_BITS) - 1)).astype(np.int64)
-            self.lower = count[self.at[first]]
+            lower = count[self.at[first]]
             self.followers = np.bincount((both >> np.uint64(FOLLOWER_BITS)).astype(np.int64), minlength=len(self.slots))
             self.singles = np.bincount(rank[begin[self.history[hidden]]], minlength=len(self.slots))
             self.route = self.slots
         mine = _sums(self.of, train[self.at], len(self.names))
         # the count, and whether a held-out place has it
         self.counts = 2 * mine + (np.bincount(self.of, minlength=len(self.names)) > mine)
+        if n > 1:
+            # who has it in training tells
+            self.lower = np.where(mine > 0, lower, 0)
 
     def _salted(self, histories: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sets the slots, rising, and the history of each. Returns where each history's salts begin, and the slot of each salt."""
@@ -256,7 +266,7 @@ class Asked:
         for b, i, j in _ranges(self.route, ranges):
             mine = slice(edge[i], edge[j])
             heads = _steps(self.slots[i:j] >> np.uint64(64 - HISTORY_BITS))
-            body = packed(heads, self.followers[i:j], self.singles[i:j], _within(self.keys[mine], self.followers[i:j]), self.counts[mine], self.lower[mine])
+            body = packed(heads, self.followers[i:j], 2 * self.singles[i:j] + self.wanted[i:j], _within(self.keys[mine], self.followers[i:j]), self.counts[mine], self.lower[mine])
             out.append((block, b, body))
         return out
 
@@ -292,7 +302,9 @@ def answer(table: pa.Table, n: int, keep: bool) -> pa.Table:
     else:
         slots, followers, singles, keys, counts, below = (joined(i, k) for i, k in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64)))
         names, _, slot = distinct(slots)
-        whose = np.repeat(slot, followers)
+        singles, wanted = singles >> 1, singles & 1
+        entry = np.repeat(np.arange(len(slots)), followers)
+        whose = slot[entry]
         keys = mix(names[whose] * np.uint64(0xA24BAED4963EE407) + keys.astype(np.uint64))
     known, first, of = distinct(keys)
     totals = _sums(of, counts >> 1, len(known))
@@ -309,15 +321,19 @@ def answer(table: pa.Table, n: int, keep: bool) -> pa.Table:
         by_count[:, 0] += single
         histogram[0] += single.sum()
         # the followers' counts after the shorter history: how many of one to five, and the sum of the others
-        less = np.where(seen, below[first], 0)
+        less, trained = np.zeros(len(known), np.int64), counts > 1
+        less[of[trained]] = below[trained]
         short = np.stack([_sums(mine[less == r], None, len(names)) for r in range(1, _K + 1)], 1)
         short[:, 0] += single
         more = _sums(mine, np.where(less > _K, less, 0), len(names))
         edges = np.cumsum([0, *(len(b[0]) for _, b in asks)])
-        rows = [
-            (block, bucket, packed(marked[i:j]), packed(*by_count[slot[x:y]].T, *short[slot[x:y]].T, more[slot[x:y]]))
-            for (block, _), i, j, x, y in zip(asks, sizes[:-1], sizes[1:], edges[:-1], edges[1:], strict=True)
-        ]
+        # a history's sums go where one of its n-grams is unseen
+        wanted[entry[~seen[of]]] = 1
+        flags = 2 * by_count.any(1)[slot] + wanted
+        rows = []
+        for (block, _), i, j, x, y in zip(asks, sizes[:-1], sizes[1:], edges[:-1], edges[1:], strict=True):
+            told = slot[x:y][wanted[x:y] > 0]
+            rows.append((block, bucket, packed(marked[i:j]), packed(flags[x:y], *by_count[told].T, *short[told].T, more[told])))
     rows.append((-1, bucket, packed(histogram, np.array([(totals > 0).sum(), totals.sum()])), b""))
     if keep:
         rows.append((-2, bucket, packed(known[totals > 0], totals[totals > 0]), b""))
@@ -363,30 +379,33 @@ class View:
         self.lone.append(lone)
 
     def _back_off(self, asked: Asked, level: Level, count: np.ndarray, sums: list[np.ndarray]) -> None:
-        """Brings the probability and s(h) / c(h) at each place up by one order. sums: by salted history, the followers seen once
-        to five times, those of such counts after the shorter history, and the sum of the greater counts there."""
+        """Brings the probability and s(h) / c(h) at each place up by one order. sums: by salted history, whether a follower was seen five times
+        at most (2) and whether the sums follow (1); for these the followers seen once to five times, those of such counts after the shorter
+        history, and the sum of the greater counts there."""
         discounts, size, below = level.discounts(), len(asked.salts), self.levels[len(self.count) - 1].discounts()
-        parts = sums or [np.zeros(0)] * (2 * _K + 1)
-        freed = sum(r * (1 - discounts[r]) * x for r, x in enumerate(parts[:_K], 1))
-        low = parts[-1] + sum(r * below[r] * x for r, x in enumerate(parts[_K:-1], 1))
+        flags, *parts = sums or [np.zeros(0, np.int64)] * (2 * _K + 2)
+        # no place uses what was not told
+        freed, low = np.full((2, len(flags)), np.nan)
+        told = (flags & 1) > 0
+        freed[told] = sum(r * (1 - discounts[r]) * x for r, x in enumerate(parts[:_K], 1))
+        low[told] = parts[-1] + sum(r * below[r] * x for r, x in enumerate(parts[_K:-1], 1))
         # over the salts of each history
-        freed, below = (np.bincount(asked.owner, x, size)[asked.history] for x in (freed, low))
+        some, freed, below = (np.bincount(asked.owner, x, size)[asked.history] for x in (flags >> 1, freed, low))
         total = self.count[-1][asked.valid - 1]
-        scale, backoff = weights(1 - freed / total, self.norm[asked.valid] * below, total)
+        scale, backoff = weights(some > 0, freed / total, self.norm[asked.valid] * below, total)
         seen = count[asked.valid]
         p, norm = self.p.copy(), np.zeros(len(self.p))
         p[asked.valid] = np.where(seen > 0, scale * level.discounted(seen) / total, backoff * p[asked.valid])
         norm[asked.valid] = scale / total
         # histories that occur once have one follower
-        scale = weights(discounts[1:2], np.zeros(1), np.ones(1))[0][0]
-        p[asked.lone], norm[asked.lone] = scale * discounts[1], scale
+        p[asked.lone], norm[asked.lone] = discounts[1], 1.0
         self.p, self.norm = p, norm
 
 
-def weights(high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scale and backoff weight of histories from the two sums over what follows them."""
-    scale = np.where(high < 1 - 1e-9, 1.0, counts / (counts + 1.0))
-    return scale, (1 - scale * high) / np.maximum(1 - low, 1e-300)
+def weights(some: np.ndarray, freed: np.ndarray, low: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scale and backoff weight of histories: whether a follower is discounted, the share that discounts free, the sum after the shorter history."""
+    scale = np.where(some, 1.0, counts / (counts + 1.0))
+    return scale, np.where(some, freed, 1 / (counts + 1.0)) / np.maximum(1 - low, 1e-300)
 
 
 class KatzModel:

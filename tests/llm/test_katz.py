@@ -164,3 +164,23 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert K.katz_scores(docs, F.lit(False)).select("n_tokens", "n_known", "score").orderBy("n_tokens").collect() == [(1, 0, 0.0), (3, 0, 0.0)]
     assert K.katz_scores(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_sums_go_only_where_a_block_backs_off(spark):
+    texts = [(1, "a b a b c"), (2, "a b d"), (3, "b c b c")]
+    docs = spark.createDataFrame([*texts, (4, "b a a d x b")], "doc_id long, text string")
+    told = []
+    for train in (F.lit(True), F.col("doc_id") < 4):
+        model = K.KatzModel(docs, train, "doc_id", "text", 3)
+        for _ in range(3):
+            model.count()
+        rows = spark.read.parquet(model.folder).filter("block >= 0 AND order > 1").select("sums").collect()
+        parts = [K.unpacked(bytes(r.sums)) for r in rows]
+        assert all(len(p) == 2 + 2 * K._K and len(p[1]) == (p[0] & 1).sum() <= len(p[0]) for p in parts)
+        told.append(sum(len(p[1]) for p in parts))
+        scores = {r.doc_id: r.score for r in model.scores("doc_id").collect()}
+        model.drop()
+        plain = Plain([t for _, t in texts] + ["b a a d x b"] * (not told[1:]), 3)
+        assert scores[4] == pytest.approx(plain.score("b a a d x b"), abs=1e-9)
+    # all in training: every n-gram was seen, so nothing backs off
+    assert told[0] == 0 < told[1]
