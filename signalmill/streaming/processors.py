@@ -1,13 +1,14 @@
 """Stateful processors: many sessions and traces in one group, so that all rows of a micro-batch go through array work together.
 
-Groups are hash buckets. In a bucket, states lie in blocks: a record of the state store has the states of all names of a block as typed columns, the last
-of which is when each ends in event time. So a micro-batch makes two calls of the store a block, not two a name. A timer for each bucket removes what
-has ended. State whose end the watermark has passed counts as gone, even before its timer ran.
+Groups are hash buckets. In a bucket, states lie in blocks: a record of the state store has the states of all names of a block as one value of bytes,
+with when each ends in event time. So a micro-batch makes two calls of the store a block, not two a name, and nothing is converted a number at a time
+on the way between Python and the store. A timer for each bucket removes what has ended. State whose end the watermark has passed counts as gone, even before its timer ran.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from ..functions.folds import spaced
 from ..functions.windows import trailing_average, trailing_slope, trailing_sums, whole_micros
 
 _CORE = ("ema", "disagreement", "latched", "fire_count", "last_fire", "band_since", "last_t", "first_t")
-_TRACE = "ema double, disagreement double, latched boolean, fire_count long, last_fire double, band_since double, last_t double, first_t double, recent_t array<double>, recent_v array<double>"
 _KEYED = "session_id string, key string"
+_BODY = "body binary"
 
 
 def milliseconds(ts: pd.Series) -> np.ndarray:
@@ -43,40 +44,39 @@ def heads_of(pdf: pd.DataFrame, starts: np.ndarray, *keys: str) -> tuple[list[in
     return heads["block"].tolist(), list(zip(*(heads[k].tolist() for k in keys), strict=True))
 
 
+def _packed(value) -> tuple[bytes]:
+    """A record of the state store."""
+    return (pickle.dumps(value, 5),)
+
+
+def _unpacked(record):
+    return None if record is None else pickle.loads(record[0])
+
+
 class Blocks:
     """A map state of blocks of names: a record is kept under the first name of its block, and one index a bucket tells which that is. Each block is read
     once and written once between two calls of ``save``."""
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str, value: str):
-        keys = key.split(", ")
-        self.state = handle.getMapState(name, key, self._arrays(*keys, *value.split(", "), "ends_ms long"))
-        self.index = handle.getValueState(f"{name}_index", self._arrays("block int", *keys))
-        self.width = len(keys)
+    def __init__(self, handle: StatefulProcessorHandle, name: str, key: str):
+        self.state = handle.getMapState(name, key, _BODY)
+        self.index = handle.getValueState(f"{name}_index", _BODY)
         self._reset()
 
-    @staticmethod
-    def _arrays(*columns: str) -> str:
-        return ", ".join("{} array<{}>".format(*c.split(" ", 1)) for c in columns)
-
     def _reset(self) -> None:
         self.firsts, self.read, self.changed = None, {}, set()
 
     def _first(self) -> dict[int, tuple]:
         """The names that blocks are kept under."""
         if self.firsts is None:
-            columns = self.index.get()
-            self.firsts = {row[0]: row[1:] for row in zip(*columns, strict=True)} if columns is not None else {}
+            self.firsts = _unpacked(self.index.get()) or {}
         return self.firsts
 
     def block(self, number: int) -> dict[tuple, tuple]:
         if number not in self.read:
             first = self._first().get(number)
-            self.read[number] = self._named(self.state.getValue(first)) if first is not None else {}
+            self.read[number] = _unpacked(self.state.getValue(first)) if first is not None else {}
         return self.read[number]
 
-    def _named(self, columns: tuple) -> dict[tuple, tuple]:
-        return {row[: self.width]: row[self.width :] for row in zip(*columns, strict=True)}
-
     def get(self, number: int, name: tuple, now: int) -> tuple | None:
         value = self.block(number).get(name)
         return None if value is None or value[-1] <= now else value[:-1]
@@ -96,19 +96,20 @@ class Blocks:
                 if names:
                     self.firsts[number] = next(iter(names))
             if names:
-                self.state.updateValue(self.firsts[number], tuple(map(list, zip(*(n + v for n, v in names.items()), strict=True))))
+                self.state.updateValue(self.firsts[number], _packed(names))
         if moved:
-            self.index.update(tuple(map(list, zip(*((b, *n) for b, n in self.firsts.items()), strict=True))) or ([],) * (1 + self.width))
+            self.index.update(_packed(self.firsts))
         self._reset()
 
     def end(self, now: int) -> list[int]:
         """Removes what has ended; when the others end."""
         left, numbers = [], {n: b for b, n in self._first().items()}
-        for first, columns in list(self.state.iterator()) if numbers else []:
-            ends = columns[-1]
+        for first, body in list(self.state.iterator()) if numbers else []:
+            names = _unpacked(body)
+            ends = [v[-1] for v in names.values()]
             if min(ends) <= now:
                 number = numbers[tuple(first)]
-                self.read[number] = {n: v for n, v in self._named(columns).items() if v[-1] > now}
+                self.read[number] = {n: v for n, v in names.items() if v[-1] > now}
                 self.changed.add(number)
             left += [e for e in ends if e > now]
         self.save()
@@ -118,12 +119,12 @@ class Blocks:
 class Ending(StatefulProcessor):
     """Named states that end."""
 
-    def __init__(self, idle_s: float, value: str, key: str = _KEYED):
-        self.idle_ms, self.value, self.key = int(idle_s * 1000), value, key
+    def __init__(self, idle_s: float, key: str = _KEYED):
+        self.idle_ms, self.key = int(idle_s * 1000), key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = Blocks(handle, "state", self.key, self.value)
+        self.state = Blocks(handle, "state", self.key)
         self.due = handle.getValueState("due", "ms long")
 
     def store(self, block: int, name: tuple, value: tuple, newest: int, now: int) -> int:
@@ -151,11 +152,16 @@ class Ending(StatefulProcessor):
 def _trace_of(value: tuple | None) -> core.TraceState:
     if value is None:
         return core.TraceState()
-    return core.TraceState(**dict(zip(_CORE, value, strict=False)), recent=np.array([value[8] or [], value[9] or []], float).reshape(2, -1))
+    return core.TraceState(**dict(zip(_CORE, value, strict=False)), recent=_samples(value[8]))
+
+
+def _samples(body: bytes) -> np.ndarray:
+    """Times and values."""
+    return np.frombuffer(body).reshape(2, -1)
 
 
 def _values(state: core.TraceState) -> tuple:
-    return (*(getattr(state, c) for c in _CORE), state.recent[0].tolist(), state.recent[1].tolist())
+    return (*(getattr(state, c) for c in _CORE), state.recent.tobytes())
 
 
 def _advance(rows: pd.DataFrame, starts: np.ndarray, states: list[core.TraceState]) -> dict[str, np.ndarray]:
@@ -167,7 +173,7 @@ class Traces(Ending):
     """The trace recurrence: all traces of a bucket advance in one run."""
 
     def __init__(self, idle_s: float):
-        super().__init__(idle_s, _TRACE)
+        super().__init__(idle_s)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -186,7 +192,7 @@ class Quotas(Ending):
     """The first rows of each session, key and bin."""
 
     def __init__(self, idle_s: float, per_bin: int):
-        super().__init__(idle_s, "n long", "session_id string, key string, bin long")
+        super().__init__(idle_s, "session_id string, key string, bin long")
         self.per_bin = per_bin
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -209,14 +215,14 @@ class Sessions(Ending):
     last question. ``measures``: for each key the measures to carry; ``fires``: keys of which edges are told."""
 
     def __init__(self, idle_s: float, measures: dict[str, list[str]], fires: list[str], columns: dict[str, str], slope_s: float, integral_s: float, question_s: float, most_chars: int):
-        super().__init__(idle_s, f"{_TRACE}, past_t array<double>, past_v array<double>, slope double, integral30 double, in_band_for double, warm boolean, fire double")
+        super().__init__(idle_s)
         self.measures, self.fires, self.columns = measures, fires, columns
         self.slope_us, self.integral_us = round(slope_s * 1e6), round(integral_s * 1e6)
         self.question_s, self.most_chars = question_s, most_chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.asked = Blocks(handle, "asked", "session_id string", "t double, text string")
+        self.asked = Blocks(handle, "asked", "session_id string")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.asked.end(timerValues.getCurrentWatermarkInMs())
@@ -250,19 +256,21 @@ class Sessions(Ending):
             kept, old = self.measures.get(name[1], ()), loaded[name]
             past = np.array([[], []])
             if "slope" in kept or "integral30" in kept:
-                before = np.array([old[10] or [], old[11] or []], float).reshape(2, -1) if old else past
+                before = _samples(old[9]) if old else past
                 both = np.concatenate((before, [t[i:j], found["ema"][i:j]]), axis=1)
                 us, own = whole_micros(both[0]), slice(before.shape[1], None)
-                found["slope"][i:j] = trailing_slope(us, both[1], self.slope_us)[own]
-                found["integral30"][i:j] = trailing_average(both[0], us, both[1], self.integral_us)[own]
+                if "slope" in kept:
+                    found["slope"][i:j] = trailing_slope(us, both[1], self.slope_us)[own]
+                if "integral30" in kept:
+                    found["integral30"][i:j] = trailing_average(both[0], us, both[1], self.integral_us)[own]
                 past = both[:, us >= us[-1] - max(self.slope_us, self.integral_us if "integral30" in kept else 0)]
             last = tuple(float(found[c][j - 1]) for c in ("slope", "integral30", "in_band_for")) + (bool(found["warm"][j - 1]), float(found["fire"][j - 1]))
-            ends.append(self.store(at[name[0]], name, (*_values(state), past[0].tolist(), past[1].tolist(), *last), int(newest[i:j].max()), now))
+            ends.append(self.store(at[name[0]], name, (*_values(state), past.tobytes(), *last), int(newest[i:j].max()), now))
         self.watch(ends)
         edges = found["fired"] & ~pdf["silent"].fillna(False).to_numpy(bool)
         ticks = pdf.groupby(["session_id", "tick"], as_index=False).agg(t=("t", "max"), ts=("ts", "max")).sort_values(["session_id", "t", "tick"], kind="stable", ignore_index=True)
         by = ["session_id", "tick"]
-        place = {"ema": 0, "slope": 12, "integral30": 13, "in_band_for": 14, "warm": 15, "fire": 16}
+        place = {"ema": 0, "slope": 10, "integral30": 11, "in_band_for": 12, "warm": 13, "fire": 14}
         for k in dict.fromkeys((*self.measures, *self.fires)):
             mine = (pdf["key"] == k).to_numpy()
             kept = list(self.measures.get(k, ()))
@@ -303,7 +311,7 @@ class Cooldowns(Ending):
     """Hits of each session and rule that are at least the rule's time after the one kept before."""
 
     def __init__(self, idle_s: float):
-        super().__init__(idle_s, "last double", "session_id string, rule string")
+        super().__init__(idle_s, "session_id string, rule string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -322,39 +330,50 @@ class Cooldowns(Ending):
 
 class Meter(Ending):
     """Exact rates over a trailing window: calls wait in their block until the watermark has passed them, then each is told with the sums of its
-    window, and what no window reaches any more goes. All sessions of a bucket go through one window search."""
+    window, and what no window reaches any more goes. All sessions of a bucket go through one window search. A block's record is a list of pieces, one for
+    each micro-batch, so a new one is put beside the others as they are."""
+
+    _CALL = ("session_id", "t", "tick", "tokens", "ms", "told")
 
     def __init__(self, idle_s: float, window_s: float):
-        super().__init__(idle_s, "")
+        super().__init__(idle_s)
         self.window_us = round(window_s * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getMapState("state", "block int", "session_id array<string>, t array<double>, tick array<long>, tokens array<double>, ms array<long>, told array<boolean>")
+        self.state = handle.getMapState("state", "block int", _BODY)
         self.due = handle.getValueState("due", "ms long")
 
+    def _pieces(self, calls: pd.DataFrame) -> Iterator[tuple[int, bytes]]:
+        """Each block of calls that are sorted by it, and its piece."""
+        starts, columns = run_starts(calls["block"]), [calls[c].to_numpy() for c in self._CALL]
+        for block, i, j in zip(calls["block"].iloc[starts[:-1]].tolist(), starts[:-1], starts[1:], strict=True):
+            yield block, pickle.dumps([c[i:j] for c in columns], 5)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
         pdf = pdf.assign(ms=milliseconds(pdf["ts"]), told=False).sort_values("block", kind="stable")
-        starts = run_starts(pdf["block"])
-        columns = [pdf[c].tolist() for c in ("session_id", "t", "tick", "tokens", "ms", "told")]
-        for block, i, j in zip(pdf["block"].iloc[starts[:-1]].tolist(), starts[:-1], starts[1:], strict=True):
-            old = self.state.getValue((block,)) or ([],) * len(columns)
-            self.state.updateValue((block,), tuple([*o, *c[i:j]] for o, c in zip(old, columns, strict=True)))
+        for block, piece in self._pieces(pdf):
+            self.state.updateValue((block,), _packed([*(_unpacked(self.state.getValue((block,))) or ()), piece]))
         self.watch([max(int(pdf["ms"].min()), timerValues.getCurrentWatermarkInMs()) + 1])
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, out, names = timerValues.getCurrentWatermarkInMs(), [], ("session_id", "t", "tick", "tokens", "ms", "told")
-        blocks = [(block, columns) for (block,), columns in self.state.iterator()]
-        calls = pd.DataFrame({n: [x for _, columns in blocks for x in columns[i]] for i, n in enumerate(names)})
-        calls["block"] = np.repeat([b for b, _ in blocks], [len(c[0]) for _, c in blocks])
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        pieces = [(block, pickle.loads(piece)) for (block,), record in self.state.iterator() for piece in _unpacked(record)]
+        self.due.clear()
+        if not pieces:
+            return iter(out)
+        calls = pd.DataFrame({n: np.concatenate([columns[i] for _, columns in pieces]) for i, n in enumerate(self._CALL)})
+        calls["block"] = np.repeat([b for b, _ in pieces], [len(columns[0]) for _, columns in pieces])
+        calls["session"] = pd.factorize(calls["session_id"], sort=True)[0]
         # those that are told stay ahead: new ones are later than the watermark that let these go
-        calls = calls.assign(new=~calls["told"].astype(bool)).sort_values(["session_id", "new", "t", "tick", "tokens", "ms"], kind="stable", ignore_index=True)
+        calls["new"] = ~calls["told"]
+        calls = calls.iloc[np.lexsort([calls[c].to_numpy() for c in ("ms", "tokens", "tick", "t", "new", "session")])].reset_index(drop=True)
         passed = calls[calls["ms"] < now].reset_index(drop=True)
         kept = [calls[calls["ms"] >= now]]
         if len(passed):
-            starts, t = run_starts(passed["session_id"]), passed["t"].to_numpy(float)
+            starts, t = run_starts(passed["session"]), passed["t"].to_numpy(float)
             us = whole_micros(t)
             sums, counts, oldest = trailing_sums(t, passed["tokens"].to_numpy(float), self.window_us, starts)
             found = passed.assign(tokens=sums, calls=counts, oldest=oldest)
@@ -362,15 +381,13 @@ class Meter(Ending):
             reached = us >= np.repeat(us[starts[1:] - 1], np.diff(starts)) - self.window_us
             kept.insert(0, passed[reached].assign(told=True))
         kept = pd.concat(kept)
-        ends = kept.groupby("session_id")["ms"].transform("max") + self.idle_ms
+        ends = kept.groupby("session")["ms"].transform("max") + self.idle_ms
         kept = kept.assign(ends=ends)[ends > now].sort_values("block", kind="stable")
-        starts, columns = run_starts(kept["block"]), [kept[n].tolist() for n in names]
-        left = kept["block"].iloc[starts[:-1]].tolist()
-        for block, i, j in zip(left, starts[:-1], starts[1:], strict=True):
-            self.state.updateValue((block,), tuple(c[i:j] for c in columns))
-        for block in {b for b, _ in blocks}.difference(left):
+        left = {block: piece for block, piece in self._pieces(kept)}
+        for block, piece in left.items():
+            self.state.updateValue((block,), _packed([piece]))
+        for block in {b for b, _ in pieces}.difference(left):
             self.state.removeKey((block,))
-        self.due.clear()
-        waiting = kept.loc[~kept["told"].astype(bool), "ms"]
+        waiting = kept.loc[~kept["told"], "ms"]
         self.watch([max(int(x), now + 1) for x in ([kept["ends"].min(), *([waiting.min() + 1] if len(waiting) else [])] if len(kept) else [])])
         return iter(out)

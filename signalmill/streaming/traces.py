@@ -2,7 +2,7 @@
 
 The stateful jobs run on ``transformWithStateInPandas`` (processors in ``processors.py``), which needs the RocksDB state store:
 ``spark.sql.streaming.stateStore.providerClass`` names it when a query starts; ``on_rocksdb`` sets it for a block of code. Groups are hash buckets of
-sessions and keys, so a micro-batch makes one Python call a bucket, however many traces it has. State is kept in typed columns, a record for each block of
+sessions and keys, so a micro-batch makes one Python call a bucket, however many traces it has. State is kept in one value of bytes for each block of
 names in a bucket.
 
 Every state ends: event time is ``ts`` or, where there is no such column, ``t`` seconds after a day in 1970; rows later than the watermark are left
@@ -23,8 +23,8 @@ from ..operators import meter, rules
 from ..operators.sampling import bin_of
 from . import processors
 
-#: Records of a bucket's state, by hash of the name.
-_BLOCKS = 256
+#: Records of a bucket's state, by hash of the name. A call of the store takes about half a millisecond, however long a record is.
+_BLOCKS = 16
 #: Watermarks begin at 1970, so that a time of 0 must lie beyond it.
 _DAY = 86_400
 _OUT = "session_id string, key string, t double, tick long, value double, ema double, disagreement double, in_band_for double, warm boolean, unreliable boolean, fired boolean, latched boolean, fire_count long"

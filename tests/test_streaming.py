@@ -216,6 +216,89 @@ def test_calls_of_the_store_grow_with_blocks_not_names():
     assert maps["state"].calls == 3 * 8 and maps["state_index"].calls == 3
 
 
+class Records(Store):
+    """One that can also be read whole and emptied."""
+
+    def iterator(self):
+        return iter(list(self.kept.items()))
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+    def exists(self):
+        return bool(self.kept)
+
+    def clear(self):
+        self.kept.clear()
+
+
+def stored(processor):
+    """The processor with its states, by their names."""
+    import types
+
+    maps = {}
+    store = lambda name, *_: maps.setdefault(name, Records())
+    processor.init(types.SimpleNamespace(getMapState=store, getValueState=store, registerTimer=lambda at: None))
+    return maps
+
+
+def at(ms):
+    import types
+
+    return types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+
+
+def test_calls_wait_as_bytes_and_are_told_with_their_window():
+    import numpy as np
+    import pandas as pd
+
+    from signalmill.functions.windows import trailing_sums
+    from signalmill.streaming import processors
+
+    meter = processors.Meter(3600.0, 20.0)
+    maps, n = stored(meter), 400
+    t = np.arange(n) // 4 * 1.5
+    calls = pd.DataFrame({"session_id": [f"s{i % 4}" for i in range(n)], "t": t, "tick": range(n), "tokens": (np.arange(n) * 7 % 13).astype(float), "ts": pd.to_datetime(t * 1e9), "block": np.arange(n) % 4 % 3})
+    told = []
+    for i, j, now in ((0, 150, 40_000), (150, 280, 90_000), (280, n, 200_000)):
+        assert not list(meter.handleInputRows((0,), iter([calls.iloc[i:j]]), at(0)))
+        # one value of bytes a block, whatever it holds
+        assert set(maps["state"].kept) == {(0,), (1,), (2,)} and all(len(r) == 1 and type(r[0]) is bytes for r in maps["state"].kept.values())
+        told += meter.handleExpiredTimer((0,), at(now), None)
+    told = pd.concat(told).set_index("tick")
+    assert sorted(told.index) == list(range(n))
+    for _, mine in calls.groupby("session_id"):
+        sums, counts, oldest = trailing_sums(mine["t"].to_numpy(), mine["tokens"].to_numpy(), 20_000_000)
+        got = told.loc[mine["tick"]]
+        assert np.array_equal(got["tokens"], sums) and np.array_equal(got["calls"], counts) and np.array_equal(got["oldest"], oldest)
+    # once all are idle, nothing stays
+    assert not sum(map(len, meter.handleExpiredTimer((0,), at(10**10), None))) and not maps["state"].kept
+
+
+def test_states_of_sessions_are_bytes(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from signalmill.streaming import processors
+
+    pdf = pd.DataFrame(rows(), columns=[c.split()[0] for c in SCHEMA.split(", ")]).assign(silent=False, text=None, block=1)
+    pdf["ts"] = pd.to_datetime(pdf["t"] * 1e9)
+    options = ({"x": ["ema", "integral30", "warm"], "y": ["ema"]}, ["x"], {"x": "x", "y": "y"}, 2.0, 5.0, 45.0, 90)
+    whole = processors.Sessions(3600.0, *options)
+    stored(whole)
+    (want,) = whole.handleInputRows((0,), iter([pdf]), at(0))
+    # a slope that no rule reads is not measured
+    monkeypatch.delattr(processors, "trailing_slope")
+    parts = processors.Sessions(3600.0, *options)
+    maps = stored(parts)
+    got = pd.concat([x for k in range(3) for x in parts.handleInputRows((0,), iter([pdf[pdf["tick"] // 20 == k]]), at(0))])
+    assert all(len(r) == 1 and type(r[0]) is bytes for name in ("state", "state_index") for r in maps[name].kept.values()) and len(maps["state"].kept) == 1
+    want, got = (x.sort_values(["session_id", "tick"], ignore_index=True) for x in (want, got))
+    assert len(want) == 120 and np.array_equal(want["x__fired"], got["x__fired"]) and want["x__fired"].any()
+    for c in ("x__ema", "x__integral30", "y__ema"):
+        assert np.allclose(want[c], got[c], rtol=0, atol=1e-9)
+
+
 def test_windows_of_many_sessions_at_once():
     import numpy as np
 
